@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, licenses, mixing, quality, sharding, simhash, tokens, warc
+from postmill.llm import decontaminate, licenses, lm, mixing, quality, sharding, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kd_sharding": op4_kd_sharding,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op7_language_scores": op7_language_scores,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
