@@ -9,13 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, licenses, lm, mixing, quality, sharding, simhash, tokens, warc
+from postmill.llm import decontaminate, licenses, lm, mixing, quality, repeats, sharding, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,6 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_kd_sharding": op4_kd_sharding,
