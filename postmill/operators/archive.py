@@ -6,6 +6,9 @@ before the name changes, so a reader or a crashed writer never sees half a table
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +29,36 @@ class Versioned:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
+    def _current(self) -> tuple[int, str]:
         jvm, fs = self._fs()
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*"))
-        return max((int(s.getPath().getName().rpartition("-")[2]) for s in found or []), default=0)
+        found = {int(s.getPath().getName().rpartition("-")[2]): s for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*")) or []}
+        for n in sorted(found, reverse=True):
+            stream = fs.open(found[n].getPath())
+            try:
+                if found[n].getLen():
+                    return n, stream.readUTF()
+            finally:
+                stream.close()
+        return 0, ""
+
+    def version(self) -> int:
+        return self._current()[0]
 
     def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
+        n, name = self._current()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if n else self.spark.createDataFrame([], self.schema)
 
     def commit(self, rows: DataFrame) -> int:
         """Writes rows as the next version and makes it current. Raises if another writer was first."""
-        n = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        n, name = self.version() + 1, f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
         jvm, fs = self._fs()
-        if not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{n}")):
-            raise RuntimeError(f"version {n} of {self.path} was committed by another writer")
+        try:
+            stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{n}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {n} of {self.path} was committed by another writer") from e
+        stream.writeUTF(name)
+        stream.close()
         return n
 
 

@@ -39,6 +39,20 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), _relative(F.col("path"), root).alias("rel"), "length")
 
 
+def _children(spark: SparkSession, path: str) -> dict[str, bool]:
+    """The names right below path, True for folders. Spark's readers pass over names that begin with a dot."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return {s.getPath().getName(): s.isDirectory() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)}
+
+
+def _plus_plus_folders(spark: SparkSession, path: str) -> list[str]:
+    """The cur and new folders of a Maildir++ store: its own and those of its dot folders."""
+    own = [f"{path}/{x}" for x, is_dir in _children(spark, path).items() if is_dir and x in ("cur", "new")]
+    dots = [x for x, is_dir in _children(spark, path).items() if is_dir and x.startswith(".")]
+    return own + [f"{path}/{d}/{x}" for d in dots for x, is_dir in _children(spark, f"{path}/{d}").items() if is_dir and x in ("cur", "new")]
+
+
 def detect(spark: SparkSession, path: str) -> str:
     """mbox, mbox-tree, maildir, maildir++ or imap-cache; UnsupportedMailbox for Outlook stores and anything else."""
     if path.lower().endswith((".pst", ".ost")):
@@ -50,14 +64,15 @@ def detect(spark: SparkSession, path: str) -> str:
         if first == "From ":
             return "mbox"
         raise UnsupportedMailbox(f"{path}: neither a mailbox nor a folder of mailboxes")
-    rel = F.col("rel")
-    has = lambda pattern: F.max(rel.rlike(pattern))
-    r = listing(spark, path).agg(has(r"^\.\.maildir\+\+$").alias("marker"), has(r"^\.[^/]+/(cur|new)/").alias("dots"), has(r"^(cur|new)/").alias("maildir"), has(r"^folders/.*(/|^)(cur|new)/").alias("cache")).first()
-    if r.marker or (r.maildir and r.dots):
+    names = _children(spark, path)
+    maildir = any(names.get(x) for x in ("cur", "new"))
+    if names.get("..maildir++") is False or (maildir and len(_plus_plus_folders(spark, path)) > sum(bool(names.get(x)) for x in ("cur", "new"))):
         return "maildir++"
-    if r.cache:
+    if maildir:
+        return "maildir"
+    if names.get("folders") and listing(spark, path).where(F.col("rel").rlike("^folders/.*(/|^)(cur|new)/")).take(1):
         return "imap-cache"
-    return "maildir" if r.maildir else "mbox-tree"
+    return "mbox-tree"
 
 
 def _maildir_name(c: Column) -> Column:
@@ -85,19 +100,20 @@ def folder_path(rel: Column, layout: str) -> Column:
     return F.transform(F.filter(inner, lambda x: x != "subfolders"), sanitize_segment)
 
 
+_PART = pa.struct([("filename", pa.string()), ("mime_type", pa.string()), ("content_id", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+_TYPES = {"folder_path": pa.list_(pa.string()), "sent": pa.timestamp("us", "UTC"), "received": pa.timestamp("us", "UTC"), "attachments": pa.list_(_PART)}
+_ARROW = pa.schema([(name, _TYPES.get(name, pa.string())) for name in ("store", "folder_path", *mime.FIELDS)])
+
+
 def _parsed(raw: DataFrame) -> DataFrame:
     """raw (store, folder_path, data) as messages."""
-    schema = raw.sparkSession.createDataFrame([], MESSAGE).schema
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema, timezone="UTC")
         for batch in batches:
             store, folder, data = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pylist([{"store": s, "folder_path": f, **mime.parse(d)} for s, f, d in zip(store, folder, data)], arrow)
+            yield pa.RecordBatch.from_pylist([{"store": s, "folder_path": f, **mime.parse(d)} for s, f, d in zip(store, folder, data)], _ARROW)
 
-    return raw.mapInArrow(run, schema)
+    return raw.mapInArrow(run, MESSAGE)
 
 
 def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None) -> DataFrame:
@@ -118,10 +134,9 @@ def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, stor
         body = F.regexp_replace(F.regexp_replace("value", r"\A(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
         boxes.append(rows.where(F.length("value") > 0).select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), body.cast("binary").alias("data")))
     if layout != "mbox":
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("rel", _relative(F.col("path"), root))
+        folders = _plus_plus_folders(spark, path) if layout == "maildir++" else [path]
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).withColumn("rel", _relative(F.col("path"), root))
         mail = files.where(rel.rlike("(^|/)(cur|new)/"))
-        if layout == "maildir++":
-            mail = mail.where(rel.rlike(r"^((\.[^/]+)/)?(cur|new)/"))
         boxes.append(mail.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), F.col("content").alias("data")))
     raw = boxes[0]
     for b in boxes[1:]:
