@@ -69,4 +69,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = r"""list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))"""
+_NORMAL = r"""regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+#: DuckDB SQL. The others have none: SimHash, k-d trees, Bloom filters, alignments and tokenizers are not SQL.
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""
+WITH i AS (SELECT item_id, list_sort({_SHINGLES}) AS s FROM (SELECT item_id, {_NORMAL} AS ws FROM benchmark)),
+items AS (SELECT min(item_id) AS item_id, s FROM i WHERE len(s) > 0 GROUP BY s),
+parts AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM items),
+d AS (SELECT doc_id, unnest({_SHINGLES}) AS x FROM (SELECT doc_id, {_NORMAL} AS ws FROM documents)),
+found AS (SELECT doc_id, item_id, n, count(*) AS shared FROM d JOIN parts USING (x) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item_shingles, shared AS n_shared, shared / n AS containment FROM found WHERE shared >= 0.8 * n - 1e-9""",
+    "op5_warc_round_trip": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first <> page_id THEN first END AS refers_to, url FROM f""",
+    "op8_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM r) GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_echoes FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 4 * n_letters < word_chars OR 10 * n_echoes > 4 * n_words) AS kept FROM b""",
+    "op10_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM t),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0.0)) AS level FROM w
+  WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, least(cap, max(level) FILTER (cap / w >= level) OVER () * w) AS target FROM l),
+q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota, ceil((SELECT sum(floor(target)) FROM g) / (16 * 256)) AS words FROM g),
+o AS (SELECT doc_id, size, source_size, target, quota, greatest(16, words)::BIGINT AS b, sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR) || '|7'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT *, unnest(range(0, 4)) AS epoch FROM o),
+s AS (SELECT *, epoch * source_size + before AS lo, least(epoch * source_size + before + size, quota) AS hi FROM e)
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(hi - lo) FILTER (hi > lo), 0) AS BIGINT) AS taken,
+CAST(coalesce(sum((hi - 1) // b - lo // b + 1) FILTER (hi > lo), 0) AS BIGINT) AS n_pieces FROM s GROUP BY doc_id, size, source_size, target, before""",
+}
