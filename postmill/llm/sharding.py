@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import stored
@@ -26,59 +26,51 @@ def _text_code(c: str):
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _split(points: DataFrame, nodes: dict[int, dict]) -> dict[int, tuple[int, int]]:
+def _by_node(values: dict[int, object]) -> Column:
+    """values[node] for each row, null for other nodes; there are no more nodes than shards."""
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v))), F.col("node"))
+
+
+def _split(points: DataFrame, left: dict[int, float]) -> dict[int, int]:
     """For each node (left: weight wanted below the cut) the cut as the largest key that goes left."""
-    spark = points.sparkSession
-    below, prefix = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
-    cuts: dict[int, int] = {}
+    below, prefix, cuts = dict.fromkeys(left, 0), dict.fromkeys(left, 0), {}
     for step in range(PASSES):
         shift = BINS * (PASSES - 1 - step)
-        known = spark.createDataFrame([(k, prefix[k]) for k in nodes if k not in cuts], "node int, prefix long")
-        if not any(k not in cuts for k in nodes):
-            break
-        bins = points.join(F.broadcast(known), "node").where(F.shiftright("key", shift + BINS) == F.col("prefix")).groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << BINS) - 1).alias("bin")).agg(F.sum("weight").alias("weight"))
-        upto = F.sum("weight").over(Window.partitionBy("node").orderBy("bin"))
-        want = spark.createDataFrame([(k, float(n["left"] - below[k])) for k, n in nodes.items() if k not in cuts], "node int, want double")
-        hit = bins.withColumn("upto", upto).join(F.broadcast(want), "node").where("upto >= want").groupBy("node").agg(F.min_by(F.struct("bin", "weight", "upto"), "bin").alias("h"))
+        live = points.where(F.shiftright("key", shift + BINS) == _by_node(prefix)) if step else points
+        bins = live.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << BINS) - 1).alias("bin")).agg(F.sum("weight").alias("weight"))
+        upto = bins.withColumn("upto", F.sum("weight").over(Window.partitionBy("node").orderBy("bin")))
+        hit = upto.where(F.col("upto") >= _by_node({k: float(left[k] - below[k]) for k in left})).groupBy("node").agg(F.min_by(F.struct("bin", "weight", "upto"), "bin").alias("h"))
         for k, h in ((r.node, r.h) for r in hit.collect()):
             below[k] += h.upto - h.weight
             prefix[k] = prefix[k] << BINS | h.bin
             if step == PASSES - 1:
-                over, under = below[k] + h.weight - nodes[k]["left"], nodes[k]["left"] - below[k]
+                over, under = below[k] + h.weight - left[k], left[k] - below[k]
                 cuts[k] = prefix[k] if over <= under else prefix[k] - 1
-    return {k: cuts.get(k, (1 << BINS * PASSES) - 1) for k in nodes}
+    return {k: cuts.get(k, (1 << BINS * PASSES) - 1) for k in left}
 
 
 def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> DataFrame:
-    """points (weight: long, tie: long, dims: double) with leaf: int, 0 to leaves - 1, of weights near equal."""
-    all_of = points.agg(*(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).first()
-    span = {d: max((all_of[f"hi_{d}"] or 0.0) - (all_of[f"lo_{d}"] or 0.0), 1e-12) for d in dims}
-    spark, tree = points.sparkSession, {0: (0, leaves)}
+    """points (weight: long, tie: long, dims: double) with leaf: int, 0 to leaves - 1, of weights near equal.
+
+    A node is named by its first leaf. Each level is stored, so that its passes read one narrow table.
+    """
+    tree, span = {0: leaves}, None
     now = points.withColumn("node", F.lit(0).cast("int"))
-    while any(b - a > 1 for a, b in tree.values()):
+    while any(n > 1 for n in tree.values()):
         stats = {r.node: r for r in now.groupBy("node").agg(F.sum("weight").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).collect()}
-        nodes = {}
-        for k, (a, b) in tree.items():
-            if b - a > 1 and k in stats:
-                s, half = stats[k], (b - a) // 2
-                d = max(range(len(dims)), key=lambda i: ((s[f"hi_{dims[i]}"] - s[f"lo_{dims[i]}"]) / span[dims[i]], -i))
-                nodes[k] = {"dim": d, "lo": s[f"lo_{dims[d]}"], "width": max(s[f"hi_{dims[d]}"] - s[f"lo_{dims[d]}"], 1e-12), "left": s.w * half / (b - a), "half": half}
-        if not nodes:
+        width = lambda r, d: max(r[f"hi_{d}"] - r[f"lo_{d}"], 1e-12)
+        span = span or {d: width(stats[0], d) if stats else 1.0 for d in dims}
+        wide = {k: max(range(len(dims)), key=lambda i, k=k: (width(stats[k], dims[i]) / span[dims[i]], -i)) for k, n in tree.items() if n > 1 and k in stats}
+        if not wide:
             break
-        setup = spark.createDataFrame([(k, n["dim"], n["lo"], n["width"]) for k, n in nodes.items()], "node int, dim int, lo double, width double")
-        value = F.element_at(F.array(*dims), F.col("dim") + 1)
-        key = F.shiftleft(((value - F.col("lo")) / F.col("width") * ((1 << 24) - 1)).cast("long"), 24).bitwiseOR(F.col("tie").bitwiseAND((1 << 24) - 1))
-        keyed = now.join(F.broadcast(setup), "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), key)).drop("dim", "lo", "width")
-        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), nodes)
-        said = spark.createDataFrame([(k, cuts[k], tree[k][0] + n["half"]) for k, n in nodes.items()], "node int, cut long, right int")
-        now = keyed.join(F.broadcast(said), "node", "left").withColumn("node", F.when(F.col("key") > F.col("cut"), F.col("right")).otherwise(F.col("node"))).drop("key", "cut", "right")
-        grown = {}
-        for k, (a, b) in tree.items():
-            half = nodes[k]["half"] if k in nodes else 1
-            grown[a] = (a, a + half)
-            if k in nodes:
-                grown[a + half] = (a + half, b)
-        tree = grown
+        value = F.element_at(F.array(*dims), _by_node({k: d + 1 for k, d in wide.items()}))
+        low, size = _by_node({k: stats[k][f"lo_{dims[d]}"] for k, d in wide.items()}), _by_node({k: width(stats[k], dims[d]) for k, d in wide.items()})
+        key = F.shiftleft(((value - low) / size * ((1 << 24) - 1)).cast("long"), 24).bitwiseOR(F.col("tie").bitwiseAND((1 << 24) - 1))
+        keyed = now.withColumn("key", F.when(F.col("node").isin(list(wide)), key))
+        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), {k: stats[k].w * (tree[k] // 2) / tree[k] for k in wide})
+        right = _by_node({k: k + tree[k] // 2 for k in wide})
+        now = stored(keyed.withColumn("node", F.when(F.col("key") > _by_node(cuts), right).otherwise(F.col("node"))).drop("key"), "shard-level")
+        tree = {x: n for k, m in tree.items() for x, n in (((k, m // 2), (k + m // 2, m - m // 2)) if k in wide else ((k, 1),))}
     return now.withColumnRenamed("node", "leaf")
 
 
