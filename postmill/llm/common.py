@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Asks the driver to drop the shuffle files of what no one refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_long(x):
     """Unsigned 64-bit values as the signed ones that Spark has."""
     return np.asarray(x, dtype=U64).view(np.int64)

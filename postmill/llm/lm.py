@@ -3,7 +3,7 @@
 Counts are gathered in hash buckets, each n-gram's in one. A bucket's n-grams go into its own segment of the filter:
 an n-gram of count c is inserted once for each level 1 to 1 + log_b(c). A probe asks for levels 1, 2, ... until one is
 missing, and the last one found gives the count back within a factor of b. The segments are broadcast to the workers,
-at most ROUND_BYTES of them at once: a larger filter takes further rounds over the texts, each of which adds the
+about ROUND_BYTES of them at once: a larger model takes further rounds over the texts, each of which adds the
 levels that its segments know, with the same result. Beside the filter each bucket keeps the exact counts of its
 words, which the add-one base score asks for.
 """
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, hash_runs, mix, slices, stored
+from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, hash_runs, mix, released, slices, stored
 
 ORDER, LAMBDA, LOG_BASE = 2, 0.6, 1.5
 BITS_PER_ENTRY, PROBES = 10, 5
 #: Text whose n-grams share a bucket, on average; model bytes that are broadcast at once.
-BUCKET_BYTES, ROUND_BYTES = 16 << 20, 256 << 20
+BUCKET_BYTES, ROUND_BYTES = 16 << 20, 72 << 20
 SLICE_BYTES = 8 << 20
+#: Buckets that are read and broadcast as one object.
+PIECE_BUCKETS = 4
 START, END = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 KEEPS = "bucket int, words binary, counts binary, filter binary, n_bits long, n_tokens long, n_words long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -102,11 +104,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Segments of some buckets (first to last) with their words' counts, as sent to the workers."""
+    """Segments of buckets that follow one another, with their words' counts: a piece of what the workers get."""
 
     def __init__(self, rows, bits: int):
         rows = sorted(rows, key=lambda r: r.bucket)
-        self.bits, n = bits, 1 << bits
+        self.bits, self.first = bits, rows[0].bucket
+        n = rows[-1].bucket + 1 - self.first
+        self.last = self.first + n - 1
         self.words = np.concatenate([np.frombuffer(r.words, dtype=U64) for r in rows])
         self.counts = np.concatenate([np.frombuffer(r.counts, dtype=np.int64) for r in rows])
         self.counts = self.counts.astype(np.uint32) if not len(self.counts) or self.counts.max() < 1 << 32 else self.counts
@@ -114,12 +118,17 @@ class Model:
         self.n_bits, self.base = np.zeros(n, dtype=U64), np.zeros(n, dtype=np.int64)
         at = 0
         for r in rows:
-            self.n_bits[r.bucket], self.base[r.bucket] = r.n_bits, at
+            self.n_bits[r.bucket - self.first], self.base[r.bucket - self.first] = r.n_bits, at
             at += len(r.filter)
 
+    def span(self, keys: np.ndarray) -> slice:
+        """Where sorted keys have those of this piece's buckets."""
+        shift = U64(64 - self.bits)
+        return slice(*np.searchsorted(keys >> shift, np.array([self.first, self.last + 1], dtype=U64)).tolist())
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by repeated membership probes; 0 for keys of other buckets."""
-        buckets = (keys >> U64(64 - self.bits)).astype(np.int64)
+        """The level of each key (of these buckets), by repeated membership probes."""
+        buckets = (keys >> U64(64 - self.bits)).astype(np.int64) - self.first
         out = np.zeros(len(keys), dtype=np.uint8)
         live, level = np.flatnonzero(self.n_bits[buckets] > 0), 1
         while len(live) and level < 256:
@@ -183,18 +192,29 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
     return stored(grams.groupBy("bucket").applyInArrow(gather, KEEPS), "lm-buckets"), bits
 
 
-def _look_up(column: pa.Array, model: Model):
-    """Of each text: levels of all its n-grams (order by order), sum of log10(count + 1), words known."""
+def _look_up(column: pa.Array, pieces: list):
+    """Of each text: levels of all its n-grams that the pieces hold (order by order), sum of log10(count + 1), words known."""
     tokens = Tokens(column)
-    levels, n = [], len(tokens.begin) - 1
+    models = [p.value for p in pieces]
+    levels, texts = np.zeros((ORDER, len(tokens.h)), dtype=np.uint8), tokens.begin[:-1]
+    logs, known = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
     for order, (keys, places) in enumerate(tokens.grams(), 1):
-        own, back = np.unique(keys, return_inverse=True)
-        levels.append(np.where(places, model.levels(own)[back], 0).astype(np.uint8))
-        if order == 1:
-            counts = np.where(tokens.first, 0, model.exact(own)[back])
-            logs = np.add.reduceat(np.log10(counts + 1.0), tokens.begin[:-1]) if n else np.zeros(0)
-            known = np.add.reduceat((counts > 0).astype(np.int64), tokens.begin[:-1]) if n else np.zeros(0, np.int64)
-    return np.stack(levels), tokens, logs, known
+        bucket = keys >> U64(64 - models[0].bits)
+        at = np.flatnonzero(places & (bucket >= models[0].first) & (bucket <= models[-1].last))
+        own, back = np.unique(keys[at], return_inverse=True)
+        found, exact = np.zeros(len(own), dtype=np.uint8), np.zeros(len(own), dtype=np.int64)
+        for model in models:
+            part = model.span(own)
+            found[part] = model.levels(own[part])
+            if order == 1:
+                exact[part] = model.exact(own[part])
+        levels[order - 1, at] = found[back]
+        if order == 1 and len(texts):
+            counts = np.zeros(len(tokens.h), dtype=np.int64)
+            counts[at] = exact[back]
+            counts[texts] = 0
+            logs, known = np.add.reduceat(np.log10(counts + 1.0), texts), np.add.reduceat((counts > 0).astype(np.int64), texts)
+    return levels, tokens, logs, known
 
 
 def _scores(levels: np.ndarray, begin: np.ndarray, total: float) -> np.ndarray:
@@ -216,28 +236,26 @@ def score(docs: DataFrame, buckets: DataFrame, bits: int, round_bytes: int = ROU
     sizes = buckets.select("bucket", (F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")).alias("size"), "n_tokens", "n_words").orderBy("bucket").collect()
     n_train, vocabulary = sum(r.n_tokens for r in sizes), sum(r.n_words for r in sizes)
     total = float(n_train + vocabulary + 1)
-    rounds: list[list[int]] = [[]]
-    held = 0
+    whole, held = sum(r["size"] for r in sizes), 0
+    rounds: list[list[int]] = [[] for _ in range(max(1, math.ceil(whole / round_bytes)))]
     for r in sizes:
-        if rounds[-1] and held + r["size"] > round_bytes:
-            rounds.append([])
-            held = 0
-        rounds[-1].append(r.bucket)
+        rounds[min(len(rounds) - 1, held * len(rounds) // max(1, whole))].append(r.bucket)
         held += r["size"]
+    rounds = [members for members in rounds if members] or [[]]
     now = docs.select("doc_id", "held_out", "text", F.lit(None).cast("binary").alias("levels"), F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known"))
     for i, members in enumerate(rounds):
-        rows = [r for k in range(0, len(members), 8) for r in buckets.where(F.col("bucket").isin(members[k : k + 8])).select("bucket", "words", "counts", "filter", "n_bits").collect()]
-        sent, last = spark.sparkContext.broadcast(Model(rows, bits) if rows else None), i == len(rounds) - 1
-        del rows
+        pieces, last = [], i == len(rounds) - 1
+        for k in range(0, len(members), PIECE_BUCKETS):
+            some = buckets.where(F.col("bucket").isin(members[k : k + PIECE_BUCKETS])).select("bucket", "words", "counts", "filter", "n_bits").collect()
+            pieces.append(spark.sparkContext.broadcast(Model(some, bits)))
 
-        def add(batches, sent=sent, last=last):
-            model = sent.value
+        def add(batches, pieces=pieces, last=last):
             for batch in slices(batches, "text", SLICE_BYTES // 2):
-                if model is None:
+                if pieces:
+                    levels, tokens, logs, known = _look_up(batch.column(2), pieces)
+                else:
                     tokens = Tokens(batch.column(2))
                     levels, logs, known = np.zeros((ORDER, len(tokens.h)), np.uint8), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-                else:
-                    levels, tokens, logs, known = _look_up(batch.column(2), model)
                 before = b"".join(x or b"" for x in batch.column(3).to_pylist())
                 if before:
                     levels = np.maximum(levels, np.frombuffer(before, dtype=np.uint8).reshape(-1, ORDER).T)
@@ -253,6 +271,8 @@ def score(docs: DataFrame, buckets: DataFrame, bits: int, round_bytes: int = ROU
         now = now.mapInArrow(add, SCORES if last else now.schema)
         if not last:
             now = stored(now, "lm-round")
+            for piece in pieces:
+                piece.unpersist()
     return now
 
 
@@ -263,4 +283,5 @@ def language_scores(df: DataFrame) -> DataFrame:
     """
     docs = with_split(df)
     buckets, bits = train(docs)
+    released(df.sparkSession)
     return score(docs, buckets, bits)

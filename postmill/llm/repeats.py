@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import U64, Texts, hash_runs, mix, slices, stored
+from postmill.llm.common import U64, Texts, hash_runs, mix, released, slices, stored
 from postmill.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
-NEVER = U64(0xFFFFFFFFFFFFFFFF)
+NEVER = np.uint32(0xFFFFFFFF)
 #: No doc_id: greater than all.
 NO_ID = np.iinfo(np.int64).max
 #: Bits of the slot map at most (2 ** 29 bits are 64 MB), text bytes of a bucket and of a document group, symbols of a suffix array.
-MOST_SLOT_BITS, BUCKET_BYTES, GROUP_BYTES, ARRAY_SYMBOLS = 29, 16 << 20, 8 << 20, 200_000
+MOST_SLOT_BITS, BUCKET_BYTES, GROUP_BYTES, ARRAY_SYMBOLS, CHUNK_CONTEXTS = 29, 8 << 20, 8 << 20, 200_000, 20_000
+#: Text that is cut to anchors at once.
+SLICE_BYTES = 2 << 20
 #: Bytes of a context as sent: lengths of both sides, the left side read backwards, the right side.
 CONTEXT = 2 + 2 * SIDE
 
@@ -54,38 +56,59 @@ def anchors(texts: Texts):
     eight = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded, strides=(1,)).copy()
     m = n - GRAM + 1
     h = eight[:m] * U64(0x9E3779B97F4A7C15)
-    h ^= h >> U64(29)
+    part = h >> U64(29)
+    h ^= part
     h += eight[8 : 8 + m]
     h *= U64(0xBF58476D1CE4E5B9)
-    h ^= h >> U64(31)
+    h ^= np.right_shift(h, U64(31), out=part)
     h += eight[16 : 16 + m]
-    h = np.minimum(mix(h), NEVER - U64(1))
+    h *= U64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, U64(32), out=part)
+    h *= U64(0xD6E8FEB86659FD93)
+    # The upper half picks the anchor, which all 64 bits then name.
+    w = np.minimum(np.right_shift(h, U64(32), out=part).astype(np.uint32), NEVER - np.uint32(1))
+    del part, eight
     ends = texts.offsets[1:].tolist()
     for e in ends:
-        h[max(0, e - GRAM + 1) : e] = NEVER
-    least = _slide(h, np.minimum, SIDE + 1)
+        w[max(0, e - GRAM + 1) : e] = NEVER
+    least = _slide(w, np.minimum, SIDE + 1)
     for e in ends:
         least[max(0, e - LENGTH + 1) : e] = NEVER
     for lo, hi in zip(texts.offsets[:-1].tolist(), ends):
         if hi - lo < LENGTH:
             least[lo:hi] = NEVER
-    edge = np.zeros(SIDE, dtype=U64)
-    p = np.flatnonzero(_slide(np.concatenate([edge, np.where(least == NEVER, U64(0), least), edge]), np.maximum, SIDE + 1)[: len(h)] == h)
-    p = p[h[p] != NEVER]
-    own = h[p]
-    near, far = np.full(len(p), SIDE + 1), np.full(len(p), -1)
-    for x in range(SIDE + 1):
-        i = p - x
-        same = (i >= 0) & (i < len(least))
-        same &= least[np.clip(i, 0, len(least) - 1)] == own
-        near = np.where(same, np.minimum(near, x), near)
-        far = np.where(same, x, far)
-    if len(p) > 1:
-        tie = np.append(False, (own[1:] == own[:-1]) & (p[1:] - p[:-1] <= SIDE))
-        far = np.where(tie, np.minimum(far, p - np.append(0, p[:-1]) - 1), far)
-    good = (far >= near) & (far >= 0)
-    p, near, far = p[good], near[good], far[good]
-    return own[good], p, p - far, p - near
+    start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    end, value = np.append(start[1:], len(least)) - 1, least[start]
+    before = np.append(NEVER, least[start[1:] - 1])
+    real = value != NEVER
+    start, end, value, before = start[real], end[real], value[real], before[real]
+    # A smaller hash that has come in is the last of the window; where the least one left, the next is searched.
+    p = start + SIDE
+    open_ = np.flatnonzero((before < value) | (before == NEVER))
+    for x in range(SIDE):
+        if not len(open_):
+            break
+        hit = w[start[open_] + x] == value[open_]
+        p[open_[hit]] = start[open_[hit]] + x
+        open_ = open_[~hit]
+    first, last = start, np.minimum(end, p)
+    again = np.flatnonzero(end > p)
+    if len(again):
+        # The least hash occurs again in these runs: each place is the leftmost for the starts behind the one before.
+        sizes = end[again] - start[again] + 1 + SIDE
+        run = np.repeat(again, sizes)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[run]
+        hit = w[at] == value[run]
+        at, run = at[hit], run[hit]
+        new = np.append(True, run[1:] != run[:-1])
+        begin = np.where(new, start[run], np.append(0, at[:-1]) + 1)
+        stop = np.minimum(end[run], at)
+        good = begin <= stop
+        once = end <= p
+        p, first, last = (np.concatenate(z) for z in ((p[once], at[good]), (first[once], begin[good]), (last[once], stop[good])))
+        order = np.argsort(p, kind="stable")
+        p, first, last = p[order], first[order], last[order]
+    return h[p], p, first, last
 
 
 def contexts(data: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,9 +185,12 @@ def _group_of(doc_id, n: int):
     return F.coalesce(F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 17)), F.lit(n)), F.lit(0)).cast("int")
 
 
-SENT = "bucket int, keys binary, contexts binary, which binary, docs binary, tags binary, places binary"
-SPANS = "part int, docs binary, tags binary, starts binary, ends binary"
+SEEN = "bucket int, keys binary, prints binary, times binary, docs binary, tags binary, places binary"
+SENT = "bucket int, keys binary, contexts binary, times binary, docs binary, tags binary, places binary"
+SPANS = "part int, docs binary, tags binary, starts binary, ends binary, bucket int, several binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bits of the map of anchors with several contexts at most.
+MOST_SEVERAL_BITS = 26
 
 
 def _shared_slots(docs: DataFrame, bits: int) -> np.ndarray:
@@ -172,7 +198,7 @@ def _shared_slots(docs: DataFrame, bits: int) -> np.ndarray:
     high = 6
 
     def seen(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = Texts(batch.column(batch.schema.get_field_index("text")))
             h, p, _, _ = anchors(texts)
             slots = h >> U64(64 - bits)
@@ -202,95 +228,152 @@ def _shared_slots(docs: DataFrame, bits: int) -> np.ndarray:
     return found.ravel()
 
 
+class _Found:
+    """The anchors of a batch whose slot is set in a map, by anchor and context: one entry for each context."""
+
+    def __init__(self, batch, bitmap: np.ndarray, bits: int):
+        texts = Texts(batch.column(1))
+        h, p, a, b = anchors(texts)
+        slot = (h >> U64(64 - bits)).astype(np.int64)
+        known = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+        h, p, a, b = h[known], p[known], a[known], b[known]
+        prints = mix(hash_runs(texts.bytes, a, b + LENGTH) + (p - a).astype(U64))
+        order = np.lexsort((prints, h))
+        h, p, a, b, prints = h[order], p[order], a[order], b[order], prints[order]
+        start = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        owner = texts.docs_of(p)
+        self.data, self.start, self.times = texts.bytes, start, np.diff(np.append(start, len(h))).astype(np.uint32)
+        self.keys, self.prints, self.p, self.a, self.b = h[start], prints[start], p[start], a[start], b[start]
+        self.docs = np.asarray(pa.compute.fill_null(batch.column(0), NO_ID))[owner]
+        self.tags, self.places = np.asarray(batch.column(2))[owner].astype(np.uint32), (p - texts.offsets[owner]).astype(np.uint32)
+
+    def dealt(self, bits: int, name: str, values: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket; values has an entry for each context."""
+        cut = np.searchsorted(self.keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+        ends = np.append(self.start, len(self.docs))[cut]
+        full = [k for k in range(1 << bits) if cut[k + 1] > cut[k]]
+        own = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
+        each = lambda x: pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": own(self.keys), name: own(values), "times": own(self.times), "docs": each(self.docs), "tags": each(self.tags), "places": each(self.places)})
+
+
+class _Met:
+    """What a bucket got: contexts by anchor, each once, and where each occurs."""
+
+    def __init__(self, table: pa.Table):
+        self.whole = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
+        self.docs, self.tags = self.whole("docs", np.int64), self.whole("tags", np.uint32)
+        self.places = self.whole("places", np.uint32).astype(np.int64)
+        self.keys, self.times = self.whole("keys", U64), self.whole("times", np.uint32)
+
+    def unite(self, prints: np.ndarray) -> np.ndarray:
+        """Contexts of equal anchor and print become one; returns which of those sent stand for them."""
+        order = np.lexsort((prints, self.keys))
+        new = np.append(True, (self.keys[order][1:] != self.keys[order][:-1]) | (prints[order][1:] != prints[order][:-1]))
+        name = np.empty(len(order), dtype=np.int64)
+        name[order] = np.cumsum(new) - 1
+        self.which = np.repeat(name, self.times)
+        kept = order[new]
+        self.keys = self.keys[kept]
+        self.least = np.full(len(kept), NO_ID)
+        np.minimum.at(self.least, self.which, self.docs)
+        first = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
+        count = np.diff(np.append(first, len(self.keys)))
+        self.many = np.repeat(count > 1, count)
+        return kept
+
+
+def _spans(found: list, parts: int, bucket: int, several: bytes | None) -> pa.Table:
+    """Spans (docs, tags, starts, ends) by group of documents, and the bucket's part of a map."""
+    docs, tags, starts, ends = (np.concatenate([f[k] for f in found]) for k in range(4))
+    part = np.where(docs == NO_ID, 0, (docs ^ (docs >> 17)) % parts)
+    order = np.lexsort((docs, part))
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    groups = [(g, order[cut[g] : cut[g + 1]]) for g in range(parts) if cut[g + 1] > cut[g]]
+    if several is not None:
+        groups.append((None, order[:0]))
+    blob = lambda x, dtype: pa.array([x[o].astype(dtype).tobytes() for _, o in groups], pa.binary())
+    return pa.table({"part": pa.array([g for g, _ in groups], pa.int32()), "docs": blob(docs, np.int64), "tags": blob(tags, np.uint32), "starts": blob(starts, np.uint32), "ends": blob(ends, np.uint32), "bucket": pa.array([bucket] * len(groups), pa.int32()), "several": pa.array([several if g is None else None for g, _ in groups], pa.binary())})
+
+
 def remove_repeats(df: DataFrame) -> DataFrame:
     """RESULT for every row of df (doc_id, text): what is left without the 50-byte strings that a smaller doc_id has.
 
     Every byte covered by such a string goes; strings are judged on the input. A null text is empty. Rows with the
-    same doc_id do not count against each other; a null doc_id counts as greater than all.
+    same doc_id do not count against each other; a null doc_id counts as greater than all. First each anchor's
+    contexts meet as hashes: an anchor with one context needs no sorting. Those with several then send their text.
     """
     spark = df.sparkSession
     doc_id = F.col("doc_id").cast("long")
     docs = df.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    repeated = bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1))
     parts = math.ceil(total / GROUP_BYTES) | 1
-    bucket_bits = max(3, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
+    bits = max(3, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
     slot_bits = min(MOST_SLOT_BITS, max(16, math.ceil(math.log2(max(1, total)))))
+    several_bits = max(bits + 3, min(MOST_SEVERAL_BITS, slot_bits))
+    tag = F.xxhash64("text") if repeated else F.lit(0).cast("long")
+    tagged = docs.select("doc_id", "text", tag.alias("tag"), _group_of(F.col("doc_id"), parts).alias("part"))
     shared = spark.sparkContext.broadcast(_shared_slots(docs, slot_bits))
-    tagged = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("tag"), _group_of(F.col("doc_id"), parts).alias("part"))
+    released(spark)
+
+    def show(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            found = _Found(batch, shared.value, slot_bits)
+            if len(found.keys):
+                yield found.dealt(bits, "prints", found.prints)
+
+    def settle(key, table):
+        met = _Met(table)
+        prints = met.whole("prints", U64)
+        met.unite(prints)
+        # What an anchor's only context covers is known from its places: all the strings of which it is the anchor.
+        at = np.flatnonzero(~met.many[met.which] & (met.least[met.which] < met.docs))
+        flags = np.zeros(1 << (several_bits - bits), dtype=bool)
+        low = (met.keys[met.many] >> U64(64 - several_bits)) & U64((1 << (several_bits - bits)) - 1)
+        flags[low.astype(np.int64)] = True
+        return _spans([(met.docs[at], met.tags[at], met.places[at], met.places[at])], parts, key[0].as_py(), np.packbits(flags, bitorder="little").tobytes())
+
+    simple = stored(tagged.mapInArrow(show, SEEN).groupBy("bucket").applyInArrow(settle, SPANS), "repeat-places")
+    several = np.zeros((1 << bits, 1 << (several_bits - bits - 3)), dtype=np.uint8)
+    for r in simple.where("several is not null").select("bucket", "several").collect():
+        several[r.bucket] = np.frombuffer(r.several, dtype=np.uint8)
+    mixed = spark.sparkContext.broadcast(several.ravel())
+    released(spark)
 
     def send(batches):
-        for batch in slices(batches, "text"):
-            texts = Texts(batch.column(1))
-            h, p, a, b = anchors(texts)
-            slot = (h >> U64(64 - slot_bits)).astype(np.int64)
-            known = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-            h, p, a, b = h[known], p[known], a[known], b[known]
-            if not len(h):
-                continue
-            key = mix(h ^ mix(hash_runs(texts.bytes, a, b + LENGTH) + (p - a).astype(U64)))
-            order = np.lexsort((key, h))
-            h, p, a, b, key = h[order], p[order], a[order], b[order], key[order]
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-            which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-            owner = texts.docs_of(p)
-            ids = np.asarray(pa.compute.fill_null(batch.column(0), NO_ID))[owner]
-            tags, places = np.asarray(batch.column(2))[owner].astype(np.uint32), (p - texts.offsets[owner]).astype(np.uint32)
-            rows = contexts(texts.bytes, p[start], a[start], b[start])
-            cut = np.searchsorted(h[start] >> U64(64 - bucket_bits), np.arange((1 << bucket_bits) + 1, dtype=U64))
-            occ = np.searchsorted(which, cut)
-            spans = [(k, cut[k], cut[k + 1], occ[k], occ[k + 1]) for k in range(1 << bucket_bits) if cut[k + 1] > cut[k]]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([k for k, *_ in spans], pa.int32()),
-                    "keys": pa.array([h[start][x:y].tobytes() for _, x, y, _, _ in spans], pa.binary()),
-                    "contexts": pa.array([rows[x:y].tobytes() for _, x, y, _, _ in spans], pa.binary()),
-                    "which": pa.array([(which[u:v] - x).astype(np.uint32).tobytes() for _, x, _, u, v in spans], pa.binary()),
-                    "docs": pa.array([ids[u:v].tobytes() for *_, u, v in spans], pa.binary()),
-                    "tags": pa.array([tags[u:v].tobytes() for *_, u, v in spans], pa.binary()),
-                    "places": pa.array([places[u:v].tobytes() for *_, u, v in spans], pa.binary()),
-                }
-            )
+        for batch in slices(batches, "text", SLICE_BYTES):
+            found = _Found(batch, mixed.value, several_bits)
+            if len(found.keys):
+                yield found.dealt(bits, "contexts", contexts(found.data, found.p, found.a, found.b))
 
     def meet(key, table):
-        whole = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
-        keys, rows = whole("keys", U64), whole("contexts", np.uint8).reshape(-1, CONTEXT)
-        docs, tags, places = whole("docs", np.int64), whole("tags", np.uint32), whole("places", np.uint32).astype(np.int64)
-        blobs = table.column("which").to_pylist()
-        ahead = np.cumsum([0] + [len(x) // 8 for x in table.column("keys").to_pylist()])
-        which = np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.int64) + k for x, k in zip(blobs, ahead)])
-        own = hash_runs(rows.ravel(), np.arange(len(rows)) * CONTEXT, np.arange(1, len(rows) + 1) * CONTEXT)
-        order = np.lexsort((own, keys))
-        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (own[order][1:] != own[order][:-1]))
-        name = np.empty(len(rows), dtype=np.int64)
-        name[order] = np.cumsum(new) - 1
-        keys, rows, which = keys[order][new], rows[order][new], name[which]
-        least = np.full(len(keys), NO_ID)
-        np.minimum.at(least, which, docs)
-        new = np.append(True, keys[1:] != keys[:-1])
-        many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(keys))) > 1, np.diff(np.append(np.flatnonzero(new), len(keys))))
-        single = ~many[which] & (least[which] < docs)
-        at = np.flatnonzero(single)
-        found = [(docs[at], tags[at], places[at] - rows[which[at], 0], places[at] + GRAM + rows[which[at], 1])]
-        if many.any():
-            local = np.cumsum(many) - 1
-            table_of = smallest_by_string(keys[many], rows[many], least[many])
-            lefts, rights = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
-            for some in np.array_split(np.flatnonzero(many[which]), max(1, int(many[which].sum()) // 200_000)):
-                own = which[some]
-                x = np.arange(SIDE, -1, -1)
-                flags = (table_of[local[own]][:, ::-1] < docs[some][:, None]) & (x <= lefts[own][:, None]) & (x >= SIDE - rights[own][:, None])
-                edge = np.zeros((len(some), 1), dtype=bool)
-                rise = np.argwhere(flags & ~np.hstack([edge, flags[:, :-1]]))
-                fall = np.argwhere(flags & ~np.hstack([flags[:, 1:], edge]))
-                row = some[rise[:, 0]]
-                found.append((docs[row], tags[row], places[row] - x[rise[:, 1]], places[row] - x[fall[:, 1]] + LENGTH))
-        docs, tags, starts, ends = (np.concatenate([f[k] for f in found]) for k in range(4))
-        part = np.where(docs == NO_ID, 0, (docs ^ (docs >> 17)) % parts)
-        order = np.lexsort((docs, part))
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        spans = [(g, order[cut[g] : cut[g + 1]]) for g in range(parts) if cut[g + 1] > cut[g]]
-        blob = lambda x, dtype: pa.array([x[o].astype(dtype).tobytes() for _, o in spans], pa.binary())
-        return pa.table({"part": pa.array([g for g, _ in spans], pa.int32()), "docs": blob(docs, np.int64), "tags": blob(tags, np.uint32), "starts": blob(starts, np.uint32), "ends": blob(ends, np.uint32)})
+        met = _Met(table)
+        rows = met.whole("contexts", np.uint8).reshape(-1, CONTEXT)
+        kept = met.unite(hash_runs(rows.ravel(), np.arange(len(rows)) * CONTEXT, np.arange(1, len(rows) + 1) * CONTEXT))
+        rows, found = rows[kept], [(np.zeros(0, np.int64),) * 4]
+        turns = np.flatnonzero(met.many)
+        first = np.flatnonzero(np.append(True, met.keys[turns][1:] != met.keys[turns][:-1])) if len(turns) else turns
+        cuts = first[1:][np.diff(first // CHUNK_CONTEXTS) > 0]
+        order = np.argsort(met.which, kind="stable")
+        spread = np.searchsorted(met.which[order], np.arange(len(met.keys) + 1))
+        for some in np.split(turns, cuts):
+            if not len(some):
+                continue
+            smallest = smallest_by_string(met.keys[some], rows[some], met.least[some])
+            own = np.concatenate([order[spread[k] : spread[k + 1]] for k in some.tolist()])
+            local = np.searchsorted(some, met.which[own])
+            x = np.arange(SIDE, -1, -1)
+            left, right = rows[some][local, 0].astype(np.int64), rows[some][local, 1].astype(np.int64)
+            flags = (smallest[local][:, ::-1] < met.docs[own][:, None]) & (x <= left[:, None]) & (x >= SIDE - right[:, None])
+            edge = np.zeros((len(own), 1), dtype=bool)
+            rise, fall = np.argwhere(flags & ~np.hstack([edge, flags[:, :-1]])), np.argwhere(flags & ~np.hstack([flags[:, 1:], edge]))
+            row = own[rise[:, 0]]
+            found.append((met.docs[row], met.tags[row], met.places[row] - x[rise[:, 1]], met.places[row] - x[fall[:, 1]] + LENGTH))
+        return _spans(found, parts, key[0].as_py(), None)
+
+    sorted_out = stored(tagged.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, SPANS), "repeat-spans")
+    released(spark)
 
     def cut(_, own, spans):
         whole = lambda name, dtype: np.frombuffer(b"".join(spans.column(name).to_pylist()), dtype=dtype)
@@ -300,20 +383,32 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         docs, tags, starts, ends = docs[order], tags[order], starts[order], ends[order]
         out = []
         for batch in own.to_batches():
-            for part in slices([batch], "text"):
+            for part in slices([batch], "text", SLICE_BYTES):
                 texts = Texts(part.column(1))
                 ids = np.asarray(pa.compute.fill_null(part.column(0), NO_ID))
                 marks = np.asarray(part.column(2)).astype(np.uint32)
-                change = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
+                rows, places = [], []
                 for i in range(texts.n):
                     lo, hi = np.searchsorted(docs, ids[i]), np.searchsorted(docs, ids[i], side="right")
                     if hi > lo:
-                        mine = slice(lo + np.searchsorted(tags[lo:hi], marks[i]), lo + np.searchsorted(tags[lo:hi], marks[i], side="right"))
-                        np.add.at(change, texts.offsets[i] + starts[mine], 1)
-                        np.add.at(change, texts.offsets[i] + ends[mine], -1)
+                        mine = np.arange(lo + np.searchsorted(tags[lo:hi], marks[i]), lo + np.searchsorted(tags[lo:hi], marks[i], side="right"))
+                        rows.append(mine)
+                        places.append(np.full(len(mine), texts.offsets[i]))
+                change = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
+                if rows:
+                    rows, places = np.concatenate(rows), np.concatenate(places)
+                    first, last = places + starts[rows], places + ends[rows]
+                    only = first == last
+                    if only.any():
+                        # An anchor alone: its strings are those that it is the anchor of here.
+                        _, p, a, b = anchors(texts)
+                        at = np.searchsorted(p, first[only])
+                        first[only], last[only] = a[at], b[at] + LENGTH
+                    np.add.at(change, first, 1)
+                    np.add.at(change, last, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                first, _ = texts.runs(gone)
-                n_spans = np.bincount(texts.docs_of(first), minlength=texts.n)
+                begin, _ = texts.runs(gone)
+                n_spans = np.bincount(texts.docs_of(begin), minlength=texts.n)
                 kept, stay = texts.bytes[~gone], np.concatenate([[0], np.cumsum(np.diff(texts.offsets) - texts.per_text(gone))])
                 data = kept.tobytes()
                 sums = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(stay.tolist(), stay[1:].tolist())]
@@ -321,5 +416,5 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
         return pa.Table.from_batches(out, pa.schema(names))
 
-    spans = stored(tagged.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, SPANS), "repeat-spans")
+    spans = simple.unionAll(sorted_out).where("part is not null").select("part", "docs", "tags", "starts", "ends")
     return tagged.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, RESULT)

@@ -112,4 +112,5 @@ def count_tokens(files: DataFrame, end: int, dtype: str = "<u2", block_bytes: in
 def document_tokens(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every row of df (doc_id, text), counted in the flat files that are written for it."""
     files, order, end, dtype = write_token_files(df, vocabulary)
-    return order.join(count_tokens(files, end, dtype), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # Paths compress so well that Spark takes either side for small; neither is broadcast.
+    return order.hint("merge").join(count_tokens(files, end, dtype), ["path", "ordinal"]).select("doc_id", "n_tokens")
