@@ -58,8 +58,9 @@ def ordered(df: DataFrame, seed: int = 7) -> DataFrame:
     """df (doc_id, source, size) with source_size, target, quota (whole words), step, place and before.
 
     before is the number of words of the documents that stand before in the source's order; step and place number
-    the rows of a source.
+    the rows of a source. The sizes are stored first, so that the texts they come from are read once.
     """
+    df = stored(df, "mix-sizes")
     totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     wanted = targets(totals.select("source", "source_size"))
     n = df.count()
