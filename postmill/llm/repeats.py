@@ -30,6 +30,10 @@ NEVER = np.uint32(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 #: Bits of the slot map at most (2 ** 29 bits are 64 MB), text bytes of a bucket and of a document group, symbols of a suffix array.
 MOST_SLOT_BITS, BUCKET_BYTES, GROUP_BYTES, ARRAY_SYMBOLS, CHUNK_CONTEXTS = 29, 8 << 20, 8 << 20, 200_000, 20_000
+#: Text whose slots one task merges, on average, while there are at most 2 ** MOST_MERGES such tasks.
+MERGE_BYTES, LEAST_MERGES, MOST_MERGES = 16 << 20, 6, 12
+#: Bytes of text for each slot beyond which nearly all slots would be set: no map is made then, and all contexts are sent.
+FULL_SLOT_BYTES = 64
 #: Text that is cut to anchors at once.
 SLICE_BYTES = 2 << 20
 #: Bytes of a context as sent: lengths of both sides, the left side read backwards, the right side.
@@ -193,9 +197,11 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 MOST_SEVERAL_BITS = 26
 
 
-def _shared_slots(docs: DataFrame, bits: int) -> np.ndarray:
-    """The map of slots in which two texts have an anchor, packed; its size is fixed by bits."""
-    high = 6
+def _shared_slots(docs: DataFrame, bits: int, total: int) -> np.ndarray:
+    """The map of slots in which two texts have an anchor, packed; its size is fixed by bits. total: bytes of docs."""
+    if total > FULL_SLOT_BYTES << bits:
+        return np.full(1 << (bits - 3), 255, dtype=np.uint8)
+    high = min(MOST_MERGES, max(LEAST_MERGES, math.ceil(math.log2(max(1, total / MERGE_BYTES)))))
 
     def seen(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -314,7 +320,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     several_bits = max(bits + 3, min(MOST_SEVERAL_BITS, slot_bits))
     tag = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     tagged = docs.select("doc_id", "text", tag.alias("tag"), _group_of(F.col("doc_id"), parts).alias("part"))
-    shared = spark.sparkContext.broadcast(_shared_slots(docs, slot_bits))
+    shared = spark.sparkContext.broadcast(_shared_slots(docs, slot_bits, total))
     released(spark)
 
     def show(batches):

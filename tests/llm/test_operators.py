@@ -90,6 +90,13 @@ def test_repeats(docs, rows, empty):
     assert bag(repeats.remove_repeats(empty)) == Counter()
 
 
+def test_repeats_without_a_map_and_with_more_merges(docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST_MERGES", 9)
+    assert bag(repeats.remove_repeats(docs)) == brute_repeats(rows)
+    monkeypatch.setattr(repeats, "FULL_SLOT_BYTES", 0)
+    assert bag(repeats.remove_repeats(docs)) == brute_repeats(rows)
+
+
 def test_repeats_of_one_letter_and_shared_edges(spark):
     r = random.Random(9)
     common = "".join(r.choice("ab") for _ in range(70))
