@@ -4,6 +4,8 @@ Each source's documents stand in a fixed random order; its words in that order,
 asks, are cut into blocks. The tree splits the exact numbers of blocks of all sources among the output shards: at
 each node the left half's counts are one multivariate-hypergeometric draw. A shard then gets so many blocks of each
 source, disjoint runs of that source's randomly permuted blocks, and its blocks are shuffled among themselves.
+
+mixture() cuts documents where blocks end; mixed() has blocks of whole documents, of each those that start in it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 STEP_ROWS = 20_000
 #: Blocks that a shard gets, on average.
 BLOCKS_A_SHARD = 256
+#: Words of a shard that one task writes, on average at most.
+SLICE_WORDS = 4_000_000
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
@@ -54,11 +58,12 @@ def splitting_tree(counts: np.ndarray, shards: int, seed: int = 7) -> np.ndarray
     return out
 
 
-def ordered(df: DataFrame, seed: int = 7) -> DataFrame:
+def ordered(df: DataFrame, seed: int = 7, ties: tuple[str, ...] = ()) -> DataFrame:
     """df (doc_id, source, size) with source_size, target, quota (whole words), step, place and before.
 
     before is the number of words of the documents that stand before in the source's order; step and place number
-    the rows of a source. The sizes are stored first, so that the texts they come from are read once.
+    the rows of a source; ties are columns that order rows of one doc_id and size. The sizes are stored first, so
+    that the texts they come from are read once.
     """
     df = stored(df, "mix-sizes")
     totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -69,12 +74,30 @@ def ordered(df: DataFrame, seed: int = 7) -> DataFrame:
     sums = keyed.groupBy("source", "step").agg(F.sum("size").alias("step_size"))
     upto = F.sum("step_size").over(Window.partitionBy("source").orderBy("step")) - F.col("step_size")
     steps = sums.withColumn("step_before", upto).drop("step_size").join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "step").orderBy("perm", "doc_id", "size")
+    within = Window.partitionBy("source", "step").orderBy("perm", "doc_id", "size", *ties)
     own = keyed.withColumn("place", F.row_number().over(within)).withColumn("own_before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     both = own.join(steps.withColumnsRenamed({"source": "s", "step": "t"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("t"))).drop("s", "t")
     return both.withColumn("before", F.col("step_before") + F.col("own_before")).withColumn("quota", F.floor("target")).drop("step_before", "own_before", "perm")
 
 
+def _block_words(docs: DataFrame, shards: int) -> tuple[list, int]:
+    """The sources of ordered() rows with their quotas, by code point and null last, and the words of a block."""
+    sources = docs.groupBy("source").agg(F.max("quota").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()
+    return sources, max(16, math.ceil(sum(r.quota for r in sources) / (shards * BLOCKS_A_SHARD)))
+
+
+def _dealt(pieces: DataFrame, blocks: list[tuple[str | None, list[int]]], shards: int, seed: int) -> DataFrame:
+    """pieces (source, block) with shard and draw_key: the tree splits each source's blocks among shards."""
+    tree = np.cumsum(splitting_tree(np.array([len(own) for _, own in blocks], dtype=np.int64), shards, seed), axis=0)
+    rows = []
+    for i, (source, own) in enumerate(blocks):
+        rank = np.random.default_rng([seed, i]).permutation(len(own))
+        rows += [(source, b, int(s)) for b, s in zip(own, np.searchsorted(tree[:, i], rank, side="right")) if s < shards]
+    dealt = pieces.sparkSession.createDataFrame(rows, "s string, b long, shard int")
+    drawn = pieces.join(F.broadcast(dealt), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+    return drawn.withColumn("draw_key", F.xxhash64("source", "block", F.lit(seed)))
+
+
 def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The drawn pieces of df (doc_id, source, size), one row each; a document that is not drawn has one with nulls.
 
@@ -82,38 +105,32 @@ def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     Documents of size 0 and null are never drawn; null is a source of its own; rows that repeat are drawn apart.
     """
     docs = stored(ordered(df, seed), "mix-order")
-    spark = docs.sparkSession
-    sources = docs.groupBy("source").agg(F.max("quota").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()
-    block_words = max(16, math.ceil(sum(r.quota for r in sources) / (shards * BLOCKS_A_SHARD)))
-    counts = [math.ceil(r.quota / block_words) for r in sources]
-    tree = np.cumsum(splitting_tree(np.array(counts), shards, seed), axis=0) if sources else np.zeros((shards, 0), int)
-    blocks = []
-    for i, r in enumerate(sources):
-        rank = np.random.default_rng([seed, i]).permutation(counts[i])
-        blocks += [(r.source, int(b), int(s)) for b, s in enumerate(np.searchsorted(tree[:, i], rank, side="right"))]
-    dealt = spark.createDataFrame(blocks, "s string, b long, shard int")
+    sources, block_words = _block_words(docs, shards)
     start = F.col("epoch") * F.col("source_size") + F.col("before")
     epochs = docs.withColumn("epoch", F.explode_outer(F.when((F.col("size") > 0) & (F.col("quota") > F.col("before")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - F.col("before") - 1) / F.col("source_size"))))))
     taken = epochs.withColumn("lo", start).withColumn("hi", F.least(start + F.col("size"), F.col("quota")))
     pieces = taken.withColumn("block", F.explode_outer(F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))))
     at = F.greatest("lo", F.col("block") * block_words)
     pieces = pieces.withColumn("from_word", at - F.col("lo")).withColumn("n_words", F.least("hi", (F.col("block") + 1) * block_words) - at).drop("lo", "hi")
-    drawn = pieces.join(F.broadcast(dealt), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
-    return drawn.withColumn("draw_key", F.xxhash64("source", "block", F.lit(seed)))
+    return _dealt(pieces, [(r.source, list(range(math.ceil(r.quota / block_words)))) for r in sources], shards, seed)
 
 
-def shuffled(pieces: DataFrame) -> DataFrame:
-    """The drawn pieces, a shard's together, blocks in random order and each block's words in their own."""
-    return pieces.where("shard is not null").repartition("shard").sortWithinPartitions("shard", "draw_key", "source", "block", "epoch", "before")
+def shuffled(pieces: DataFrame, slices: int = 1) -> DataFrame:
+    """The drawn pieces, a shard's together, blocks in random order and each block's words in their own.
+
+    With more slices than one a shard is written by so many tasks, each a run of its blocks.
+    """
+    part = F.floor((F.col("draw_key").cast("double") / 2.0**63 + 1) / 2 * slices)
+    return pieces.where("shard is not null").repartition("shard", part).sortWithinPartitions("shard", "draw_key", "source", "block", "epoch", "before")
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of df (doc_id, text, source); size is the number of words."""
+def sized(df: DataFrame, *more) -> DataFrame:
+    """(doc_id, source, size) and more columns of df (doc_id, text, source); size is the number of words."""
     found = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")).cast("long")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"), *more)
 
 
 def mixture(df: DataFrame) -> DataFrame:
@@ -126,17 +143,29 @@ def mixture(df: DataFrame) -> DataFrame:
     return pieces.groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("taken"), F.count("n_words").alias("n_pieces")).select("doc_id", "size", "source_size", "target", "taken", "n_pieces")
 
 
-def mixed(df: DataFrame) -> DataFrame:
-    """The rows of df, each as often as the mix draws the document, with all their columns.
+def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, int]:
+    """The drawn copies of rows (row_id, doc_id, source, size, tag), one row each, with shard and draw_key; all quotas.
+
+    Documents stay whole: the one that a source's quota cuts is drawn if half of it or more is inside. A copy is in
+    the block that its first word is in; the tree splits the blocks that hold a copy.
+    """
+    docs = stored(ordered(rows, seed, ties=("tag",)), "mix-order")
+    sources, block_words = _block_words(docs, shards)
+    copies = docs.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("quota") / F.col("source_size")))))
+    copies = copies.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("before"))
+    copies = copies.where(F.least(F.col("size"), F.col("quota") - F.col("lo")) * 2 >= F.col("size")).withColumn("block", F.floor(F.col("lo") / block_words)).drop("lo")
+    held = copies.groupBy("source").agg(F.sort_array(F.collect_set("block")).alias("blocks")).collect()
+    blocks = sorted(((r.source, r.blocks) for r in held), key=lambda x: (x[0] is None, x[0] or ""))
+    return _dealt(copies, blocks, shards, seed), sum(r.quota for r in sources)
+
+
+def mixed(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
+    """The rows of df, each as often as the mix draws the document, with all their columns, as shuffled() has them.
 
-    Documents stay whole: the one that a source's quota cuts is drawn if half of it or more is inside.
+    Rows are told apart by a number, so those that share a doc_id are drawn apart.
     """
-    order = ordered(sized(df))
-    whole = F.floor(F.col("quota") / F.col("source_size"))
-    inside = F.least(F.col("size"), F.col("quota") - whole * F.col("source_size") - F.col("before"))
-    times = F.when((F.col("size") > 0) & (F.col("source_size") > 0), whole + F.when(inside * 2 >= F.col("size"), 1).otherwise(0)).otherwise(0)
-    ids = order.select("doc_id", "source", times.alias("times")).groupBy("doc_id", "source").agg(F.max("times").alias("times")).where("times > 0")
-    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    named = ids.withColumnsRenamed({"doc_id": "i", "source": "s"})
-    kept = keyed.join(named, F.col("row.doc_id").eqNullSafe(F.col("i")) & F.col("row.source").eqNullSafe(F.col("s")))
-    return kept.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    rows = stored(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
+    named = rows.select("row_id", "row.doc_id", "row.text", "row.source")
+    copies, words = drawn_documents(sized(named, "row_id", F.xxhash64("text").alias("tag")), shards, seed)
+    kept = rows.join(copies.select("row_id", "shard", "draw_key", "source", "block", "epoch", "before"), "row_id")
+    return shuffled(kept, max(1, math.ceil(words / (shards * SLICE_WORDS)))).select("row.*")
