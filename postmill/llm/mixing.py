@@ -124,6 +124,18 @@ def shuffled(pieces: DataFrame, slices: int = 1) -> DataFrame:
     return pieces.where("shard is not null").repartition("shard", part).sortWithinPartitions("shard", "draw_key", "source", "block", "epoch", "before")
 
 
+def placed(pieces: DataFrame) -> DataFrame:
+    """The drawn pieces with at_word, the number of words that stand before the piece in its shard."""
+    drawn = pieces.where("shard is not null")
+    sums = drawn.groupBy("shard", "draw_key", "source", "block").agg(F.sum("n_words").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("shard").orderBy("draw_key", "source", "block")) - F.col("words")
+    starts = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), upto.alias("block_at"))
+    within = Window.partitionBy("source", "block").orderBy("epoch", "before")
+    own = drawn.withColumn("own_at", F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words"))
+    both = own.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return both.withColumn("at_word", F.col("block_at") + F.col("own_at")).drop("s", "b", "block_at", "own_at")
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -133,14 +145,24 @@ def sized(df: DataFrame, *more) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"), *more)
 
 
+def mixture_places(df: DataFrame, shards: int = 16) -> DataFrame:
+    """mixture() with places: the pieces of the document in the written mix as (shard, at_word, n_words), in order."""
+    pieces = mix(sized(df), shards)
+    written = stored(shuffled(placed(pieces)), "mix-written")
+    rows = written.unionByName(pieces.where("block is null"), allowMissingColumns=True)
+    place = F.when(F.col("shard").isNotNull(), F.struct("shard", "at_word", "n_words"))
+    firsts = (F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target"))
+    out = rows.groupBy("source", "step", "place").agg(*firsts, F.coalesce(F.sum("n_words"), F.lit(0)).alias("taken"), F.count("n_words").alias("n_pieces"), F.array_sort(F.collect_list(place)).alias("places"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "places")
+
+
 def mixture(df: DataFrame) -> DataFrame:
     """One row per row of df (doc_id, text, source): size, source_size, target, taken (words that the mix takes).
 
-    Of each source exactly floor(target) words are taken, of a document at most three times its size.
+    Of each source exactly floor(target) words are taken, of a document at most three times its size. The mix is
+    written shard by shard, and taken and n_pieces are what was written.
     """
-    pieces = mix(sized(df))
-    keys = ["source", "step", "place"]
-    return pieces.groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("taken"), F.count("n_words").alias("n_pieces")).select("doc_id", "size", "source_size", "target", "taken", "n_pieces")
+    return mixture_places(df).drop("places")
 
 
 def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, int]:
