@@ -15,12 +15,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; a null one counts as a hash of its text."""
+    """Of each group of near copies the row with the smallest doc_id, and of those the one with the smallest hash.
+
+    A null doc_id counts as a hash of the text. Rows that share a doc_id are one only if they are equal throughout.
+    """
     own = F.coalesce("doc_id", F.xxhash64("text")).alias("own")
-    groups = simhash.near_copies(docs.select(own.alias("doc_id"), "text"))
-    first = groups.groupBy("component_id").agg(F.min("doc_id").alias("own")).select("own")
-    rows = docs.select(own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.dropDuplicates(["own"]).join(first, "own", "left_semi").select("row.*")
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    tag = F.xxhash64(*(x for c in cells for x in (c.isNull(), c))).alias("tag")
+    first = simhash.first_rows(docs.select(own.alias("doc_id"), tag, "text")).select(F.col("doc_id").alias("own"), "tag")
+    rows = docs.select(own, tag, F.struct(*cells).alias("row"))
+    return rows.join(first, ["own", "tag"], "left_semi").dropDuplicates(["own", "tag"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,14 +64,16 @@ def fingerprints_of(texts: Texts, size: int = 4, seed: int = 42) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of df (doc_id, text); a text without words, or null, has fingerprint 0."""
+def fingerprints(df: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, fp) of every row of df (doc_id, text, more: longs); a text without words, or null, has fingerprint 0."""
+    names = ["doc_id", *more]
 
     def run(batches):
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_long(fingerprints_of(Texts(batch.column(1)))))], names=["doc_id", "fp"])
+            fps = pa.array(as_long(fingerprints_of(Texts(batch.column(len(names))))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], fps], names=[*names, "fp"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "fp"]))
 
 
 def _near(bits: int) -> np.ndarray:
@@ -148,6 +150,12 @@ def fingerprint_links(fps: DataFrame, lane_variants: int = LANE_VARIANTS) -> Dat
     return fps.select("fp").mapInArrow(deal, "lane long, fps binary").groupBy("lane").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _components(distinct: DataFrame) -> DataFrame:
+    """distinct (fp, least), each fp once, with component: the smallest fingerprint reachable."""
+    parts = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def near_copies(df: DataFrame) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -157,8 +165,14 @@ def near_copies(df: DataFrame) -> DataFrame:
     """
     docs = stored(fingerprints(df), "fingerprints")
     distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    parts = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
-    named = distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _components(distinct)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_rows(df: DataFrame) -> DataFrame:
+    """Of each component of near copies among df (doc_id, tag: long, text) the smallest (doc_id, tag)."""
+    docs = fingerprints(df, "tag")
+    distinct = stored(docs.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("least")), "distinct-fingerprints")
+    return _components(distinct).groupBy("component").agg(F.min("least").alias("least")).select("least.*")
