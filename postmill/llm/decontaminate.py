@@ -9,6 +9,7 @@ document.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import U64, Texts, hash_runs, mix, slices, windows
+from postmill.llm.common import U64, Texts, hash_runs, mix, slices, stored, windows
 
 SHINGLE, THRESHOLD, PERMUTATIONS, SMALLEST_CLASS = 5, 0.8, 64, 4
 #: UTF-8 bytes of item text that are sent to the workers at once; more items go in further blocks.
@@ -96,12 +97,30 @@ def contained(column: pa.Array, items: Items, threshold: float = THRESHOLD) -> l
     return out
 
 
+def distinct_items(items: DataFrame) -> DataFrame:
+    """(item_id, text, key) of items (item_id, text): of those with equal shingles one, under the smallest item_id.
+
+    key is a digest of the shingles. Items without a shingle match nothing and are left out.
+    """
+
+    def keyed(batches):
+        for batch in slices(batches, "text"):
+            h, docs, n = shingles(batch.column(1))
+            cuts = np.searchsorted(docs, np.arange(n + 1))
+            keys = [hashlib.sha256(np.unique(h[a:b]).tobytes()).digest() if b > a else None for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["item_id", "text", "key"])
+
+    found = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(keyed, "item_id long, text string, key binary").where("key is not null")
+    return stored(found.groupBy("key").agg(F.min("item_id").alias("item_id"), F.min("text").alias("text")).select("item_id", "text", "key"), "distinct-items")
+
+
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The items (item_id, text) in blocks of about block_bytes of text, one at a time."""
+    """The distinct items (item_id, text) in blocks of about block_bytes of text, one at a time."""
+    items = distinct_items(items)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / block_bytes)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).where("text is not null").select(F.col("item_id").cast("long"), "text").collect()
+        part = items.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).select("item_id", "text").collect()
         yield Items([r[0] for r in part], [r[1] for r in part])
 
 
