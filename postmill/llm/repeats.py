@@ -2,42 +2,67 @@
 
 A repeat of 50 bytes has 27 substrings of 24 bytes. The one with the smallest hash (the leftmost, if several) is the
 same in every occurrence of the repeat, so it is the repeat's anchor: equal 50-byte strings meet at their anchor,
-and an anchor's context, the text around it that its own strings cover, is short. Contexts go to buckets by anchor.
-There the contexts of all anchors that have several are joined into one text, an anchor being one symbol; its suffix
-array puts equal strings side by side, and the smallest doc_id among them decides which of them go.
+and an anchor's context, the text around it that its own strings cover, is short.
 
-A fixed-size map of hash slots, broadcast, first sets aside the anchors that no second document has. It only saves
-work: where it fills up, more contexts are sent and the result is the same.
+Documents are packed into blocks, a table that is bucketed by block, so that what comes back for a block meets its
+text without another shuffle of the texts:
+
+1. each block sends the hashes of its anchors; back comes which of them other blocks have too;
+2. each block sends the contexts of those, equal ones once with their smallest doc_id. The contexts of an anchor are
+   one text of a suffix array, an anchor being one symbol, and a context that several documents have is in it twice:
+   for the document with the smallest doc_id and for all others. The array puts equal strings side by side, and the
+   smallest doc_id among them decides which of them go;
+3. each block cuts these from its documents.
+
+An anchor that very many blocks have sends each of its strings by itself, so no task gets all that surrounds it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import U64, Texts, hash_runs, mix, released, slices, stored
-from postmill.llm.suffixes import suffix_array
+from postmill.llm.common import U64, Texts, hash_runs, mix, released, shared_path, slices, stored
+from postmill.llm.suffixes import spread, suffix_arrays
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 NEVER = np.uint32(0xFFFFFFFF)
 #: No doc_id: greater than all.
 NO_ID = np.iinfo(np.int64).max
-#: Bits of the slot map at most (2 ** 29 bits are 64 MB), text bytes of a bucket and of a document group, symbols of a suffix array.
-MOST_SLOT_BITS, BUCKET_BYTES, GROUP_BYTES, ARRAY_SYMBOLS, CHUNK_CONTEXTS = 29, 8 << 20, 8 << 20, 200_000, 20_000
-#: Text whose slots one task merges, on average, while there are at most 2 ** MOST_MERGES such tasks.
-MERGE_BYTES, LEAST_MERGES, MOST_MERGES = 16 << 20, 6, 12
-#: Bytes of text for each slot beyond which nearly all slots would be set: no map is made then, and all contexts are sent.
-FULL_SLOT_BYTES = 64
-#: Text that is cut to anchors at once.
-SLICE_BYTES = 2 << 20
-#: Bytes of a context as sent: lengths of both sides, the left side read backwards, the right side.
-CONTEXT = 2 + 2 * SIDE
+MOST_TABLE_BUCKETS = 100_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How work is cut; no result depends on it."""
+
+    #: Text bytes: of a block, of a bucket of the table of blocks, of a bucket of hashes and of one of contexts, on average.
+    block: int = 4 << 20
+    table: int = 16 << 20
+    keys: int = 64 << 20
+    contexts: int = 8 << 20
+    #: Text that is cut to anchors at once.
+    cut: int = 1 << 20
+    #: An anchor that more blocks have sends its strings one by one.
+    hot_blocks: int = 256
+    #: Symbols of one anchor's text at most (its strings become texts of their own beyond), and of all texts at once.
+    text: int = 4000
+    array: int = 400_000
+
+
+BLOCKS = "block long, ids array<bigint>, ends binary, text binary"
+KEYS = "bucket int, block long, keys binary"
+NOTES = "block long, kind string, bucket int, one binary, two binary"
+SENT = "bucket int, block long, keys binary, size long, rest binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _slide(a: np.ndarray, pick, width: int) -> np.ndarray:
@@ -49,9 +74,9 @@ def _slide(a: np.ndarray, pick, width: int) -> np.ndarray:
     return pick(a[: len(a) - (width - step)], a[width - step :]) if step < width else a
 
 
-def anchors(texts: Texts):
-    """(h, p, a, b): hash and place of each anchor, and the first and last start of the strings that it is the anchor of."""
-    data, n = texts.bytes, len(texts.bytes)
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """(h, p, a, b) of texts, data[offsets[i]:offsets[i + 1]]: an anchor's hash and place, and its strings' first and last start."""
+    n = len(data)
     none = (np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
     if n < LENGTH:
         return none
@@ -72,13 +97,13 @@ def anchors(texts: Texts):
     # The upper half picks the anchor, which all 64 bits then name.
     w = np.minimum(np.right_shift(h, U64(32), out=part).astype(np.uint32), NEVER - np.uint32(1))
     del part, eight
-    ends = texts.offsets[1:].tolist()
+    ends = offsets[1:].tolist()
     for e in ends:
         w[max(0, e - GRAM + 1) : e] = NEVER
     least = _slide(w, np.minimum, SIDE + 1)
     for e in ends:
         least[max(0, e - LENGTH + 1) : e] = NEVER
-    for lo, hi in zip(texts.offsets[:-1].tolist(), ends):
+    for lo, hi in zip(offsets[:-1].tolist(), ends):
         if hi - lo < LENGTH:
             least[lo:hi] = NEVER
     start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
@@ -115,312 +140,313 @@ def anchors(texts: Texts):
     return h[p], p, first, last
 
 
-def contexts(data: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The contexts of anchors, CONTEXT bytes each."""
-    left, right = p - a, b + LENGTH - p - GRAM
-    out = np.zeros((len(p), CONTEXT), dtype=np.uint8)
-    out[:, 0], out[:, 1] = left, right
-    for k in range(SIDE):
-        out[:, 2 + k] = np.where(k < left, data[np.maximum(p - 1 - k, 0)], 0)
-        out[:, 2 + SIDE + k] = np.where(k < right, data[np.minimum(p + GRAM + k, len(data) - 1)], 0)
-    return out
-
-
-def _shared_with_next(keys: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each row (a side of a context) the most leading bytes that it has in common with another of its anchor."""
-    wide = np.zeros((len(rows), 32), dtype=np.uint8)
-    wide[:, :SIDE] = rows
-    order = np.lexsort([*(wide.view(">u8")[:, k] for k in (3, 2, 1, 0)), keys])
-    own, size = rows[order], lengths[order]
-    limit = np.minimum(size[1:], size[:-1])
-    equal = np.cumprod((own[1:] == own[:-1]) & (np.arange(SIDE) < limit[:, None]), axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
-    equal[keys[order][1:] != keys[order][:-1]] = -1
-    out = np.empty(len(rows), dtype=np.int64)
-    out[order] = np.maximum(np.append(-1, equal), np.append(equal, -1))
-    return out
-
-
-def smallest_by_string(keys: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The smallest doc_id that has each string of each context: an array (contexts, SIDE + 1) by bytes left of the anchor.
-
-    keys are the anchors, in order, and docs the smallest doc_id of each context. Strings that no other context of
-    the anchor can have, by what its sides have in common with others, keep the context's own; all others are found
-    in suffix arrays over many anchors' contexts, each cut to what those strings cover.
+class Block:
+    """A block's documents (null ids as NO_ID) and anchors."""
+
+    def __init__(self, table: pa.Table, cut: int = Sizes.cut):
+        ids, ends, text = (table.column(name)[0] for name in ("ids", "ends", "text"))
+        self.null_ids = ids.values
+        self.ids = np.asarray(pa.compute.fill_null(ids.values, NO_ID))
+        self.data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+        self.offsets = np.append(0, np.frombuffer(ends.as_buffer(), dtype=np.int64))
+        found = []
+        for cuts in self._slices(cut):
+            h, p, a, b = anchors(self.data[cuts[0] : cuts[-1]], cuts - cuts[0])
+            found.append((h, p + cuts[0], a + cuts[0], b + cuts[0]))
+        self.h, self.p, self.a, self.b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
+        self.doc = np.searchsorted(self.offsets, self.p, side="right") - 1
+
+    def _slices(self, size: int):
+        """Ends of texts of about size bytes together; a longer document is cut so that each string is in one piece."""
+        i, n = 0, len(self.ids)
+        while i < n:
+            lo, hi = int(self.offsets[i]), int(self.offsets[i + 1])
+            if hi - lo > size:
+                for s in range(lo, hi - LENGTH + 1, size):
+                    yield np.array([s, min(hi, s + size + LENGTH - 1)])
+                i += 1
+            else:
+                k = int(np.searchsorted(self.offsets, lo + size, side="right")) - 1
+                yield self.offsets[i : k + 1]
+                i = k
+
+    def keys(self, bits: int) -> np.ndarray:
+        """The anchors' names as sent: the bits that name a bucket and 32 more."""
+        return self.h >> U64(32 - bits)
+
+
+class Contexts:
+    """A block's contexts of anchors that several documents may have, by key: what is sent for them, and where they are."""
+
+    def __init__(self, block: Block, notes: pa.Table, key_bits: int):
+        keys = block.keys(key_bits)
+        order = np.argsort(keys, kind="stable")
+        start = _starts(keys[order])
+        level = _noted(notes, "keys", keys[order][start] >> U64(32), 1 << key_bits)
+        docs = block.doc[order]
+        both = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start) if len(start) else level > 0
+        level = np.repeat(np.maximum(level, both), np.diff(np.append(start, len(order))))
+        cold, hot = order[level == 1], order[level > 1]
+        times = block.b[hot] - block.a[hot] + 1
+        first = spread(block.a[hot], times)
+        h, p = np.concatenate([block.h[cold], mix(hash_runs(block.data, first, first + LENGTH))]), np.concatenate([block.p[cold], np.repeat(block.p[hot], times)])
+        a, b = np.concatenate([block.a[cold], first]), np.concatenate([block.b[cold], first])
+        prints = mix(hash_runs(block.data, a, b + LENGTH) + (p - a).astype(U64))
+        ids = block.ids[np.concatenate([block.doc[cold], np.repeat(block.doc[hot], times)])]
+        order = np.lexsort((ids, prints, h))
+        start = _starts(h[order], prints[order])
+        count = np.diff(np.append(start, len(order)))
+        #: Of each place: the context that is there, its anchor and doc_id.
+        self.which, self.p, self.ids = np.repeat(np.arange(len(start)), count), p[order], ids[order]
+        kept = order[start]
+        self.key, self.least, self.more = h[kept], ids[kept], ids[order[start + count - 1]] > ids[kept]
+        self.data, self.at, self.left, self.right = block.data, a[kept], p[kept] - a[kept], b[kept] + LENGTH - p[kept] - GRAM
+
+    def dealt(self, block: int, bits: int) -> pa.Table:
+        cut = np.searchsorted(self.key >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+        full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        codec, sizes, rest = pa.Codec("zstd", compression_level=1), [], []
+        for k in full:
+            own = slice(cut[k], cut[k + 1])
+            at, left, right = self.at[own], self.left[own], self.right[own]
+            base = np.cumsum(left + right) - left - right
+            text = np.empty(int((left + right).sum()), dtype=np.uint8)
+            text[spread(base, left)] = self.data[spread(at, left)]
+            text[spread(base + left, right)] = self.data[spread(at + left + GRAM, right)]
+            raw = b"".join((self.least[own].tobytes(), left.astype(np.uint8).tobytes(), right.astype(np.uint8).tobytes(), self.more[own].tobytes(), text.tobytes()))
+            sizes.append(len(raw))
+            rest.append(codec.compress(raw, asbytes=True))
+        keys = [self.key[cut[k] : cut[k + 1]].tobytes() for k in full]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "keys": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int64()), "rest": pa.array(rest, pa.binary())})
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries start."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _noted(notes: pa.Table, kind: str, buckets: np.ndarray, n: int):
+    """What notes of a kind say of entries in the order in which a block sent them; buckets: of each entry, rising."""
+    cut = np.searchsorted(buckets, np.arange(n + 1, dtype=buckets.dtype))
+    rows = notes.filter(pa.compute.equal(notes.column("kind"), kind))
+    wide = kind == "masks"
+    out = np.zeros((2, len(buckets)), dtype=np.uint32 if wide else np.uint8)
+    for bucket, *both in zip(*(rows.column(c).to_pylist() for c in ("bucket", "one", "two"))):
+        own = slice(cut[bucket], cut[bucket + 1])
+        for k, x in enumerate(both):
+            out[k, own] = np.frombuffer(x, dtype=np.uint32) if wide else np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=own.stop - own.start)
+    return out if wide else out[0] + out[1]
+
+
+def _removed(key, left, right, at, data, docs, unit) -> np.ndarray:
+    """For each context (a row of a unit's text, units one after another) a bit for each string that a smaller doc has.
+
+    Bit x is the string with x bytes left of the anchor. One suffix array a unit puts equal strings side by side.
     """
-    out = np.repeat(docs[:, None], SIDE + 1, axis=1)
-    left, right = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
-    alike_left = np.minimum(_shared_with_next(keys, rows[:, 2 : 2 + SIDE], left), left)
-    alike_right = np.minimum(_shared_with_next(keys, rows[:, 2 + SIDE :], right), right)
-    most, least = alike_left, SIDE - alike_right
-    todo = np.flatnonzero((alike_left >= 0) & (alike_right >= 0) & (most >= least))
-    if not len(todo):
-        return out
-    sizes = most[todo] + 2 + SIDE - least[todo]
-    new = np.append(True, keys[todo][1:] != keys[todo][:-1])
-    number = np.cumsum(new) - 1
-    part = (np.cumsum(sizes) - sizes)[new][number] // ARRAY_SYMBOLS
-    for which in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(part)) + 1):
-        at, size = todo[which], sizes[which]
-        begin = np.cumsum(size) - size
-        symbols = np.full(int(size.sum()) + 1, 1, dtype=np.int64)
-        symbols[-1] = 0
-        middle = begin + most[at]
-        symbols[middle] = 258 + number[which] - number[which][0]
-        for k in range(SIDE):
-            some = k < most[at]
-            symbols[middle[some] - 1 - k] = rows[at[some], 2 + k].astype(np.int64) + 2
-            some = k < SIDE - least[at]
-            symbols[middle[some] + 1 + k] = rows[at[some], 2 + SIDE + k].astype(np.int64) + 2
-        order = suffix_array(symbols)
-        owner = np.repeat(np.arange(len(at)), size)
-        order = order[order < len(owner)]
-        who = owner[order]
-        lefts = middle[who] - order
-        real = (lefts >= least[at[who]]) & (lefts <= most[at[who]])
-        order, who, lefts = order[real], who[real], lefts[real]
-        text = symbols[order[:, None] + np.arange(SIDE + 1)]
-        start = np.flatnonzero(np.append(True, (text[1:] != text[:-1]).any(axis=1)))
-        smallest = np.repeat(np.minimum.reduceat(docs[at[who]], start), np.diff(np.append(start, len(order))))
-        out[at[who], lefts] = smallest
-    return out
-
-
-def _group_of(doc_id, n: int):
-    return F.coalesce(F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 17)), F.lit(n)), F.lit(0)).cast("int")
-
-
-SEEN = "bucket int, keys binary, prints binary, times binary, docs binary, tags binary, places binary"
-SENT = "bucket int, keys binary, contexts binary, times binary, docs binary, tags binary, places binary"
-SPANS = "part int, docs binary, tags binary, starts binary, ends binary, bucket int, several binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Bits of the map of anchors with several contexts at most.
-MOST_SEVERAL_BITS = 26
-
-
-def _shared_slots(docs: DataFrame, bits: int, total: int) -> np.ndarray:
-    """The map of slots in which two texts have an anchor, packed; its size is fixed by bits. total: bytes of docs."""
-    if total > FULL_SLOT_BYTES << bits:
-        return np.full(1 << (bits - 3), 255, dtype=np.uint8)
-    high = min(MOST_MERGES, max(LEAST_MERGES, math.ceil(math.log2(max(1, total / MERGE_BYTES)))))
-
-    def seen(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
-            texts = Texts(batch.column(batch.schema.get_field_index("text")))
-            h, p, _, _ = anchors(texts)
-            slots = h >> U64(64 - bits)
-            order = np.argsort(slots, kind="stable")
-            slots, owner = slots[order], texts.docs_of(p)[order]
-            new = np.append(True, slots[1:] != slots[:-1]) if len(slots) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            both = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start) if len(start) else np.zeros(0, bool)
-            out = np.sort(np.concatenate([slots[start], slots[start][both]]))
-            cut = np.searchsorted(out >> U64(bits - high), np.arange((1 << high) + 1, dtype=U64))
-            low = (out & U64((1 << (bits - high)) - 1)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(range(1 << high), pa.int32()), "slots": pa.array([low[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())})
-
-    def merge(key, table):
-        counts = np.zeros(1 << (bits - high), dtype=np.uint8)
-        for blob in table.column("slots").to_pylist():
-            own = np.frombuffer(blob, dtype=np.uint32)
-            twice = own[1:][own[1:] == own[:-1]]
-            counts[own] = np.minimum(counts[own] + 1, 2)
-            counts[twice] = 2
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "map": pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(seen, "k int, slots binary").groupBy("k").applyInArrow(merge, "k int, map binary").collect()
-    found = np.zeros((1 << high, 1 << (bits - high - 3)), dtype=np.uint8)
-    for r in rows:
-        found[r.k] = np.frombuffer(r.map, dtype=np.uint8)
-    return found.ravel()
-
-
-class _Found:
-    """The anchors of a batch whose slot is set in a map, by anchor and context: one entry for each context."""
-
-    def __init__(self, batch, bitmap: np.ndarray, bits: int):
-        texts = Texts(batch.column(1))
-        h, p, a, b = anchors(texts)
-        slot = (h >> U64(64 - bits)).astype(np.int64)
-        known = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-        h, p, a, b = h[known], p[known], a[known], b[known]
-        prints = mix(hash_runs(texts.bytes, a, b + LENGTH) + (p - a).astype(U64))
-        order = np.lexsort((prints, h))
-        h, p, a, b, prints = h[order], p[order], a[order], b[order], prints[order]
-        start = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        owner = texts.docs_of(p)
-        self.data, self.start, self.times = texts.bytes, start, np.diff(np.append(start, len(h))).astype(np.uint32)
-        self.keys, self.prints, self.p, self.a, self.b = h[start], prints[start], p[start], a[start], b[start]
-        self.docs = np.asarray(pa.compute.fill_null(batch.column(0), NO_ID))[owner]
-        self.tags, self.places = np.asarray(batch.column(2))[owner].astype(np.uint32), (p - texts.offsets[owner]).astype(np.uint32)
-
-    def dealt(self, bits: int, name: str, values: np.ndarray) -> pa.RecordBatch:
-        """A row for each bucket; values has an entry for each context."""
-        cut = np.searchsorted(self.keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-        ends = np.append(self.start, len(self.docs))[cut]
-        full = [k for k in range(1 << bits) if cut[k + 1] > cut[k]]
-        own = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
-        each = lambda x: pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": own(self.keys), name: own(values), "times": own(self.times), "docs": each(self.docs), "tags": each(self.tags), "places": each(self.places)})
-
-
-class _Met:
-    """What a bucket got: contexts by anchor, each once, and where each occurs."""
-
-    def __init__(self, table: pa.Table):
-        self.whole = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
-        self.docs, self.tags = self.whole("docs", np.int64), self.whole("tags", np.uint32)
-        self.places = self.whole("places", np.uint32).astype(np.int64)
-        self.keys, self.times = self.whole("keys", U64), self.whole("times", np.uint32)
-
-    def unite(self, prints: np.ndarray) -> np.ndarray:
-        """Contexts of equal anchor and print become one; returns which of those sent stand for them."""
-        order = np.lexsort((prints, self.keys))
-        new = np.append(True, (self.keys[order][1:] != self.keys[order][:-1]) | (prints[order][1:] != prints[order][:-1]))
-        name = np.empty(len(order), dtype=np.int64)
-        name[order] = np.cumsum(new) - 1
-        self.which = np.repeat(name, self.times)
-        kept = order[new]
-        self.keys = self.keys[kept]
-        self.least = np.full(len(kept), NO_ID)
-        np.minimum.at(self.least, self.which, self.docs)
-        first = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
-        count = np.diff(np.append(first, len(self.keys)))
-        self.many = np.repeat(count > 1, count)
-        return kept
-
-
-def _spans(found: list, parts: int, bucket: int, several: bytes | None) -> pa.Table:
-    """Spans (docs, tags, starts, ends) by group of documents, and the bucket's part of a map."""
-    docs, tags, starts, ends = (np.concatenate([f[k] for f in found]) for k in range(4))
-    part = np.where(docs == NO_ID, 0, (docs ^ (docs >> 17)) % parts)
-    order = np.lexsort((docs, part))
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    groups = [(g, order[cut[g] : cut[g + 1]]) for g in range(parts) if cut[g + 1] > cut[g]]
-    if several is not None:
-        groups.append((None, order[:0]))
-    blob = lambda x, dtype: pa.array([x[o].astype(dtype).tobytes() for _, o in groups], pa.binary())
-    return pa.table({"part": pa.array([g for g, _ in groups], pa.int32()), "docs": blob(docs, np.int64), "tags": blob(tags, np.uint32), "starts": blob(starts, np.uint32), "ends": blob(ends, np.uint32), "bucket": pa.array([bucket] * len(groups), pa.int32()), "several": pa.array([several if g is None else None for g, _ in groups], pa.binary())})
-
-
-def remove_repeats(df: DataFrame) -> DataFrame:
+    sizes = left + right + 2
+    base = np.cumsum(sizes) - sizes + unit
+    begin = np.append(base[_starts(unit)], base[-1] + sizes[-1] + 1)
+    symbols = np.ones(int(begin[-1]), dtype=np.int64)
+    symbols[begin[1:] - 1] = 0
+    symbols[base + left] = 258
+    symbols[spread(base, left)] = data[spread(at, left)] + np.int64(2)
+    symbols[spread(base + left + 1, right)] = data[spread(at + left, right)] + np.int64(2)
+    order = suffix_arrays(symbols, begin)
+    owner = np.full(len(symbols), -1, dtype=np.int64)
+    owner[spread(base, sizes)] = np.repeat(np.arange(len(base)), sizes)
+    who = owner[order]
+    lefts = (base + left)[who] - order
+    real = (who >= 0) & (lefts >= SIDE - right[who])
+    order, who, lefts = order[real], who[real], lefts[real]
+    text = symbols.astype(np.uint16)[order[:, None] + np.arange(SIDE + 1)]
+    new = np.append(True, (text[1:] != text[:-1]).any(axis=1) | (unit[who[1:]] != unit[who[:-1]]))
+    start = np.flatnonzero(new)
+    smallest = np.repeat(np.minimum.reduceat(docs[who], start), np.diff(np.append(start, len(order))))
+    gone = smallest < docs[who]
+    return np.bincount(who[gone], weights=(1 << lefts[gone]).astype(np.float64), minlength=len(base)).astype(np.uint32)
+
+
+def decide(key, left, right, at, data, least, more, sizes=Sizes()):
+    """Which strings of contexts go: for the document least of each entry, and for its other documents, if it has more.
+
+    An entry's context is left + right bytes of data from at; entries of equal key have the same anchor.
+    """
+    prints = mix(hash_runs(data, at, at + left + right) + left.astype(U64))
+    order = np.lexsort((prints, key))
+    start = _starts(key[order], prints[order])
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+    first = np.minimum.reduceat(least[order], start)
+    others = (np.maximum.reduceat(least[order], start) > first) | np.logical_or.reduceat(more[order], start)
+    kept = order[start]
+    key, left, right, at = key[kept], left[kept], right[kept], at[kept]
+    flags = np.zeros((2, len(kept)), dtype=np.uint32)
+    begin = _starts(key)
+    size = np.add.reduceat((1 + others) * (left + right + 2), begin)
+    unit = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+    alone = np.add.reduceat(1 + others, begin) == 1
+    large = size > sizes.text
+    if large.any():
+        own = np.flatnonzero(large[unit])
+        times = left[own] + right[own] - SIDE + 1
+        rows, x = np.repeat(own, times), spread(SIDE - right[own], times)
+        begins = at[rows] + left[rows] - x
+        name = mix(mix(key[rows] + x.astype(U64)) ^ hash_runs(data, begins, begins + SIDE))
+        for k, some in enumerate(decide(name, x, SIDE - x, begins, data, first[rows], others[rows], sizes)):
+            flags[k] += np.bincount(rows, weights=np.where(some > 0, 1 << x, 0).astype(np.float64), minlength=len(kept)).astype(np.uint32)
+    small = np.flatnonzero((~alone & ~large)[unit])
+    copies = np.repeat(small, 1 + others[small])
+    follows = np.append(False, copies[1:] == copies[:-1])
+    docs = np.where(follows, NO_ID, first[copies])
+    new = _starts(unit[copies])
+    weight = size[unit[copies[new]]]
+    part = np.repeat((np.cumsum(weight) - weight) // sizes.array, np.diff(np.append(new, len(copies))))
+    for some in np.split(np.arange(len(copies)), np.flatnonzero(np.diff(part)) + 1):
+        if len(some):
+            c = copies[some]
+            number = np.cumsum(np.append(False, unit[c][1:] != unit[c][:-1]))
+            found = _removed(key[c], left[c], right[c], at[c], data, docs[some], number)
+            flags[follows[some].astype(np.int64), c] = found
+    return np.where(least == first[which], flags[0][which], flags[1][which]), flags[1][which]
+
+
+def _meet_keys(key, table, hot_blocks: int):
+    """For each block the flags of the keys that it sent: those that other blocks have, and those that very many have."""
+    sent = [np.frombuffer(x, dtype=np.uint32) for x in table.column("keys").to_pylist()]
+    keys = np.concatenate(sent)
+    order = np.argsort(keys, kind="stable")
+    start = _starts(keys[order])
+    count = np.diff(np.append(start, len(keys)))
+    level = np.empty(len(keys), dtype=np.uint8)
+    level[order] = np.repeat((count > 1).astype(np.uint8) + (count > hot_blocks), count)
+    ends, rows = np.cumsum([len(x) for x in sent]), []
+    for block, a, b in zip(table.column("block").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        if level[a:b].any():
+            rows.append((block, "keys", key[0].as_py(), np.packbits(level[a:b] > 0).tobytes(), np.packbits(level[a:b] > 1).tobytes()))
+    return _notes(rows)
+
+
+def _meet_contexts(key, table, sizes: Sizes):
+    """For each block the strings of the contexts that it sent which go."""
+    codec = pa.Codec("zstd")
+    keys = [np.frombuffer(x, dtype=U64) for x in table.column("keys").to_pylist()]
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for own, size, rest in zip(keys, table.column("size").to_pylist(), table.column("rest").to_pylist()):
+        raw, n = np.frombuffer(codec.decompress(rest, size), dtype=np.uint8), len(own)
+        for c, x in zip(columns, (raw[: 8 * n].view(np.int64), raw[8 * n : 9 * n], raw[9 * n : 10 * n], raw[10 * n : 11 * n].view(bool), raw[11 * n :])):
+            c.append(x)
+    least, left, right, more, data = (np.concatenate(c) for c in columns)
+    del columns
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    one, two = decide(np.concatenate(keys), left, right, np.cumsum(left + right) - left - right, data, least, more, sizes)
+    ends, rows = np.cumsum([len(x) for x in keys]), []
+    for block, a, b in zip(table.column("block").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        if two[a:b].any() or one[a:b].any():
+            rows.append((block, "masks", key[0].as_py(), one[a:b].tobytes(), two[a:b].tobytes()))
+    return _notes(rows)
+
+
+def _notes(rows: list) -> pa.Table:
+    columns = zip(*rows) if rows else ((),) * 5
+    kinds = {"block": pa.int64(), "kind": pa.string(), "bucket": pa.int32(), "one": pa.binary(), "two": pa.binary()}
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
+
+
+def _pack(batches, size: int):
+    """Rows (doc_id, text) as BLOCKS of about size bytes."""
+    ids, sizes, texts, held, part, n = [], [], [], 0, TaskContext.get().partitionId(), 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array([part << 33 | n], pa.int64()), pa.array([pa.concat_arrays(ids)], pa.list_(pa.int64())), pa.array([np.cumsum(np.concatenate(sizes)).tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())], names=["block", "ids", "ends", "text"])
+
+    for batch in slices(batches, "text", size // 4):
+        own = Texts(batch.column(1))
+        ids.append(batch.column(0))
+        sizes.append(np.diff(own.offsets))
+        texts.append(own.bytes.tobytes())
+        held += len(own.bytes)
+        if held >= size:
+            yield block()
+            ids, sizes, texts, held, n = [], [], [], 0, n + 1
+    if ids:
+        yield block()
+
+
+def _table_of_blocks(docs: DataFrame, total: int, sizes: Sizes) -> DataFrame:
+    """docs as blocks, bucketed by block in the shared folder: what is grouped by block is not shuffled again."""
+    spark = docs.sparkSession
+    n = min(MOST_TABLE_BUCKETS, max(1, math.ceil(total / sizes.table)))
+    path = shared_path(spark, "repeat-blocks")
+    name = path.rpartition("/")[2].replace("-", "_")
+    docs.mapInArrow(lambda batches: _pack(batches, sizes.block), BLOCKS).repartition(n, "block").write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay
+    return table
+
+
+def remove_repeats(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """RESULT for every row of df (doc_id, text): what is left without the 50-byte strings that a smaller doc_id has.
 
-    Every byte covered by such a string goes; strings are judged on the input. A null text is empty. Rows with the
-    same doc_id do not count against each other; a null doc_id counts as greater than all. First each anchor's
-    contexts meet as hashes: an anchor with one context needs no sorting. Those with several then send their text.
+    Every byte covered by such a string goes; strings are judged on the input. A null or empty text has no bytes and
+    keeps none; an empty table gives no rows; further columns of df are not read. Rows with the same doc_id do not
+    count against each other; a null doc_id counts as greater than all. A text of any length is searched whole.
     """
     spark = df.sparkSession
-    doc_id = F.col("doc_id").cast("long")
-    docs = df.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    repeated = bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1))
-    parts = math.ceil(total / GROUP_BYTES) | 1
-    bits = max(3, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
-    slot_bits = min(MOST_SLOT_BITS, max(16, math.ceil(math.log2(max(1, total)))))
-    several_bits = max(bits + 3, min(MOST_SEVERAL_BITS, slot_bits))
-    tag = F.xxhash64("text") if repeated else F.lit(0).cast("long")
-    tagged = docs.select("doc_id", "text", tag.alias("tag"), _group_of(F.col("doc_id"), parts).alias("part"))
-    shared = spark.sparkContext.broadcast(_shared_slots(docs, slot_bits, total))
+    key_bits, bits = (max(2, math.ceil(math.log2(max(1, total / x)))) for x in (sizes.keys, sizes.contexts))
+    blocks = _table_of_blocks(docs, total, sizes)
     released(spark)
 
-    def show(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
-            found = _Found(batch, shared.value, slot_bits)
-            if len(found.keys):
-                yield found.dealt(bits, "prints", found.prints)
-
-    def settle(key, table):
-        met = _Met(table)
-        prints = met.whole("prints", U64)
-        met.unite(prints)
-        # What an anchor's only context covers is known from its places: all the strings of which it is the anchor.
-        at = np.flatnonzero(~met.many[met.which] & (met.least[met.which] < met.docs))
-        flags = np.zeros(1 << (several_bits - bits), dtype=bool)
-        low = (met.keys[met.many] >> U64(64 - several_bits)) & U64((1 << (several_bits - bits)) - 1)
-        flags[low.astype(np.int64)] = True
-        return _spans([(met.docs[at], met.tags[at], met.places[at], met.places[at])], parts, key[0].as_py(), np.packbits(flags, bitorder="little").tobytes())
-
-    simple = stored(tagged.mapInArrow(show, SEEN).groupBy("bucket").applyInArrow(settle, SPANS), "repeat-places")
-    several = np.zeros((1 << bits, 1 << (several_bits - bits - 3)), dtype=np.uint8)
-    for r in simple.where("several is not null").select("bucket", "several").collect():
-        several[r.bucket] = np.frombuffer(r.several, dtype=np.uint8)
-    mixed = spark.sparkContext.broadcast(several.ravel())
+    def keys(key, table):
+        found = np.unique(Block(table, sizes.cut).keys(key_bits))
+        cut = np.searchsorted(found >> U64(32), np.arange((1 << key_bits) + 1, dtype=U64))
+        full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        low = found.astype(np.uint32)
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()), "keys": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())})
+
+    def send(key, own, notes):
+        return Contexts(Block(own, sizes.cut), notes, key_bits).dealt(key[0].as_py(), bits)
+
+    def cut(key, own, notes):
+        block = Block(own, sizes.cut)
+        found = Contexts(block, notes, key_bits)
+        one, two = _noted(notes, "masks", found.key >> U64(64 - bits), 1 << bits)
+        masks = np.where(found.ids == found.least[found.which], one[found.which], two[found.which])
+        begins = np.zeros(len(block.data) + 1, dtype=bool)
+        for x in range(SIDE + 1):
+            begins[found.p[(masks >> np.uint32(x)) & 1 > 0] - x] = True
+        upto = np.cumsum(begins[:-1], dtype=np.int32)
+        gone = upto > 0
+        gone[LENGTH:] = upto[LENGTH:] > upto[:-LENGTH]
+        return _kept(block, gone)
+
+    notes = stored(blocks.groupBy("block").applyInArrow(keys, KEYS).groupBy("bucket").applyInArrow(lambda key, table: _meet_keys(key, table, sizes.hot_blocks), NOTES), "repeat-keys")
     released(spark)
-
-    def send(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
-            found = _Found(batch, mixed.value, several_bits)
-            if len(found.keys):
-                yield found.dealt(bits, "contexts", contexts(found.data, found.p, found.a, found.b))
-
-    def meet(key, table):
-        met = _Met(table)
-        rows = met.whole("contexts", np.uint8).reshape(-1, CONTEXT)
-        kept = met.unite(hash_runs(rows.ravel(), np.arange(len(rows)) * CONTEXT, np.arange(1, len(rows) + 1) * CONTEXT))
-        rows, found = rows[kept], [(np.zeros(0, np.int64),) * 4]
-        turns = np.flatnonzero(met.many)
-        first = np.flatnonzero(np.append(True, met.keys[turns][1:] != met.keys[turns][:-1])) if len(turns) else turns
-        cuts = first[1:][np.diff(first // CHUNK_CONTEXTS) > 0]
-        order = np.argsort(met.which, kind="stable")
-        spread = np.searchsorted(met.which[order], np.arange(len(met.keys) + 1))
-        for some in np.split(turns, cuts):
-            if not len(some):
-                continue
-            smallest = smallest_by_string(met.keys[some], rows[some], met.least[some])
-            own = np.concatenate([order[spread[k] : spread[k + 1]] for k in some.tolist()])
-            local = np.searchsorted(some, met.which[own])
-            x = np.arange(SIDE, -1, -1)
-            left, right = rows[some][local, 0].astype(np.int64), rows[some][local, 1].astype(np.int64)
-            flags = (smallest[local][:, ::-1] < met.docs[own][:, None]) & (x <= left[:, None]) & (x >= SIDE - right[:, None])
-            edge = np.zeros((len(own), 1), dtype=bool)
-            rise, fall = np.argwhere(flags & ~np.hstack([edge, flags[:, :-1]])), np.argwhere(flags & ~np.hstack([flags[:, 1:], edge]))
-            row = own[rise[:, 0]]
-            found.append((met.docs[row], met.tags[row], met.places[row] - x[rise[:, 1]], met.places[row] - x[fall[:, 1]] + LENGTH))
-        return _spans(found, parts, key[0].as_py(), None)
-
-    sorted_out = stored(tagged.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, SPANS), "repeat-spans")
+    sent = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(send, SENT)
+    masks = stored(sent.groupBy("bucket").applyInArrow(lambda key, table: _meet_contexts(key, table, sizes), NOTES), "repeat-masks")
     released(spark)
-
-    def cut(_, own, spans):
-        whole = lambda name, dtype: np.frombuffer(b"".join(spans.column(name).to_pylist()), dtype=dtype)
-        docs, tags = whole("docs", np.int64), whole("tags", np.uint32)
-        starts, ends = whole("starts", np.uint32).astype(np.int64), whole("ends", np.uint32).astype(np.int64)
-        order = np.lexsort((tags, docs))
-        docs, tags, starts, ends = docs[order], tags[order], starts[order], ends[order]
-        out = []
-        for batch in own.to_batches():
-            for part in slices([batch], "text", SLICE_BYTES):
-                texts = Texts(part.column(1))
-                ids = np.asarray(pa.compute.fill_null(part.column(0), NO_ID))
-                marks = np.asarray(part.column(2)).astype(np.uint32)
-                rows, places = [], []
-                for i in range(texts.n):
-                    lo, hi = np.searchsorted(docs, ids[i]), np.searchsorted(docs, ids[i], side="right")
-                    if hi > lo:
-                        mine = np.arange(lo + np.searchsorted(tags[lo:hi], marks[i]), lo + np.searchsorted(tags[lo:hi], marks[i], side="right"))
-                        rows.append(mine)
-                        places.append(np.full(len(mine), texts.offsets[i]))
-                change = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
-                if rows:
-                    rows, places = np.concatenate(rows), np.concatenate(places)
-                    first, last = places + starts[rows], places + ends[rows]
-                    only = first == last
-                    if only.any():
-                        # An anchor alone: its strings are those that it is the anchor of here.
-                        _, p, a, b = anchors(texts)
-                        at = np.searchsorted(p, first[only])
-                        first[only], last[only] = a[at], b[at] + LENGTH
-                    np.add.at(change, first, 1)
-                    np.add.at(change, last, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                begin, _ = texts.runs(gone)
-                n_spans = np.bincount(texts.docs_of(begin), minlength=texts.n)
-                kept, stay = texts.bytes[~gone], np.concatenate([[0], np.cumsum(np.diff(texts.offsets) - texts.per_text(gone))])
-                data = kept.tobytes()
-                sums = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(stay.tolist(), stay[1:].tolist())]
-                out.append(pa.record_batch([part.column(0), pa.array(np.diff(texts.offsets)), pa.array(texts.per_text(gone)), pa.array(n_spans.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
-        names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-        return pa.Table.from_batches(out, pa.schema(names))
-
-    spans = simple.unionAll(sorted_out).where("part is not null").select("part", "docs", "tags", "starts", "ends")
-    return tagged.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, RESULT)
+    return blocks.groupBy("block").cogroup(notes.unionAll(masks).groupBy("block")).applyInArrow(cut, RESULT)
+
+
+def _kept(block: Block, gone: np.ndarray) -> pa.Table:
+    """RESULT of a block; gone: a flag for each byte."""
+    n, total = len(block.ids), np.zeros(len(gone) + 1, dtype=np.int64)
+    np.cumsum(gone, out=total[1:])
+    first = gone.copy()
+    first[1:] &= ~gone[:-1]
+    inner = block.offsets[:-1][block.offsets[:-1] < len(gone)]
+    first[inner] = gone[inner]
+    spans = np.zeros(len(gone) + 1, dtype=np.int64)
+    np.cumsum(first, out=spans[1:])
+    lo, hi = block.offsets[:-1], block.offsets[1:]
+    data = block.data[~gone].tobytes()
+    stay = (block.offsets - total[block.offsets]).tolist()
+    sums = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(stay, stay[1:])]
+    return pa.table({"doc_id": block.null_ids, "n_bytes": pa.array(hi - lo), "n_removed": pa.array(total[hi] - total[lo]), "n_spans": pa.array(spans[hi] - spans[lo]), "kept_sha256": pa.array(sums, pa.string())})

@@ -65,6 +65,16 @@ def test_suffix_array_is_sorted():
         assert suffixes.suffix_array(a).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_of_many_texts():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        texts = [[*rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)).tolist(), 0] for _ in range(rng.integers(1, 20))]
+        begin = np.cumsum([0] + [len(t) for t in texts])
+        out = suffixes.suffix_arrays(np.array(sum(texts, [])), begin)
+        for t, lo, hi in zip(texts, begin, begin[1:]):
+            assert (out[lo:hi] - lo).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def brute_repeats(rows):
     first: dict[bytes, int] = {}
     last = max(r[0] for r in rows if r[0] is not None) + 1
@@ -90,11 +100,24 @@ def test_repeats(docs, rows, empty):
     assert bag(repeats.remove_repeats(empty)) == Counter()
 
 
-def test_repeats_without_a_map_and_with_more_merges(docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "LEAST_MERGES", 9)
-    assert bag(repeats.remove_repeats(docs)) == brute_repeats(rows)
-    monkeypatch.setattr(repeats, "FULL_SLOT_BYTES", 0)
-    assert bag(repeats.remove_repeats(docs)) == brute_repeats(rows)
+@pytest.mark.parametrize("more", [{}, {"hot_blocks": 1}, {"hot_blocks": 2, "text": 60, "array": 500}])
+def test_repeats_in_many_blocks(docs, rows, more):
+    sizes = repeats.Sizes(block=3000, table=9000, keys=20_000, contexts=5000, cut=1000, **more)
+    assert bag(repeats.remove_repeats(docs, sizes)) == brute_repeats(rows)
+
+
+def test_arrays_decide_what_goes(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abc") for _ in range(52)) for _ in range(3)]
+    data = np.frombuffer("".join(texts + texts[:1]).encode(), dtype=np.uint8)
+    n = np.full(4, 26)
+    args = np.full(4, 7, dtype=np.uint64), n, n, np.arange(4) * 52, data, np.array([5, 6, 7, 9]), np.array([False, False, True, False])
+    one, two = repeats.decide(*args)
+    everything = (1 << 27) - 1
+    # 9 has what 5 has, other documents than 7 have what 7 has.
+    assert one.tolist() == [0, 0, 0, everything] and two.tolist() == [everything, 0, everything, everything]
+    monkeypatch.setattr(repeats, "suffix_arrays", lambda symbols, begin: np.arange(len(symbols)))
+    assert not repeats.decide(*args)[0].any()
 
 
 def test_repeats_of_one_letter_and_shared_edges(spark):
