@@ -54,7 +54,7 @@ class Sizes:
     #: An anchor that more blocks have sends its strings one by one.
     hot_blocks: int = 256
     #: Symbols of one anchor's text at most (its strings become texts of their own beyond), and of all texts at once.
-    text: int = 4000
+    text: int = 1000
     array: int = 400_000
 
 
@@ -137,7 +137,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         p, first, last = (np.concatenate(z) for z in ((p[once], at[good]), (first[once], begin[good]), (last[once], stop[good])))
         order = np.argsort(p, kind="stable")
         p, first, last = p[order], first[order], last[order]
-    return h[p], p, first, last
+    # Least hashes are small: mixed, names are even.
+    return mix(h[p]), p, first, last
 
 
 class Block:
@@ -244,30 +245,35 @@ def _noted(notes: pa.Table, kind: str, buckets: np.ndarray, n: int):
     return out if wide else out[0] + out[1]
 
 
-def _removed(key, left, right, at, data, docs, unit) -> np.ndarray:
+def _removed(left, right, at, data, docs, unit) -> np.ndarray:
     """For each context (a row of a unit's text, units one after another) a bit for each string that a smaller doc has.
 
-    Bit x is the string with x bytes left of the anchor. One suffix array a unit puts equal strings side by side.
+    Bit x is the string with x bytes left of the anchor. One suffix array a unit puts equal strings side by side. Only
+    suffixes that start left of an anchor or at it are asked for, so what is right of it is read four bytes a symbol,
+    the first of which is the anchor as well; short ones are filled up with zeros, which keeps equal beginnings together.
     """
-    sizes = left + right + 2
+    wide = np.maximum(1, (right + 3) // 4)
+    sizes = left + wide
     base = np.cumsum(sizes) - sizes + unit
     begin = np.append(base[_starts(unit)], base[-1] + sizes[-1] + 1)
-    symbols = np.ones(int(begin[-1]), dtype=np.int64)
-    symbols[begin[1:] - 1] = 0
-    symbols[base + left] = 258
-    symbols[spread(base, left)] = data[spread(at, left)] + np.int64(2)
-    symbols[spread(base + left + 1, right)] = data[spread(at + left, right)] + np.int64(2)
+    symbols = np.zeros(int(begin[-1]), dtype=np.int64)
+    symbols[spread(base, left)] = data[spread(at, left)] + np.int64(1)
+    place, source = spread(base + left, wide), np.repeat(at + left, wide) + 4 * spread(np.zeros_like(wide), wide)
+    rest = np.repeat(at + left + right, wide) - source
+    for k in range(4):
+        symbols[place] = symbols[place] << 8 | np.where(k < rest, data[np.minimum(source + k, len(data) - 1)], 0)
+    symbols[place] += 257
     order = suffix_arrays(symbols, begin)
     owner = np.full(len(symbols), -1, dtype=np.int64)
     owner[spread(base, sizes)] = np.repeat(np.arange(len(base)), sizes)
     who = owner[order]
     lefts = (base + left)[who] - order
     real = (who >= 0) & (lefts >= SIDE - right[who])
-    order, who, lefts = order[real], who[real], lefts[real]
-    text = symbols.astype(np.uint16)[order[:, None] + np.arange(SIDE + 1)]
-    new = np.append(True, (text[1:] != text[:-1]).any(axis=1) | (unit[who[1:]] != unit[who[:-1]]))
+    who, lefts = who[real], lefts[real]
+    text = data[(at + left)[who][:, None] - lefts[:, None] + np.arange(SIDE)]
+    new = np.append(True, (text[1:] != text[:-1]).any(axis=1) | (lefts[1:] != lefts[:-1]) | (unit[who[1:]] != unit[who[:-1]]))
     start = np.flatnonzero(new)
-    smallest = np.repeat(np.minimum.reduceat(docs[who], start), np.diff(np.append(start, len(order))))
+    smallest = np.repeat(np.minimum.reduceat(docs[who], start), np.diff(np.append(start, len(who))))
     gone = smallest < docs[who]
     return np.bincount(who[gone], weights=(1 << lefts[gone]).astype(np.float64), minlength=len(base)).astype(np.uint32)
 
@@ -288,7 +294,7 @@ def decide(key, left, right, at, data, least, more, sizes=Sizes()):
     key, left, right, at = key[kept], left[kept], right[kept], at[kept]
     flags = np.zeros((2, len(kept)), dtype=np.uint32)
     begin = _starts(key)
-    size = np.add.reduceat((1 + others) * (left + right + 2), begin)
+    size = np.add.reduceat((1 + others) * (left + right // 4 + 1), begin)
     unit = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
     alone = np.add.reduceat(1 + others, begin) == 1
     large = size > sizes.text
@@ -300,7 +306,9 @@ def decide(key, left, right, at, data, least, more, sizes=Sizes()):
         name = mix(mix(key[rows] + x.astype(U64)) ^ hash_runs(data, begins, begins + SIDE))
         for k, some in enumerate(decide(name, x, SIDE - x, begins, data, first[rows], others[rows], sizes)):
             flags[k] += np.bincount(rows, weights=np.where(some > 0, 1 << x, 0).astype(np.float64), minlength=len(kept)).astype(np.uint32)
+    # Texts of like size together: arrays are built in steps that all of them take.
     small = np.flatnonzero((~alone & ~large)[unit])
+    small = small[np.argsort(size[unit[small]], kind="stable")]
     copies = np.repeat(small, 1 + others[small])
     follows = np.append(False, copies[1:] == copies[:-1])
     docs = np.where(follows, NO_ID, first[copies])
@@ -311,8 +319,7 @@ def decide(key, left, right, at, data, least, more, sizes=Sizes()):
         if len(some):
             c = copies[some]
             number = np.cumsum(np.append(False, unit[c][1:] != unit[c][:-1]))
-            found = _removed(key[c], left[c], right[c], at[c], data, docs[some], number)
-            flags[follows[some].astype(np.int64), c] = found
+            flags[follows[some].astype(np.int64), c] = _removed(left[c], right[c], at[c], data, docs[some], number)
     return np.where(least == first[which], flags[0][which], flags[1][which]), flags[1][which]
 
 
