@@ -8,6 +8,7 @@ then stitches the documents that cross block boundaries and numbers them.
 from __future__ import annotations
 
 import base64
+import math
 import uuid
 
 import numpy as np
@@ -21,7 +22,7 @@ from postmill.llm.common import shared_path, slices, stored
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer cuts text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_BYTES, FILE_BYTES = 4 << 20, 512 << 20
+BLOCK_BYTES, FILE_BYTES, TASK_BYTES = 4 << 20, 512 << 20, 16 << 20
 
 
 def write_token_files(df: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame, int, str]:
@@ -95,7 +96,9 @@ def count_tokens(files: DataFrame, end: int, dtype: str = "<u2", block_bytes: in
                     }
                 )
 
-    found = blocks.repartition("path", "start").mapInArrow(scan, "path string, start long, ends long, head long, inner array<long>, tail long")
+    # Rows that name blocks are too small to tell Spark how much is read.
+    n = max(1, math.ceil((files.agg(F.sum("n_bytes")).first()[0] or 0) / TASK_BYTES))
+    found = blocks.repartition(n, "path", "start").mapInArrow(scan, "path string, start long, ends long, head long, inner array<long>, tail long")
     by_start = Window.partitionBy("path").orderBy("start")
     earlier = by_start.rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("before", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
@@ -110,7 +113,11 @@ def count_tokens(files: DataFrame, end: int, dtype: str = "<u2", block_bytes: in
 
 
 def document_tokens(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row of df (doc_id, text), counted in the flat files that are written for it."""
+    """(doc_id, n_tokens) of every row of df (doc_id, text), counted in the flat files that are written for it.
+
+    A null or empty text has 0 tokens, a null doc_id stays null, rows that repeat have a row each, further columns are
+    not read and an empty table gives no rows. A document may be longer than a block or a file.
+    """
     files, order, end, dtype = write_token_files(df, vocabulary)
     # Paths compress so well that Spark takes either side for small; neither is broadcast.
     return order.hint("merge").join(count_tokens(files, end, dtype), ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -8,6 +8,7 @@ joins neighbouring ranges into one read.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -22,7 +23,7 @@ from postmill.llm.common import shared_path, slices, stored
 LEAST_REVISIT = 100
 #: Ranges closer than GAP bytes are read together, up to READ_BYTES at once.
 GAP, READ_BYTES = 64 << 10, 8 << 20
-ARCHIVE_BYTES = 512 << 20
+ARCHIVE_BYTES, TASK_BYTES = 512 << 20, 2 * READ_BYTES
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -67,7 +68,9 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
     """Writes pages (page_id, url, html) to archives in the shared folder; returns the index, one row per page.
 
     Null html is an empty payload. Of pages with equal payloads of LEAST_REVISIT bytes or more, those with the
-    smallest page_id are responses and the others, null ids too, revisit it. A task that runs again writes another
+    smallest page_id are responses and the others, null ids too, revisit it. Rows that repeat a page_id and payload
+    share their kind, further columns are not read, and an empty table gives an empty index. A page of any length is
+    one record. A task that runs again writes another
     archive; only that of the run that counts is in the index.
     """
     spark = pages.sparkSession
@@ -117,7 +120,10 @@ def _runs(rows):
 
 
 def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
-    """The records that selected (rows of an index) names; without payload that column is null."""
+    """The records that selected (rows of an index) names; without payload that column is null.
+
+    A record that is named twice is read twice; no index rows, no records.
+    """
 
     def read(batches):
         open_files: dict = {}
@@ -134,8 +140,10 @@ def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
             found = [parse(data[at - start : at - start + n]) for _, at, n in run]
             yield pa.RecordBatch.from_pydict({k: pa.array([r[k] if payload or k != "payload" else None for r in found], t) for k, t in kinds.items()})
 
+    # Index rows are too small to tell Spark how much is read: the number of tasks follows from the bytes they name.
+    n = max(1, math.ceil((selected.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES))
     chunk = (F.col("offset") / READ_BYTES).cast("long")
-    return selected.select("archive", "offset", "length").repartition("archive", chunk).sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD)
+    return selected.select("archive", "offset", "length").repartition(n, "archive", chunk).sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

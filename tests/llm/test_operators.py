@@ -267,6 +267,16 @@ def test_warc(spark):
     some = warc.read_records(index.where("page_id = 7")).collect()
     assert len(some) == 1 and bytes(some[0].payload).decode() == "ü" * 60 and some[0].url == "é"
     assert warc.round_trip(df.limit(0)).count() == 0
+    again = bag(warc.round_trip(df.unionAll(df).withColumns({"digest": F.lit(1), "archive": F.lit("x"), "offset": F.lit(2)})))
+    assert again == Counter({k: 2 * n for k, n in bag(warc.round_trip(df)).items()})
+
+
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    monkeypatch.setattr(warc, "READ_BYTES", 500)
+    df = spark.createDataFrame([(i, f"u{i}", f"<p>{i * i}</p>" * (i % 50)) for i in range(200)], "page_id long, url string, html string")
+    out = warc.round_trip(df)
+    assert out.rdd.getNumPartitions() > 4 and out.count() == 200
 
 
 # 6
@@ -285,6 +295,8 @@ def test_token_counts(docs, rows, empty):
     for block in (7, 64, 1000):
         assert bag(order.join(tokens.count_tokens(files, end, dtype, block), ["path", "ordinal"]).select("doc_id", "n_tokens")) == expected
     assert tokens.document_tokens(empty).count() == 0
+    clash = docs.select("doc_id", "text", F.lit("p").alias("path"), F.lit(1).alias("ordinal"), F.lit(2).alias("n_tokens"))
+    assert bag(tokens.document_tokens(clash)) == expected
 
 
 def test_unfinished_document(spark, tmp_path):
