@@ -1,41 +1,58 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts are gathered in hash buckets, each n-gram's in one. A bucket's n-grams go into its own segment of the filter:
-an n-gram of count c is inserted once for each level 1 to 1 + log_b(c). A probe asks for levels 1, 2, ... until one is
-missing, and the last one found gives the count back within a factor of b. The segments are broadcast to the workers,
-about ROUND_BYTES of them at once: a larger model takes further rounds over the texts, each of which adds the
-levels that its segments know, with the same result. Beside the filter each bucket keeps the exact counts of its
-words, which the add-one base score asks for.
+Texts are packed into blocks (see blocks.py). Each block sends its distinct n-grams to buckets by their hash. A bucket
+adds up their counts and puts those of two words and more into its own segment of the filter: an n-gram of count c is
+inserted once for each level 1 to 1 + log_b(c). A probe asks for levels 1, 2, ... until one is missing, and the last one
+found gives the count back within a factor of b. Counts of single words stay exact, as the add-one base score asks for
+them; they go back to the blocks that asked.
+
+A filter of up to Sizes.broadcast bytes is broadcast to the workers. As it grows with the texts, a larger one stays where
+it is, and the blocks' n-grams go to its segments, whose levels come back: the same probes, with the same result.
+
+N-grams of two and more words count from MIN_COUNT occurrences on: what occurs once says little beside its words.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, hash_runs, mix, released, slices, stored
+from postmill.llm.blocks import BLOCK_BYTES, NOTES, TABLE_BYTES, BlockTexts, noted, notes_of, per_block, table_of_blocks
+from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, hash_runs, mix, released, stored
 
-ORDER, LAMBDA, LOG_BASE = 2, 0.6, 1.5
-BITS_PER_ENTRY, PROBES = 10, 5
-#: Text whose n-grams share a bucket, on average; model bytes that are broadcast at once.
-BUCKET_BYTES, ROUND_BYTES = 16 << 20, 72 << 20
-SLICE_BYTES = 8 << 20
-#: Buckets that are read and broadcast as one object.
-PIECE_BUCKETS = 4
+ORDER, LAMBDA, LOG_BASE, MIN_COUNT = 3, 0.6, 1.5, 2
+PROBES = 5
 START, END = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
-KEEPS = "bucket int, words binary, counts binary, filter binary, n_bits long, n_tokens long, n_words long"
+#: Bits below those that name a bucket by which n-grams of two words and more are told apart there.
+NAME_BITS = 40
+SENT = "bucket int, block long, n int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How work is cut; no result depends on it but for bits, the filter's bits for each n-gram and level."""
+
+    block: int = BLOCK_BYTES
+    table: int = TABLE_BYTES
+    #: Text whose n-grams share a bucket, on average.
+    bucket: int = 16 << 20
+    #: Bytes of a filter that is broadcast, at most, and buckets that are broadcast as one object.
+    broadcast: int = 192 << 20
+    piece: int = 4
+    bits: int = 8
+
+
 class Tokens:
     """Hashes of START, the lower-cased words and END of each text, one text after another."""
 
-    def __init__(self, column: pa.Array):
-        texts = Texts(column)
+    def __init__(self, texts: Texts):
         data = ASCII_LOWER[texts.bytes]
         starts, ends = texts.runs(~SPACE[texts.bytes])
         docs = texts.docs_of(starts)
@@ -49,6 +66,7 @@ class Tokens:
         self.first = np.zeros(len(self.h), dtype=bool)
         self.first[self.begin[:-1]] = True
         self.n_tokens = n + 1
+        self.doc = np.repeat(np.arange(texts.n), n + 2)
 
     def grams(self):
         """For each order the keys of the n-grams that end at each token; a text's first ones begin with START.
@@ -80,12 +98,12 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return table[levels]
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int) -> tuple[bytes, int]:
     """The Bloom filter of keys at all levels of their counts, and its number of bits."""
     levels = levels_of(counts)
-    n_bits = max(64, BITS_PER_ENTRY * int(levels.sum()))
+    n_bits = max(64, bits_per_entry * int(levels.sum()))
     if n_bits >= 1 << 32:
-        raise ValueError("a bucket of n-grams is too large; lower BUCKET_BYTES")
+        raise ValueError("a bucket of n-grams is too large; lower Sizes.bucket")
     flags = np.zeros(n_bits, dtype=bool)
     live, level = np.arange(len(keys)), 1
     while len(live):
@@ -96,192 +114,220 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(flags, bitorder="little").tobytes(), n_bits
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
-
-
 class Model:
-    """Segments of buckets that follow one another, with their words' counts: a piece of what the workers get."""
-
-    def __init__(self, rows, bits: int):
-        rows = sorted(rows, key=lambda r: r.bucket)
-        self.bits, self.first = bits, rows[0].bucket
-        n = rows[-1].bucket + 1 - self.first
-        self.last = self.first + n - 1
-        self.words = np.concatenate([np.frombuffer(r.words, dtype=U64) for r in rows])
-        self.counts = np.concatenate([np.frombuffer(r.counts, dtype=np.int64) for r in rows])
-        self.counts = self.counts.astype(np.uint32) if not len(self.counts) or self.counts.max() < 1 << 32 else self.counts
-        self.filter = np.frombuffer(b"".join(r.filter for r in rows), dtype=np.uint8)
-        self.n_bits, self.base = np.zeros(n, dtype=U64), np.zeros(n, dtype=np.int64)
-        at = 0
-        for r in rows:
-            self.n_bits[r.bucket - self.first], self.base[r.bucket - self.first] = r.n_bits, at
-            at += len(r.filter)
-
-    def span(self, keys: np.ndarray) -> slice:
-        """Where sorted keys have those of this piece's buckets."""
-        shift = U64(64 - self.bits)
-        return slice(*np.searchsorted(keys >> shift, np.array([self.first, self.last + 1], dtype=U64)).tolist())
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key (of these buckets), by repeated membership probes."""
-        buckets = (keys >> U64(64 - self.bits)).astype(np.int64) - self.first
-        out = np.zeros(len(keys), dtype=np.uint8)
-        live, level = np.flatnonzero(self.n_bits[buckets] > 0), 1
+    """Segments of buckets that follow one another."""
+
+    def __init__(self, segments: list):
+        """segments: (bucket, filter, number of bits), without gaps."""
+        self.first, self.last = segments[0][0], segments[-1][0]
+        self.filter = np.frombuffer(b"".join(s[1] for s in segments), dtype=np.uint8)
+        self.n_bits = np.array([s[2] for s in segments], dtype=U64)
+        self.base = np.cumsum([0] + [len(s[1]) for s in segments][:-1])
+
+    def levels(self, names: np.ndarray, order: int) -> np.ndarray:
+        """The level of each name of these buckets, by repeated membership probes."""
+        bucket, keys = (names >> U64(NAME_BITS)).astype(np.int64) - self.first, _of_order(names, order)
+        out = np.zeros(len(names), dtype=np.uint8)
+        live, level = np.arange(len(names)), 1
         while len(live) and level < 256:
             for i in range(PROBES):
-                own = buckets[live]
+                own = bucket[live]
                 at = _positions(keys[live], level, i, self.n_bits[own]).astype(np.int64)
                 live = live[(self.filter[self.base[own] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
             out[live] = level
             level += 1
         return out
 
-    def exact(self, keys: np.ndarray) -> np.ndarray:
-        """The exact count of each word key (sorted), 0 for those not kept here."""
-        if not len(self.words):
-            return np.zeros(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
 
+def _of_order(names: np.ndarray, order: int) -> np.ndarray:
+    return names * U64(4) + U64(order)
 
-def with_split(df: DataFrame) -> DataFrame:
-    """(doc_id, held_out, text): held out if crc32 of the id as text leaves 2 by 7; a null id is not."""
-    doc_id = F.col("doc_id").cast("long")
-    return df.select(doc_id.alias("doc_id"), (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"), "text")
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values in the least width that has them all."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0)).tobytes()
 
-def train(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The model's buckets, stored, of all texts of docs that are not held out, and how many bits name a bucket."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-
-    def count(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
-            tokens = Tokens(batch.column(0))
-            for order, (keys, places) in enumerate(tokens.grams(), 1):
-                keys, n = np.unique(keys[places], return_counts=True)
-                at = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-                spans = [(b, at[b], at[b + 1]) for b in range(1 << bits) if at[b + 1] > at[b]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([order] * len(spans), pa.int32()), pa.array([keys[x:y].tobytes() for _, x, y in spans], pa.binary()), pa.array([n[x:y].astype(np.uint32).tobytes() for _, x, y in spans], pa.binary())],
-                    names=["bucket", "n", "keys", "counts"],
-                )
-
-
-    def gather(key, table):
-        words, all_keys, all_counts = (np.zeros(0, U64), np.zeros(0, np.int64)), [], []
-        orders = np.asarray(table.column("n"))
-        for order in range(1, ORDER + 1):
-            rows = table.filter(pa.array(orders == order))
-            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=U64)
-            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype=np.uint32).astype(np.int64)
-            keys, counts = _summed(keys, counts)
-            all_keys.append(keys)
-            all_counts.append(counts)
-            if order == 1:
-                real = keys != mix(np.array([START]) ^ U64(1))[0]
-                words = keys[real], counts[real]
-        segment, n_bits = build_segment(np.concatenate(all_keys), np.concatenate(all_counts))
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": [words[0].tobytes()], "counts": [words[1].tobytes()], "filter": [segment], "n_bits": [n_bits], "n_tokens": [int(words[1].sum())], "n_words": [len(words[0])]})
-
-    grams = docs.where("not held_out").select("text").mapInArrow(count, "bucket int, n int, keys binary, counts binary")
-    return stored(grams.groupBy("bucket").applyInArrow(gather, KEEPS), "lm-buckets"), bits
-
-
-def _look_up(column: pa.Array, pieces: list):
-    """Of each text: levels of all its n-grams that the pieces hold (order by order), sum of log10(count + 1), words known."""
-    tokens = Tokens(column)
-    models = [p.value for p in pieces]
-    levels, texts = np.zeros((ORDER, len(tokens.h)), dtype=np.uint8), tokens.begin[:-1]
-    logs, known = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-    for order, (keys, places) in enumerate(tokens.grams(), 1):
-        bucket = keys >> U64(64 - models[0].bits)
-        at = np.flatnonzero(places & (bucket >= models[0].first) & (bucket <= models[-1].last))
-        own, back = np.unique(keys[at], return_inverse=True)
-        found, exact = np.zeros(len(own), dtype=np.uint8), np.zeros(len(own), dtype=np.int64)
-        for model in models:
-            part = model.span(own)
-            found[part] = model.levels(own[part])
-            if order == 1:
-                exact[part] = model.exact(own[part])
-        levels[order - 1, at] = found[back]
-        if order == 1 and len(texts):
-            counts = np.zeros(len(tokens.h), dtype=np.int64)
-            counts[at] = exact[back]
-            counts[texts] = 0
-            logs, known = np.add.reduceat(np.log10(counts + 1.0), texts), np.add.reduceat((counts > 0).astype(np.int64), texts)
-    return levels, tokens, logs, known
-
-
-def _scores(levels: np.ndarray, begin: np.ndarray, total: float) -> np.ndarray:
-    """log10 probability of each text: orders interpolated with LAMBDA, the lowest with one added to each count."""
-    counts = [expected(row) for row in levels]
-    p = (counts[0] + 1) / total
-    for k in range(1, len(counts)):
-        context = np.concatenate([[0.0], counts[k - 1][:-1]])
-        ratio = np.minimum(1.0, counts[k] / np.maximum(context, 1.0))
-        p = np.where(context > 0, LAMBDA * ratio + (1 - LAMBDA) * p, p)
-    logs = np.log10(p)
-    logs[begin[:-1]] = 0
-    return np.add.reduceat(logs, begin[:-1]) if len(begin) > 1 else np.zeros(0)
-
-
-def score(docs: DataFrame, buckets: DataFrame, bits: int, round_bytes: int = ROUND_BYTES) -> DataFrame:
-    """SCORES of every row of docs (doc_id, held_out, text) under the model; null and empty texts are the end alone."""
-    spark = docs.sparkSession
-    sizes = buckets.select("bucket", (F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")).alias("size"), "n_tokens", "n_words").orderBy("bucket").collect()
-    n_train, vocabulary = sum(r.n_tokens for r in sizes), sum(r.n_words for r in sizes)
-    total = float(n_train + vocabulary + 1)
-    whole, held = sum(r["size"] for r in sizes), 0
-    rounds: list[list[int]] = [[] for _ in range(max(1, math.ceil(whole / round_bytes)))]
-    for r in sizes:
-        rounds[min(len(rounds) - 1, held * len(rounds) // max(1, whole))].append(r.bucket)
-        held += r["size"]
-    rounds = [members for members in rounds if members] or [[]]
-    now = docs.select("doc_id", "held_out", "text", F.lit(None).cast("binary").alias("levels"), F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known"))
-    for i, members in enumerate(rounds):
-        pieces, last = [], i == len(rounds) - 1
-        for k in range(0, len(members), PIECE_BUCKETS):
-            some = buckets.where(F.col("bucket").isin(members[k : k + PIECE_BUCKETS])).select("bucket", "words", "counts", "filter", "n_bits").collect()
-            pieces.append(spark.sparkContext.broadcast(Model(some, bits)))
-
-        def add(batches, pieces=pieces, last=last):
-            for batch in slices(batches, "text", SLICE_BYTES // 2):
-                if pieces:
-                    levels, tokens, logs, known = _look_up(batch.column(2), pieces)
-                else:
-                    tokens = Tokens(batch.column(2))
-                    levels, logs, known = np.zeros((ORDER, len(tokens.h)), np.uint8), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-                before = b"".join(x or b"" for x in batch.column(3).to_pylist())
-                if before:
-                    levels = np.maximum(levels, np.frombuffer(before, dtype=np.uint8).reshape(-1, ORDER).T)
-                logs, known = logs + np.asarray(batch.column(4)), known + np.asarray(batch.column(5))
-                if last:
-                    n = batch.num_rows
-                    columns = [batch.column(0), batch.column(1), pa.array(tokens.n_tokens.astype(np.int64)), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(logs - tokens.n_tokens * math.log10(total)), pa.array(_scores(levels, tokens.begin, total))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                else:
-                    cells = [levels[:, a:b].T.tobytes() for a, b in zip(tokens.begin[:-1], tokens.begin[1:])]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(cells, pa.binary()), pa.array(logs), pa.array(known)], names=["doc_id", "held_out", "text", "levels", "logs", "known"])
-
-        now = now.mapInArrow(add, SCORES if last else now.schema)
-        if not last:
-            now = stored(now, "lm-round")
-            for piece in pieces:
-                piece.unpersist()
-    return now
-
-
-def language_scores(df: DataFrame) -> DataFrame:
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n if n else 1}")
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Rising keys as the steps between them."""
+    return _packed(np.diff(keys, prepend=U64(0)))
+
+
+def held_out(doc_id: int | None) -> bool:
+    """Whether a document is kept out of training; one without an id is not."""
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+class Grams:
+    """A block's tokens, and for each order the distinct n-grams, by name, and which one ends at each token (or -1).
+
+    A word's name is its hash; that of a longer n-gram has the bits that name a bucket and NAME_BITS more.
+    """
+
+    def __init__(self, table: pa.Table, bits: int):
+        texts = BlockTexts(table)
+        self.ids, self.bits = texts.ids, bits
+        self.held = np.array([held_out(x) for x in texts.ids.to_pylist()], dtype=bool)
+        self.tokens = Tokens(texts)
+        trained, self.names, self.at, self.counts = ~self.held[self.tokens.doc], [], [], []
+        for order, (keys, places) in enumerate(self.tokens.grams(), 1):
+            names, back = np.unique((keys if order == 1 else keys >> U64(64 - NAME_BITS - bits))[places], return_inverse=True)
+            at = np.full(len(keys), -1, dtype=np.int64)
+            at[places] = back
+            self.names.append(names)
+            self.at.append(at)
+            self.counts.append(np.bincount(at[places & trained], minlength=len(names)))
+
+    def buckets(self, order: int) -> np.ndarray:
+        return self.names[order - 1] >> U64(64 - self.bits if order == 1 else NAME_BITS)
+
+    def dealt(self, block: int, train: bool) -> pa.Table:
+        """SENT: the counts of all words and of all trained n-grams; without train all n-grams, without counts."""
+        rows = []
+        for order in range(1 if train else 2, ORDER + 1):
+            names, counts = self.names[order - 1], self.counts[order - 1]
+            if train and order > 1:
+                names, counts = names[counts > 0], counts[counts > 0]
+            cut = np.searchsorted(names >> U64(64 - self.bits if order == 1 else NAME_BITS), np.arange((1 << self.bits) + 1, dtype=U64))
+            for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                own = names[cut[k] : cut[k + 1]]
+                keys = own.tobytes() if order == 1 else _steps(own & U64((1 << NAME_BITS) - 1))
+                rows.append((k, block, order, keys, len(own).to_bytes(4, "little") + (_packed(counts[cut[k] : cut[k + 1]]) if train else b"")))
+        columns = zip(*rows) if rows else ((),) * 5
+        kinds = {"bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+        return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
+
+
+def _names(data: bytes, n: int, bucket: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, n), dtype=U64) | U64(bucket << NAME_BITS)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+
+
+def _gather(bucket: int, table: pa.Table, bits_per_entry: int) -> pa.Table:
+    """The bucket's segment, and for each block the exact counts of the words that it sent."""
+    rows, all_keys, all_counts = [], [], []
+    orders = np.asarray(table.column("n"))
+    for order in range(1, ORDER + 1):
+        part = table.filter(pa.array(orders == order))
+        sent, keys, counts = part.column("keys").to_pylist(), [], []
+        for data, own in zip(sent, part.column("counts").to_pylist()):
+            n = len(data) // 8 if order == 1 else int.from_bytes(own[:4], "little")
+            keys.append(np.frombuffer(data, dtype=U64) if order == 1 else _names(data, n, bucket))
+            counts.append(_unpacked(own[4:], n).astype(np.int64))
+        if not keys:
+            continue
+        names, total = _summed(np.concatenate(keys), np.concatenate(counts))
+        if order > 1:
+            kept = total >= MIN_COUNT
+            all_keys.append(_of_order(names[kept], order))
+            all_counts.append(total[kept])
+            continue
+        start = names == mix(np.array([START]) ^ U64(1))[0]
+        n_tokens, n_words = int(total[~start].sum()), int((total[~start] > 0).sum())
+        back = total[np.searchsorted(names, np.concatenate(keys))]
+        rows += [(block, "words", bucket, _packed(back[a:b]), None) for block, a, b in per_block(part, map(len, keys))]
+        rows.append((None, "total", bucket, n_tokens.to_bytes(8, "big"), n_words.to_bytes(8, "big")))
+    if sum(map(len, all_keys)):
+        segment, n_bits = build_segment(np.concatenate(all_keys), np.concatenate(all_counts), bits_per_entry)
+        rows.append((None, "segment", bucket, segment, n_bits.to_bytes(8, "little")))
+    return notes_of(rows)
+
+
+def _probe(bucket: int, table: pa.Table, segment: pa.Table) -> pa.Table:
+    """For each block the levels of the n-grams that it sent to the segment."""
+    if not segment.num_rows:
+        return notes_of([])
+    model = Model([(bucket, segment.column("one")[0].as_py(), int.from_bytes(segment.column("two")[0].as_py(), "little"))])
+    found: dict[int, list] = {}
+    for block, order, data, n in zip(*(table.column(c).to_pylist() for c in ("block", "n", "keys", "counts"))):
+        found.setdefault(block, [None] * (ORDER - 1))[order - 2] = model.levels(_names(data, int.from_bytes(n, "little"), bucket), order).tobytes()
+    return notes_of([(block, f"levels{k}", bucket, x, None) for block, own in found.items() for k, x in enumerate(own, 2) if x is not None])
+
+
+def scores_of(grams: Grams, words: np.ndarray, levels: list[np.ndarray], n_train: int, vocabulary: int) -> pa.Table:
+    """SCORES of a block; words are its words' counts, levels those of its n-grams of each order from 2 on.
+
+    Orders are interpolated with LAMBDA where the filter knows the context; the lowest has one added to each count.
+    """
+    tokens, total = grams.tokens, float(n_train + vocabulary + 1)
+    begin = tokens.begin[:-1]
+    count = words[grams.at[0]].astype(np.float64)
+    p, context = (count + 1) / total, count
+    for own, at in zip(levels, grams.at[1:]):
+        seen = np.where(at >= 0, expected(own.astype(np.int64))[at] if len(own) else 0.0, 0.0)
+        before = np.concatenate([[0.0], context[:-1]])
+        p = np.where((before > 0) & (at >= 0), LAMBDA * np.minimum(1.0, seen / np.maximum(before, 1.0)) + (1 - LAMBDA) * p, p)
+        context = seen
+    score, base, known = np.log10(p), np.log10((count + 1) / total), (count > 0).astype(np.int64)
+    sums = []
+    for x in (known, base, score):
+        x[begin] = 0
+        sums.append(np.add.reduceat(x, begin) if len(begin) else x)
+    return pa.table({"doc_id": grams.ids, "held_out": pa.array(grams.held), "n_tokens": pa.array(tokens.n_tokens.astype(np.int64)), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(begin), n_train, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+
+def language_scores(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """SCORES of every row of df (doc_id, text), by a model of those that are not held out.
 
-    With nothing to train on all counts are 0. Texts that repeat count as often as they occur.
+    A null or empty text is its end alone; a null doc_id is not held out. With nothing to train on all counts are 0.
+    Texts that repeat count as often as they occur, rows that repeat have a row each, further columns are not read and
+    an empty table gives no rows. Texts of any length are scored whole.
     """
-    docs = with_split(df)
-    buckets, bits = train(docs)
-    released(df.sparkSession)
-    return score(docs, buckets, bits)
+    spark = df.sparkSession
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(64 - NAME_BITS, max(2, math.ceil(math.log2(max(1, size / sizes.bucket)))))
+    blocks = table_of_blocks(docs, size, "lm-blocks", sizes.block, sizes.table)
+    released(spark)
+    count = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), True)
+    gather = lambda key, table: _gather(key[0].as_py(), table, sizes.bits)
+    notes = stored(blocks.groupBy("block").applyInArrow(count, SENT).groupBy("bucket").applyInArrow(gather, NOTES), "lm-notes")
+    released(spark)
+    whole = lambda c: F.sum(F.conv(F.hex(c), 16, 10).cast("long"))
+    n_train, vocabulary = (x or 0 for x in notes.where("kind = 'total'").agg(whole("one"), whole("two")).first())
+    segments, back = notes.where("kind = 'segment'"), notes.where("block is not null")
+    held = segments.agg(F.sum(F.octet_length("one"))).first()[0] or 0
+    pieces = _broadcast(segments, bits, sizes.piece) if held <= sizes.broadcast else None
+    if pieces is None:
+        ask = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), False)
+        probe = lambda key, table, segment: _probe(key[0].as_py(), table, segment)
+        asked = blocks.groupBy("block").applyInArrow(ask, SENT)
+        back = back.unionAll(stored(asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(probe, NOTES), "lm-levels"))
+        released(spark)
+
+    def score(key, own, notes):
+        grams = Grams(own, bits)
+        words, levels = np.zeros(len(grams.names[0]), dtype=np.int64), []
+        for at, one, _ in noted(notes, "words", grams.buckets(1)):
+            words[at] = _unpacked(one, at.stop - at.start)
+        for order in range(2, ORDER + 1):
+            names, found = grams.names[order - 1], np.zeros(len(grams.names[order - 1]), dtype=np.uint8)
+            for piece in pieces or []:
+                at = slice(*np.searchsorted(grams.buckets(order), np.array([piece.value.first, piece.value.last + 1], dtype=U64)).tolist())
+                found[at] = piece.value.levels(names[at], order)
+            for at, one, _ in noted(notes, f"levels{order}", grams.buckets(order)):
+                found[at] = np.frombuffer(one, dtype=np.uint8)
+            levels.append(found)
+        return scores_of(grams, words, levels, n_train, vocabulary)
+
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES)
+
+
+def _broadcast(segments: DataFrame, bits: int, size: int) -> list:
+    """The whole filter, broadcast in pieces of so many buckets; a bucket without n-grams has an empty segment."""
+    out = []
+    for k in range(0, 1 << bits, size):
+        own = {r.bucket: r for r in segments.where(F.col("bucket").between(k, k + size - 1)).select("bucket", "one", "two").collect()}
+        rows = [(b, bytes(own[b].one), int.from_bytes(own[b].two, "little")) if b in own else (b, bytes(8), 64) for b in range(k, min(k + size, 1 << bits))]
+        out.append(segments.sparkSession.sparkContext.broadcast(Model(rows)))
+    return out

@@ -4,8 +4,8 @@ A repeat of 50 bytes has 27 substrings of 24 bytes. The one with the smallest ha
 same in every occurrence of the repeat, so it is the repeat's anchor: equal 50-byte strings meet at their anchor,
 and an anchor's context, the text around it that its own strings cover, is short.
 
-Documents are packed into blocks, a table that is bucketed by block, so that what comes back for a block meets its
-text without another shuffle of the texts:
+Documents are packed into blocks (see blocks.py), so that what comes back for a block meets its text without another
+shuffle of the texts:
 
 1. each block sends the hashes of its anchors; back comes which of them other blocks have too;
 2. each block sends the contexts of those, equal ones once with their smallest doc_id. The contexts of an anchor are
@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import U64, Texts, hash_runs, mix, released, shared_path, slices, stored
+from postmill.llm.blocks import BLOCK_BYTES, NOTES, TABLE_BYTES, BlockTexts, noted, notes_of, per_block, table_of_blocks
+from postmill.llm.common import U64, hash_runs, mix, released, stored
 from postmill.llm.suffixes import spread, suffix_arrays
 
 LENGTH, GRAM = 50, 24
@@ -37,7 +37,6 @@ SIDE = LENGTH - GRAM
 NEVER = np.uint32(0xFFFFFFFF)
 #: No doc_id: greater than all.
 NO_ID = np.iinfo(np.int64).max
-MOST_TABLE_BUCKETS = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,8 +44,8 @@ class Sizes:
     """How work is cut; no result depends on it."""
 
     #: Text bytes: of a block, of a bucket of the table of blocks, of a bucket of hashes and of one of contexts, on average.
-    block: int = 4 << 20
-    table: int = 16 << 20
+    block: int = BLOCK_BYTES
+    table: int = TABLE_BYTES
     keys: int = 64 << 20
     contexts: int = 8 << 20
     #: Text that is cut to anchors at once.
@@ -58,9 +57,7 @@ class Sizes:
     array: int = 400_000
 
 
-BLOCKS = "block long, ids array<bigint>, ends binary, text binary"
 KEYS = "bucket int, block long, keys binary"
-NOTES = "block long, kind string, bucket int, one binary, two binary"
 SENT = "bucket int, block long, keys binary, size long, rest binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -145,11 +142,9 @@ class Block:
     """A block's documents (null ids as NO_ID) and anchors."""
 
     def __init__(self, table: pa.Table, cut: int = Sizes.cut):
-        ids, ends, text = (table.column(name)[0] for name in ("ids", "ends", "text"))
-        self.null_ids = ids.values
-        self.ids = np.asarray(pa.compute.fill_null(ids.values, NO_ID))
-        self.data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-        self.offsets = np.append(0, np.frombuffer(ends.as_buffer(), dtype=np.int64))
+        texts = BlockTexts(table)
+        self.null_ids, self.data, self.offsets = texts.ids, texts.bytes, texts.offsets
+        self.ids = np.asarray(pa.compute.fill_null(texts.ids, NO_ID))
         found = []
         for cuts in self._slices(cut):
             h, p, a, b = anchors(self.data[cuts[0] : cuts[-1]], cuts - cuts[0])
@@ -183,7 +178,9 @@ class Contexts:
         keys = block.keys(key_bits)
         order = np.argsort(keys, kind="stable")
         start = _starts(keys[order])
-        level = _noted(notes, "keys", keys[order][start] >> U64(32), 1 << key_bits)
+        level = np.zeros(len(start), dtype=np.uint8)
+        for own, *both in noted(notes, "keys", keys[order][start] >> U64(32)):
+            level[own] = sum(np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=own.stop - own.start) for x in both)
         docs = block.doc[order]
         both = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start) if len(start) else level > 0
         level = np.repeat(np.maximum(level, both), np.diff(np.append(start, len(order))))
@@ -232,19 +229,6 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _noted(notes: pa.Table, kind: str, buckets: np.ndarray, n: int):
-    """What notes of a kind say of entries in the order in which a block sent them; buckets: of each entry, rising."""
-    cut = np.searchsorted(buckets, np.arange(n + 1, dtype=buckets.dtype))
-    rows = notes.filter(pa.compute.equal(notes.column("kind"), kind))
-    wide = kind == "masks"
-    out = np.zeros((2, len(buckets)), dtype=np.uint32 if wide else np.uint8)
-    for bucket, *both in zip(*(rows.column(c).to_pylist() for c in ("bucket", "one", "two"))):
-        own = slice(cut[bucket], cut[bucket + 1])
-        for k, x in enumerate(both):
-            out[k, own] = np.frombuffer(x, dtype=np.uint32) if wide else np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=own.stop - own.start)
-    return out if wide else out[0] + out[1]
-
-
 def _removed(left, right, at, data, docs, unit) -> np.ndarray:
     """For each context (a row of a unit's text, units one after another) a bit for each string that a smaller doc has.
 
@@ -332,11 +316,11 @@ def _meet_keys(key, table, hot_blocks: int):
     count = np.diff(np.append(start, len(keys)))
     level = np.empty(len(keys), dtype=np.uint8)
     level[order] = np.repeat((count > 1).astype(np.uint8) + (count > hot_blocks), count)
-    ends, rows = np.cumsum([len(x) for x in sent]), []
-    for block, a, b in zip(table.column("block").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+    rows = []
+    for block, a, b in per_block(table, map(len, sent)):
         if level[a:b].any():
             rows.append((block, "keys", key[0].as_py(), np.packbits(level[a:b] > 0).tobytes(), np.packbits(level[a:b] > 1).tobytes()))
-    return _notes(rows)
+    return notes_of(rows)
 
 
 def _meet_contexts(key, table, sizes: Sizes):
@@ -352,49 +336,11 @@ def _meet_contexts(key, table, sizes: Sizes):
     del columns
     left, right = left.astype(np.int64), right.astype(np.int64)
     one, two = decide(np.concatenate(keys), left, right, np.cumsum(left + right) - left - right, data, least, more, sizes)
-    ends, rows = np.cumsum([len(x) for x in keys]), []
-    for block, a, b in zip(table.column("block").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+    rows = []
+    for block, a, b in per_block(table, map(len, keys)):
         if two[a:b].any() or one[a:b].any():
             rows.append((block, "masks", key[0].as_py(), one[a:b].tobytes(), two[a:b].tobytes()))
-    return _notes(rows)
-
-
-def _notes(rows: list) -> pa.Table:
-    columns = zip(*rows) if rows else ((),) * 5
-    kinds = {"block": pa.int64(), "kind": pa.string(), "bucket": pa.int32(), "one": pa.binary(), "two": pa.binary()}
-    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
-
-
-def _pack(batches, size: int):
-    """Rows (doc_id, text) as BLOCKS of about size bytes."""
-    ids, sizes, texts, held, part, n = [], [], [], 0, TaskContext.get().partitionId(), 0
-
-    def block():
-        return pa.RecordBatch.from_arrays([pa.array([part << 33 | n], pa.int64()), pa.array([pa.concat_arrays(ids)], pa.list_(pa.int64())), pa.array([np.cumsum(np.concatenate(sizes)).tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())], names=["block", "ids", "ends", "text"])
-
-    for batch in slices(batches, "text", size // 4):
-        own = Texts(batch.column(1))
-        ids.append(batch.column(0))
-        sizes.append(np.diff(own.offsets))
-        texts.append(own.bytes.tobytes())
-        held += len(own.bytes)
-        if held >= size:
-            yield block()
-            ids, sizes, texts, held, n = [], [], [], 0, n + 1
-    if ids:
-        yield block()
-
-
-def _table_of_blocks(docs: DataFrame, total: int, sizes: Sizes) -> DataFrame:
-    """docs as blocks, bucketed by block in the shared folder: what is grouped by block is not shuffled again."""
-    spark = docs.sparkSession
-    n = min(MOST_TABLE_BUCKETS, max(1, math.ceil(total / sizes.table)))
-    path = shared_path(spark, "repeat-blocks")
-    name = path.rpartition("/")[2].replace("-", "_")
-    docs.mapInArrow(lambda batches: _pack(batches, sizes.block), BLOCKS).repartition(n, "block").write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay
-    return table
+    return notes_of(rows)
 
 
 def remove_repeats(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
@@ -408,7 +354,7 @@ def remove_repeats(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     key_bits, bits = (max(2, math.ceil(math.log2(max(1, total / x)))) for x in (sizes.keys, sizes.contexts))
-    blocks = _table_of_blocks(docs, total, sizes)
+    blocks = table_of_blocks(docs, total, "repeat-blocks", sizes.block, sizes.table)
     released(spark)
 
     def keys(key, table):
@@ -424,7 +370,9 @@ def remove_repeats(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     def cut(key, own, notes):
         block = Block(own, sizes.cut)
         found = Contexts(block, notes, key_bits)
-        one, two = _noted(notes, "masks", found.key >> U64(64 - bits), 1 << bits)
+        one, two = np.zeros((2, len(found.key)), dtype=np.uint32)
+        for at, *both in noted(notes, "masks", found.key >> U64(64 - bits)):
+            one[at], two[at] = (np.frombuffer(x, dtype=np.uint32) for x in both)
         masks = np.where(found.ids == found.least[found.which], one[found.which], two[found.which])
         begins = np.zeros(len(block.data) + 1, dtype=bool)
         for x in range(SIDE + 1):

@@ -309,45 +309,62 @@ def test_unfinished_document(spark, tmp_path):
 # 7
 
 
-def test_language_scores(docs, rows, empty):
+def brute_model(rows, scored):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base, score) of each row by plain counts, quantised."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    seen = Counter()
-    for x in rows:
-        if not held(x[0]):
-            seen.update([*WORD.findall(low(x[1])), None])
-    n, v = sum(seen.values()), len(seen)
-    expected = Counter()
-    for x in rows:
-        own = [*WORD.findall(low(x[1])), None]
-        expected[x[0], held(x[0]), len(own), sum(seen[w] > 0 for w in own), n, round(sum(log10((seen[w] + 1) / (n + v + 1)) for w in own), 5)] += 1
-    split = lm.with_split(docs)
-    buckets, bits = lm.train(split)
-    found = lm.score(split, buckets, bits).collect()
-    assert Counter((*tuple(r)[:5], round(r.base_score, 5)) for r in found) == expected
-    assert all(r.score < 0 for r in found)
-    small = lm.score(split, buckets, bits, round_bytes=1).collect()
-    assert sorted((str(r.doc_id), round(r.score, 6)) for r in small) == sorted((str(r.doc_id), round(r.score, 6)) for r in found)
-    assert lm.language_scores(empty).count() == 0
+    tokens = lambda t: ["<s>", *WORD.findall(low(t)), "</s>"]
+    grams = [Counter() for _ in range(3)]
+    for i, t in rows:
+        if not held(i):
+            own = tokens(t)
+            for k in range(3):
+                grams[k].update(tuple(own[j : j + k + 1]) for j in range(len(own) - k))
+    n, v = sum(grams[0].values()) - grams[0]["<s>",], len(grams[0]) - (("<s>",) in grams[0])
+
+    def seen(gram):
+        c = grams[len(gram) - 1][gram]
+        if len(gram) == 1 or c < lm.MIN_COUNT:
+            return c if len(gram) == 1 else 0
+        j = next(j for j in range(200) if lm.LOG_BASE ** (j + 1) > c + 1e-6) + 1
+        return max(1.0, (lm.LOG_BASE ** (j - 1) + lm.LOG_BASE**j - 1) / 2)
+
+    for i, t in scored:
+        own, base, score = tokens(t), 0.0, 0.0
+        for j in range(1, len(own)):
+            p = (seen((own[j],)) + 1) / (n + v + 1)
+            base += log10(p)
+            for k in (1, 2):
+                if j >= k and (before := seen(tuple(own[j - k : j]))):
+                    p = lm.LAMBDA * min(1.0, seen(tuple(own[j - k : j + 1])) / before) + (1 - lm.LAMBDA) * p
+            score += log10(p)
+        yield i, held(i), len(own) - 1, sum(grams[0][w,] > 0 for w in own[1:]), n, round(base, 4), round(score, 4)
+
+
+def rounded(df):
+    return Counter((*tuple(r)[:5], round(r.base_score, 4), round(r.score, 4)) for r in df.collect())
+
+
+@pytest.mark.parametrize("more", [{}, {"broadcast": -1}, {"block": 3000, "table": 9000, "bucket": 9000, "piece": 1}, {"broadcast": -1, "block": 3000, "bucket": 9000}])
+def test_language_scores(docs, rows, empty, more):
+    pairs = [x[:2] for x in rows]
+    sizes = lm.Sizes(bits=80, **more)
+    assert rounded(lm.language_scores(docs, sizes)) == Counter(brute_model(pairs, pairs))
+    assert lm.language_scores(empty, sizes).count() == 0
+
+
+def test_language_scores_with_nothing_to_train_on(docs):
     nothing = lm.language_scores(docs.where("doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing.collect())
 
 
 def test_filter_gives_counts_back():
     rng = np.random.default_rng(2)
-    keys, counts = rng.integers(1, 1 << 61, 3000).astype(np.uint64) & np.uint64((1 << 61) - 1), rng.geometric(0.1, 3000)
-    keys = np.unique(keys)
-    counts = counts[: len(keys)]
-    segment, n_bits = lm.build_segment(keys, counts)
-
-    class Row:
-        bucket, words, filter = 0, b"", segment
-
-    row = Row()
-    row.counts, row.n_bits = b"", n_bits
-    model = lm.Model([row], 3)
-    assert (model.levels(keys) >= lm.levels_of(counts)).all() and (model.levels(keys) == lm.levels_of(counts)).mean() > 0.97
-    other = rng.integers(1, 1 << 60, 3000).astype(np.uint64)
-    assert (model.levels(other) > 0).mean() < 0.03
+    names, counts = np.unique(rng.integers(1, 1 << 40, 3000).astype(np.uint64)), rng.geometric(0.1, 3000)
+    counts = counts[: len(names)]
+    model = lm.Model([(0, *lm.build_segment(lm._of_order(names, 2), counts, 10))])
+    found = model.levels(names, 2)
+    assert (found >= lm.levels_of(counts)).all() and (found == lm.levels_of(counts)).mean() > 0.97
+    assert (model.levels(names, 3) > 0).mean() < 0.03
 
 
 # 8
