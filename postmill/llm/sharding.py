@@ -1,7 +1,7 @@
 """Sharding by a k-d tree: nodes split at weighted medians along their widest metadata dimension.
 
 The points are groups of equal texts, weighted by their bytes, so that copies share a shard; a group above a
-quarter of a shard is dealt row by row instead. A median is found by descending a 48-bit key (24 bits of the
+quarter of a shard is dealt row by row instead. Languages and sources are dimensions by their rank. A median is found by descending a 48-bit key (24 bits of the
 dimension, 24 bits of a hash that breaks ties), twelve bits a pass: each pass is one aggregate over all points, of
 which 4,096 sums a node are scanned for the bin that holds the cut.
 """
@@ -17,29 +17,45 @@ from postmill.llm.common import stored
 
 ROW_BYTES = 16
 BINS, PASSES = 12, 4
+#: Nodes that are looked up in a map of literals at most; a table of more is joined.
+MOST_LITERALS = 200
 #: Rows that share one step of the numbering within a shard, on average.
 SLOT_ROWS = 20_000
 
 
-def _text_code(c: str):
-    """A number that orders strings by their first six bytes; null is below all."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def ranks(df: DataFrame, c: str) -> DataFrame:
+    """(c, rank: double) of the distinct values of c in order, from 1; null has none.
+
+    Values are sorted over all partitions and numbered within each; only the partitions' row counts meet in one place.
+    """
+    own = df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
+    own = stored(own.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "shard-ranks")
+    counts = own.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return own.join(before, "part").select(c, (F.col("before") + F.col("place") + 1).cast("double").alias("rank"))
 
 
-def _by_node(values: dict[int, object]) -> Column:
-    """values[node] for each row, null for other nodes; there are no more nodes than shards."""
-    return F.element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v))), F.col("node"))
+def _with(df: DataFrame, values: dict[str, dict[int, object]], most_literals: int) -> DataFrame:
+    """df with columns that have values[name][node] for each row, null for other nodes."""
+    nodes = sorted({k for own in values.values() for k in own})
+    if len(nodes) <= most_literals:
+        look_up = lambda own: F.element_at(F.create_map(*(F.lit(x) for k, v in own.items() for x in (k, v))), F.col("node"))
+        return df.withColumns({name: look_up(own) for name, own in values.items()})
+    kinds = {name: "double" if isinstance(next(iter(own.values())), float) else "long" for name, own in values.items()}
+    table = df.sparkSession.createDataFrame([(k, *(own.get(k) for own in values.values())) for k in nodes], "node int, " + ", ".join(f"{n} {t}" for n, t in kinds.items()))
+    return df.join(F.broadcast(table), "node", "left")
 
 
-def _split(points: DataFrame, left: dict[int, float]) -> dict[int, int]:
+def _split(points: DataFrame, left: dict[int, float], most_literals: int) -> dict[int, int]:
     """For each node (left: weight wanted below the cut) the cut as the largest key that goes left."""
     below, prefix, cuts = dict.fromkeys(left, 0), dict.fromkeys(left, 0), {}
     for step in range(PASSES):
         shift = BINS * (PASSES - 1 - step)
-        live = points.where(F.shiftright("key", shift + BINS) == _by_node(prefix)) if step else points
+        live = _with(points, {"__prefix": prefix}, most_literals).where(F.shiftright("key", shift + BINS) == F.col("__prefix")) if step else points
         bins = live.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << BINS) - 1).alias("bin")).agg(F.sum("weight").alias("weight"))
         upto = bins.withColumn("upto", F.sum("weight").over(Window.partitionBy("node").orderBy("bin")))
-        hit = upto.where(F.col("upto") >= _by_node({k: float(left[k] - below[k]) for k in left})).groupBy("node").agg(F.min_by(F.struct("bin", "weight", "upto"), "bin").alias("h"))
+        wanted = _with(upto, {"__wanted": {k: float(left[k] - below[k]) for k in left}}, most_literals)
+        hit = wanted.where("upto >= __wanted").groupBy("node").agg(F.min_by(F.struct("bin", "weight", "upto"), "bin").alias("h"))
         for k, h in ((r.node, r.h) for r in hit.collect()):
             below[k] += h.upto - h.weight
             prefix[k] = prefix[k] << BINS | h.bin
@@ -49,7 +65,7 @@ def _split(points: DataFrame, left: dict[int, float]) -> dict[int, int]:
     return {k: cuts.get(k, (1 << BINS * PASSES) - 1) for k in left}
 
 
-def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> DataFrame:
+def kd_leaves(points: DataFrame, dims: list[str], leaves: int, most_literals: int = MOST_LITERALS) -> DataFrame:
     """points (weight: long, tie: long, dims: double) with leaf: int, 0 to leaves - 1, of weights near equal.
 
     A node is named by its first leaf. Each level is stored, so that its passes read one narrow table.
@@ -63,13 +79,13 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> DataFrame:
         wide = {k: max(range(len(dims)), key=lambda i, k=k: (width(stats[k], dims[i]) / span[dims[i]], -i)) for k, n in tree.items() if n > 1 and k in stats}
         if not wide:
             break
-        value = F.element_at(F.array(*dims), _by_node({k: d + 1 for k, d in wide.items()}))
-        low, size = _by_node({k: stats[k][f"lo_{dims[d]}"] for k, d in wide.items()}), _by_node({k: width(stats[k], dims[d]) for k, d in wide.items()})
-        key = F.shiftleft(((value - low) / size * ((1 << 24) - 1)).cast("long"), 24).bitwiseOR(F.col("tie").bitwiseAND((1 << 24) - 1))
-        keyed = now.withColumn("key", F.when(F.col("node").isin(list(wide)), key))
-        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), {k: stats[k].w * (tree[k] // 2) / tree[k] for k in wide})
-        right = _by_node({k: k + tree[k] // 2 for k in wide})
-        now = stored(keyed.withColumn("node", F.when(F.col("key") > _by_node(cuts), right).otherwise(F.col("node"))).drop("key"), "shard-level")
+        named = _with(now, {"__dim": {k: d + 1 for k, d in wide.items()}, "__low": {k: float(stats[k][f"lo_{dims[d]}"]) for k, d in wide.items()}, "__width": {k: float(width(stats[k], dims[d])) for k, d in wide.items()}}, most_literals)
+        value = F.element_at(F.array(*dims), F.col("__dim").cast("int"))
+        key = F.shiftleft(((value - F.col("__low")) / F.col("__width") * ((1 << 24) - 1)).cast("long"), 24).bitwiseOR(F.col("tie").bitwiseAND((1 << 24) - 1))
+        keyed = named.withColumn("key", F.when(F.col("__dim").isNotNull(), key)).drop("__dim", "__low", "__width")
+        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), {k: stats[k].w * (tree[k] // 2) / tree[k] for k in wide}, most_literals)
+        cut = _with(keyed, {"__cut": cuts, "__right": {k: k + tree[k] // 2 for k in wide}}, most_literals)
+        now = stored(cut.withColumn("node", F.when(F.col("key") > F.col("__cut"), F.col("__right")).otherwise(F.col("node")).cast("int")).drop("key", "__cut", "__right"), "shard-level")
         tree = {x: n for k, m in tree.items() for x, n in (((k, m // 2), (k + m // 2, m - m // 2)) if k in wide else ((k, 1),))}
     return now.withColumnRenamed("node", "leaf")
 
@@ -88,11 +104,12 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
     """One row per row of df (doc_id, text, and lang and source where it has them): the shard that it goes to.
 
     Law "bytes": shards' sizes are near equal. size is the text's UTF-8 bytes plus 16; a null text has size 16 and
-    the CRC of no bytes. Null languages and sources sort first, an empty table gives no rows, and rows that repeat
-    share a shard. grown_shard is null under this law.
+    the CRC of no bytes. Languages and sources count by their rank, null first; further columns are not read, an empty
+    table gives no rows, and rows that repeat share a shard unless there are so many that they alone would fill a
+    quarter of one. grown_shard is null under this law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    code = lambda c: _text_code(c) if c in df.columns else F.lit(0.0)
+    named = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
     rows = stored(
         df.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -100,20 +117,33 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("t1"),
             F.xxhash64(F.reverse(text), F.lit(1)).alias("t2"),
-            code("source").alias("d_source"),
-            code("lang").alias("d_lang"),
+            named("source"),
+            named("lang"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = shards or max(1, math.ceil(total / target_bytes))
+    most = total / shards / 4
     groups = rows.groupBy("t1", "t2").agg(F.sum("size").alias("group_size"))
-    large = groups.where(F.col("group_size") > total / shards / 4).select("t1", "t2", F.lit(True).alias("large"))
-    rows = rows.join(large, ["t1", "t2"], "left").withColumn("apart", F.when(F.col("large"), F.xxhash64("doc_id", F.lit(3))).otherwise(F.lit(0).cast("long"))).drop("large")
+    large = stored(groups.where(F.col("group_size") > most).select("t1", "t2", F.lit(True).alias("large")), "shard-large")
+    if large.isEmpty():
+        rows = rows.withColumns({"apart": F.lit(0).cast("long"), "turn": F.lit(0).cast("long")})
+    else:
+        # Rows of a large group are dealt by doc_id; those of one doc_id too only where they are as many.
+        rows = rows.join(large, ["t1", "t2"], "left")
+        repeated = rows.where("large").groupBy("t1", "t2", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).where((F.col("s") > most) & (F.col("n") > 1)).select("t1", "t2", "id", "no_id", F.lit(True).alias("repeated"))
+        keyed = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "no_id": F.col("doc_id").isNull()})
+        turn = F.when(F.col("repeated"), F.col("row")).otherwise(F.lit(0))
+        rows = keyed.join(repeated, ["t1", "t2", "id", "no_id"], "left").withColumn("turn", turn).withColumn("apart", F.when(F.col("large"), F.xxhash64("doc_id", F.lit(3), "turn")).otherwise(F.lit(0))).drop("large", "repeated", "id", "no_id")
+    for c in ("source", "lang"):
+        rows = rows.join(ranks(rows, c).withColumnRenamed("rank", f"d_{c}"), c, "left").withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(0.0)))
+    rows = stored(rows.drop("source", "lang", "row"), "shard-ranked")
     points = stored(
         rows.groupBy("t1", "t2", "apart").agg(F.sum("size").alias("weight"), F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"), F.coalesce(F.min("doc_id").cast("double"), F.lit(-1.0)).alias("d_id")).withColumn("tie", F.xxhash64("t1", "t2", "apart")),
         "shard-points",
     )
     placed = kd_leaves(points, ["d_source", "d_lang", "d_id"], shards).select("t1", "t2", "apart", F.col("leaf").alias("shard"))
-    out = rows.join(placed, ["t1", "t2", "apart"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
-    return numbered(out, "shard", ["doc_id", "text_crc32"], n // shards, "slot").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = rows.join(placed, ["t1", "t2", "apart"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "turn")
+    return numbered(out, "shard", ["doc_id", "text_crc32", "turn"], n // shards, "slot").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

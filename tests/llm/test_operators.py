@@ -198,6 +198,61 @@ def test_shards_are_near_equal_under_a_hot_group(spark):
     assert len(size) == 7 and max(size.values()) < 1.02 * min(size.values())
 
 
+def brute_leaves(points, leaves):
+    """Leaf of each point (weight, tie, *dims) by recursion over plain lists."""
+    span = [max(p[d] for p in points) - min(p[d] for p in points) or 1e-12 for d in (2, 3)]
+
+    def go(own, first, n):
+        if n == 1 or not own:
+            return {p: first for p in own}
+        lo, width = zip(*((min(p[d] for p in own), max(max(p[d] for p in own) - min(p[d] for p in own), 1e-12)) for d in (2, 3)))
+        d = max((0, 1), key=lambda i: (width[i] / span[i], -i))
+        key = lambda p: int((p[2 + d] - lo[d]) / width[d] * ((1 << 24) - 1)) << 24 | p[1] & ((1 << 24) - 1)
+        own = sorted(own, key=key)
+        want, below, cut = sum(p[0] for p in own) * (n // 2) / n, 0, -1
+        for p in own:
+            if below + p[0] >= want:
+                cut = key(p) if below + p[0] - want <= want - below else key(p) - 1
+                break
+            below += p[0]
+        left = [p for p in own if key(p) <= cut]
+        return go(left, first, n // 2) | go([p for p in own if key(p) > cut], first + n // 2, n - n // 2)
+
+    return go(points, 0, leaves)
+
+
+@pytest.mark.parametrize("most_literals", [200, 1])
+def test_tree_against_plain_recursion(spark, most_literals):
+    r = random.Random(6)
+    points = [(r.randint(1, 90), i * 7919 % 4096 << 10 | i, float(r.randint(0, 5)), float(r.randint(0, 10**6))) for i in range(400)]
+    df = spark.createDataFrame(points, "weight long, tie long, x double, y double")
+    found = {tuple(p)[:4]: p.leaf for p in sharding.kd_leaves(df.select("weight", "tie", "x", "y"), ["x", "y"], 7, most_literals).select("weight", "tie", "x", "y", "leaf").collect()}
+    assert found == brute_leaves(points, 7)
+
+
+def test_whole_names_tell_sources_apart(spark):
+    rows = [(i, f"text {i}", f"common-crawl-{'ab'[i % 2]}", None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    of = defaultdict(set)
+    for r in sharding.shard(df, shards=8).collect():
+        of[r.shard].add(r.doc_id % 2)
+    assert sum(len(x) for x in of.values()) <= 9
+    names = ["", "a", "a0", "aé", "b", "é", "\U0001f600"]
+    found = sharding.ranks(spark.createDataFrame([(x,) for x in [*names, *names, None]], "source string").repartition(3), "source").collect()
+    assert {x.source: x["rank"] for x in found} == {x: i + 1.0 for i, x in enumerate(sorted(names, key=str.encode))}
+
+
+def test_many_equal_rows_are_dealt(spark):
+    rows = [(None, "same text " * 9, "s", "en")] * 900 + [(5, "other text " * 9, "s", "en")] * 900 + [(i, f"text {i}", "t", None) for i in range(300)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=6).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in found:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(found) == 2100 and len(size) == 6 and max(size.values()) < 1.1 * min(size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w, total = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values())
