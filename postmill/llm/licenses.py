@@ -21,6 +21,8 @@ from postmill.llm.decontaminate import WORD_BYTES
 from postmill.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
+#: A stretch has at most so many times the template's words: what is spread wider is no copy of it.
+SPREAD = 4
 FOUND = "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long"
 
 
@@ -87,7 +89,7 @@ def _within(h: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
 
 
-def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, int]]:
+def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, spread: int = SPREAD) -> list[tuple[int, int, int, int, int]]:
     """(text, template, matched words, first word, last word) of the best stretch of each template found in a text."""
     h, docs, begin = words_of(Texts(pa.compute.utf8_lower(column)))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -98,17 +100,17 @@ def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD) -
         if not size or not len(known):
             continue
         hits = known[_within(h[known], own)]
-        # A stretch of twice the template's words starts at a hit and holds enough hits to reach the threshold.
+        # A stretch of spread times the template's words starts at a hit and holds enough hits to reach the threshold.
         enough = int(np.ceil(need))
         if len(hits) < enough:
             continue
         end = hits[enough - 1 :]
         start = hits[: len(end)]
-        good = np.flatnonzero((end - start < 2 * size) & (docs[end] == docs[start]))
+        good = np.flatnonzero((end - start < spread * size) & (docs[end] == docs[start]))
         done = -1
         for i in good.tolist():
             a, d = int(hits[i]), int(docs[hits[i]])
-            b = min(a + 2 * size, int(begin[d + 1]))
+            b = min(a + spread * size, int(begin[d + 1]))
             if a < done:
                 continue
             text = h[a:b].tolist()
@@ -124,18 +126,21 @@ def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD) -
     return sorted((d, t, *v) for (d, t), v in best.items())
 
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, spread: int = SPREAD) -> DataFrame:
     """One row per document (doc_id, text) and license whose coverage is the threshold or more.
 
     coverage is that of the best stretch, first_word and last_word count the document's words (letters and digits)
-    from 0. Words are compared in lower case. A null or empty text has no row.
+    from 0. Words are compared in lower case. A stretch starts at one of the template's words and has at most spread
+    times as many; of equally good ones the first counts. A null or empty text has no row, rows that repeat have their
+    rows again, further columns are not read, an empty table gives none, and texts of any length are scanned whole.
+    Templates are the caller's own list and go to every task.
     """
     sent = df.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
 
     def run(batches):
         own = sent.value
         for batch in slices(batches, "text"):
-            found = scan(batch.column(1), own, threshold)
+            found = scan(batch.column(1), own, threshold, spread)
             d, t, n, a, b = zip(*found) if found else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(d, pa.int64())), pa.array([own.names[x] for x in t], pa.string()), pa.array([x / len(own.words[y]) for x, y in zip(n, t)], pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],

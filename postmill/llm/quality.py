@@ -33,6 +33,12 @@ class Measures:
         self.texts = Texts(column)
         self._known: dict = {}
 
+    def of(self, rows: np.ndarray, column: pa.Array) -> Measures:
+        """The measures of some rows (column: their texts); the counts that are known already are carried along."""
+        out = Measures(column)
+        out._known = {k: v[rows] for k, v in self._known.items() if k.startswith("n_") or k == "word_chars"}
+        return out
+
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
@@ -129,13 +135,16 @@ def _text(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
 
 
-def cascade(column: pa.Array, order: list[int]) -> np.ndarray:
+def cascade(column: pa.Array, order: list[int], known: Measures | None = None) -> np.ndarray:
     """Which texts no rule rejects; each rule reads only the texts that the rules before it left."""
-    kept = np.arange(len(column))
+    kept, measures = np.arange(len(column)), known or Measures(column)
     for k in order:
         if not len(kept):
             break
-        kept = kept[~RULES[k].rejects(Measures(column.take(pa.array(kept)) if len(kept) < len(column) else column))]
+        good = np.flatnonzero(~RULES[k].rejects(measures))
+        if len(good) < len(kept):
+            kept = kept[good]
+            measures = measures.of(good, column.take(pa.array(kept)))
     out = np.zeros(len(column), dtype=bool)
     out[kept] = True
     return out
@@ -192,7 +201,8 @@ def quality(df: DataFrame, order: list[int] | None = None) -> DataFrame:
             failed = (m.n_words < 10) | (100 * m.n_repeat_words > 20 * m.n_words)
             kept = np.zeros(len(column), dtype=bool)
             left = np.flatnonzero(~failed)
-            kept[left] = cascade(column.take(pa.array(left)), rest)
+            some = column.take(pa.array(left))
+            kept[left] = cascade(some, rest, m.of(left, some))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(np.asarray(getattr(m, c), dtype=np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept)],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],

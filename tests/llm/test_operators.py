@@ -148,6 +148,36 @@ def test_license_repeated_and_changed(spark):
     assert found["MIT-notice"] == 1.0 and 0.95 < found["ISC"] < 1.0
 
 
+def brute_best(words, template, spread):
+    """Most matched words of a stretch that starts at one of the template's words."""
+    found = [licenses.align(words[i : i + spread * len(template)], template) for i, w in enumerate(words) if w in set(template)]
+    return max((len(x) for x in found), default=0)
+
+
+@pytest.mark.parametrize("spread", [2, 4])
+def test_coverage_is_that_of_the_best_stretch(spark, spread):
+    r = random.Random(12)
+    names = ["a", "b", "c", "d", "e", "f", "g", "h"]
+    templates = {str(k): " ".join(r.choice(names) for _ in range(6 + 3 * k)) for k in range(4)}
+    rows = []
+    for i in range(60):
+        own = templates[str(i % 4)].split()
+        for _ in range(r.randint(0, 12)):
+            own.insert(r.randint(0, len(own)), r.choice(["x", "y", *names]))
+        rows.append((i, " ".join(r.choice("xyz") for _ in range(5)) + " " + " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x.doc_id, x.license): x.n_matched for x in licenses.scan_licenses(df, templates, spread=spread).collect()}
+    best = {(i, k): brute_best(t.split(), v.split(), spread) for i, t in rows for k, v in templates.items()}
+    assert found == {(i, k): n for (i, k), n in best.items() if n >= 0.8 * len(templates[k].split())}
+
+
+def test_wide_copies_and_long_texts(spark):
+    wide = " ".join(f"{w} foreign word" for w in licenses.TEMPLATES["MIT"].split())
+    long = " ".join(f"w{i % 997}" for i in range(600_000)) + " " + licenses.TEMPLATES["Zlib"]
+    found = {(x.doc_id, x.license): x.coverage for x in licenses.scan_licenses(spark.createDataFrame([(1, wide), (2, long)], "doc_id long, text string")).collect()}
+    assert found[1, "MIT"] > 0.95 and found[2, "Zlib"] == 1.0
+
+
 # 3
 
 
@@ -176,6 +206,21 @@ def test_contamination(spark, docs, rows, empty):
     assert decontaminate.without_items(docs, bench).columns == docs.columns
 
 
+def test_recall_of_items_scattered_over_a_document(spark):
+    """An item in four pieces that lie far apart: found where a piece has enough of it for an equal MinHash."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items, docs = [], []
+    for i in range(200):
+        item = [word() for _ in range(80)]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(" ".join([*item[k : k + 20], *(word() for _ in range(400))]) for k in range(0, 80, 20))))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    expected = {(d, i) for (d, t), (i, x) in zip(docs, items) if len(shingle_set(t) & shingle_set(x)) >= 0.8 * len(shingle_set(x))}
+    own = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert own <= expected and len(own) >= 0.9 * len(expected) > 100
+
+
 # 4 and 10
 
 
