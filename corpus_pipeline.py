@@ -10,7 +10,11 @@ from postmill.llm.common import shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    Null and empty texts have no words and go; rows that repeat share their verdict, an empty table stays empty, and
+    all columns are kept whatever their names.
+    """
     return quality.keep_good(docs)
 
 
@@ -18,6 +22,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id, and of those the one with the smallest hash.
 
     A null doc_id counts as a hash of the text. Rows that share a doc_id are one only if they are equal throughout.
+    Texts without words are near copies of one another; an empty table stays empty.
     """
     own = F.coalesce("doc_id", F.xxhash64("text")).alias("own")
     cells = [F.col(f"`{c}`") for c in docs.columns]
@@ -28,17 +33,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    A text of fewer than five words, or none, holds none; rows that repeat stay or go together; without documents or
+    items the rows stay as they are.
+    """
     return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources draws them."""
+    """Documents as often as the mix of sources draws them, up to three times.
+
+    Null is a source of its own; texts without words are not drawn; rows that share a doc_id are drawn apart; an empty
+    table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and place in it of every document that the mix drew."""
+    """The shard and place in it of every document that the mix drew.
+
+    Copies share a shard unless they would fill a quarter of one; null ids, sources and languages come first; an empty
+    table gives no rows.
+    """
     return sharding.shard(docs, shards=40)
 
 
