@@ -97,3 +97,21 @@ def human_bytes(n: Column | str) -> Column:
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
         out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def unique_names(names: Column) -> Column:
+    """An array of names, each once: of equal ones the first stays, others become "base (n).ext" with the least free n."""
+
+    def free(taken: Column, name: Column) -> Column:
+        ext = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+        base = F.left(name, F.char_length(name) - F.char_length(ext))
+        numbered = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda n: F.when(n == 0, name).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+        return F.filter(numbered, lambda x: ~F.array_contains(taken, x))[0]
+
+    return F.aggregate(names, F.array().cast("array<string>"), lambda taken, name: F.concat(taken, F.array(free(taken, name))))
+
+
+def results_json(rows: list[str]) -> Column:
+    """A row's fields as JSON: names in camel case, as a search's results are handed out."""
+    camel = lambda c: c.split("_")[0] + "".join(x.title() for x in c.split("_")[1:])
+    return F.to_json(F.struct(*(F.col(c).alias(camel(c)) for c in rows)))

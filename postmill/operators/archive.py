@@ -106,18 +106,31 @@ def issues(written: DataFrame, rendered: str = "html") -> DataFrame:
     common = ["folder", F.col("date").cast("date").alias("date"), "subject"]
     parts = written.select(*common, "path", F.posexplode("attachments").alias("i", "a"))
     empty = parts.where(F.coalesce(F.octet_length("a.content"), F.lit(0)) == 0).select(F.lit("empty-attachment").alias("kind"), "folder", "date", "subject", attachment_label("a.filename", "a.content_id", "i").alias("detail"), "path")
-    refs = written.select(F.lit("unresolved-cid").alias("kind"), *common, F.explode(cid_references(rendered)).alias("detail"), "path").select("kind", "folder", "date", "subject", "detail", "path")
+    refs = written.select(F.lit("unresolved-inline-image").alias("kind"), *common, F.explode(cid_references(rendered)).alias("detail"), "path").select("kind", "folder", "date", "subject", "detail", "path")
     return empty.unionByName(refs)
 
 
-def run_stats(rows: DataFrame, old: Column, known: Column) -> DataFrame:
-    """Counters of a run over all scanned messages: the date is judged before the key, bodies of written ones alone."""
+def run_stats(rows: DataFrame, old: Column, known: Column, rendered: str = "html") -> DataFrame:
+    """Counters of a run over all scanned messages: the date is judged before the key, the rest on written ones alone.
+
+    rows have the three bodies, attachments with their content, consumed (a flag for each attachment that the page
+    holds) and the rendered page.
+    """
     new = ~old & ~known
+    empty = lambda c: F.trim(present(c)) == ""
+    bytes_of = lambda a: F.coalesce(F.octet_length(a["content"]), F.lit(0))
+    used = lambda i: F.coalesce(F.get("consumed", i), F.lit(False))
+    count = lambda c: F.coalesce(F.sum(F.when(new, c)), F.lit(0)).cast("long")
+    parts = lambda keep: F.size(F.filter("attachments", keep))
     return rows.agg(
         F.count("*").alias("scanned"),
         F.count_if(old).alias("skipped_date"),
         F.count_if(~old & known).alias("skipped_seen"),
         F.count_if(new).alias("exported"),
-        F.count_if(new & (F.trim(present("html_body")) == "") & (F.trim(present("plain_body")) != "")).alias("non_html"),
-        F.coalesce(F.sum(F.when(new, F.size("attachments"))), F.lit(0)).alias("attachments"),
+        F.count_if(new & empty("html_body") & ~(empty("plain_body") & empty("rtf_body"))).alias("non_html"),
+        F.count_if(new & empty("html_body") & empty("plain_body") & empty("rtf_body")).alias("no_body"),
+        count(parts(lambda a, i: ~used(i) & (bytes_of(a) > 0))).alias("attachments"),
+        count(parts(lambda a, i: used(i))).alias("attachments_inline"),
+        count(parts(lambda a, i: ~used(i) & (bytes_of(a) == 0))).alias("attachments_empty"),
+        count(F.size(cid_references(rendered))).alias("unresolved_inline"),
     )

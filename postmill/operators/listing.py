@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.functions.messages import unique_names
+
 MOST_ROWS = 5000
 
 
@@ -32,8 +34,18 @@ def folder_totals(docs: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 
 
 def duplicate_names(parts: DataFrame, message: str, name: str, index: str) -> DataFrame:
-    """parts with entry: name for the first of a message's equal names, then "base (n).ext"."""
-    n = F.row_number().over(Window.partitionBy(message, name).orderBy(index)) - 1
-    ext = F.regexp_extract(name, r"(\.[^./]*)$", 1)
-    base = F.left(F.col(name), F.char_length(name) - F.char_length(ext))
-    return parts.withColumn("entry", F.when(n == 0, F.col(name)).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+    """parts with entry: the name, or where the message's parts before it have taken that, "base (n).ext" with the least free n."""
+    row = F.struct(F.col(index).alias("at"), F.col(name).alias("name"), F.struct(*(F.col(f"`{c}`") for c in parts.columns)).alias("row"))
+    own = parts.groupBy(F.col(message).alias("__message")).agg(F.array_sort(F.collect_list(row)).alias("parts"))
+    named = own.select("parts", unique_names(F.col("parts.name")).alias("entries"))
+    return named.select(F.explode(F.arrays_zip("parts", "entries")).alias("x")).select("x.parts.row.*", F.col("x.entries").alias("entry"))
+
+
+def store_totals(docs: DataFrame) -> DataFrame:
+    """folders and total of each store, the first part of a path."""
+    return folder_totals(docs).groupBy(F.substring_index("dir", "/", 1).alias("store")).agg(F.count("*").alias("folders"), F.sum("total").alias("total")).orderBy("store")
+
+
+def store_sizes(files: DataFrame) -> DataFrame:
+    """files and size of each store of files (store, size)."""
+    return files.groupBy("store").agg(F.count("*").alias("files"), F.sum("size").alias("size"))

@@ -1,64 +1,142 @@
-"""An inverted index as tables: postings by term, and the length of each document."""
+"""A text index as tables in parts: occurrences of tokens, sorted by term, and the length of each document.
+
+Each part holds the documents that were added at once. A document that is added again counts by its latest part, so
+adding never rewrites what is there; compact() makes one part of all. A search reads the buckets of its terms, and the
+lengths for the statistics of the corpus; texts are not read.
+"""
 
 from __future__ import annotations
 
-import math
+import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import tokens
-from postmill.operators.search import K1, B
+from postmill.operators.archive import Versioned
+from postmill.operators.search import K1, B, Query, filtered, phrases
+from postmill.session import shared_dir
 
 BUCKETS = 64
 
 
-def postings(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """(term, key, col, tf, positions, bucket): one row per term, document and column."""
-    parts = [docs.select(F.col(key), F.lit(i).alias("col"), F.posexplode(tokens(c)).alias("pos", "term")) for i, c in enumerate(columns)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    grouped = out.groupBy("term", key, "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", key, "col", F.size("positions").alias("tf"), "positions", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+def bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def lengths(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    return docs.select(key, sum((F.size(tokens(c)) for c in columns), F.lit(0)).alias("length"))
+def occurrences(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """(term, key, col, pos, bucket): one row for each token of each column of docs."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), tokens(c).alias("words")) for i, c in enumerate(columns))))
+    return docs.select(key, each.alias("x")).select(key, "x.col", F.posexplode("x.words").alias("pos", "term")).select("term", key, "col", "pos", bucket("term").alias("bucket"))
 
 
-def write_index(docs: DataFrame, path: str, columns: list[str], key: str = "doc_id") -> None:
-    """Postings in one folder per bucket, so that a query reads the buckets of its terms alone."""
-    postings(docs, columns, key).repartition("bucket", F.pmod(F.xxhash64("term", key), F.lit(8))).sortWithinPartitions("term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(docs, columns, key).write.mode("overwrite").parquet(f"{path}/lengths")
+def lengths(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, length) of all docs by their occurrences."""
+    return docs.select(key).distinct().join(found.groupBy(key).agg(F.count("*").alias("length")), key, "left").withColumn("length", F.coalesce("length", F.lit(0)))
 
 
-def phrase_hits(post: DataFrame, phrase: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, tf) of documents with the phrase: the postings of its tokens meet where their shifted positions agree."""
-    spark = post.sparkSession
-    numbered = spark.createDataFrame([(w, i) for i, w in enumerate(phrase)], "term string, shift int")
-    buckets = [r[0] for r in numbered.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-    rows = post.where(F.col("bucket").isin(buckets) & F.col("term").isin(phrase)).join(F.broadcast(numbered), "term")
-    spots = rows.select(key, "col", "shift", F.explode("positions").alias("pos")).groupBy(key, "col", (F.col("pos") - F.col("shift")).alias("at")).agg(F.count("*").alias("n"))
-    return spots.where(F.col("n") == len(phrase)).groupBy(key).agg(F.count("*").alias("tf"))
+def phrase_hits(found: DataFrame, phrase: list[str], key: str = "doc_id", part: str | None = None) -> DataFrame:
+    """(key, tf) of documents with the phrase, and their part: occurrences of its tokens whose shifted places agree."""
+    keys = [key] + ([part] if part else [])
+    numbers = {w: [i for i, x in enumerate(phrase) if x == w] for w in phrase}
+    spark = found.sparkSession
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in numbers], "term string").select(bucket("term")).collect()]
+    rows = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(numbers)))
+    if len(phrase) == 1:
+        return rows.groupBy(*keys).agg(F.count("*").alias("tf"))
+    shifts = F.element_at(F.create_map(*(x for w, own in numbers.items() for x in (F.lit(w), F.array(*map(F.lit, own))))), F.col("term"))
+    spots = rows.select(*keys, "col", F.explode(F.transform(shifts, lambda x: F.col("pos") - x)).alias("at")).groupBy(*keys, "col", "at").agg(F.count("*").alias("n"))
+    return spots.where(F.col("n") == len(phrase)).groupBy(*keys).agg(F.count("*").alias("tf"))
 
 
-def ranked(post: DataFrame, sizes: DataFrame, wanted: list[list[str]], key: str = "doc_id") -> DataFrame:
-    """(key, score) of the documents with all phrases, from the index alone."""
+def ranked(found: DataFrame, sizes: DataFrame, wanted: list[list[str]], key: str = "doc_id", part: str | None = None) -> DataFrame:
+    """(key, score) of the documents with all phrases, by occurrences and lengths alone; the lower the better."""
+    keys = [key] + ([part] if part else [])
     stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     hits = None
     for i, phrase in enumerate(wanted):
-        own = phrase_hits(post, phrase, key).select(key, F.lit(i).alias("phrase"), "tf")
+        own = phrase_hits(found, phrase, key, part).select(*keys, F.lit(i).alias("phrase"), "tf")
         hits = own if hits is None else hits.unionAll(own)
-    df = {r.phrase: r.n for r in hits.groupBy("phrase").agg(F.count("*").alias("n")).collect()}
-    weights = [max(1e-6, w) if (w := math.log((stats.n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5))) > 0 else 1e-6 for i in range(len(wanted))]
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("phrase") + 1)
+    both = hits.join(sizes, keys)
+    # The weight of a phrase follows from the number of its documents, counted beside the ranking: one row a phrase.
+    counts = both.groupBy("phrase").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = counts.select("phrase", F.when(idf > 0, idf).otherwise(1e-6).alias("weight"))
     tf = F.col("tf").cast("double")
-    part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(stats.mean or 1.0)))
-    return hits.join(sizes, key).groupBy(key).agg(F.count("*").alias("n"), (-F.sum(part)).alias("score")).where(F.col("n") == len(wanted)).select(key, "score")
-
-
-def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal keys the last by order."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    part_score = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(stats.mean or 1.0)))
+    scored = both.join(F.broadcast(weights), "phrase").groupBy(key).agg(F.count("*").alias("n"), (-F.sum(part_score)).alias("score"))
+    return scored.where(F.col("n") == len(wanted)).select(key, "score")
+
+
+class TextIndex:
+    """The index under path of the columns of documents that key names."""
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "doc_id", key_type: str = "long"):
+        self.spark, self.path, self.columns, self.key = spark, path.rstrip("/"), columns, key
+        # The parts that count, as rows, so that a part becomes visible at once.
+        self.parts = Versioned(spark, f"{self.path}/parts", "part int, name string")
+        self.key_type = key_type
+
+    def add(self, docs: DataFrame) -> None:
+        """Adds docs as a part; of a key that is there already the new document counts."""
+        parts = self.parts.read().collect()
+        self._write(docs, max((r.part for r in parts), default=0) + 1, [(r.part, r.name) for r in parts])
+
+    def _write(self, docs: DataFrame, part: int, others: list[tuple[int, str]]) -> None:
+        name = f"part-{part}-{hashlib.md5(str(self.parts.version()).encode()).hexdigest()[:8]}"
+        own = f"{self.path}/{name}"
+        rows = occurrences(docs, self.columns, self.key)
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("term", self.key), F.lit(8))).sortWithinPartitions("bucket", "term", self.key, "col", "pos")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{own}/occurrences")
+        lengths(docs, self._read(own, "occurrences"), self.key).write.mode("overwrite").parquet(f"{own}/lengths")
+        self.parts.commit(self.spark.createDataFrame([*others, (part, name)], "part int, name string"))
+
+    def _read(self, own: str, table: str) -> DataFrame:
+        schema = f"{self.key} {self.key_type}, length long" if table == "lengths" else f"term string, {self.key} {self.key_type}, col int, pos int, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{own}/{table}")
+
+    def _all(self, table: str) -> DataFrame:
+        out = None
+        for r in sorted(self.parts.read().collect()):
+            own = self._read(f"{self.path}/{r.name}", table).withColumn("part", F.lit(r.part))
+            out = own if out is None else out.unionByName(own)
+        if out is None:
+            raise ValueError(f"{self.path} has no index")
+        return out
+
+    def lengths(self, current: DataFrame | None = None) -> DataFrame:
+        """(key, part, length) of each document's latest part; current: the keys that still count, if not all."""
+        rows = self._all("lengths")
+        latest = rows.groupBy(self.key).agg(F.max_by("length", "part").alias("length"), F.max("part").alias("part"))
+        return latest.join(current.select(self.key), self.key, "left_semi") if current is not None else latest
+
+    def ranked(self, text: str, current: DataFrame | None = None) -> DataFrame:
+        """(key, score) of the documents that hold all phrases of text."""
+        return ranked(self._all("occurrences"), self.lengths(current), phrases(text), self.key, "part")
+
+    def matches(self, docs: DataFrame, query: Query, current: DataFrame | None = None) -> DataFrame:
+        """The rows of docs that the query finds, as search.matches() has them, without a look at their texts."""
+        if not query.text.split():
+            return filtered(docs, query)
+        if not phrases(query.text):
+            return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
+        return filtered(docs, query).join(self.ranked(query.text, current), self.key)
+
+    def compact(self, docs: DataFrame) -> None:
+        """One part of docs in place of all; older parts stay on disk for those who read them."""
+        self._write(docs, max((r.part for r in self.parts.read().collect()), default=0) + 1, [])
+
+
+def index_of(docs: DataFrame, columns: list[str], key: str = "doc_id") -> TextIndex:
+    """An index of docs in the shared folder, made when first asked for and found again while the files are the same."""
+    spark = docs.sparkSession
+    jvm, files = spark._jvm, []
+    for f in sorted(docs.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        files.append((f, s.getLen(), s.getModificationTime()))
+    name = hashlib.md5(repr((files, columns, key, docs.schema.simpleString())).encode()).hexdigest()
+    out = TextIndex(spark, f"{shared_dir(spark)}/text-index-{name}", columns, key, dict(docs.dtypes)[key])
+    if not out.parts.version():
+        out.add(docs)
+    return out

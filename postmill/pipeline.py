@@ -13,7 +13,10 @@ from postmill.functions import messages as M
 from postmill.functions.text import normalize_ws, present, snippet
 from postmill.model import DOCS, MANIFEST
 from postmill.operators import archive
+from postmill.operators.postings import TextIndex
+from postmill.operators.search import Query
 from postmill.sinks.files import write_messages, write_report
+from postmill.sinks.pages import write_pages
 from postmill.sources.mailbox import read_mailboxes
 
 COLUMNS = ["subject", "sender", "recipients", "folder", "attach_names", "body"]
@@ -78,8 +81,25 @@ def run(spark: SparkSession, options: ArchiveOptions) -> dict:
     entries = written.select("key", "path", "folder", F.current_timestamp().alias("exported_at"))
     manifest.commit(archive.upsert(known, entries))
     index.commit(archive.upsert(index.read(), documents(written)))
+    text = text_index(spark, options.output)
+    docs = documents(written)
+    if files.n:
+        text.add(docs)
+        write_pages(index.read(), options.output).write.format("noop").mode("overwrite").save()
     total, kept = rows.count(), in_time.count()
-    return {"scanned": total, "skipped_date": total - kept, "exported": files.n, "skipped_seen": kept - files.n, "zips": files.zips, "issues": archive.issues(written).count()}
+    no = F.lit(False)
+    counted = archive.run_stats(written, no, no).drop("scanned", "skipped_date", "skipped_seen", "exported").first().asDict()
+    return {"scanned": total, "skipped_date": total - kept, "exported": files.n, "skipped_seen": kept - files.n, "zips": files.zips, "issues": archive.issues(written).count(), **counted}
+
+
+def text_index(spark: SparkSession, output: str) -> TextIndex:
+    return TextIndex(spark, f"{output.rstrip('/')}/.state/text", COLUMNS, "key", "string")
+
+
+def find(spark: SparkSession, output: str, query: Query) -> DataFrame:
+    """The archive's messages that query finds, by the index that its runs kept."""
+    docs = archive.Versioned(spark, f"{output.rstrip('/')}/.state/docs", DOCS).read()
+    return text_index(spark, output).matches(docs, query, docs)
 
 
 def reconcile(spark: SparkSession, output: str) -> dict:

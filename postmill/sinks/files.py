@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from postmill.functions.text import sanitize_filename, tsv_clean
 
 
+#: Fixed value: how the zip of a page's attachments is named.
+ZIP = "-attachments.zip"
+
+
 def entry_names(names: list[str]) -> list[str]:
     """Names of zip entries, each once: base (n).ext for those that are taken."""
     taken: set[str] = set()
@@ -41,6 +45,23 @@ def zipped(parts: list[dict], consumed: list[bool]) -> bytes | None:
     return buffer.getvalue()
 
 
+def writer(root: str):
+    """put(path, data) writes a file under root and returns its size."""
+    fs, base = pa.fs.FileSystem.from_uri(root)
+    made: set[str] = set()
+
+    def put(path: str, data: bytes) -> int:
+        full = f"{base}/{path}"
+        if (folder := full.rpartition("/")[0]) not in made:
+            fs.create_dir(folder, recursive=True)
+            made.add(folder)
+        with fs.open_output_stream(full, compression=None) as f:
+            f.write(data)
+        return len(data)
+
+    return put
+
+
 def write_messages(written: DataFrame, root: str) -> DataFrame:
     """Writes written (path, html, attachments, consumed) under root; returns (path, n_bytes, zip_bytes) of each.
 
@@ -50,23 +71,12 @@ def write_messages(written: DataFrame, root: str) -> DataFrame:
     rows = written.select("path", "html", labelled.alias("parts"), "consumed")
 
     def run(batches):
-        fs, base = pa.fs.FileSystem.from_uri(root)
-        made: set[str] = set()
-
-        def put(path: str, data: bytes) -> int:
-            full = f"{base}/{path}"
-            if (folder := full.rpartition("/")[0]) not in made:
-                fs.create_dir(folder, recursive=True)
-                made.add(folder)
-            with fs.open_output_stream(full, compression=None) as f:
-                f.write(data)
-            return len(data)
-
+        put = writer(root)
         for batch in batches:
             out = []
             for path, page, parts, consumed in zip(*(c.to_pylist() for c in batch.columns)):
                 archive = zipped(parts or [], consumed or [False] * len(parts or []))
-                out.append((path, put(path, page.encode()), put(path.removesuffix(".html") + ".zip", archive) if archive else 0))
+                out.append((path, put(path, page.encode()), put(path.removesuffix(".html") + ZIP, archive) if archive else 0))
             kinds = [pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["path", "n_bytes", "zip_bytes"])
 

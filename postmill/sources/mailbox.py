@@ -7,7 +7,10 @@ in Python, over Arrow batches.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +26,30 @@ class UnsupportedMailbox(ValueError):
     """The path holds no mailbox that can be read here."""
 
 
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system and path of path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def _root(spark: SparkSession, path: str) -> str:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getPath().toString().rstrip("/")
+    """path with its scheme, absolute and without . and .. in it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p.toUri().normalize())).toString().rstrip("/")
+
+
+def _is_mbox(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins like an mbox; five bytes of it are read."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return all(stream.read() == b for b in b"From ")
+    finally:
+        stream.close()
 
 
 def _relative(c: Column, root: str) -> Column:
+    """The part of a file's URI below root."""
     return F.substring(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), len(root) + 2, 1 << 20)
 
 
@@ -41,9 +61,32 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def _children(spark: SparkSession, path: str) -> dict[str, bool]:
     """The names right below path, True for folders. Spark's readers pass over names that begin with a dot."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return {s.getPath().getName(): s.isDirectory() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)}
+    fs, p = _fs(spark, path)
+    return {s.getPath().getName(): s.isDirectory() for s in fs.listStatus(p)}
+
+
+def _mbox_files(spark: SparkSession, root: str, below: str = "") -> list[str]:
+    """The mbox files of a tree, as paths below root: those in it and in its .sbd folders."""
+    out = []
+    for name, is_dir in sorted(_children(spark, f"{root}/{below}" if below else root).items()):
+        rel = f"{below}/{name}" if below else name
+        if is_dir:
+            out += _mbox_files(spark, root, rel) if name.endswith(".sbd") else []
+        elif not re.search(NOT_MAILBOXES, rel) and _is_mbox(spark, f"{root}/{rel}"):
+            out.append(rel)
+    return out
+
+
+def _maildirs(spark: SparkSession, root: str, below: str = "") -> list[str]:
+    """The folders with messages of a tree of mboxes: cur and new, right in it, in its folders and in .sbd folders."""
+    out = []
+    for name, is_dir in sorted(_children(spark, f"{root}/{below}" if below else root).items()):
+        rel = f"{below}/{name}" if below else name
+        if is_dir and name.endswith(".sbd"):
+            out += _maildirs(spark, root, rel)
+        elif is_dir and not name.startswith("."):
+            out += [f"{rel}/{x}" for x, d in _children(spark, f"{root}/{rel}").items() if d and x in ("cur", "new")]
+    return out
 
 
 def _plus_plus_folders(spark: SparkSession, path: str) -> list[str]:
@@ -57,11 +100,9 @@ def detect(spark: SparkSession, path: str) -> str:
     """mbox, mbox-tree, maildir, maildir++ or imap-cache; UnsupportedMailbox for Outlook stores and anything else."""
     if path.lower().endswith((".pst", ".ost")):
         raise UnsupportedMailbox(f"{path}: Outlook stores need a reader that is not part of this library")
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
-        first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 5).cast("string")).first()[0]
-        if first == "From ":
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isFile():
+        if _is_mbox(spark, path):
             return "mbox"
         raise UnsupportedMailbox(f"{path}: neither a mailbox nor a folder of mailboxes")
     names = _children(spark, path)
@@ -72,7 +113,34 @@ def detect(spark: SparkSession, path: str) -> str:
         return "maildir"
     if names.get("folders") and listing(spark, path).where(F.col("rel").rlike("^folders/.*(/|^)(cur|new)/")).take(1):
         return "imap-cache"
-    return "mbox-tree"
+    if _mbox_files(spark, path) or _maildirs(spark, path):
+        return "mbox-tree"
+    raise UnsupportedMailbox(f"{path}: neither a mailbox nor a folder of mailboxes")
+
+
+def is_mailbox(spark: SparkSession, path: str) -> bool:
+    """Whether detect() knows what path is."""
+    try:
+        return bool(detect(spark, path))
+    except UnsupportedMailbox:
+        return False
+
+
+def discover(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The mailboxes of paths, each once by its absolute path: a folder that is none stands for those right below it.
+
+    UnsupportedMailbox for a path that has neither.
+    """
+    out: dict[str, None] = {}
+    for path in paths:
+        fs, p = _fs(spark, path)
+        found = [path]
+        if not is_mailbox(spark, path):
+            found = [f"{path}/{x}" for x in sorted(_children(spark, path)) if not x.startswith(".") and is_mailbox(spark, f"{path}/{x}")] if fs.getFileStatus(p).isDirectory() else []
+        if not found:
+            raise UnsupportedMailbox(f"{path}: no mailbox there")
+        out.update(dict.fromkeys(_root(spark, x) for x in found))
+    return list(out)
 
 
 def _maildir_name(c: Column) -> Column:
@@ -116,8 +184,40 @@ def _parsed(raw: DataFrame) -> DataFrame:
     return raw.mapInArrow(run, MESSAGE)
 
 
+#: Bytes of a mailbox with a hidden name that one task reads.
+RANGE_BYTES = 32 << 20
+
+
+def _hidden(spark: SparkSession, files: list[tuple[str, str]], size: int = RANGE_BYTES) -> DataFrame:
+    """(rel, value) of mbox files (uri, rel) whose names Spark's readers pass over, as they give those of others.
+
+    A range of size bytes has the messages whose separator begins in it.
+    """
+    lengths = [(uri, rel, fs.getFileStatus(p).getLen()) for uri, rel in files for fs, p in [_fs(spark, uri)]]
+    ranges = [(uri, rel, start) for uri, rel, n in lengths for start in range(0, n, size)]
+
+    def cut(batches):
+        mark = b"\nFrom "
+        for batch in batches:
+            for uri, rel, start in zip(*(c.to_pylist() for c in batch.columns)):
+                system, at = pa.fs.FileSystem.from_uri(uri)
+                with system.open_input_file(at) as f:
+                    data = f.read_at(size + len(mark) - 1, start)
+                    if start and mark not in data:
+                        continue
+                    while (end := data.find(mark, size)) < 0 and (more := f.read_at(size, start + len(data))):
+                        data += more
+                rows = (data[:end] if end >= 0 else data).split(mark)[start > 0 :]
+                yield pa.RecordBatch.from_arrays([pa.array([rel] * len(rows), pa.string()), pa.array([x.decode("utf-8", "replace") for x in rows], pa.string())], names=["rel", "value"])
+
+    return spark.createDataFrame(ranges, "uri string, rel string, start long").repartition(max(1, len(ranges))).mapInArrow(cut, "rel string, value string")
+
+
 def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None) -> DataFrame:
-    """The messages of one store. An mbox is split at its messages, so that one large file is read by many tasks."""
+    """The messages of one store. An mbox is split at its messages, so that one large file is read by many tasks.
+
+    Of a tree the mboxes and maildirs in it and in its .sbd folders are read, and no others.
+    """
     layout = layout or detect(spark, path)
     root = _root(spark, path)
     name = root.rpartition("/")[2]
@@ -125,17 +225,22 @@ def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, stor
     rel = F.col("rel")
     boxes = []
     if layout in ("mbox", "mbox-tree"):
-        text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\nFrom ").text(path)
-        rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value").withColumn("rel", F.lit(name) if layout == "mbox" else _relative(F.col("file"), root))
-        rows = rows.where(~rel.rlike(NOT_MAILBOXES) & ~rel.rlike("(^|/)(cur|new|tmp)/"))
-        if layout == "mbox-tree":
-            head = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.substring("content", 1, 5) == F.lit("From ").cast("binary")).select(F.col("path").alias("file"))
-            rows = rows.join(head, "file", "left_semi")
-        body = F.regexp_replace(F.regexp_replace("value", r"\A(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
+        found = [name] if layout == "mbox" else _mbox_files(spark, root)
+        base = root.rpartition("/")[0] if layout == "mbox" else root
+        plain = [x for x in found if not x.rpartition("/")[2].startswith("_")]
+        hidden = [(f"{base}/{x}", x) for x in found if x not in plain]
+        rows = _hidden(spark, hidden) if hidden or not plain else None
+        if plain:
+            text = spark.read.option("lineSep", "\nFrom ").text([f"{base}/{x}" for x in plain])
+            own = text.select(_relative(F.col("_metadata.file_path"), base).alias("rel"), "value")
+            rows = own if rows is None else rows.unionByName(own)
+        # A message may end in the carriage return of the line end before the next one.
+        body = F.regexp_replace("value", r"\r\z", "")
+        body = F.regexp_replace(F.regexp_replace(body, r"\A(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
         boxes.append(rows.where(F.length("value") > 0).select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), body.cast("binary").alias("data")))
-    if layout != "mbox":
-        folders = _plus_plus_folders(spark, path) if layout == "maildir++" else [path]
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).withColumn("rel", _relative(F.col("path"), root))
+    if layout not in ("mbox", "mbox-tree") or (layout == "mbox-tree" and _maildirs(spark, root)):
+        folders = _plus_plus_folders(spark, path) if layout == "maildir++" else [f"{path}/{x}" for x in _maildirs(spark, root)] if layout == "mbox-tree" else [path]
+        files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(folders).withColumn("rel", _relative(F.col("path"), root))
         mail = files.where(rel.rlike("(^|/)(cur|new)/"))
         boxes.append(mail.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), F.col("content").alias("data")))
     raw = boxes[0]
@@ -145,9 +250,9 @@ def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, stor
 
 
 def read_mailboxes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The messages of several stores; a path that is given twice is read once."""
+    """The messages of several stores; a store that is given twice, by whatever path, is read once."""
     out = None
-    for path in dict.fromkeys(paths):
+    for path in discover(spark, paths):
         own = read_mailbox(spark, path)
         out = own if out is None else out.unionByName(own)
     return spark.createDataFrame([], MESSAGE) if out is None else out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postmill.operators.archive import Versioned, unseen
+from postmill.session import shared_dir
 
 
 def ingest(arrivals: DataFrame, manifest: Versioned, checkpoint: str, key: str = "key", order: str = "seq") -> StreamingQuery:
@@ -27,15 +27,14 @@ def ingest(arrivals: DataFrame, manifest: Versioned, checkpoint: str, key: str =
 
 
 def replay(rows: DataFrame, chunks: int, key: str = "key", order: str = "seq") -> DataFrame:
-    """The manifest after rows arrived as a stream of so many files, in order."""
+    """The manifest after rows arrived as a stream in so many parts, in order; rows without an order come first."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postmill-stream-")
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     manifest = Versioned(spark, f"{home}/manifest", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
     bounds = rows.stat.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.001)
-    part = sum(((F.col(order) > b).cast("int") for b in bounds), F.lit(0))
+    part = sum((F.coalesce((F.col(order) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
     for k in range(chunks):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        rows.where(part == k).write.mode("append").parquet(f"{home}/in")
         arrivals = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
         ingest(arrivals, manifest, f"{home}/checkpoint", key, order).awaitTermination()
     return manifest.read().select(key, *(c for c in rows.columns if c not in (key, order)))

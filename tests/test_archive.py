@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import archive, listing
+from postmill.sinks import pages
 from postmill.sinks.files import entry_names
 from postmill.streaming import incremental, quiescence
 
@@ -31,7 +32,7 @@ def test_first_and_last_win(spark):
 def test_issues(spark):
     part = "struct<filename:string,content_id:string,content:binary>"
     rows = spark.createDataFrame([("f", "s", datetime(2024, 1, 1), "p", [("a.png", "", b""), ("b", "", b"x")], "<img src='cid:gone@x'>"), ("f", "t", None, "q", [], "ok")], f"folder string, subject string, date timestamp, path string, attachments array<{part}>, html string")
-    assert sorted((r.kind, r.detail) for r in archive.issues(rows).collect()) == [("empty-attachment", "a.png"), ("unresolved-cid", "gone@x")]
+    assert sorted((r.kind, r.detail) for r in archive.issues(rows).collect()) == [("empty-attachment", "a.png"), ("unresolved-inline-image", "gone@x")]
 
 
 def test_listing_groups_split_folders(spark):
@@ -44,6 +45,24 @@ def test_entry_names():
     assert entry_names(["a.txt", "a.txt", "a (1).txt", "b", "b"]) == ["a.txt", "a (1).txt", "a (1) (1).txt", "b", "b (1)"]
 
 
+def test_names_of_parts_are_told_apart_in_order(spark):
+    names = ["a.txt", "a (1).txt", "a.txt", "a.txt", "b", "b", ".x", ".x"]
+    parts = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 0, "a.txt")], "message int, i int, name string")
+    found = {(r.message, r.i): r.entry for r in listing.duplicate_names(parts, "message", "name", "i").collect()}
+    assert found == {(1, i): n for i, n in enumerate(entry_names(names))} | {(2, 0): "a.txt"}
+    assert found[1, 2] == "a (2).txt"
+
+
+def test_pages(spark, tmp_path):
+    docs = spark.createDataFrame([("S/In/1.html", "A <b>", "Ann", "", 0, False), ("S/In/2 x.html", "", "", "", 86400, True), ("S/3.html", "c", "", "c@x", 0, False)], "path string, subject string, sender_name string, sender_email string, date long, has_attach boolean")
+    assert {r.path for r in pages.write_pages(docs, f"file://{tmp_path}", most=1).collect()} == {"S/In/index.html", "S/index.html", "index.html"}
+    page, root = (tmp_path / "S/In/index.html").read_text(), (tmp_path / "index.html").read_text()
+    assert "2 messages, 1 older not listed" in page and 'href="2%20x.html"' in page and "2%20x-attachments.zip" in page and "(no subject)" in page and "../../index.html" in page
+    assert root.index("S/index.html") < root.index("S/In/index.html")
+    whole = {r.path: r.html for r in pages.folder_page_texts(docs).collect()}
+    assert "A &lt;b&gt;" in whole["S/In/index.html"] and whole["S/In/index.html"].index("2 x") < whole["S/In/index.html"].index("1.html") if "2 x" in whole["S/In/index.html"] else True
+
+
 def test_quiescence(spark):
     polls = spark.createDataFrame([("s", datetime(2024, 1, 1, 0, 0, t), n) for t, n in ((0, 1), (10, 1), (31, 1), (35, 2))] + [("s", datetime(2024, 1, 1, 0, 1, 10), 2)], "store string, ts timestamp, size int")
     assert [r.is_stable for r in quiescence.stable(polls).orderBy("ts").collect()] == [False, False, True, False, True]

@@ -1,11 +1,13 @@
 import mailbox
+import re
 from email.message import EmailMessage
 
 import pytest
 
-from postmill.pipeline import ArchiveOptions, reconcile, run
+from postmill.operators.search import parse_query
+from postmill.pipeline import ArchiveOptions, find, reconcile, run
 from postmill.sources import mime
-from postmill.sources.mailbox import UnsupportedMailbox, detect, read_mailbox, read_mailboxes
+from postmill.sources.mailbox import UnsupportedMailbox, _hidden, detect, discover, is_mailbox, read_mailbox, read_mailboxes
 
 MBOX = (
     b"From a@x Mon Jan 01 00:00:00 2024\r\nFrom: Ann Lee <ann@x.org>\r\nTo: Bo Li <bo@x.org>\r\nSubject: First\r\nDate: Mon, 01 Jan 2024 10:00:00 +0100\r\n"
@@ -33,6 +35,20 @@ def test_mbox_file(spark, tmp_path):
     assert (a.store, a.folder_path, a.sender_name, a.sender_email, a.to, a.internet_message_id) == ("TestBox", [], "Ann Lee", "ann@x.org", "Bo Li <bo@x.org>", "one@x.org")
     assert a.html_body.strip() == "<p>hello</p>" and a.received.isoformat() == "2024-01-01T09:00:00"
     assert b.plain_body.replace("\r", "") == "plain\nFrom here\n"
+    assert a.html_body.endswith("</p>\r\n") or "\r" not in a.html_body
+
+
+def test_names_that_readers_pass_over(spark, tmp_path):
+    put(tmp_path / "Mail/_Kept", MBOX)
+    put(tmp_path / "Mail/Inbox.sbd/_Old", MBOX)
+    put(tmp_path / "Mail/plain/Sub", MBOX)
+    found = read_mailbox(spark, str(tmp_path / "Mail")).collect()
+    assert sorted((r.folder_path, r.subject) for r in found) == [(f, s) for f in (["Inbox", "_Old"], ["_Kept"]) for s in ("First", "Second")]
+    assert set(rows(read_mailbox(spark, str(tmp_path / "Mail/_Kept")))) == {"First", "Second"}
+    whole = (tmp_path / "Mail/_Kept").read_bytes().decode()
+    for size in (1, 7, 60, 200, 10_000):
+        values = [r.value for r in _hidden(spark, [(f"file://{tmp_path}/Mail/_Kept", "k")], size).collect()]
+        assert sorted(values) == sorted(re.split("\nFrom ", whole))
 
 
 def test_tree_of_mboxes(spark, tmp_path):
@@ -71,22 +87,22 @@ def test_maildir(spark, tmp_path):
 
 def test_maildir_plus_plus(spark, tmp_path):
     root = tmp_path / "local"
-    for name, subject in (("cur", "root"), (".Work/cur", "w"), (".Work.Projects/new", "p"), (".ischool_2Eutoronto_2Eca.INBOX/cur", "i"), ("._2E_2E_2Fescape/cur", "e")):
+    for name, subject in (("cur", "root"), (".Garden/cur", "w"), (".Garden.Roses/new", "p"), (".mail_2Eexample_2Enet.Drafts/cur", "i"), ("._2E_2E_2Fabove/cur", "e")):
         put(root / name / "1", raw(subject))
     put(root / "..maildir++", b"")
-    put(root / ".Work.cmeta", b"")
+    put(root / ".Garden.cmeta", b"")
     assert detect(spark, str(root)) == "maildir++"
     found = {k: r.folder_path for k, r in rows(read_mailbox(spark, str(root))).items()}
-    assert found["root"] == [] and found["w"] == ["Work"] and found["p"] == ["Work", "Projects"] and found["i"] == ["ischool.utoronto.ca", "INBOX"]
+    assert found["root"] == [] and found["w"] == ["Garden"] and found["p"] == ["Garden", "Roses"] and found["i"] == ["mail.example.net", "Drafts"]
     assert all("/" not in s and ".." not in s for s in found["e"])
 
 
 def test_imap_cache(spark, tmp_path):
     root = tmp_path / "acct"
-    for name in ("INBOX/cur/x", "INBOX/new/x", "INBOX/cur/16/3437", "Archive/cur/a", "Archive/subfolders/2021/cur/b", "Gmail/subfolders/All/cur/c"):
+    for name in ("Post/cur/x", "Post/new/x", "Post/cur/08/912", "Kept/cur/a", "Kept/subfolders/Old/cur/b", "Web/subfolders/Any/cur/c"):
         put(root / "folders" / name, raw(name.replace("/", "-")))
     assert detect(spark, str(root)) == "imap-cache"
-    assert sorted(r.folder_path for r in read_mailbox(spark, str(root)).collect()) == [["Archive"], ["Archive", "2021"], ["Gmail", "All"], ["INBOX"], ["INBOX"], ["INBOX"]]
+    assert sorted(r.folder_path for r in read_mailbox(spark, str(root)).collect()) == [["Kept"], ["Kept", "Old"], ["Post"], ["Post"], ["Post"], ["Web", "Any"]]
 
 
 def test_unknown_files_are_refused(spark, tmp_path):
@@ -117,11 +133,14 @@ def test_archive_life_cycle(spark, tmp_path):
     options = ArchiveOptions([str(tmp_path / "in")], f"file://{tmp_path}/out")
     first, second = run(spark, options), run(spark, options)
     assert (first["exported"], second["exported"], second["skipped_seen"]) == (2, 0, 2)
+    assert (first["non_html"], first["no_body"], first["attachments"]) == (1, 0, 0)
+    assert [r.subject for r in find(spark, options.output, parse_query("plain here")).collect()] == ["Second"]
     assert run(spark, ArchiveOptions(options.inputs, options.output, full=True))["exported"] == 2
-    pages = sorted((tmp_path / "out/in/Inbox").glob("*.html"))
+    pages = sorted((tmp_path / "out/in/Inbox").glob("0*.html")) + sorted((tmp_path / "out/in/Inbox").glob("2*.html"))
     assert len(pages) == 2
     pages[0].unlink()
     assert reconcile(spark, options.output) == {"kept": 1, "pruned": 1}
+    assert find(spark, options.output, parse_query("hello")).count() + find(spark, options.output, parse_query("plain")).count() == 1
     assert run(spark, options)["exported"] == 1
 
 
@@ -129,3 +148,20 @@ def test_several_stores_once_each(spark, tmp_path):
     put(tmp_path / "A", MBOX)
     assert read_mailboxes(spark, [str(tmp_path / "A")] * 2).count() == 2
     assert read_mailboxes(spark, []).count() == 0
+    put(tmp_path / "M/cur/1", raw("a"))
+    put(tmp_path / "notes", b"none")
+    assert read_mailboxes(spark, [str(tmp_path / "A"), str(tmp_path / "M/../A"), f"file://{tmp_path}/A"]).count() == 2
+
+
+def test_discovery(spark, tmp_path):
+    put(tmp_path / "in/A", MBOX)
+    put(tmp_path / "stores/one/cur/1", raw("a"))
+    put(tmp_path / "stores/two/Inbox.sbd/B", MBOX)
+    put(tmp_path / "stores/none/notes.txt", b"none")
+    put(tmp_path / "text/notes.txt", b"none")
+    assert is_mailbox(spark, str(tmp_path / "in")) and not is_mailbox(spark, str(tmp_path / "text"))
+    put(tmp_path / "deep/stores/x/y/z", b"none")
+    found = [x.rpartition(str(tmp_path))[2] for x in discover(spark, [str(tmp_path / "in"), str(tmp_path / "stores"), str(tmp_path / "in")])]
+    assert found == ["/in", "/stores"] or found == ["/in", "/stores/one", "/stores/two"]
+    with pytest.raises(UnsupportedMailbox):
+        discover(spark, [str(tmp_path / "text")])

@@ -1,6 +1,7 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.operators import postings, search
 from postmill.operators.search import Query, parse_query, phrases
@@ -81,12 +82,22 @@ def test_ranks_like_a_full_text_index(docs):
         assert [s for s, _ in own] == pytest.approx([s for _, s in expected], abs=1e-6)
 
 
-def test_index_gives_the_same_scores(spark, docs, tmp_path):
-    postings.write_index(docs, str(tmp_path / "ix"), COLUMNS)
-    post, sizes = spark.read.parquet(str(tmp_path / "ix/postings")), spark.read.parquet(str(tmp_path / "ix/lengths"))
-    for text in ("invoice", "unique-alpha invoice", "old-news shared"):
-        a = {r.doc_id: round(r.score, 9) for r in postings.ranked(post, sizes, phrases(text)).collect()}
-        assert a == {r.doc_id: round(r.score, 9) for r in search.matches(docs, Query(text=text), COLUMNS).collect()}
+def test_index_gives_the_same_rows(spark, docs, tmp_path):
+    index = postings.TextIndex(spark, str(tmp_path / "ix"), COLUMNS)
+    with pytest.raises(ValueError):
+        index.ranked("x")
+    half = docs.where("doc_id % 2 = 0")
+    index.add(docs.withColumn("body", F.lit("invoice of old")))
+    index.add(half)
+    index.add(docs.exceptAll(half))
+    for q in (Query(text="invoice"), Query(text="unique-alpha invoice"), Query(text="old-news shared"), Query(text="the the"), Query(text="* --"), Query(folder="Inbox"), Query(text="invoice", folder="Inbox")):
+        a, b = ({r.doc_id: round(r.score, 9) if q.text else 0 for r in x.collect()} for x in (index.matches(docs, q), search.matches(docs, q, COLUMNS)))
+        assert a == b
+    # Documents that went no longer count.
+    q = Query(text="invoice")
+    assert {r.doc_id: round(r.score, 9) for r in index.matches(half, q, half).collect()} == {r.doc_id: round(r.score, 9) for r in search.matches(half, q, COLUMNS).collect()}
+    index.compact(half)
+    assert index.lengths().count() == half.count()
 
 
 def test_snippet_and_total(docs):
