@@ -18,6 +18,7 @@ from postmill.functions import messages as M
 from postmill.functions import text as T
 from postmill.operators import archive, listing, postings, search
 from postmill.operators.search import Query
+from postmill.sinks import pages
 from postmill.streaming import incremental, quiescence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,9 +275,9 @@ def file_stem(spark, sf_dir):
     return order_mail(spark, sf_dir).select("doc_id", M.file_stem(date, "sender_name", F.concat("folder", F.col("doc_id").cast("string"))).alias("stem"))
 
 
-@_query(f"SELECT doc_id, source || '/' || lang || '/' || 'in box' || '/0000-00-00_0000_' || {_SLUG.format('left(text, 90)')} || '_' || left(sha1(CAST(doc_id AS VARCHAR)), 8) || '.html' AS path FROM documents")
+@_query(f"SELECT doc_id, source || '/' || lang || '/' || 'in box' || '/0000-00-00_0000_' || {_SLUG.format('text')} || '_' || left(sha1(CAST(doc_id AS VARCHAR)), 8) || '.html' AS path FROM documents")
 def export_path(spark, sf_dir):
-    stem = M.file_stem(F.lit(None).cast("timestamp"), F.left("text", F.lit(90)), F.col("doc_id").cast("string"))
+    stem = M.file_stem(F.lit(None).cast("timestamp"), "text", F.col("doc_id").cast("string"))
     return _read(spark, sf_dir, "documents").select("doc_id", M.export_path("source", F.array("lang", F.lit("in/box?")), stem).alias("path"))
 
 
@@ -345,7 +346,7 @@ def unresolved_cids(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.explode(M.cid_references(body)).alias("cid"))
 
 
-@_query("SELECT 'unresolved-cid' AS kind, url AS subject, 'p' || page_id || '@x' AS detail FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'empty-attachment', url, 'a.png' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'empty-attachment', url, 'attachment-1' FROM pages WHERE page_id % 3 = 0")
+@_query("SELECT 'unresolved-inline-image' AS kind, url AS subject, 'p' || page_id || '@x' AS detail FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'empty-attachment', url, 'a.png' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'empty-attachment', url, 'attachment-1' FROM pages WHERE page_id % 3 = 0")
 def issues_report(spark, sf_dir):
     part = lambda name, size: F.struct(F.lit(name).alias("filename"), F.lit("").alias("content_id"), F.lit(size).cast("binary").alias("content"))
     three = F.col("page_id") % 3 == 0
@@ -374,8 +375,7 @@ def folder_totals(spark, sf_dir):
 
 @_query("SELECT source AS store, count(DISTINCT lang) AS folders, count(*) AS total FROM documents GROUP BY source")
 def root_totals(spark, sf_dir):
-    totals = listing.folder_totals(_doc_paths(spark, sf_dir))
-    return totals.groupBy(F.substring_index("dir", "/", 1).alias("store")).agg(F.count("*").alias("folders"), F.sum("total").alias("total")).orderBy("store")
+    return listing.store_totals(_doc_paths(spark, sf_dir))
 
 
 @_query(f"WITH {DOC_PATHS} SELECT doc_id FROM p WHERE doc_id % 10 <> 3")
@@ -390,21 +390,42 @@ def reconcile_pruned(spark, sf_dir):
     return archive.reconciled(docs, docs.where("doc_id % 10 <> 3").select("path"))[1].select("doc_id", "path")
 
 
-@_query("SELECT count(*) AS scanned, count(*) FILTER (n_chars < 500) AS skipped_date, count(*) FILTER (n_chars >= 500 AND doc_id % 4 = 0) AS skipped_seen, count(*) FILTER (n_chars >= 500 AND doc_id % 4 <> 0) AS exported, count(*) FILTER (n_chars >= 500 AND doc_id % 4 <> 0 AND lang <> 'en') AS non_html, CAST(coalesce(sum(1 + doc_id % 2) FILTER (n_chars >= 500 AND doc_id % 4 <> 0), 0) AS BIGINT) AS attachments FROM documents")
+@_query("""WITH d AS (SELECT *, n_chars >= 500 AND doc_id % 4 <> 0 AS new FROM documents),
+a AS (SELECT doc_id, (doc_id + i) % 5 = 0 AS used, (doc_id + i) % 3 = 0 AS empty FROM (SELECT doc_id, unnest(range(0, doc_id % 4)) AS i FROM d WHERE new)),
+c AS (SELECT count(*) FILTER (NOT used AND NOT empty) AS attachments, count(*) FILTER (used) AS attachments_inline, count(*) FILTER (NOT used AND empty) AS attachments_empty FROM a)
+SELECT count(*) AS scanned, count(*) FILTER (n_chars < 500) AS skipped_date, count(*) FILTER (n_chars >= 500 AND doc_id % 4 = 0) AS skipped_seen, count(*) FILTER (new) AS exported,
+count(*) FILTER (new AND doc_id % 7 IN (1, 2)) AS non_html, count(*) FILTER (new AND doc_id % 7 = 0) AS no_body, (SELECT attachments FROM c) AS attachments, (SELECT attachments_inline FROM c) AS attachments_inline,
+(SELECT attachments_empty FROM c) AS attachments_empty, CAST(coalesce(sum(2) FILTER (new AND doc_id % 6 = 1), 0) AS BIGINT) AS unresolved_inline FROM d""")
 def run_stats(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.when(F.col("lang") == "en", F.col("text")).otherwise(F.lit(" ")).alias("html_body"), F.col("lang").alias("plain_body"), F.array_repeat(F.lit(1), (1 + F.col("doc_id") % 2).cast("int")).alias("attachments"))
+    body = lambda k, c: F.when(k, F.col(c)).otherwise(F.lit(" "))
+    seven, none = F.col("doc_id") % 7, F.array().cast("array<int>")
+    places = F.when(F.col("doc_id") % 4 > 0, F.sequence(F.lit(0), (F.col("doc_id") % 4 - 1).cast("int"))).otherwise(none)
+    part = lambda i: F.struct(F.when((F.col("doc_id") + i) % 3 == 0, F.lit("")).otherwise(F.lit("x")).cast("binary").alias("content"))
+    page = F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit('<img src="cid:a'), F.col("doc_id").cast("string"), F.lit('@x"><img src="cid:b@x">'))).otherwise(F.lit("none"))
+    rows = _read(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", body(seven > 2, "lang").alias("html_body"), body(seven == 1, "lang").alias("plain_body"), body(seven == 2, "lang").alias("rtf_body"),
+        F.transform(places, part).alias("attachments"), F.transform(places, lambda i: (F.col("doc_id") + i) % 5 == 0).alias("consumed"), page.alias("html"),
+    )
     return archive.run_stats(rows, F.col("n_chars") < 500, F.col("doc_id") % 4 == 0)
 
 
-@_query("SELECT l_orderkey, l_linenumber, CASE WHEN n = 0 THEN name ELSE l_returnflag || ' (' || n || ').txt' END AS entry FROM (SELECT *, l_returnflag || '.txt' AS name, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem)")
+@_query("""WITH RECURSIVE p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, l_returnflag || CASE WHEN l_partkey % 3 = 0 THEN ' (1).txt' ELSE '.txt' END AS name,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, k, name AS entry, [name] AS taken FROM p WHERE k = 1
+UNION ALL SELECT l_orderkey, l_linenumber, k, entry, list_append(taken, entry) FROM (SELECT p.*, r.taken,
+list_filter(list_transform(range(0, len(r.taken) + 1), lambda i: CASE WHEN i = 0 THEN p.name ELSE left(p.name, length(p.name) - 4) || ' (' || i || ').txt' END), lambda c: NOT list_contains(r.taken, c))[1] AS entry
+FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.k = r.k + 1))
+SELECT l_orderkey, l_linenumber, entry FROM r""")
 def dup_attachment_names(spark, sf_dir):
-    parts = _read(spark, sf_dir, "lineitem").withColumn("name", F.concat("l_returnflag", F.lit(".txt"))).withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    name = F.concat("l_returnflag", F.when(F.col("l_partkey") % 3 == 0, F.lit(" (1).txt")).otherwise(F.lit(".txt")))
+    parts = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"))
     return listing.duplicate_names(parts, "l_orderkey", "name", "at").select("l_orderkey", "l_linenumber", "entry")
 
 
 @_query("SELECT event_type AS store, count(*) AS files, round(sum(value), 4) AS size FROM events GROUP BY 1")
 def store_size(spark, sf_dir):
-    return _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("store")).agg(F.count("*").alias("files"), F.round(F.sum("value"), 4).alias("size"))
+    files = _read(spark, sf_dir, "events").select(F.col("event_type").alias("store"), F.col("value").alias("size"))
+    return listing.store_sizes(files).withColumn("size", F.round("size", 4))
 
 
 @_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
@@ -428,6 +449,18 @@ def union_of_sources(spark, sf_dir):
     return a.unionByName(b)
 
 
-@_query("SELECT doc_id, left(to_json({'folder': source, 'hasAttach': lang = 'en'}), 200) AS json FROM documents")
+@_query("SELECT doc_id, to_json({'folder': source, 'hasAttach': lang = 'en'}) AS json FROM documents")
 def json_results(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("source").alias("folder"), (F.col("lang") == "en").alias("hasAttach"))).alias("json"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("folder"), (F.col("lang") == "en").alias("has_attach"))
+    return rows.select("doc_id", M.results_json(["folder", "has_attach"]).alias("json"))
+
+
+@_query("""WITH p AS (SELECT doc_id, source || '/' || lang AS dir, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS base, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS place FROM documents),
+r AS (SELECT dir, place, '<tr><td>' || CASE WHEN doc_id > 0 THEN strftime(to_timestamp(doc_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') ELSE '' END || '</td><td>(unknown)</td><td><a href="' || base || '.html">m&amp;' || doc_id || '</a></td><td>' ||
+CASE WHEN doc_id % 3 = 0 THEN '<a href="' || base || '-attachments.zip">zip</a>' ELSE '' END || '</td></tr>' AS row FROM p WHERE place <= 20),
+t AS (SELECT source || '/' || lang AS dir, count(*) AS n FROM documents GROUP BY 1)
+SELECT dir || '/index.html' AS path, sha256('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || dir || '</title></head><body><h1>' || dir || '</h1><p><a href="../../index.html">all folders</a> ' || max(n) || ' messages' ||
+CASE WHEN max(n) > 20 THEN ', ' || (max(n) - 20) || ' older not listed' ELSE '' END || '</p><table>' || string_agg(row, chr(10) ORDER BY place) || '</table></body></html>') AS page FROM r JOIN t USING (dir) GROUP BY dir""")
+def folder_page_texts(spark, sf_dir):
+    docs = _doc_paths(spark, sf_dir).select("path", F.concat(F.lit("m&"), F.col("doc_id").cast("string")).alias("subject"), F.lit("").alias("sender_name"), F.lit("").alias("sender_email"), F.col("doc_id").alias("date"), (F.col("doc_id") % 3 == 0).alias("has_attach"))
+    return pages.folder_page_texts(docs, 20).select("path", F.sha2("html", 256).alias("page"))
