@@ -23,6 +23,8 @@ WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 STEP_ROWS = 20_000
 #: Blocks that a shard gets, on average.
 BLOCKS_A_SHARD = 256
+#: Sources at most: their sizes and targets are one small table.
+MOST_SOURCES = 100_000
 #: Words of a shard that one task writes, on average at most.
 SLICE_WORDS = 4_000_000
 
@@ -58,23 +60,25 @@ def splitting_tree(counts: np.ndarray, shards: int, seed: int = 7) -> np.ndarray
     return out
 
 
-def ordered(df: DataFrame, seed: int = 7, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df (doc_id, source, size) with source_size, target, quota (whole words), step, place and before.
+def ordered(df: DataFrame, seed: int = 7) -> DataFrame:
+    """df (doc_id, source, size, tag) with source_size, target, quota (whole words), step, place and before.
 
     before is the number of words of the documents that stand before in the source's order; step and place number
-    the rows of a source; ties are columns that order rows of one doc_id and size. The sizes are stored first, so
-    that the texts they come from are read once.
+    the rows of a source. The order is that of hashes of doc_id and tag (a digest of the text), so texts that share an
+    id, or have none, are spread. The sizes are stored first, so that the texts they come from are read once.
     """
     df = stored(df, "mix-sizes")
-    totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    totals = stored(df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    if (sources := totals.count()) > MOST_SOURCES:
+        raise ValueError(f"{sources} sources: targets are for at most {MOST_SOURCES}, as their table goes to every task")
     wanted = targets(totals.select("source", "source_size"))
     n = df.count()
     digits = min(8, max(1, math.ceil(math.log(max(2, n / STEP_ROWS), 16))))
-    keyed = df.withColumn("perm", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))).withColumn("step", F.substring("perm", 1, digits))
+    keyed = df.withColumn("perm", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("tag"), F.lit(f"|{seed}")))).withColumn("step", F.substring("perm", 1, digits))
     sums = keyed.groupBy("source", "step").agg(F.sum("size").alias("step_size"))
     upto = F.sum("step_size").over(Window.partitionBy("source").orderBy("step")) - F.col("step_size")
     steps = sums.withColumn("step_before", upto).drop("step_size").join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "step").orderBy("perm", "doc_id", "size", *ties)
+    within = Window.partitionBy("source", "step").orderBy("perm", "doc_id", "size")
     own = keyed.withColumn("place", F.row_number().over(within)).withColumn("own_before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     both = own.join(steps.withColumnsRenamed({"source": "s", "step": "t"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("t"))).drop("s", "t")
     return both.withColumn("before", F.col("step_before") + F.col("own_before")).withColumn("quota", F.floor("target")).drop("step_before", "own_before", "perm")
@@ -99,7 +103,7 @@ def _dealt(pieces: DataFrame, blocks: list[tuple[str | None, list[int]]], shards
 
 
 def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
-    """The drawn pieces of df (doc_id, source, size), one row each; a document that is not drawn has one with nulls.
+    """The drawn pieces of df (doc_id, source, size, tag), one row each; a document that is not drawn has one with nulls.
 
     Adds to ordered(): epoch, block, from_word, n_words, shard and draw_key, by which a shard's blocks are shuffled.
     Documents of size 0 and null are never drawn; null is a source of its own; rows that repeat are drawn apart.
@@ -140,9 +144,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def sized(df: DataFrame, *more) -> DataFrame:
-    """(doc_id, source, size) and more columns of df (doc_id, text, source); size is the number of words."""
+    """(doc_id, source, size, tag) and more columns of df (doc_id, text, source); size is the number of words."""
     found = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")).cast("long")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"), *more)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), *more)
 
 
 def mixture_places(df: DataFrame, shards: int = 16) -> DataFrame:
@@ -160,7 +164,9 @@ def mixture(df: DataFrame) -> DataFrame:
     """One row per row of df (doc_id, text, source): size, source_size, target, taken (words that the mix takes).
 
     Of each source exactly floor(target) words are taken, of a document at most three times its size. The mix is
-    written shard by shard, and taken and n_pieces are what was written.
+    written shard by shard, and taken and n_pieces are what was written. Null and empty texts have size 0 and nothing
+    is taken of them; null is a source of its own, the last; rows that repeat are drawn apart; an empty table gives no
+    rows, and further columns are not read.
     """
     return mixture_places(df).drop("places")
 
@@ -171,7 +177,7 @@ def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7) -> tuple[D
     Documents stay whole: the one that a source's quota cuts is drawn if half of it or more is inside. A copy is in
     the block that its first word is in; the tree splits the blocks that hold a copy.
     """
-    docs = stored(ordered(rows, seed, ties=("tag",)), "mix-order")
+    docs = stored(ordered(rows, seed), "mix-order")
     sources, block_words = _block_words(docs, shards)
     copies = docs.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("quota") / F.col("source_size")))))
     copies = copies.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("before"))
@@ -188,6 +194,6 @@ def mixed(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """
     rows = stored(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
     named = rows.select("row_id", "row.doc_id", "row.text", "row.source")
-    copies, words = drawn_documents(sized(named, "row_id", F.xxhash64("text").alias("tag")), shards, seed)
+    copies, words = drawn_documents(sized(named, "row_id"), shards, seed)
     kept = rows.join(copies.select("row_id", "shard", "draw_key", "source", "block", "epoch", "before"), "row_id")
     return shuffled(kept, max(1, math.ceil(words / (shards * SLICE_WORDS)))).select("row.*")

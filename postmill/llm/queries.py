@@ -99,14 +99,14 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 4 * n_letters < word_chars OR 10 * n_echoes > 4 * n_words) AS kept FROM b""",
     "op10_source_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS tag FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM t),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0.0)) AS level FROM w
   WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, least(cap, max(level) FILTER (cap / w >= level) OVER () * w) AS target FROM l),
 q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota, ceil((SELECT sum(floor(target)) FROM g) / (16 * 256)) AS words FROM g),
-o AS (SELECT doc_id, size, source_size, target, quota, greatest(16, words)::BIGINT AS b, sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR) || '|7'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+o AS (SELECT doc_id, size, source_size, target, quota, greatest(16, words)::BIGINT AS b, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || tag || '|7'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 e AS (SELECT *, unnest(range(0, 4)) AS epoch FROM o),
 s AS (SELECT *, epoch * source_size + before AS lo, least(epoch * source_size + before + size, quota) AS hi FROM e)

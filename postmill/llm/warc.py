@@ -79,9 +79,10 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     slim = rows.select("page_id", "url", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= LEAST_REVISIT)
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    dealt = rows.join(first, "digest", "left")
-    again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    dealt = dealt.select("page_id", "url", "html", "digest", F.when(again, F.col("refers_to")).alias("refers_to"), F.when(again, F.col("refers_url")).alias("refers_url"))
+    # A page finds its response by its own id and digest: however often a payload occurs, no key gathers its copies.
+    again = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    links = again.select(F.col("page_id").alias("own"), F.col("digest").alias("same"), "refers_to", "refers_url").distinct()
+    dealt = rows.join(links, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "html", "digest", "refers_to", "refers_url")
 
     def write(batches):
         fs, base = pa.fs.FileSystem.from_uri(folder)

@@ -22,7 +22,7 @@ def brute_copies(rows, shards):
     sizes, of = Counter(), defaultdict(list)
     for i, t, s in rows:
         sizes[s] += len(t.split())
-        of[s].append((hashlib.md5(f"{i}|7".encode()).hexdigest(), i, len(t.split())))
+        of[s].append((hashlib.md5(f"{i}|{hashlib.md5(t.encode()).hexdigest()}|7".encode()).hexdigest(), i, len(t.split())))
     quota = {s: int(x + 1e-9) for s, x in brute_targets(sizes).items()}
     words = max(16, -(-sum(quota.values()) // (shards * mixing.BLOCKS_A_SHARD)))
     out = []
@@ -37,7 +37,7 @@ def brute_copies(rows, shards):
 
 
 def test_tree_deals_the_drawn_documents(spark, rows):
-    df = spark.createDataFrame([(i, i, len(t.split()), s, 0) for i, t, s in rows], "row_id long, doc_id long, size long, source string, tag long")
+    df = spark.createDataFrame([(i, i, len(t.split()), s, hashlib.md5(t.encode()).hexdigest()) for i, t, s in rows], "row_id long, doc_id long, size long, source string, tag string")
     found = mixing.drawn_documents(df, shards=5)[0].collect()
     brute = brute_copies(rows, 5)
     assert Counter((r.doc_id, r.epoch, r.source, r.block) for r in found) == Counter(brute)
@@ -53,7 +53,7 @@ def test_tree_deals_the_drawn_documents(spark, rows):
 def test_mixed_is_written_in_shuffled_order(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert Counter(r.doc_id for r in mixing.mixed(df).collect()) == Counter(i for i, *_ in brute_copies(rows, 16))
-    sized = spark.createDataFrame([(i, i, len(t.split()), s, 0) for i, t, s in rows], "row_id long, doc_id long, size long, source string, tag long")
+    sized = spark.createDataFrame([(i, i, len(t.split()), s, hashlib.md5(t.encode()).hexdigest()) for i, t, s in rows], "row_id long, doc_id long, size long, source string, tag string")
     copies = mixing.drawn_documents(sized, shards=1)[0].collect()
     wanted = [r.doc_id for r in sorted(copies, key=lambda r: (r.draw_key, r.epoch, r.before))]
     assert [r.doc_id for r in mixing.mixed(df, shards=1).collect()] == wanted
@@ -61,6 +61,6 @@ def test_mixed_is_written_in_shuffled_order(spark, rows):
 
 def test_rows_that_share_an_id_are_drawn_apart(spark):
     rows = [(7, "a b c d e f g h", "s"), (7, "x y", "s"), (7, "x y", "s"), (None, "p q r", "t"), (None, "u", "t")] + [(i, "k l m n", "u") for i in range(10, 60)]
-    sized = spark.createDataFrame([(k, i, len(t.split()), s, 0) for k, (i, t, s) in enumerate(rows)], "row_id long, doc_id long, size long, source string, tag long")
+    sized = spark.createDataFrame([(k, i, len(t.split()), s, hashlib.md5(t.encode()).hexdigest()) for k, (i, t, s) in enumerate(rows)], "row_id long, doc_id long, size long, source string, tag string")
     times = Counter(rows[r.row_id] for r in mixing.drawn_documents(sized, shards=16)[0].collect())
     assert Counter(map(tuple, mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect())) == times
