@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from postmill.functions import html as H
 from postmill.functions import messages as M
 from postmill.functions.text import normalize_ws, present, snippet
-from postmill.model import DOCS, MANIFEST
+from postmill.model import DOCS, ISSUE, MANIFEST
 from postmill.operators import archive
 from postmill.operators.postings import TextIndex
 from postmill.operators.search import Query
 from postmill.sinks.files import write_messages, write_report
 from postmill.sinks.pages import write_pages
-from postmill.sources.mailbox import read_mailboxes
+from postmill.sources.mailbox import discover, listing, read_mailbox
 
+COUNTERS = ["scanned", "skipped_date", "exported", "skipped_seen", "zips", "issues", "non_html", "no_body", "attachments", "attachments_inline", "attachments_empty", "unresolved_inline"]
 COLUMNS = ["subject", "sender", "recipients", "folder", "attach_names", "body"]
 
 
@@ -60,13 +61,35 @@ def documents(rows: DataFrame) -> DataFrame:
     return docs.withColumn("snippet", snippet("body")).select(*(c.split()[0] for c in DOCS.split(", ")))
 
 
+def _state(spark: SparkSession, output: str) -> tuple[archive.Versioned, archive.Versioned]:
+    """The manifest and the index of an archive."""
+    state = f"{output.rstrip('/')}/.state"
+    return archive.Versioned(spark, f"{state}/seen", MANIFEST, "key"), archive.Versioned(spark, f"{state}/docs", DOCS, "key")
+
+
 def run(spark: SparkSession, options: ArchiveOptions) -> dict:
-    """One run; returns its counters. Without full only messages whose key is new are written, of each key the first."""
+    """One run; returns its counters. Without full only messages whose key is new are written, of each key the first.
+
+    Each source is committed when it is done, so a run that breaks off goes on where it was.
+    """
     if not options.output:
         raise ValueError("no output folder was given")
+    figures: dict = dict.fromkeys(COUNTERS, 0)
+    found = f"{options.output.rstrip('/')}/.state/issues"
+    for k, path in enumerate(discover(spark, options.inputs)):
+        for name, n in _run_source(spark, options, path, found, "append" if k else "overwrite").items():
+            figures[name] += n
+    if figures["scanned"]:
+        write_report(spark.read.schema(ISSUE).parquet(found), f"{options.output.rstrip('/')}/.state/report")
+    if figures["exported"]:
+        write_pages(_state(spark, options.output)[1].read(), options.output).write.format("noop").mode("overwrite").save()
+    return figures
+
+
+def _run_source(spark: SparkSession, options: ArchiveOptions, path: str, found: str, mode: str) -> dict:
     state = f"{options.output.rstrip('/')}/.state"
-    manifest, index = archive.Versioned(spark, f"{state}/seen", MANIFEST), archive.Versioned(spark, f"{state}/docs", DOCS)
-    rows = keyed(read_mailboxes(spark, options.inputs), options.key_scope)
+    manifest, index = _state(spark, options.output)
+    rows = keyed(read_mailbox(spark, path), options.key_scope)
     known = manifest.read()
     scanned = f"{state}/scan"
     rows.write.mode("overwrite").parquet(scanned)
@@ -77,19 +100,17 @@ def run(spark: SparkSession, options: ArchiveOptions) -> dict:
     rendered(chosen).write.mode("overwrite").parquet(made)
     written = spark.read.parquet(made)
     files = write_messages(written, options.output).agg(F.count("*").alias("n"), F.count_if(F.col("zip_bytes") > 0).alias("zips")).first()
-    write_report(archive.issues(written), f"{state}/report")
-    entries = written.select("key", "path", "folder", F.current_timestamp().alias("exported_at"))
-    manifest.commit(archive.upsert(known, entries))
-    index.commit(archive.upsert(index.read(), documents(written)))
-    text = text_index(spark, options.output)
-    docs = documents(written)
-    if files.n:
-        text.add(docs)
-        write_pages(index.read(), options.output).write.format("noop").mode("overwrite").save()
+    archive.issues(written).write.mode(mode).parquet(found)
     total, kept = rows.count(), in_time.count()
     no = F.lit(False)
     counted = archive.run_stats(written, no, no).drop("scanned", "skipped_date", "skipped_seen", "exported").first().asDict()
-    return {"scanned": total, "skipped_date": total - kept, "exported": files.n, "skipped_seen": kept - files.n, "zips": files.zips, "issues": archive.issues(written).count(), **counted}
+    figures = {"scanned": total, "skipped_date": total - kept, "exported": files.n, "skipped_seen": kept - files.n, "zips": files.zips, "issues": counted["attachments_empty"] + counted["unresolved_inline"], **counted}
+    if files.n:
+        docs = documents(written)
+        text_index(spark, options.output).add(docs)
+        index.add(docs)
+        manifest.add(written.select("key", "path", "folder", F.current_timestamp().alias("exported_at")))
+    return figures
 
 
 def text_index(spark: SparkSession, output: str) -> TextIndex:
@@ -98,18 +119,15 @@ def text_index(spark: SparkSession, output: str) -> TextIndex:
 
 def find(spark: SparkSession, output: str, query: Query) -> DataFrame:
     """The archive's messages that query finds, by the index that its runs kept."""
-    docs = archive.Versioned(spark, f"{output.rstrip('/')}/.state/docs", DOCS).read()
+    docs = _state(spark, output)[1].read()
     return text_index(spark, output).matches(docs, query, docs)
 
 
 def reconcile(spark: SparkSession, output: str) -> dict:
     """Drops from manifest and index what has no file any more."""
-    state = f"{output.rstrip('/')}/.state"
-    manifest, index = archive.Versioned(spark, f"{state}/seen", MANIFEST), archive.Versioned(spark, f"{state}/docs", DOCS)
+    manifest, index = _state(spark, output)
     if not index.version():
         raise ValueError(f"{output} has no index")
-    from postmill.sources.mailbox import listing
-
     files = listing(spark, output).select(F.col("rel").alias("path"))
     kept, gone = archive.reconciled(index.read(), files)
     figures = {"kept": kept.count(), "pruned": gone.count()}

@@ -21,7 +21,7 @@ def ingest(arrivals: DataFrame, manifest: Versioned, checkpoint: str, key: str =
     def add(batch: DataFrame, _: int) -> None:
         known = manifest.read()
         new = unseen(batch, known, key, order).select(*known.columns)
-        manifest.commit(known.unionByName(new))
+        manifest.add(new)
 
     return arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -30,7 +30,7 @@ def replay(rows: DataFrame, chunks: int, key: str = "key", order: str = "seq") -
     """The manifest after rows arrived as a stream in so many parts, in order; rows without an order come first."""
     spark = rows.sparkSession
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    manifest = Versioned(spark, f"{home}/manifest", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    manifest = Versioned(spark, f"{home}/manifest", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), key)
     bounds = rows.stat.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.001)
     part = sum((F.coalesce((F.col(order) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
     for k in range(chunks):

@@ -21,6 +21,18 @@ def test_versions(spark, tmp_path):
         other.commit(table.read())
 
 
+def test_parts_are_added_and_made_one(spark, tmp_path):
+    table = archive.Versioned(spark, f"file://{tmp_path}/t", "key string, n int", "key")
+    table.MOST_PARTS = 3
+    for i in range(6):
+        table.add(spark.createDataFrame([("a", i), (f"k{i}", i)], "key string, n int"))
+        assert sorted(map(tuple, table.read().collect())) == [("a", i), *((f"k{j}", j) for j in range(i + 1))]
+    before = sorted(map(tuple, table.read().collect()))
+    assert table.vacuum(1) > 0 and sorted(map(tuple, table.read().collect())) == before
+    with pytest.raises(ValueError):
+        archive.Versioned(spark, f"file://{tmp_path}/u", "key string").add(table.read())
+
+
 def test_first_and_last_win(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, seq int")
     assert sorted(map(tuple, archive.first_wins(rows).collect())) == [("a", 1), ("b", 3)]

@@ -144,6 +144,17 @@ def test_archive_life_cycle(spark, tmp_path):
     assert run(spark, options)["exported"] == 1
 
 
+def test_sources_are_committed_one_by_one(spark, tmp_path):
+    for name in ("A", "B"):
+        put(tmp_path / "in" / name / "cur" / "1", raw(f"s{name}"))
+        put(tmp_path / "in" / name / "cur" / "2", raw("both"))
+    options = ArchiveOptions([f"{tmp_path}/in/A", f"{tmp_path}/in/B"], f"file://{tmp_path}/out")
+    first = run(spark, options)
+    assert (first["scanned"], first["exported"], first["skipped_seen"]) == (4, 3, 1)
+    assert run(spark, options)["exported"] == 0
+    assert {r.subject for r in find(spark, options.output, parse_query("text")).collect()} == {"sA", "sB", "both"}
+
+
 def test_several_stores_once_each(spark, tmp_path):
     put(tmp_path / "A", MBOX)
     assert read_mailboxes(spark, [str(tmp_path / "A")] * 2).count() == 2
