@@ -49,3 +49,20 @@ def store_totals(docs: DataFrame) -> DataFrame:
 def store_sizes(files: DataFrame) -> DataFrame:
     """files and size of each store of files (store, size)."""
     return files.groupBy("store").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+
+
+def narrowed(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The rows that show text in any of columns, or across them, whatever its case."""
+    shown = F.concat_ws("", *(F.col(c).cast("string") for c in columns))
+    return rows.where(F.contains(F.lower(shown), F.lower(F.lit(text))))
+
+
+def by_column(rows: DataFrame, column: str, ascending: bool = True, locale: str = "UNICODE") -> DataFrame:
+    """rows in the order of a column's text under a locale's collation, case and marks after letters."""
+    key = F.collate(F.col(column).cast("string"), locale)
+    return rows.orderBy(key.asc() if ascending else key.desc())
+
+
+def pager(total: int, offset: int, limit: int) -> dict:
+    """Where the pages before and after begin, None where there is none."""
+    return {"previous": max(0, offset - limit) if offset > 0 else None, "next": offset + limit if offset + limit < total else None}

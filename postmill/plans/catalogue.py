@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postmill.functions import html as H
 from postmill.functions import messages as M
 from postmill.functions import text as T
-from postmill.operators import archive, listing, postings, search
+from postmill.operators import accounts, archive, listing, postings, search
 from postmill.operators.search import Query
 from postmill.sinks import pages
 from postmill.streaming import incremental, quiescence
@@ -464,3 +464,45 @@ CASE WHEN max(n) > 20 THEN ', ' || (max(n) - 20) || ' older not listed' ELSE ''
 def folder_page_texts(spark, sf_dir):
     docs = _doc_paths(spark, sf_dir).select("path", F.concat(F.lit("m&"), F.col("doc_id").cast("string")).alias("subject"), F.lit("").alias("sender_name"), F.lit("").alias("sender_email"), F.col("doc_id").alias("date"), (F.col("doc_id") % 3 == 0).alias("has_attach"))
     return pages.folder_page_texts(docs, 20).select("path", F.sha2("html", 256).alias("page"))
+
+
+@_query("""WITH s AS (SELECT s_suppkey, 'server' || s_suppkey AS server, CASE WHEN s_suppkey % 3 = 0 THEN 'mail' || s_nationkey || '.org' ELSE '' END AS hostname, CASE WHEN s_suppkey % 3 = 1 THEN '/home/m' || s_nationkey ELSE '' END AS directory,
+CASE WHEN s_suppkey % 3 = 2 THEN '[ProfD]Mail/x' || s_nationkey ELSE '' END AS rel FROM supplier),
+t AS (SELECT n_nationkey AS n, unnest(['/data/mail' || n_nationkey || '.org', '/data/m' || n_nationkey || '/', 'x' || n_nationkey, 'none' || n_nationkey]) AS store FROM nation),
+b AS (SELECT store, regexp_extract(rtrim(store, '/'), '[^/]*$') AS name FROM t)
+SELECT store, min(server) AS server FROM b LEFT JOIN s ON hostname = name OR (directory <> '' AND regexp_extract(directory, '[^/]*$') = name) OR (rel <> '' AND ends_with(rel, name)) GROUP BY store""")
+def account_lookup(spark, sf_dir):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    of = lambda k, text: F.when(key % 3 == k, text).otherwise(F.lit(""))
+    lines = _read(spark, sf_dir, "supplier").select(F.explode(F.array(
+        F.struct(F.lit("hostname").alias("f"), of(0, F.concat(F.lit("mail"), nation, F.lit(".org"))).alias("v")), F.struct(F.lit("directory").alias("f"), of(1, F.concat(F.lit("/home/m"), nation)).alias("v")),
+        F.struct(F.lit("directory-rel").alias("f"), of(2, F.concat(F.lit("[ProfD]Mail/x"), nation)).alias("v")))).alias("x"), "s_suppkey",
+    ).select(F.format_string('user_pref("mail.server.server%d.%s", "%s");', "s_suppkey", "x.f", "x.v").alias("value"))
+    n = F.col("n_nationkey").cast("string")
+    stores = _read(spark, sf_dir, "nation").select(F.explode(F.array(F.concat(F.lit("/data/mail"), n, F.lit(".org")), F.concat(F.lit("/data/m"), n, F.lit("/")), F.concat(F.lit("x"), n), F.concat(F.lit("none"), n))).alias("store"))
+    return accounts.accounts_of(stores, accounts.accounts(accounts.preferences(lines))).select("store", "server")
+
+
+@_query("""WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN coalesce(CASE WHEN s_suppkey % 3 = 0 THEN n_name END, 'Evolution ' || s_suppkey) WHEN s_suppkey % 5 = 0 THEN 'On This Computer' ELSE 'u' || s_nationkey END AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s_suppkey) AS k FROM l)
+SELECT s_suppkey, label, CASE WHEN k > 1 THEN label || ' (' || k || ')' ELSE label END AS choice FROM c""")
+def store_labels(spark, sf_dir):
+    key = F.col("s_suppkey")
+    both = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    path = F.when(key % 2 == 0, F.concat(F.lit("/cache/"), key.cast("string"))).when(key % 5 == 0, F.lit("/data/local/")).otherwise(F.concat(F.lit("/data/u"), F.col("s_nationkey").cast("string")))
+    names = both.select(key.cast("string").alias("uid"), F.when(key % 3 == 0, F.col("n_name")).otherwise(F.lit(" ")).alias("display_name"))
+    rows = accounts.store_labels(both.select("s_suppkey", path.alias("store"), (key % 2 == 0).alias("cached")), names)
+    return accounts.distinct_labels(rows, order="s_suppkey").select("s_suppkey", "label", "choice")
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN 'long-' || l_partkey WHEN l_partkey % 3 = 1 THEN l_returnflag WHEN l_suppkey % 2 = 0 THEN 'attachment-' || l_linenumber || '.' || l_linestatus ELSE '' END AS name FROM lineitem")
+def attachment_naming(spark, sf_dir):
+    three = F.col("l_partkey") % 3
+    long = F.when(three == 0, F.concat(F.lit("long-"), F.col("l_partkey").cast("string")))
+    ext = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("."), "l_linestatus"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", accounts.attachment_name(long, F.when(three == 1, F.col("l_returnflag")), ext, "l_linenumber").alias("name"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE contains(lower(c_custkey || c_name), lower('1cUSTOMER'))")
+def row_narrowing(spark, sf_dir):
+    return listing.narrowed(_read(spark, sf_dir, "customer"), "1cUSTOMER", ["c_custkey", "c_name"]).select("c_custkey")

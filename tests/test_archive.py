@@ -75,6 +75,13 @@ def test_pages(spark, tmp_path):
     assert "A &lt;b&gt;" in whole["S/In/index.html"] and whole["S/In/index.html"].index("2 x") < whole["S/In/index.html"].index("1.html") if "2 x" in whole["S/In/index.html"] else True
 
 
+def test_paging_and_column_order(spark):
+    assert listing.pager(120, 0, 50) == {"previous": None, "next": 50} and listing.pager(120, 100, 50) == {"previous": 50, "next": None}
+    rows = spark.createDataFrame([("b",), ("A",), ("a",), ("\u00e1",), ("C",)], "x string")
+    assert [r.x.lower()[0] for r in listing.by_column(rows, "x").collect()] == ["a", "a", "\u00e1", "b", "c"]
+    assert [r.x for r in listing.by_column(rows, "x", ascending=False).collect()][0] == "C"
+
+
 def test_quiescence(spark):
     polls = spark.createDataFrame([("s", datetime(2024, 1, 1, 0, 0, t), n) for t, n in ((0, 1), (10, 1), (31, 1), (35, 2))] + [("s", datetime(2024, 1, 1, 0, 1, 10), 2)], "store string, ts timestamp, size int")
     assert [r.is_stable for r in quiescence.stable(polls).orderBy("ts").collect()] == [False, False, True, False, True]
