@@ -108,6 +108,11 @@ def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     Adds to ordered(): epoch, block, from_word, n_words, shard and draw_key, by which a shard's blocks are shuffled.
     Documents of size 0 and null are never drawn; null is a source of its own; rows that repeat are drawn apart.
     """
+    return _mix(df, shards, seed)[0]
+
+
+def _mix(df: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """mix(), and the words that it draws."""
     docs = stored(ordered(df, seed), "mix-order")
     sources, block_words = _block_words(docs, shards)
     start = F.col("epoch") * F.col("source_size") + F.col("before")
@@ -116,16 +121,21 @@ def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     pieces = taken.withColumn("block", F.explode_outer(F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))))
     at = F.greatest("lo", F.col("block") * block_words)
     pieces = pieces.withColumn("from_word", at - F.col("lo")).withColumn("n_words", F.least("hi", (F.col("block") + 1) * block_words) - at).drop("lo", "hi")
-    return _dealt(pieces, [(r.source, list(range(math.ceil(r.quota / block_words)))) for r in sources], shards, seed)
+    return _dealt(pieces, [(r.source, list(range(math.ceil(r.quota / block_words)))) for r in sources], shards, seed), sum(r.quota for r in sources)
+
+
+def slices_of(words: int, shards: int) -> int:
+    """How many tasks write a shard of a mix of so many words."""
+    return max(1, math.ceil(words / (shards * SLICE_WORDS)))
 
 
-def shuffled(pieces: DataFrame, slices: int = 1) -> DataFrame:
+def shuffled(pieces: DataFrame, shards: int, slices: int = 1) -> DataFrame:
     """The drawn pieces, a shard's together, blocks in random order and each block's words in their own.
 
     With more slices than one a shard is written by so many tasks, each a run of its blocks.
     """
-    part = F.floor((F.col("draw_key").cast("double") / 2.0**63 + 1) / 2 * slices)
-    return pieces.where("shard is not null").repartition("shard", part).sortWithinPartitions("shard", "draw_key", "source", "block", "epoch", "before")
+    part = F.least(F.floor((F.col("draw_key").cast("double") / 2.0**63 + 1) / 2 * slices), F.lit(slices - 1))
+    return pieces.where("shard is not null").repartitionById(shards * slices, (F.col("shard") * slices + part).cast("int")).sortWithinPartitions("shard", "draw_key", "source", "block", "epoch", "before")
 
 
 def placed(pieces: DataFrame) -> DataFrame:
@@ -151,8 +161,8 @@ def sized(df: DataFrame, *more) -> DataFrame:
 
 def mixture_places(df: DataFrame, shards: int = 16) -> DataFrame:
     """mixture() with places: the pieces of the document in the written mix as (shard, at_word, n_words), in order."""
-    pieces = mix(sized(df), shards)
-    written = stored(shuffled(placed(pieces)), "mix-written")
+    pieces, words = _mix(sized(df), shards, 7)
+    written = stored(shuffled(placed(pieces), shards, slices_of(words, shards)), "mix-written")
     rows = written.unionByName(pieces.where("block is null"), allowMissingColumns=True)
     place = F.when(F.col("shard").isNotNull(), F.struct("shard", "at_word", "n_words"))
     firsts = (F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target"))
@@ -196,4 +206,4 @@ def mixed(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     named = rows.select("row_id", "row.doc_id", "row.text", "row.source")
     copies, words = drawn_documents(sized(named, "row_id"), shards, seed)
     kept = rows.join(copies.select("row_id", "shard", "draw_key", "source", "block", "epoch", "before"), "row_id")
-    return shuffled(kept, max(1, math.ceil(words / (shards * SLICE_WORDS)))).select("row.*")
+    return shuffled(kept, shards, slices_of(words, shards)).select("row.*")

@@ -39,9 +39,11 @@ def test_places_tile_the_shards_as_the_tree_says(df):
 
 def test_written_order_is_the_shuffled_one(df):
     pieces = mixing.placed(mixing.mix(mixing.sized(df), shards=1))
-    assert [r.at_word for r in mixing.shuffled(pieces).collect()] == sorted(r.at_word for r in pieces.collect())
-    keys = [r.draw_key for r in mixing.shuffled(pieces).collect()]
+    assert [r.at_word for r in mixing.shuffled(pieces, 1).collect()] == sorted(r.at_word for r in pieces.collect())
+    keys = [r.draw_key for r in mixing.shuffled(pieces, 1).collect()]
     assert keys == sorted(keys)
+    cut = mixing.shuffled(pieces, 1, 5)
+    assert cut.rdd.getNumPartitions() == 5 and [r.draw_key for r in cut.collect()] == keys
 
 
 def test_blocks_that_the_tree_loses_are_not_taken(df, monkeypatch):
