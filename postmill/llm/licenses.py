@@ -3,7 +3,8 @@
 A template is aligned with a stretch of a document: words that occur once in both are anchors, their longest
 increasing subsequence is kept, and the gaps between kept anchors are aligned the same way. Coverage is the share
 of the template's words that the alignment matches. Stretches are the places where a template's words stand close
-together; a stretch that cannot reach the threshold by its word counts is not aligned.
+together; a stretch that cannot reach the threshold by its word counts is not aligned, and of neighbouring ones that
+share equally many words with the template the first and the last are.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ class Templates:
         h, docs, _ = words_of(texts)
         self.names = list(templates)
         self.words = [h[docs == i].tolist() for i in range(len(self.names))]
-        self.counts = [Counter(w) for w in self.words]
-        self.sets = [np.unique(h[docs == i]) for i in range(len(self.names))]
+        distinct = [np.unique(h[docs == i], return_counts=True) for i in range(len(self.names))]
+        self.sets, self.times = [d[0] for d in distinct], [d[1] for d in distinct]
         self.vocabulary = np.unique(h)
 
 
@@ -89,6 +90,30 @@ def _within(h: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
 
 
+def _shared_words(words: np.ndarray, at: np.ndarray, docs: np.ndarray, own: np.ndarray, times: np.ndarray, width: int) -> np.ndarray:
+    """For each hit how many of the template's words (own, so often as times says) the stretch of width from it has.
+
+    A hit counts for the starts from which fewer hits of its word lie before it than the template has of that word.
+    """
+    n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    name = np.searchsorted(own, words)
+    order = np.lexsort((at, name, docs))
+    place, most = np.arange(n), times[name[order]]
+    first = np.flatnonzero(np.append(True, (name[order][1:] != name[order][:-1]) | (docs[order][1:] != docs[order][:-1])))
+    start = np.repeat(first, np.diff(np.append(first, n)))
+    before = place - most
+    # The start after the hit, so many of its word back, that would be one too many.
+    floor = np.full(n, 0)
+    floor[order] = np.where(before >= start, order[np.maximum(before, 0)] + 1, 0)
+    reach = np.maximum(floor, np.maximum(np.searchsorted(at, at - width, side="right"), np.searchsorted(docs, docs)))
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, reach, 1)
+    change[1:] -= 1
+    return np.cumsum(change[:-1])
+
+
 def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, spread: int = SPREAD) -> list[tuple[int, int, int, int, int]]:
     """(text, template, matched words, first word, last word) of the best stretch of each template found in a text."""
     h, docs, begin = words_of(Texts(pa.compute.utf8_lower(column)))
@@ -97,32 +122,24 @@ def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, s
     for t, own in enumerate(templates.sets):
         size = len(templates.words[t])
         need = threshold * size - 1e-9
-        if not size or not len(known):
+        if not size or len(known) < need:
             continue
         hits = known[_within(h[known], own)]
-        # A stretch of spread times the template's words starts at a hit and holds enough hits to reach the threshold.
-        enough = int(np.ceil(need))
-        if len(hits) < enough:
-            continue
-        end = hits[enough - 1 :]
-        start = hits[: len(end)]
-        good = np.flatnonzero((end - start < spread * size) & (docs[end] == docs[start]))
-        done = -1
-        for i in good.tolist():
-            a, d = int(hits[i]), int(docs[hits[i]])
-            b = min(a + spread * size, int(begin[d + 1]))
-            if a < done:
-                continue
-            text = h[a:b].tolist()
-            if sum((Counter(text) & templates.counts[t]).values()) < need:
-                continue
-            pairs = align(text, templates.words[t])
-            if len(pairs) >= need:
-                found = (len(pairs), a + pairs[0][0] - int(begin[d]), a + pairs[-1][0] - int(begin[d]))
-                if (d, t) not in best or found[0] > best[d, t][0]:
-                    best[d, t] = found
-                if len(pairs) == size:
-                    done = a + pairs[-1][0] + 1
+        shared = _shared_words(h[hits], hits, docs[hits], own, templates.times[t], spread * size)
+        good = np.flatnonzero(shared >= need)
+        # Neighbouring starts share most of their stretch: of those with equally many shared words the first and the
+        # last are tried, the most first, until no stretch can match more than what was found.
+        for run in np.split(good, np.flatnonzero((np.diff(good) > 1) | np.diff(docs[hits[good]]).astype(bool)) + 1) if len(good) else ():
+            for level in np.unique(shared[run])[::-1].tolist():
+                same = run[shared[run] == level]
+                d = int(docs[hits[same[0]]])
+                if level <= best.get((d, t), (0,))[0]:
+                    break
+                for i in sorted({int(same[0]), int(same[-1])}):
+                    a = int(hits[i])
+                    pairs = align(h[a : min(a + spread * size, int(begin[d + 1]))].tolist(), templates.words[t])
+                    if len(pairs) >= need and len(pairs) > best.get((d, t), (0,))[0]:
+                        best[d, t] = (len(pairs), a + pairs[0][0] - int(begin[d]), a + pairs[-1][0] - int(begin[d]))
     return sorted((d, t, *v) for (d, t), v in best.items())
 
 

@@ -149,13 +149,14 @@ def test_license_repeated_and_changed(spark):
 
 
 def brute_best(words, template, spread):
-    """Most matched words of a stretch that starts at one of the template's words."""
+    """Most matched words of any stretch that starts at one of the template's words."""
     found = [licenses.align(words[i : i + spread * len(template)], template) for i, w in enumerate(words) if w in set(template)]
     return max((len(x) for x in found), default=0)
 
 
 @pytest.mark.parametrize("spread", [2, 4])
 def test_coverage_is_that_of_the_best_stretch(spark, spread):
+    """Not all stretches are aligned, so a worse one may count; what is found is real, and few are missed."""
     r = random.Random(12)
     names = ["a", "b", "c", "d", "e", "f", "g", "h"]
     templates = {str(k): " ".join(r.choice(names) for _ in range(6 + 3 * k)) for k in range(4)}
@@ -168,7 +169,21 @@ def test_coverage_is_that_of_the_best_stretch(spark, spread):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(x.doc_id, x.license): x.n_matched for x in licenses.scan_licenses(df, templates, spread=spread).collect()}
     best = {(i, k): brute_best(t.split(), v.split(), spread) for i, t in rows for k, v in templates.items()}
-    assert found == {(i, k): n for (i, k), n in best.items() if n >= 0.8 * len(templates[k].split())}
+    best = {(i, k): n for (i, k), n in best.items() if n >= 0.8 * len(templates[k].split())}
+    assert set(found) <= set(best) and len(found) >= 0.95 * len(best) > 40
+    assert all(n <= best[k] for k, n in found.items()) and sum(n == best[k] for k, n in found.items()) >= 0.95 * len(found)
+
+
+def test_shared_words_of_every_start():
+    r = random.Random(1)
+    for _ in range(200):
+        own = np.unique(np.array([r.randint(0, 9) for _ in range(5)], dtype=np.uint64))
+        times, n = np.array([r.randint(1, 3) for _ in own]), r.randint(1, 40)
+        docs, words = np.sort(np.array([r.randint(0, 2) for _ in range(n)])), np.array([r.choice(own.tolist()) for _ in range(n)], dtype=np.uint64)
+        at, width = np.sort(np.array(r.sample(range(100), n))), r.randint(1, 30)
+        cap = dict(zip(own.tolist(), times.tolist()))
+        counts = [Counter(words[j].item() for j in range(i, n) if docs[j] == docs[i] and at[j] < at[i] + width) for i in range(n)]
+        assert licenses._shared_words(words, at, docs, own, times, width).tolist() == [sum(min(c, cap[w]) for w, c in x.items()) for x in counts]
 
 
 def test_wide_copies_and_long_texts(spark):
