@@ -7,7 +7,8 @@ PARSED = (
     "subject string, sender_name string, sender_email string, `to` string, cc string, sent timestamp, received timestamp, "
     f"internet_message_id string, html_body string, plain_body string, rtf_body string, attachments array<struct<{ATTACHMENT.replace(' string', ':string').replace(' long', ':bigint').replace(' binary', ':binary')}>>"
 )
-MESSAGE = f"store string, folder_path array<string>, {PARSED}"
+#: file and offset say where in its store a message stands; postmill.sources.mailbox.scan_order() makes an order of them.
+MESSAGE = f"store string, folder_path array<string>, {PARSED}, file string, offset long"
 MANIFEST = "key string, path string, folder string, exported_at timestamp"
 DOCS = (
     "key string, store string, folder string, sender_name string, sender_email string, recipients string, subject string, "

@@ -17,7 +17,7 @@ from postmill.operators.postings import TextIndex
 from postmill.operators.search import Query
 from postmill.sinks.files import write_messages, write_report
 from postmill.sinks.pages import write_pages
-from postmill.sources.mailbox import discover, listing, read_mailbox
+from postmill.sources.mailbox import discover, listing, read_mailbox, scan_order
 
 COUNTERS = ["scanned", "skipped_date", "exported", "skipped_seen", "zips", "issues", "non_html", "no_body", "attachments", "attachments_inline", "attachments_empty", "unresolved_inline"]
 COLUMNS = ["subject", "sender", "recipients", "folder", "attach_names", "body"]
@@ -35,9 +35,9 @@ class ArchiveOptions:
 
 
 def keyed(messages: DataFrame, scope: str = "folder") -> DataFrame:
-    """messages with folder, date, key and seq (scan order)."""
+    """messages with folder, date, key and seq, the order in which a walk of their store meets them."""
     rows = messages.withColumn("folder", F.array_join("folder_path", "/")).withColumn("date", M.effective_date())
-    return rows.withColumn("key", M.message_key("folder", M.message_identity(), "store" if scope == "store" else None)).withColumn("seq", F.monotonically_increasing_id())
+    return rows.withColumn("key", M.message_key("folder", M.message_identity(), "store" if scope == "store" else None)).withColumn("seq", scan_order("file"))
 
 
 def rendered(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ HTML bodies; conversations are threads.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,7 +19,9 @@ from postmill.functions import messages as M
 from postmill.functions import text as T
 from postmill.operators import accounts, archive, listing, postings, search
 from postmill.operators.search import Query
-from postmill.sinks import pages
+from postmill.session import shared_dir
+from postmill.sinks import mboxes, pages
+from postmill.sources import mailbox
 from postmill.streaming import incremental, quiescence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,6 +250,18 @@ def dup_identities(spark, sf_dir):
     return d.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@_query("SELECT doc_id, coalesce(source, '') AS sender, sha256(coalesce(text, '')) AS body FROM documents")
+def mbox_round_trip(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    headers = {"From": F.concat("source", F.lit(" <mail@example.org>")), "Subject": F.col("doc_id").cast("string"), "Message-ID": F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit("@example.org>"))}
+    ways = {c: mboxes.raw_message(headers, F.col("text"), c, F.col("doc_id") % 3 == 0) for c in ("UTF-8", "ISO-8859-1")}
+    plain = F.col("text").rlike(r"\A[\x00-\xFF]*\z") & (F.col("doc_id") % 2 == 0)
+    home = f"{shared_dir(spark)}/mboxes-{uuid.uuid4().hex}"
+    mboxes.write_mboxes(d.select(F.when(plain, ways["ISO-8859-1"]).otherwise(ways["UTF-8"]).alias("data")), home).write.format("noop").mode("overwrite").save()
+    found = mailbox.read_mailbox(spark, home, "mbox-tree", range_bytes=1 << 20)
+    return found.select(F.col("subject").cast("long").alias("doc_id"), F.col("sender_name").alias("sender"), F.sha2(F.regexp_replace("plain_body", r"\n\z", "").cast("binary"), 256).alias("body"))
+
+
 _SLUG = "trim(left(CASE WHEN trim(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '-._ ') = '' THEN 'untitled' ELSE trim(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '-._ ') END, 60), '-._ ')"
 
 

@@ -1,25 +1,22 @@
 """Mailboxes as Spark reads: mbox files and trees, maildir, Maildir++ and IMAP disk caches.
 
-Files are found and split by Spark's own readers: an mbox is a text whose lines end at "\\nFrom ", a maildir is a
-tree of binary files. Folder paths come from file paths by column expressions; only the parsing of a message runs
-in Python, over Arrow batches.
+Mboxes are read by the data source in mbox.py, in byte ranges, a maildir is a tree of binary files. Messages stay bytes
+until the MIME parser, which alone knows their charsets. Folder paths come from file paths by column expressions.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import sanitize_segment
 from postmill.model import MESSAGE
 from postmill.sources import mime
-
-#: Files beside mailboxes that are none.
-NOT_MAILBOXES = r"(?i)(^|/)\.[^/]*$|\.(msf|dat|html|sqlite|json)$"
+from postmill.sources.mbox import NOT_MAILBOXES, MboxSource
 
 
 class UnsupportedMailbox(ValueError):
@@ -169,54 +166,42 @@ def folder_path(rel: Column, layout: str) -> Column:
 
 
 _PART = pa.struct([("filename", pa.string()), ("mime_type", pa.string()), ("content_id", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
-_TYPES = {"folder_path": pa.list_(pa.string()), "sent": pa.timestamp("us", "UTC"), "received": pa.timestamp("us", "UTC"), "attachments": pa.list_(_PART)}
-_ARROW = pa.schema([(name, _TYPES.get(name, pa.string())) for name in ("store", "folder_path", *mime.FIELDS)])
+_TYPES = {"folder_path": pa.list_(pa.string()), "offset": pa.int64(), "sent": pa.timestamp("us", "UTC"), "received": pa.timestamp("us", "UTC"), "attachments": pa.list_(_PART)}
+_ARROW = pa.schema([(name, _TYPES.get(name, pa.string())) for name in ("store", "folder_path", *mime.FIELDS, "file", "offset")])
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
-    """raw (store, folder_path, data) as messages."""
+    """raw (store, folder_path, data, file, offset) as messages."""
 
     def run(batches):
         for batch in batches:
-            store, folder, data = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pylist([{"store": s, "folder_path": f, **mime.parse(d)} for s, f, d in zip(store, folder, data)], _ARROW)
+            store, folder, data, file, offset = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_pylist([{"store": s, "folder_path": f, **mime.parse(d), "file": p, "offset": o} for s, f, d, p, o in zip(store, folder, data, file, offset)], _ARROW)
 
     return raw.mapInArrow(run, MESSAGE)
 
 
-#: Bytes of a mailbox with a hidden name that one task reads.
-RANGE_BYTES = 32 << 20
-
+def scan_order(file: Column | str, offset: Column | str = "offset") -> Column:
+    """A column that sorts a store's messages as a walk meets them.
 
-def _hidden(spark: SparkSession, files: list[tuple[str, str]], size: int = RANGE_BYTES) -> DataFrame:
-    """(rel, value) of mbox files (uri, rel) whose names Spark's readers pass over, as they give those of others.
-
-    A range of size bytes has the messages whose separator begins in it.
+    Names go by their bytes, a folder's own messages before its subfolders, new before cur, an mbox from its begin on.
     """
-    lengths = [(uri, rel, fs.getFileStatus(p).getLen()) for uri, rel in files for fs, p in [_fs(spark, uri)]]
-    ranges = [(uri, rel, start) for uri, rel, n in lengths for start in range(0, n, size)]
+    file = F.col(file) if isinstance(file, str) else file
+    parts = F.split(file, "/")
+    turn = F.transform(parts, lambda x, i: F.when((x == "new") & (i < F.size(parts) - 1), F.array(F.lit(""), F.lit("0"))).when((x == "cur") & (i < F.size(parts) - 1), F.array(F.lit(""), F.lit("1"))).otherwise(F.array(F.regexp_replace(x, r"\.sbd$", ""))))
+    return F.struct(F.filter(F.flatten(turn), lambda x: x != "subfolders").alias("turn"), file.alias("file"), F.col(offset).alias("offset") if isinstance(offset, str) else offset.alias("offset"))
 
-    def cut(batches):
-        mark = b"\nFrom "
-        for batch in batches:
-            for uri, rel, start in zip(*(c.to_pylist() for c in batch.columns)):
-                system, at = pa.fs.FileSystem.from_uri(uri)
-                with system.open_input_file(at) as f:
-                    data = f.read_at(size + len(mark) - 1, start)
-                    if start and mark not in data:
-                        continue
-                    while (end := data.find(mark, size)) < 0 and (more := f.read_at(size, start + len(data))):
-                        data += more
-                rows = (data[:end] if end >= 0 else data).split(mark)[start > 0 :]
-                yield pa.RecordBatch.from_arrays([pa.array([rel] * len(rows), pa.string()), pa.array([x.decode("utf-8", "replace") for x in rows], pa.string())], names=["rel", "value"])
 
-    return spark.createDataFrame(ranges, "uri string, rel string, start long").repartition(max(1, len(ranges))).mapInArrow(cut, "rel string, value string")
+def register(spark: SparkSession) -> None:
+    """Makes spark.read.format("mbox") known to the session."""
+    spark.dataSource.register(MboxSource)
 
 
-def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None) -> DataFrame:
+def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """The messages of one store. An mbox is split at its messages, so that one large file is read by many tasks.
 
-    Of a tree the mboxes and maildirs in it and in its .sbd folders are read, and no others.
+    Of a tree the mboxes and maildirs in it and in its .sbd folders are read, and no others; of each mbox what it held
+    when it was listed. range_bytes: what one task reads of mboxes, as much as of other files unless given.
     """
     layout = layout or detect(spark, path)
     root = _root(spark, path)
@@ -225,24 +210,18 @@ def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, stor
     rel = F.col("rel")
     boxes = []
     if layout in ("mbox", "mbox-tree"):
-        found = [name] if layout == "mbox" else _mbox_files(spark, root)
         base = root.rpartition("/")[0] if layout == "mbox" else root
-        plain = [x for x in found if not x.rpartition("/")[2].startswith("_")]
-        hidden = [(f"{base}/{x}", x) for x in found if x not in plain]
-        rows = _hidden(spark, hidden) if hidden or not plain else None
-        if plain:
-            text = spark.read.option("lineSep", "\nFrom ").text([f"{base}/{x}" for x in plain])
-            own = text.select(_relative(F.col("_metadata.file_path"), base).alias("rel"), "value")
-            rows = own if rows is None else rows.unionByName(own)
-        # A message may end in the carriage return of the line end before the next one.
-        body = F.regexp_replace("value", r"\r\z", "")
-        body = F.regexp_replace(F.regexp_replace(body, r"\A(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-        boxes.append(rows.where(F.length("value") > 0).select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), body.cast("binary").alias("data")))
+        files = [(f"{base}/{x}", fs.getFileStatus(p).getLen()) for x in ([name] if layout == "mbox" else _mbox_files(spark, root)) for fs, p in [_fs(spark, f"{base}/{x}")]]
+        register(spark)
+        range_bytes = range_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        rows = spark.read.format("mbox").option("files", json.dumps(files)).option("rangeBytes", range_bytes).load()
+        rows = rows.withColumn("rel", F.substring("path", len(base) + 2, 1 << 20))
+        boxes.append(rows.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), "data", rel.alias("file"), "offset"))
     if layout not in ("mbox", "mbox-tree") or (layout == "mbox-tree" and _maildirs(spark, root)):
         folders = _plus_plus_folders(spark, path) if layout == "maildir++" else [f"{path}/{x}" for x in _maildirs(spark, root)] if layout == "mbox-tree" else [path]
         files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(folders).withColumn("rel", _relative(F.col("path"), root))
         mail = files.where(rel.rlike("(^|/)(cur|new)/"))
-        boxes.append(mail.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), F.col("content").alias("data")))
+        boxes.append(mail.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), F.col("content").alias("data"), rel.alias("file"), F.lit(0).cast("long").alias("offset")))
     raw = boxes[0]
     for b in boxes[1:]:
         raw = raw.unionByName(b)

@@ -1,5 +1,4 @@
 import mailbox
-import re
 from email.message import EmailMessage
 
 import pytest
@@ -7,7 +6,7 @@ import pytest
 from postmill.operators.search import parse_query
 from postmill.pipeline import ArchiveOptions, find, reconcile, run
 from postmill.sources import mime
-from postmill.sources.mailbox import UnsupportedMailbox, _hidden, detect, discover, is_mailbox, read_mailbox, read_mailboxes
+from postmill.sources.mailbox import UnsupportedMailbox, detect, discover, is_mailbox, read_mailbox, read_mailboxes
 
 MBOX = (
     b"From a@x Mon Jan 01 00:00:00 2024\r\nFrom: Ann Lee <ann@x.org>\r\nTo: Bo Li <bo@x.org>\r\nSubject: First\r\nDate: Mon, 01 Jan 2024 10:00:00 +0100\r\n"
@@ -45,10 +44,8 @@ def test_names_that_readers_pass_over(spark, tmp_path):
     found = read_mailbox(spark, str(tmp_path / "Mail")).collect()
     assert sorted((r.folder_path, r.subject) for r in found) == [(f, s) for f in (["Inbox", "_Old"], ["_Kept"]) for s in ("First", "Second")]
     assert set(rows(read_mailbox(spark, str(tmp_path / "Mail/_Kept")))) == {"First", "Second"}
-    whole = (tmp_path / "Mail/_Kept").read_bytes().decode()
     for size in (1, 7, 60, 200, 10_000):
-        values = [r.value for r in _hidden(spark, [(f"file://{tmp_path}/Mail/_Kept", "k")], size).collect()]
-        assert sorted(values) == sorted(re.split("\nFrom ", whole))
+        assert sorted(r.subject for r in read_mailbox(spark, str(tmp_path / "Mail/_Kept"), range_bytes=size).collect()) == ["First", "Second"]
 
 
 def test_tree_of_mboxes(spark, tmp_path):
