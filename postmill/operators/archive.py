@@ -1,110 +1,17 @@
-"""The archive's state as tables: what is new, upserts, deletions, reconciliation, audit and run figures.
-
-A table lives in numbered versions under one folder; a small file names the current one. A version is written whole
-before the name changes, so a reader or a crashed writer never sees half a table.
-"""
+"""The archive's rows: what is new, upserts, deletions, reconciliation, audit and run figures. snapshots.py keeps them."""
 
 from __future__ import annotations
 
-import uuid
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.messages import attachment_label, cid_references
 from postmill.functions.text import present
+from postmill.operators.snapshots import Table as Versioned  # noqa: F401 - the name that callers know
 
 MOST_ISSUES = 10_000
 
 
-class Versioned:
-    """A table in versions; read() is empty until the first commit.
-
-    A version is a list of parts. With a key, add() writes the new rows alone and the latest part's row of a key counts;
-    beyond MOST_PARTS parts they are written as one.
-    """
-
-    MOST_PARTS = 16
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> dict:
-        jvm, fs = self._fs()
-        return {int(s.getPath().getName().rpartition("-")[2]): s for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*")) or []}
-
-    def _parts(self, status) -> list[str]:
-        stream = self._fs()[1].open(status.getPath())
-        try:
-            return stream.readUTF().split(",") if status.getLen() else []
-        finally:
-            stream.close()
-
-    def _current(self) -> tuple[int, list[str]]:
-        found = self._versions()
-        for n in sorted(found, reverse=True):
-            if parts := self._parts(found[n]):
-                return n, parts
-        return 0, []
-
-    def version(self) -> int:
-        return self._current()[0]
-
-    def read(self) -> DataFrame:
-        parts = self._current()[1]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        if len(parts) == 1:
-            return self.spark.read.schema(self.schema).parquet(f"{self.path}/{parts[0]}")
-        rows = None
-        for i, name in enumerate(parts):
-            own = self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("__part", F.lit(i))
-            rows = own if rows is None else rows.unionByName(own)
-        row = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "__part"))
-        return rows.groupBy(self.key).agg(F.max_by(row, "__part").alias("row")).select("row.*")
-
-    def commit(self, rows: DataFrame) -> int:
-        """Writes rows as the next version and makes it current. Raises if another writer was first."""
-        return self._publish(rows, [], self.version() + 1)
-
-    def add(self, rows: DataFrame) -> int:
-        """Writes rows as one more part: they take the place of those of the same key. A key that rows repeat is an error of the caller."""
-        n, parts = self._current()
-        if self.key is None:
-            raise ValueError("add() needs a table with a key")
-        n = self._publish(rows, parts, n + 1)
-        return self.commit(self.read()) if len(parts) + 1 > self.MOST_PARTS else n
-
-    def _publish(self, rows: DataFrame, parts: list[str], n: int) -> int:
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        jvm, fs = self._fs()
-        try:
-            stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{n}"), False)
-        except Py4JJavaError as e:
-            raise RuntimeError(f"version {n} of {self.path} was committed by another writer") from e
-        stream.writeUTF(",".join([*parts, name]))
-        stream.close()
-        return n
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Deletes what the latest versions, so many, don't need; returns how many folders went. For times without other writers."""
-        jvm, fs = self._fs()
-        found = self._versions()
-        kept = sorted(found, reverse=True)[: max(1, keep)]
-        used = {name for n in kept for name in self._parts(found[n])}
-        gone = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-*")) or [] if s.getPath().getName() not in used]
-        for p in [*gone, *(found[n].getPath() for n in found if n not in kept)]:
-            fs.delete(p, True)
-        return len(gone)
-
-
 def since(rows: DataFrame, cutoff, date: str = "date") -> DataFrame:
     """Rows at or after cutoff; those without a date stay."""
     return rows.where(F.col(date).isNull() | (F.col(date) >= F.lit(cutoff)))

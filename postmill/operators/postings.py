@@ -1,130 +1,346 @@
-"""A text index as tables in parts: occurrences of tokens, sorted by term, and the length of each document.
+"""A text index as tables: posting blocks by term, the documents by number, and the corpus' figures in the log.
 
-Each part holds the documents that were added at once. A document that is added again counts by its latest part, so
-adding never rewrites what is there; compact() makes one part of all. A search reads the buckets of its terms, and the
-lengths for the statistics of the corpus; texts are not read.
+Documents that are added at once are a part. Tasks invert runs of documents, so that what is shuffled and sorted by term
+are coded blocks and not tokens; the number of sorting tasks follows the blocks' bytes and a frequent term is split by
+document number. A document that is added again, or deleted, leaves a tombstone in the parts that had it; the numbers of
+documents and tokens that still count are kept with each part. Folding makes one part of all from their blocks alone.
+
+A search reads the blocks of its terms, by zones of document numbers: a zone's blocks meet in one task, which finds
+phrases and scores there. It reads no text, and no length of a document that lacks its terms.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import tokens
-from postmill.operators.archive import Versioned
-from postmill.operators.search import K1, B, Query, filtered, phrases
+from postmill.operators.blocks import FIELDS, NAMES, ZONE_BITS, Entries, Zone, bytes_of, coded, decoded
+from postmill.operators.search import Query, filtered, filters, paged, phrases
+from postmill.operators.snapshots import Log
 from postmill.session import shared_dir
 
-BUCKETS = 64
+#: Tokens that a task inverts at once, and bytes of blocks that one task sorts.
+TOKENS, SORT_BYTES = 2_000_000, 64 << 20
+#: Pages beyond this rank are taken from the full ranking, and so many more rows than a page tell whether ties end there.
+MOST_TOP, MORE = 10_000, 1000
 
 
-def bucket(term) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _cut(counts: np.ndarray, limit: int) -> Iterable[tuple[int, int]]:
+    part = (np.cumsum(counts) - counts) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(counts)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
-def occurrences(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """(term, key, col, pos, bucket): one row for each token of each column of docs."""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), tokens(c).alias("words")) for i, c in enumerate(columns))))
-    return docs.select(key, each.alias("x")).select(key, "x.col", F.posexplode("x.words").alias("pos", "term")).select("term", key, "col", "pos", bucket("term").alias("bucket"))
+def inverted(staged: DataFrame, columns: list[str], limit: int = TOKENS) -> DataFrame:
+    """The posting blocks of staged (doc: its number, and a list of tokens for each of columns), each run of documents by itself."""
 
+    def run(batches):
+        for batch in batches:
+            lists = [batch[c] for c in columns]
+            n = sum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(c), 0)).astype(np.int64) for c in lists)
+            for a, b in _cut(n, limit):
+                yield Entries.inverted(np.asarray(batch["doc"].slice(a, b - a)).astype(np.int64), [c.slice(a, b - a) for c in lists]).blocks()
 
-def lengths(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, length) of all docs by their occurrences."""
-    return docs.select(key).distinct().join(found.groupBy(key).agg(F.count("*").alias("length")), key, "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return staged.select("doc", *columns).mapInArrow(run, FIELDS)
 
 
-def phrase_hits(found: DataFrame, phrase: list[str], key: str = "doc_id", part: str | None = None) -> DataFrame:
-    """(key, tf) of documents with the phrase, and their part: occurrences of its tokens whose shifted places agree."""
-    keys = [key] + ([part] if part else [])
-    numbers = {w: [i for i, x in enumerate(phrase) if x == w] for w in phrase}
-    spark = found.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in numbers], "term string").select(bucket("term")).collect()]
-    rows = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(numbers)))
-    if len(phrase) == 1:
-        return rows.groupBy(*keys).agg(F.count("*").alias("tf"))
-    shifts = F.element_at(F.create_map(*(x for w, own in numbers.items() for x in (F.lit(w), F.array(*map(F.lit, own))))), F.col("term"))
-    spots = rows.select(*keys, "col", F.explode(F.transform(shifts, lambda x: F.col("pos") - x)).alias("at")).groupBy(*keys, "col", "at").agg(F.count("*").alias("n"))
-    return spots.where(F.col("n") == len(phrase)).groupBy(*keys).agg(F.count("*").alias("tf"))
+def sorted_blocks(blocks: DataFrame, n_tasks: int, limit: int = TOKENS) -> DataFrame:
+    """blocks by term and document, neighbouring ones of a term in a zone made one."""
 
+    def run(batches):
+        for batch in batches:
+            # A coded document has four bytes at least, so this bounds what is decoded at once.
+            for a, b in _cut(np.asarray(pa.compute.binary_length(batch["places"])).astype(np.int64), limit):
+                yield Entries.of(batch.slice(a, b - a)).ordered().blocks()
 
-def ranked(found: DataFrame, sizes: DataFrame, wanted: list[list[str]], key: str = "doc_id", part: str | None = None) -> DataFrame:
-    """(key, score) of the documents with all phrases, by occurrences and lengths alone; the lower the better."""
-    keys = [key] + ([part] if part else [])
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    hits = None
-    for i, phrase in enumerate(wanted):
-        own = phrase_hits(found, phrase, key, part).select(*keys, F.lit(i).alias("phrase"), "tf")
-        hits = own if hits is None else hits.unionAll(own)
-    both = hits.join(sizes, keys)
-    # The weight of a phrase follows from the number of its documents, counted beside the ranking: one row a phrase.
-    counts = both.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = counts.select("phrase", F.when(idf > 0, idf).otherwise(1e-6).alias("weight"))
-    tf = F.col("tf").cast("double")
-    part_score = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(stats.mean or 1.0)))
-    scored = both.join(F.broadcast(weights), "phrase").groupBy(key).agg(F.count("*").alias("n"), (-F.sum(part_score)).alias("score"))
-    return scored.where(F.col("n") == len(wanted)).select(key, "score")
+    return blocks.repartitionByRange(n_tasks, "term", "first").sortWithinPartitions("term", "first").mapInArrow(run, FIELDS)
 
 
 class TextIndex:
-    """The index under path of the columns of documents that key names."""
-
-    def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "doc_id", key_type: str = "long"):
-        self.spark, self.path, self.columns, self.key = spark, path.rstrip("/"), columns, key
-        # The parts that count, as rows, so that a part becomes visible at once.
-        self.parts = Versioned(spark, f"{self.path}/parts", "part int, name string")
-        self.key_type = key_type
-
-    def add(self, docs: DataFrame) -> None:
-        """Adds docs as a part; of a key that is there already the new document counts."""
-        parts = self.parts.read().collect()
-        self._write(docs, max((r.part for r in parts), default=0) + 1, [(r.part, r.name) for r in parts])
-
-    def _write(self, docs: DataFrame, part: int, others: list[tuple[int, str]]) -> None:
-        name = f"part-{part}-{hashlib.md5(str(self.parts.version()).encode()).hexdigest()[:8]}"
-        own = f"{self.path}/{name}"
-        rows = occurrences(docs, self.columns, self.key)
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("term", self.key), F.lit(8))).sortWithinPartitions("bucket", "term", self.key, "col", "pos")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{own}/occurrences")
-        lengths(docs, self._read(own, "occurrences"), self.key).write.mode("overwrite").parquet(f"{own}/lengths")
-        self.parts.commit(self.spark.createDataFrame([*others, (part, name)], "part int, name string"))
-
-    def _read(self, own: str, table: str) -> DataFrame:
-        schema = f"{self.key} {self.key_type}, length long" if table == "lengths" else f"term string, {self.key} {self.key_type}, col int, pos int, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{own}/{table}")
-
-    def _all(self, table: str) -> DataFrame:
-        out = None
-        for r in sorted(self.parts.read().collect()):
-            own = self._read(f"{self.path}/{r.name}", table).withColumn("part", F.lit(r.part))
-            out = own if out is None else out.unionByName(own)
-        if out is None:
+    """The index under path of the columns of documents that key names.
+
+    With a log and a name its state is a table of that log; added(), deleted() and folded() then give the next state,
+    to be committed with those of other tables.
+    """
+
+    #: Parts beyond which adding folds them into one.
+    MOST_PARTS = 16
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "doc_id", key_type: str = "long", log: Log | None = None, name: str = "text"):
+        self.spark, self.path, self.columns, self.key, self.key_type = spark, path.rstrip("/"), columns, key, key_type
+        self.log, self.name = log or Log(spark, f"{self.path}/log"), name
+
+    # State: a list of parts with the folder of their blocks and documents, the documents and tokens that count in
+    # them, and the folder of their tombstones.
+
+    def state(self) -> list[dict]:
+        return self.log.current()[1].get(self.name, [])
+
+    def version(self) -> int:
+        return self.log.version()
+
+    def _parts(self, state: list[dict] | None) -> list[dict]:
+        state = self.state() if state is None else state
+        if not state:
             raise ValueError(f"{self.path} has no index")
+        return state
+
+    def _table(self, parts: list[dict], table: str, schema: str) -> DataFrame | None:
+        out = None
+        for p in parts:
+            if folder := p[table]:
+                own = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").withColumn("part", F.lit(p["part"]))
+                out = own if out is None else out.unionByName(own)
+        return out
+
+    def _documents(self, parts: list[dict]) -> DataFrame:
+        """(doc, key, length, part) of all documents that were added."""
+        return self._table(parts, "documents", f"doc long, `{self.key}` {self.key_type}, length long")
+
+    def _gone(self, parts: list[dict]) -> DataFrame | None:
+        """(zone, docs, part): the numbers of documents that no longer count, by zone."""
+        return self._table(parts, "gone", "zone long, docs binary")
+
+    def live(self, state: list[dict] | None = None) -> DataFrame:
+        """(part, doc, key, length) of the documents that count."""
+        parts = self._parts(state)
+        own, gone = self._documents(parts), self._gone(parts)
+        return own if gone is None else own.join(_exploded(gone), ["part", "doc"], "left_anti")
+
+    # Building.
+
+    def _staged(self, docs: DataFrame) -> tuple[str, DataFrame]:
+        """Tokens of docs by number, stored so that blocks and documents are numbered alike."""
+        at = f"{self.path}/staged-{uuid.uuid4().hex}"
+        names = [f"c{i}" for i in range(len(self.columns))]
+        docs.select(F.col(self.key), *(tokens(c).alias(n) for c, n in zip(self.columns, names))).withColumn("doc", F.monotonically_increasing_id()).write.parquet(at)
+        return at, self.spark.read.parquet(at)
+
+    def _written(self, blocks: DataFrame, documents: DataFrame, part: int) -> dict:
+        tag = uuid.uuid4().hex
+        raw, own, docs = (f"{kind}-{tag}" for kind in ("staged-blocks", "blocks", "documents"))
+        blocks.write.parquet(f"{self.path}/{raw}")
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{raw}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        n_tasks = max(1, math.ceil(fs.getContentSummary(folder).getLength() / SORT_BYTES))
+        sorted_blocks(self.spark.read.schema(FIELDS).parquet(f"{self.path}/{raw}"), n_tasks).write.parquet(f"{self.path}/{own}")
+        documents.write.parquet(f"{self.path}/{docs}")
+        fs.delete(folder, True)
+        n, length = self.spark.read.schema("length long").parquet(f"{self.path}/{docs}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return {"part": part, "blocks": own, "documents": docs, "gone": None, "n": n, "tokens": length}
+
+    def added(self, docs: DataFrame, state: list[dict] | None = None) -> list[dict]:
+        """The next state with docs; of a key that is there already the new document counts."""
+        state = self.state() if state is None else state
+        at, staged = self._staged(docs)
+        names = [f"c{i}" for i in range(len(self.columns))]
+        length = sum((F.size(c) for c in names), F.lit(0)).cast("long")
+        new = self._written(inverted(staged, names), staged.select("doc", self.key, length.alias("length")), max((p["part"] for p in state), default=0) + 1)
+        self._drop(at)
+        out = [*self.deleted(self._documents([new]), state), new] if state else [new]
+        return self.folded(out) if len(out) > self.MOST_PARTS else out
+
+    def deleted(self, keys: DataFrame, state: list[dict] | None = None) -> list[dict]:
+        """The next state without the documents of keys; keys that it lacks are no error."""
+        parts = self._parts(state)
+        found = self.live(parts).join(keys.select(self.key).distinct(), self.key, "left_semi")
+        lost = {r.part: r for r in found.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()}
+        if not lost:
+            return parts
+        gone, before, out = found.select("part", "doc"), self._gone(parts), []
+        every = gone if before is None else gone.unionByName(_exploded(before))
+        for p in parts:
+            if p["part"] in lost:
+                folder = f"gone-{uuid.uuid4().hex}"
+                _by_zone(every.where(F.col("part") == p["part"])).write.parquet(f"{self.path}/{folder}")
+                p = {**p, "gone": folder, "n": p["n"] - lost[p["part"]].n, "tokens": p["tokens"] - lost[p["part"]].tokens}
+            out.append(p)
+        return out
+
+    def folded(self, state: list[dict] | None = None) -> list[dict]:
+        """The next state with all parts as one, without what tombstones name. Documents are numbered anew, texts aren't read."""
+        parts = self._parts(state)
+        offset, offsets = 0, {}
+        for p in sorted(parts, key=lambda p: p["part"]):
+            offsets[p["part"]] = offset
+            offset += p["n"]
+        # The place of each document among those of its part that count: documents are counted by zone first.
+        numbered = self.live(parts).withColumn("zone", F.shiftright("doc", ZONE_BITS))
+        zones = numbered.groupBy("part", "zone").agg(F.array_sort(F.collect_list("doc")).alias("kept"), F.count("*").alias("n"))
+        rows = sorted((r.part, r.zone, r.n) for r in zones.select("part", "zone", "n").collect())
+        begin, at = {}, {}
+        for part, zone, n in rows:
+            begin[part, zone] = offsets[part] + at.get(part, 0)
+            at[part] = at.get(part, 0) + n
+        starts = self.spark.createDataFrame([(*k, v) for k, v in begin.items()], "part int, zone long, begin long")
+        placed = zones.join(starts, ["part", "zone"]).select("part", "zone", "kept", "begin")
+        blocks = self._table(parts, "blocks", FIELDS).withColumn("zone", F.shiftright("first", ZONE_BITS))
+
+        def renumber(table: pa.Table, kept: pa.Table) -> pa.Table:
+            if not kept.num_rows or not table.num_rows:
+                return pa.Table.from_batches([Entries.inverted(np.zeros(0, np.int64), [pa.array([], pa.list_(pa.string()))]).blocks()])
+            live, first = np.asarray(kept["kept"].combine_chunks().flatten()).astype(np.int64), kept["begin"][0].as_py()
+            table = table.select(NAMES).sort_by([("term", "ascending"), ("first", "ascending")])
+            e = Entries.of(table)
+            e = e.kept(np.isin(e.doc, live))
+            e.doc = first + np.searchsorted(live, e.doc)
+            return pa.Table.from_batches([e.blocks()])
+
+        new = blocks.groupBy("part", "zone").cogroup(placed.groupBy("part", "zone")).applyInArrow(renumber, FIELDS)
+        documents = placed.select("part", "zone", "begin", F.posexplode("kept").alias("i", "doc")).select("part", "doc", (F.col("begin") + F.col("i")).alias("new")).join(self.live(parts), ["part", "doc"]).select(F.col("new").alias("doc"), self.key, "length")
+        return [self._written(new, documents, max(offsets) + 1)]
+
+    def _drop(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def add(self, docs: DataFrame) -> int:
+        base, state = self.log.current()
+        return self.log.commit(base, {self.name: self.added(docs, state.get(self.name, []))})
+
+    def delete(self, keys: DataFrame) -> int:
+        base, state = self.log.current()
+        return self.log.commit(base, {self.name: self.deleted(keys, state.get(self.name, []))})
+
+    def compact(self) -> int:
+        base, state = self.log.current()
+        return self.log.commit(base, {self.name: self.folded(state.get(self.name, []))})
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes what the latest versions, so many, don't need. For times without other writers."""
+        used = lambda state: {p[k] for p in state.get(self.name, []) for k in ("blocks", "documents", "gone") if p[k]}
+        return self.log.vacuum(keep, used, self.path, "{blocks,documents,gone,staged}-*")
+
+    # Searching.
+
+    def _zones(self, parts: list[dict], wanted: list[list[str]]) -> DataFrame:
+        """The blocks of all terms, and a row with the tombstones (no term) of each zone, to be grouped by part and zone."""
+        blocks = self._table(parts, "blocks", FIELDS).where(F.col("term").isin(sorted({w for p in wanted for w in p})))
+        if all(len(p) == 1 for p in wanted):
+            blocks = blocks.withColumn("places", F.lit(None).cast("binary"))
+        rows = blocks.withColumn("zone", F.shiftright("first", ZONE_BITS))
+        gone = self._gone(parts)
+        return rows if gone is None else rows.unionByName(gone, allowMissingColumns=True)
+
+    def _evaluated(self, parts: list[dict], wanted: list[list[str]], evaluate, schema: str) -> DataFrame:
+        """evaluate(zone: Zone, part: int) over all zones, as rows."""
+
+        def run(table: pa.Table) -> pa.Table:
+            dead = pa.compute.is_null(table["term"])
+            own = table.filter(dead)
+            gone = np.cumsum(decoded(bytes_of(own["docs"]))) if own.num_rows else None
+            return evaluate(Zone(table.filter(pa.compute.invert(dead)), wanted, gone), table["part"][0].as_py())
+
+        return self._zones(parts, wanted).groupBy("part", "zone").applyInArrow(run, schema)
+
+    def frequencies(self, wanted: list[list[str]], state: list[dict] | None = None) -> list[int]:
+        """How many documents have each phrase: from the blocks' heads where one word and no tombstone is concerned."""
+        parts = self._parts(state)
+        out = [0] * len(wanted)
+        whole = [p for p in parts if not p["gone"]]
+        plain = [i for i, p in enumerate(wanted) if len(p) == 1]
+        if whole and plain:
+            heads = self._table(whole, "blocks", FIELDS).where(F.col("term").isin(sorted({wanted[i][0] for i in plain})))
+            counts = {r.term: r.n for r in heads.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+            for i in plain:
+                out[i] += counts.get(wanted[i][0], 0)
+        for some, numbers in ((whole, [i for i in range(len(wanted)) if i not in plain]), ([p for p in parts if p["gone"]], range(len(wanted)))):
+            if some and numbers:
+                own, ids = [wanted[i] for i in numbers], list(numbers)
+
+                def count(zone: Zone, part: int, ids=ids) -> pa.Table:
+                    return pa.table({"phrase": pa.array(ids, pa.int32()), "n": pa.array(zone.counts(), pa.int64())})
+
+                for r in self._evaluated(some, own, count, "phrase int, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect():
+                    out[r.phrase] += r.n
         return out
 
-    def lengths(self, current: DataFrame | None = None) -> DataFrame:
-        """(key, part, length) of each document's latest part; current: the keys that still count, if not all."""
-        rows = self._all("lengths")
-        latest = rows.groupBy(self.key).agg(F.max_by("length", "part").alias("length"), F.max("part").alias("part"))
-        return latest.join(current.select(self.key), self.key, "left_semi") if current is not None else latest
+    def weights(self, wanted: list[list[str]], state: list[dict] | None = None) -> tuple[list[float], float]:
+        """The weight of each phrase, and the documents' mean length, by the figures that the log keeps."""
+        parts = self._parts(state)
+        n, length = sum(p["n"] for p in parts), sum(p["tokens"] for p in parts)
+        idf = [math.log((n - df + 0.5) / (df + 0.5)) for df in self.frequencies(wanted, parts)]
+        return [x if x > 0 else 1e-6 for x in idf], length / n if n else 0.0
+
+    def hits(self, text: str, state: list[dict] | None = None, best: int | None = None) -> DataFrame:
+        """(part, doc, score) of the documents with all phrases of text; with best, of each zone's best, so many, and their equals."""
+        parts, wanted = self._parts(state), phrases(text)
+        weights, mean = self.weights(wanted, parts)
 
-    def ranked(self, text: str, current: DataFrame | None = None) -> DataFrame:
+        def score(zone: Zone, part: int) -> pa.Table:
+            docs, values = zone.scores(weights, mean) if best is None else zone.best(weights, mean, best)
+            return pa.table({"part": pa.array([part] * len(docs), pa.int32()), "doc": pa.array(docs, pa.int64()), "score": pa.array(values, pa.float64())})
+
+        return self._evaluated(parts, wanted, score, "part int, doc long, score double")
+
+    def ranked(self, text: str, state: list[dict] | None = None) -> DataFrame:
         """(key, score) of the documents that hold all phrases of text."""
-        return ranked(self._all("occurrences"), self.lengths(current), phrases(text), self.key, "part")
+        parts = self._parts(state)
+        return self.hits(text, parts).join(self._documents(parts), ["part", "doc"]).select(self.key, "score")
+
+    def top(self, text: str, k: int, state: list[dict] | None = None) -> DataFrame:
+        """(key, score) of the k best and of all that are as good as the last of them. Only blocks that can hold such are read to the end."""
+        parts = self._parts(state)
+        hits = self.hits(text, parts, k)
+        rows = hits.orderBy("score").limit(k + MORE).collect()
+        if len(rows) == k + MORE and rows[-1].score <= rows[k - 1].score:
+            return hits.where(F.col("score") <= rows[k - 1].score).join(self._documents(parts), ["part", "doc"]).select(self.key, "score")
+        rows = [r for r in rows[:k + MORE] if len(rows) <= k or r.score <= rows[k - 1].score]
+        out = self.spark.createDataFrame(rows, "part int, doc long, score double")
+        some = self._documents(parts).where(F.col("doc").isin([r.doc for r in rows]))
+        return some.join(F.broadcast(out), ["part", "doc"]).select(self.key, "score")
 
-    def matches(self, docs: DataFrame, query: Query, current: DataFrame | None = None) -> DataFrame:
+    def matches(self, docs: DataFrame, query: Query) -> DataFrame:
         """The rows of docs that the query finds, as search.matches() has them, without a look at their texts."""
         if not query.text.split():
             return filtered(docs, query)
         if not phrases(query.text):
             return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
-        return filtered(docs, query).join(self.ranked(query.text, current), self.key)
+        return filtered(docs, query).join(self.ranked(query.text), self.key)
+
+    def page(self, docs: DataFrame, query: Query) -> DataFrame:
+        """One page of matches(), in order; a ranked page without filters reads only the blocks that can reach it."""
+        wanted, upto = phrases(query.text), query.offset + query.limit
+        if not wanted or filters(query) or query.sort == "date" or query.limit <= 0 or upto > MOST_TOP:
+            return paged(self.matches(docs, query), query, self.key)
+        return paged(docs.join(self.top(query.text, upto), self.key), query, self.key)
+
+    def total(self, docs: DataFrame, query: Query) -> DataFrame:
+        """The number of all matches as one row (total); docs that the index lacks, or has though docs don't, are the caller's error."""
+        plain = phrases(query.text) and not filters(query)
+        return (self.hits(query.text) if plain else self.matches(docs, query)).agg(F.count("*").alias("total"))
+
+
+def _exploded(gone: DataFrame) -> DataFrame:
+    """(part, doc) of tombstones."""
+
+    def run(batches):
+        for batch in batches:
+            for part, docs in zip(batch["part"].to_pylist(), batch["docs"].to_pylist()):
+                own = np.cumsum(decoded(np.frombuffer(docs, np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int64())], names=["part", "doc"])
+
+    return gone.select("part", "docs").mapInArrow(run, "part int, doc long")
+
+
+def _by_zone(gone: DataFrame) -> DataFrame:
+    """(zone, docs) of (doc): the numbers of each zone, in order and coded."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = np.sort(np.asarray(table["doc"]).astype(np.int64))
+        return pa.table({"zone": pa.array([int(docs[0]) >> ZONE_BITS], pa.int64()), "docs": pa.array([coded(np.diff(docs, prepend=0))[0].tobytes()], pa.binary())})
 
-    def compact(self, docs: DataFrame) -> None:
-        """One part of docs in place of all; older parts stay on disk for those who read them."""
-        self._write(docs, max((r.part for r in self.parts.read().collect()), default=0) + 1, [])
+    return gone.select("doc", F.shiftright("doc", ZONE_BITS).alias("zone")).groupBy("zone").applyInArrow(run, "zone long, docs binary")
 
 
 def index_of(docs: DataFrame, columns: list[str], key: str = "doc_id") -> TextIndex:
@@ -137,6 +353,6 @@ def index_of(docs: DataFrame, columns: list[str], key: str = "doc_id") -> TextIn
         files.append((f, s.getLen(), s.getModificationTime()))
     name = hashlib.md5(repr((files, columns, key, docs.schema.simpleString())).encode()).hexdigest()
     out = TextIndex(spark, f"{shared_dir(spark)}/text-index-{name}", columns, key, dict(docs.dtypes)[key])
-    if not out.parts.version():
+    if not out.version():
         out.add(docs)
     return out

@@ -142,10 +142,14 @@ def paged(found: DataFrame, query: Query, key: str = "doc_id") -> DataFrame:
 def search(docs: DataFrame, query: Query, columns: list[str], key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A page of results with a highlighted snippet, and the number of all matches as one row (total)."""
     found = matches(docs, query, columns)
-    page = paged(found, query, key)
+    return shown(paged(found, query, key), query), found.agg(F.count("*").alias("total"))
+
+
+def shown(page: DataFrame, query: Query) -> DataFrame:
+    """A page as a reader sees it: for a query with text the snippet is what of the body has its phrases."""
     if query.text.split():
         page = page.withColumn("snippet", highlight("body", [w for p in phrases(query.text) for w in p]))
-    return page.drop("body", "sender", "score"), found.agg(F.count("*").alias("total"))
+    return page.drop("body", "sender", "score")
 
 
 def folder_facet(docs: DataFrame) -> DataFrame:

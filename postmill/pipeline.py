@@ -1,7 +1,8 @@
-"""The archive job: scan, filter, drop what is known, derive, write, and commit manifest and index."""
+"""The archive job: scan, filter, drop what is known, derive, write, and commit manifest and index at once."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -13,10 +14,12 @@ from postmill.functions import messages as M
 from postmill.functions.text import normalize_ws, present, snippet
 from postmill.model import DOCS, ISSUE, MANIFEST
 from postmill.operators import archive
+from postmill.operators.listing import with_directory
 from postmill.operators.postings import TextIndex
-from postmill.operators.search import Query
+from postmill.operators.search import Query, shown
+from postmill.operators.snapshots import Log
 from postmill.sinks.files import write_messages, write_report
-from postmill.sinks.pages import write_pages
+from postmill.sinks.pages import PAGE, write_pages
 from postmill.sources.mailbox import discover, listing, read_mailbox, scan_order
 
 COUNTERS = ["scanned", "skipped_date", "exported", "skipped_seen", "zips", "issues", "non_html", "no_body", "attachments", "attachments_inline", "attachments_empty", "unresolved_inline"]
@@ -61,76 +64,111 @@ def documents(rows: DataFrame) -> DataFrame:
     return docs.withColumn("snippet", snippet("body")).select(*(c.split()[0] for c in DOCS.split(", ")))
 
 
-def _state(spark: SparkSession, output: str) -> tuple[archive.Versioned, archive.Versioned]:
-    """The manifest and the index of an archive."""
-    state = f"{output.rstrip('/')}/.state"
-    return archive.Versioned(spark, f"{state}/seen", MANIFEST, "key"), archive.Versioned(spark, f"{state}/docs", DOCS, "key")
+class State:
+    """The archive's tables, of which one log knows the current versions: seen (the manifest), docs and text (their index)."""
+
+    def __init__(self, spark: SparkSession, output: str):
+        self.home = f"{output.rstrip('/')}/.state"
+        self.log = Log(spark, f"{self.home}/log")
+        self.seen = archive.Versioned(spark, f"{self.home}/seen", MANIFEST, "key", self.log, "seen")
+        self.docs = archive.Versioned(spark, f"{self.home}/docs", DOCS, "key", self.log, "docs")
+        self.text = TextIndex(spark, f"{self.home}/text", COLUMNS, "key", "string", self.log, "text")
+
+    def commit(self, base: int, **changes) -> int:
+        return self.log.commit(base, changes)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes what the latest versions, so many, don't need. For times without other writers."""
+        return sum(t.vacuum(keep) for t in (self.seen, self.docs, self.text))
 
 
 def run(spark: SparkSession, options: ArchiveOptions) -> dict:
-    """One run; returns its counters. Without full only messages whose key is new are written, of each key the first.
+    """One run; returns its counters, and errors, a line for each source that failed.
 
-    Each source is committed when it is done, so a run that breaks off goes on where it was.
+    Without full only messages whose key is new are written, of each key the first. With full every occurrence is
+    written, and the index keeps the last of each key. A source is committed when it is done, its manifest, documents
+    and text index at once, so a run that breaks off goes on where it was, and one source that fails doesn't stop the
+    others.
     """
     if not options.output:
         raise ValueError("no output folder was given")
-    figures: dict = dict.fromkeys(COUNTERS, 0)
-    found = f"{options.output.rstrip('/')}/.state/issues"
-    for k, path in enumerate(discover(spark, options.inputs)):
-        for name, n in _run_source(spark, options, path, found, "append" if k else "overwrite").items():
-            figures[name] += n
-    if figures["scanned"]:
-        write_report(spark.read.schema(ISSUE).parquet(found), f"{options.output.rstrip('/')}/.state/report")
+    figures: dict = dict.fromkeys(COUNTERS, 0) | {"failed": 0, "errors": []}
+    state = State(spark, options.output)
+    found = f"{state.home}/issues-{uuid.uuid4().hex}"
+    for path in discover(spark, options.inputs):
+        try:
+            for name, n in _run_source(spark, options, state, path, found).items():
+                figures[name] += n
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with a source, the others are still read
+            figures["failed"] += 1
+            figures["errors"].append(f"{path}: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
     if figures["exported"]:
-        write_pages(_state(spark, options.output)[1].read(), options.output).write.format("noop").mode("overwrite").save()
-    return figures
-
-
-def _run_source(spark: SparkSession, options: ArchiveOptions, path: str, found: str, mode: str) -> dict:
-    state = f"{options.output.rstrip('/')}/.state"
-    manifest, index = _state(spark, options.output)
-    rows = keyed(read_mailbox(spark, path), options.key_scope)
-    known = manifest.read()
-    scanned = f"{state}/scan"
-    rows.write.mode("overwrite").parquet(scanned)
-    rows = spark.read.parquet(scanned)
-    in_time = archive.since(rows, options.since) if options.since else rows
-    chosen = archive.last_wins(in_time) if options.full else archive.unseen(in_time, known)
-    made = f"{state}/written"
-    rendered(chosen).write.mode("overwrite").parquet(made)
-    written = spark.read.parquet(made)
-    files = write_messages(written, options.output).agg(F.count("*").alias("n"), F.count_if(F.col("zip_bytes") > 0).alias("zips")).first()
-    archive.issues(written).write.mode(mode).parquet(found)
-    total, kept = rows.count(), in_time.count()
-    no = F.lit(False)
-    counted = archive.run_stats(written, no, no).drop("scanned", "skipped_date", "skipped_seen", "exported").first().asDict()
-    figures = {"scanned": total, "skipped_date": total - kept, "exported": files.n, "skipped_seen": kept - files.n, "zips": files.zips, "issues": counted["attachments_empty"] + counted["unresolved_inline"], **counted}
-    if files.n:
-        docs = documents(written)
-        text_index(spark, options.output).add(docs)
-        index.add(docs)
-        manifest.add(written.select("key", "path", "folder", F.current_timestamp().alias("exported_at")))
+        write_report(spark.read.schema(ISSUE).parquet(found), f"{state.home}/report")
+        _pages(spark, state, options.output)
     return figures
 
 
-def text_index(spark: SparkSession, output: str) -> TextIndex:
-    return TextIndex(spark, f"{output.rstrip('/')}/.state/text", COLUMNS, "key", "string")
+def _pages(spark: SparkSession, state: State, output: str) -> None:
+    write_pages(state.docs.read(), output).write.format("noop").mode("overwrite").save()
+
+
+def _run_source(spark: SparkSession, options: ArchiveOptions, state: State, path: str, found: str) -> dict:
+    base = state.log.version()
+    scanned, made = (f"{state.home}/{name}-{uuid.uuid4().hex}" for name in ("scan", "written"))
+    try:
+        keyed(read_mailbox(spark, path), options.key_scope).write.parquet(scanned)
+        rows = spark.read.parquet(scanned)
+        in_time = archive.since(rows, options.since) if options.since else rows
+        total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("date") < F.lit(options.since) if options.since else F.lit(False)).alias("old")).first()
+        rendered(in_time if options.full else archive.unseen(in_time, state.seen.read(None, "key"))).write.parquet(made)
+        written = spark.read.parquet(made)
+        # Occurrences that share a path are one file, the last of them.
+        files = write_messages(archive.last_wins(written, "path") if options.full else written, options.output).agg(F.count("*").alias("n"), F.count_if(F.col("zip_bytes") > 0).alias("zips")).first()
+        archive.issues(written).write.mode("append").parquet(found)
+        no = F.lit(False)
+        counted = archive.run_stats(written, no, no).drop("scanned", "skipped_date", "skipped_seen").first().asDict()
+        if files.n:
+            last = archive.last_wins(written)
+            docs = documents(last)
+            seen = last.select("key", "path", "folder", F.current_timestamp().alias("exported_at"))
+            state.commit(base, text=state.text.added(docs), docs=state.docs.added(docs), seen=state.seen.added(seen))
+    finally:
+        _remove(spark, scanned, made)
+    return {"scanned": total.n, "skipped_date": total.old, "skipped_seen": total.n - total.old - counted["exported"], "zips": files.zips, "issues": counted["attachments_empty"] + counted["unresolved_inline"], **counted}
+
+
+def _remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def find(spark: SparkSession, output: str, query: Query) -> DataFrame:
     """The archive's messages that query finds, by the index that its runs kept."""
-    docs = _state(spark, output)[1].read()
-    return text_index(spark, output).matches(docs, query, docs)
+    state = State(spark, output)
+    return state.text.matches(state.docs.read(), query)
+
+
+def find_page(spark: SparkSession, output: str, query: Query) -> tuple[DataFrame, DataFrame]:
+    """A page of what query finds with a highlighted snippet, and the number of all matches as one row (total)."""
+    state = State(spark, output)
+    docs = state.docs.read()
+    return shown(state.text.page(docs, query), query), state.text.total(docs, query)
 
 
 def reconcile(spark: SparkSession, output: str) -> dict:
-    """Drops from manifest and index what has no file any more."""
-    manifest, index = _state(spark, output)
-    if not index.version():
+    """Drops from manifest, documents and text index what has no file any more, and writes the pages anew."""
+    state = State(spark, output)
+    base = state.log.version()
+    if not base:
         raise ValueError(f"{output} has no index")
     files = listing(spark, output).select(F.col("rel").alias("path"))
-    kept, gone = archive.reconciled(index.read(), files)
+    kept, gone = archive.reconciled(state.docs.read(None, "key", "path"), files)
     figures = {"kept": kept.count(), "pruned": gone.count()}
-    manifest.commit(archive.without(manifest.read(), gone))
-    index.commit(kept)
+    if figures["pruned"]:
+        keys, folders = gone.select("key"), [with_directory(rows).select("dir").distinct() for rows in (gone, kept)]
+        empty = [r.dir for r in folders[0].exceptAll(folders[1]).collect()]
+        state.commit(base, text=state.text.deleted(keys), docs=state.docs.removed(keys), seen=state.seen.removed(keys))
+        _remove(spark, *(f"{output.rstrip('/')}/{x}/{PAGE}" for x in empty))
+    _pages(spark, state, output)
     return figures

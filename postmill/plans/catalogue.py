@@ -98,13 +98,14 @@ TWO, PHRASE = [["ther"], ["the"]], [["of", "the"]]
 
 @_query(_bm25_sql(TWO, "SELECT doc_id, folder, round(score, 6) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20"))
 def fts_bm25_topk(spark, sf_dir):
-    q = Query(text="ther the", limit=20)
-    return search.paged(doc_matches(spark, sf_dir, q), q).select("doc_id", "folder", F.round("score", 6).alias("score"))
+    docs = doc_mail(spark, sf_dir)
+    return postings.index_of(docs, ["folder", "body"]).page(docs, Query(text="ther the", limit=20)).select("doc_id", "folder", F.round("score", 6).alias("score"))
 
 
 @_query(_bm25_sql(TWO, "SELECT count(*) AS total FROM hits"))
 def fts_total(spark, sf_dir):
-    return doc_matches(spark, sf_dir, Query(text="ther the")).agg(F.count("*").alias("total"))
+    docs = doc_mail(spark, sf_dir)
+    return postings.index_of(docs, ["folder", "body"]).total(docs, Query(text="ther the"))
 
 
 @_query(_bm25_sql(PHRASE, "SELECT doc_id, round(score, 6) AS score FROM hits"))
@@ -125,9 +126,21 @@ def fts_filtered(spark, sf_dir):
 
 @_query(_bm25_sql([["of", "the"], ["on"]], "SELECT doc_id, round(score, 6) AS score FROM hits"))
 def fts_postings(spark, sf_dir):
-    docs, columns = doc_mail(spark, sf_dir), ["folder", "body"]
-    found = postings.occurrences(docs, columns)
-    return postings.ranked(found, postings.lengths(docs, found), search.phrases("of-the on")).select("doc_id", F.round("score", 6).alias("score"))
+    index = postings.TextIndex(spark, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}", ["folder", "body"])
+    index.add(doc_mail(spark, sf_dir))
+    return index.ranked("of-the on").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(_bm25_sql([["the"], ["of"]], "SELECT doc_id, round(score, 6) AS score FROM hits").replace("FROM documents)", "FROM documents WHERE doc_id % 5 <> 2)", 1))
+def fts_after_deletes(spark, sf_dir):
+    docs = doc_mail(spark, sf_dir)
+    index = postings.TextIndex(spark, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}", ["folder", "body"])
+    index.add(docs.where("doc_id % 2 = 0").withColumn("body", F.concat("body", F.lit(" an old version of the text"))))
+    index.add(docs.where("doc_id % 4 <> 1"))
+    index.delete(docs.where("doc_id % 5 = 2"))
+    index.compact()
+    index.add(docs.where("doc_id % 4 = 1 AND doc_id % 5 <> 2"))
+    return index.ranked("the of").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @_query("SELECT doc_id FROM (SELECT doc_id FROM documents) WHERE false")
