@@ -1,14 +1,17 @@
 """Sharding by a k-d tree: nodes split at weighted medians along their widest metadata dimension.
 
-The points are groups of equal texts, weighted by their bytes, so that copies share a shard; a group above a
-quarter of a shard is dealt row by row instead. Languages and sources are dimensions by their rank. A median is found by descending a 48-bit key (24 bits of the
+The points are groups of equal texts, weighted by their bytes, so that copies share a shard; only a group that exceeds
+a whole shard is dealt row by row. Points above a quarter of a shard, at most four a shard, get their leaf first, the
+heaviest where most room is left; what room they leave is what the tree's medians aim at. Languages and sources are dimensions by their rank. A median is found by descending a 48-bit key (24 bits of the
 dimension, 24 bits of a hash that breaks ties), twelve bits a pass: each pass is one aggregate over all points, of
 which 4,096 sums a node are scanned for the bin that holds the cut.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,12 +68,15 @@ def _split(points: DataFrame, left: dict[int, float], most_literals: int) -> dic
     return {k: cuts.get(k, (1 << BINS * PASSES) - 1) for k in left}
 
 
-def kd_leaves(points: DataFrame, dims: list[str], leaves: int, most_literals: int = MOST_LITERALS) -> DataFrame:
+def kd_leaves(points: DataFrame, dims: list[str], leaves: int, most_literals: int = MOST_LITERALS, room: list[float] | None = None) -> DataFrame:
     """points (weight: long, tie: long, dims: double) with leaf: int, 0 to leaves - 1, of weights near equal.
 
-    A node is named by its first leaf. Each level is stored, so that its passes read one narrow table.
+    room: what each leaf shall get in proportion, the same unless given. A node is named by its first leaf. Each level
+    is stored, so that its passes read one narrow table.
     """
     tree, span = {0: leaves}, None
+    upto = list(accumulate(room or [1.0] * leaves, initial=0.0))
+    share = lambda k, m, n: (upto[k + m] - upto[k]) / (upto[k + n] - upto[k]) if upto[k + n] > upto[k] else m / n
     now = points.withColumn("node", F.lit(0).cast("int"))
     while any(n > 1 for n in tree.values()):
         stats = {r.node: r for r in now.groupBy("node").agg(F.sum("weight").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).collect()}
@@ -83,7 +89,7 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, most_literals: in
         value = F.element_at(F.array(*dims), F.col("__dim").cast("int"))
         key = F.shiftleft(((value - F.col("__low")) / F.col("__width") * ((1 << 24) - 1)).cast("long"), 24).bitwiseOR(F.col("tie").bitwiseAND((1 << 24) - 1))
         keyed = named.withColumn("key", F.when(F.col("__dim").isNotNull(), key)).drop("__dim", "__low", "__width")
-        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), {k: stats[k].w * (tree[k] // 2) / tree[k] for k in wide}, most_literals)
+        cuts = _split(keyed.where("key is not null").select("node", "key", "weight"), {k: stats[k].w * share(k, tree[k] // 2, tree[k]) for k in wide}, most_literals)
         cut = _with(keyed, {"__cut": cuts, "__right": {k: k + tree[k] // 2 for k in wide}}, most_literals)
         now = stored(cut.withColumn("node", F.when(F.col("key") > F.col("__cut"), F.col("__right")).otherwise(F.col("node")).cast("int")).drop("key", "__cut", "__right"), "shard-level")
         tree = {x: n for k, m in tree.items() for x, n in (((k, m // 2), (k + m // 2, m - m // 2)) if k in wide else ((k, 1),))}
@@ -100,13 +106,27 @@ def numbered(df: DataFrame, group: str, order: list[str], n_rows: int, name: str
     return dealt.withColumn("__own", own).join(before, [group, "__step"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__step", "__own", "__before")
 
 
+def _heaviest(points: DataFrame, shards: int, full: float) -> tuple[DataFrame, list[float]]:
+    """(t1, t2, apart, shard) of the points above a quarter of a full shard, and the room that is left in each shard.
+
+    Their weights add up to all shards at most, so there are four a shard at most.
+    """
+    heap, out = [(0, k) for k in range(shards)], []
+    for r in points.where(F.col("weight") > full / 4).select("t1", "t2", "apart", "weight").orderBy(F.desc("weight"), "t1", "t2", "apart").collect():
+        held, k = heapq.heappop(heap)
+        out.append((r.t1, r.t2, r.apart, k))
+        heapq.heappush(heap, (held + r.weight, k))
+    room = dict((k, max(0.0, full - held)) for held, k in heap)
+    return points.sparkSession.createDataFrame(out, "t1 long, t2 long, apart long, shard int"), [room[k] for k in range(shards)]
+
+
 def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """One row per row of df (doc_id, text, and lang and source where it has them): the shard that it goes to.
 
     Law "bytes": shards' sizes are near equal. size is the text's UTF-8 bytes plus 16; a null text has size 16 and
     the CRC of no bytes. Languages and sources count by their rank, null first; further columns are not read, an empty
-    table gives no rows, and rows that repeat share a shard unless there are so many that they alone would fill a
-    quarter of one. grown_shard is null under this law.
+    table gives no rows, texts may have any length, and rows of equal texts share a shard unless together they are
+    more than one holds. grown_shard is null under this law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     named = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
@@ -125,7 +145,7 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = shards or max(1, math.ceil(total / target_bytes))
-    most = total / shards / 4
+    most = total / shards
     groups = rows.groupBy("t1", "t2").agg(F.sum("size").alias("group_size"))
     large = stored(groups.where(F.col("group_size") > most).select("t1", "t2", F.lit(True).alias("large")), "shard-large")
     if large.isEmpty():
@@ -144,6 +164,8 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
         rows.groupBy("t1", "t2", "apart").agg(F.sum("size").alias("weight"), F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"), F.coalesce(F.min("doc_id").cast("double"), F.lit(-1.0)).alias("d_id")).withColumn("tie", F.xxhash64("t1", "t2", "apart")),
         "shard-points",
     )
-    placed = kd_leaves(points, ["d_source", "d_lang", "d_id"], shards).select("t1", "t2", "apart", F.col("leaf").alias("shard"))
+    first, room = _heaviest(points, shards, most)
+    rest = points.where(F.col("weight") <= most / 4)
+    placed = kd_leaves(rest, ["d_source", "d_lang", "d_id"], shards, room=room).select("t1", "t2", "apart", F.col("leaf").alias("shard")).unionByName(first)
     out = rows.join(placed, ["t1", "t2", "apart"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "turn")
     return numbered(out, "shard", ["doc_id", "text_crc32", "turn"], n // shards, "slot").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -302,6 +302,21 @@ def test_whole_names_tell_sources_apart(spark):
     assert {x.source: x["rank"] for x in found} == {x: i + 1.0 for i, x in enumerate(sorted(names, key=str.encode))}
 
 
+def test_equal_texts_stay_together_up_to_a_shard(spark):
+    r = random.Random(8)
+    texts = ["x" * r.choice([40, 90, 400]) + str(i) for i in range(300)] + ["pair " * 300] * 2 + ["six " * 90] * 6 + ["one shard " * 28] * 9
+    rows = [(i, t, f"s{i % 4}", "en") for i, t in enumerate(texts)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=16).collect()
+    size, of, weight = Counter(), defaultdict(set), Counter()
+    for x in found:
+        size[x.shard] += x.size
+        of[x.text_crc32].add(x.shard)
+        weight[x.text_crc32] += x.size
+    full = sum(size.values()) / 16
+    assert max(weight.values()) > full / 2 and all(len(s) == 1 for k, s in of.items() if weight[k] <= full)
+    assert len(size) == 16 and max(size.values()) <= 1.1 * max(full, *(w for w in weight.values() if w <= full)) and min(size.values()) > 0.8 * full
+
+
 def test_many_equal_rows_are_dealt(spark):
     rows = [(None, "same text " * 9, "s", "en")] * 900 + [(5, "other text " * 9, "s", "en")] * 900 + [(i, f"text {i}", "t", None) for i in range(300)]
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=6).collect()
