@@ -22,11 +22,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id, and of those the one with the smallest hash.
 
     A null doc_id counts as a hash of the text. Rows that share a doc_id are one only if they are equal throughout.
-    Texts without words are near copies of one another; an empty table stays empty.
+    Texts without words are near copies of one another; an empty table stays empty. Columns may have any type and name.
     """
     own = F.coalesce("doc_id", F.xxhash64("text")).alias("own")
     cells = [F.col(f"`{c}`") for c in docs.columns]
-    tag = F.xxhash64(*(x for c in cells for x in (c.isNull(), c))).alias("tag")
+    # Maps have no hash: they count by their JSON.
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(cells, docs.dtypes)]
+    tag = F.xxhash64(*(x for c, h in zip(cells, hashed) for x in (c.isNull(), h))).alias("tag")
     first = simhash.first_rows(docs.select(own.alias("doc_id"), tag, "text")).select(F.col("doc_id").alias("own"), "tag")
     rows = docs.select(own, tag, F.struct(*cells).alias("row"))
     return rows.join(first, ["own", "tag"], "left_semi").dropDuplicates(["own", "tag"]).select("row.*")
@@ -53,7 +55,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and place in it of every document that the mix drew.
 
-    Copies share a shard unless they would fill a quarter of one; null ids, sources and languages come first; an empty
+    Copies share a shard unless together they are more than one holds; null ids, sources and languages come first; an empty
     table gives no rows.
     """
     return sharding.shard(docs, shards=40)
