@@ -35,6 +35,29 @@ def test_stages_take_odd_rows(spark):
         docs.collect()
 
 
+def test_stages_take_further_columns_of_any_name_and_type(spark):
+    words = "the quick brown fox jumps over a lazy dog while many other animals look on and of the".split()
+    text = lambda i: " ".join(f"{w}{i}{k}" if k % 3 else w for k, w in enumerate(words))
+    long = " ".join(f"word{i}" if i % 4 else "the" for i in range(150_000))
+    rows = [(i, text(i), "en", f"s{i % 2}", 1, f"own{i}", i, "row", {"b": i, "a": 1}, [{"x": i}], b"fp") for i in range(30)]
+    rows += [(100, text(3), "en", "s1", 1, "copy", 1, "row", {"a": 1}, [], b"fp"), (101, long, None, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, own string, tag int, `row` string, shard map<string,int>, size array<map<string,int>>, fp binary"
+    docs, kept = spark.createDataFrame(rows, schema).repartition(3), {r[0]: r for r in rows if r[0] != 100}
+    plain = lambda r: tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(DATA))
+        found = [plain(r) for r in out.collect()]
+        if name == "quality rules":
+            assert len(found) == 32
+        elif name == "mixing":
+            assert {r[0] for r in found} <= set(kept) and all(r == kept[r[0]] for r in found)
+        else:
+            assert sorted(found, key=lambda r: r[0]) == [kept[i] for i in sorted(kept)], name
+        docs = out.checkpoint()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA))
+    assert last.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and last.count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_whole_tables(spark, name):
     out = queries.QUERIES[name](spark, str(DATA))
