@@ -6,13 +6,16 @@ import base64
 import html
 import mimetypes
 import re
+import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import html_escape, normalize_ws, present, tokens
+from postmill.functions.text import normalize_ws, present
 
 #: Elements whose tags part words, and elements whose text isn't shown.
 BLOCKS = "p br div li tr td th h1 h2 h3 h4 h5 h6 ul ol table blockquote section article header footer".split()
@@ -111,11 +114,76 @@ def render_document(subject: Column, sender: Column, to: Column, cc: Column, dat
     return F.pandas_udf(run, "string")(subject, sender, to, cc, date, body, is_html)
 
 
-def highlight(body: Column | str, terms: list[str], width: int = 12) -> Column:
-    """width words of body around the first word that has a term, which is marked; all text is escaped."""
-    words = F.split(normalize_ws(body), " ")
-    hit = lambda w: F.arrays_overlap(tokens(w), F.array(*map(F.lit, terms))) if terms else F.lit(False)
-    at = F.coalesce(F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(at - width // 2, F.size(words) - width))
-    part = F.transform(F.slice(words, start + 1, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), html_escape(w), F.lit("</mark>"))).otherwise(html_escape(w)))
-    return F.concat(F.when(start > 0, F.lit("… ")).otherwise(""), F.array_join(part, " "), F.when(start + width < F.size(words), F.lit(" …")).otherwise(""))
+#: A word as the index has it: letters, digits and private characters, with the marks that follow them.
+WORD = regex.compile(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*")
+#: What a snippet shows where it leaves something out, and what a window gains for each new phrase, each further hit,
+#: and for its begin at a sentence or at the text's begin.
+ELLIPSIS, NEW, MORE, SENTENCE, FIRST = "… ", 1000, 1, 100, 120
+
+
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+
+
+def _windows(hits: list[tuple[int, int]], sizes: list[int], sentences: list[int], n: int, width: int) -> Iterator[tuple[int, int]]:
+    """(score, begin) of the windows that come into question: around each hit, and from the last sentence before it."""
+
+    def score(begin: int) -> tuple[int, int, int]:
+        own = [(at, p) for at, p in hits if begin <= at < begin + width]
+        new = len({p for _, p in own})
+        if not own:
+            return 0, begin, begin
+        return NEW * new + MORE * (len(own) - new), own[0][0], own[-1][0] + sizes[own[-1][1]]
+
+    for at, _ in hits:
+        value, first, end = score(at)
+        slack = width - (end - first)
+        # Half of the slack goes before the hits; a window that would begin before the text is moved.
+        yield value, max(0, min(first - int(slack / 2), n - width))
+        before = [s for s in sentences if s <= at]
+        if n > width and before and before[-1] < at:
+            yield score(before[-1])[0] + (FIRST if before[-1] == 0 else SENTENCE), before[-1]
+
+
+def best_window(text: str, phrases: list[list[str]], width: int = 12, opening: str = "<mark>", closing: str = "</mark>", escape=html.escape) -> str:
+    """The width words of text that show most of the phrases, with their hits marked.
+
+    A phrase counts most where it is seen first, further hits little, and windows that begin with a sentence are
+    preferred to others; of equal ones the first is taken. Without a hit it is the text's begin.
+    """
+    words = [(m.start(), m.end(), _plain(m[0])) for m in WORD.finditer(text)]
+    plain, n = [w for _, _, w in words], len(words)
+    hits = sorted((i, k) for k, p in enumerate(phrases) for i in range(n - len(p) + 1) if plain[i : i + len(p)] == p)
+    sentences = [i for i, (at, _, _) in enumerate(words) if i == 0 or (at and text[at - 1] in " \t\n\r" and text[:at].rstrip(" \t\n\r")[-1:] in (".", ":"))] if hits else []
+    best, begin = 0, 0
+    for value, at in _windows(hits, [len(p) for p in phrases], sentences, n, width):
+        if value > best:
+            best, begin = value, at
+    # Hits that overlap are marked as one.
+    spans: list[list[int]] = []
+    for at, k in hits:
+        if spans and at <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], at + len(phrases[k]) - 1)
+        else:
+            spans.append([at, at + len(phrases[k]) - 1])
+    end = min(begin + width, n) - 1
+    cut, out = words[begin][0] if begin else 0, [ELLIPSIS] if begin else []
+    for a, b in spans:
+        if b < begin or a > end:
+            continue
+        lo, hi = words[max(a, begin)][0], words[min(b, end)][1]
+        out += [escape(text[cut:lo]), opening, escape(text[lo:hi]), closing]
+        cut = hi
+    whole = begin + width >= n
+    out.append(escape(text[cut:] if whole else text[cut : words[end][1]]))
+    return "".join(out) + ("" if whole else ELLIPSIS)
+
+
+def highlight(body: Column | str, phrases: list[list[str] | str], width: int = 12) -> Column:
+    """best_window() of each body, where a phrase may be one word; for the rows of a page, not for whole tables."""
+    phrases = [[p] if isinstance(p, str) else p for p in phrases]
+
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda text: best_window(text or "", phrases, width))
+
+    return F.pandas_udf(run, "string")(body)

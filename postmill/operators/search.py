@@ -148,7 +148,7 @@ def search(docs: DataFrame, query: Query, columns: list[str], key: str = "doc_id
 def shown(page: DataFrame, query: Query) -> DataFrame:
     """A page as a reader sees it: for a query with text the snippet is what of the body has its phrases."""
     if query.text.split():
-        page = page.withColumn("snippet", highlight("body", [w for p in phrases(query.text) for w in p]))
+        page = page.withColumn("snippet", highlight("body", phrases(query.text)))
     return page.drop("body", "sender", "score")
 
 

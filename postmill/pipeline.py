@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from postmill.functions import html as H
 from postmill.functions import messages as M
@@ -20,7 +21,7 @@ from postmill.operators.search import Query, shown
 from postmill.operators.snapshots import Log
 from postmill.sinks.files import write_messages, write_report
 from postmill.sinks.pages import PAGE, write_pages
-from postmill.sources.mailbox import discover, listing, read_mailbox, scan_order
+from postmill.sources.mailbox import discover, listing, read_mailbox, scan_order, stream_mailboxes
 
 COUNTERS = ["scanned", "skipped_date", "exported", "skipped_seen", "zips", "issues", "non_html", "no_body", "attachments", "attachments_inline", "attachments_empty", "unresolved_inline"]
 COLUMNS = ["subject", "sender", "recipients", "folder", "attach_names", "body"]
@@ -113,10 +114,15 @@ def _pages(spark: SparkSession, state: State, output: str) -> None:
 
 
 def _run_source(spark: SparkSession, options: ArchiveOptions, state: State, path: str, found: str) -> dict:
+    return _take(spark, options, state, read_mailbox(spark, path), found)
+
+
+def _take(spark: SparkSession, options: ArchiveOptions, state: State, messages: DataFrame, found: str) -> dict:
+    """Writes what of messages is to be written, with its issues under found, and commits it; returns the counters."""
     base = state.log.version()
     scanned, made = (f"{state.home}/{name}-{uuid.uuid4().hex}" for name in ("scan", "written"))
     try:
-        keyed(read_mailbox(spark, path), options.key_scope).write.parquet(scanned)
+        keyed(messages, options.key_scope).write.parquet(scanned)
         rows = spark.read.parquet(scanned)
         in_time = archive.since(rows, options.since) if options.since else rows
         total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("date") < F.lit(options.since) if options.since else F.lit(False)).alias("old")).first()
@@ -143,6 +149,26 @@ def _remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def watch(spark: SparkSession, options: ArchiveOptions, checkpoint: str, **trigger) -> StreamingQuery:
+    """Streams the messages of options.inputs, one tree of mboxes, into the archive, as run() would write them.
+
+    Each batch is one commit. The manifest decides what is new, so a batch that runs again writes nothing twice. The
+    trigger is availableNow unless another is given.
+    """
+    if len(options.inputs) != 1:
+        raise ValueError("a stream has one tree of mailboxes as its input")
+
+    def add(batch: DataFrame, _: int) -> None:
+        state = State(spark, options.output)
+        found = f"{state.home}/issues-{uuid.uuid4().hex}"
+        if _take(spark, options, state, batch, found)["exported"]:
+            write_report(spark.read.schema(ISSUE).parquet(found), f"{state.home}/report")
+            _pages(spark, state, options.output)
+
+    arrivals = stream_mailboxes(spark, options.inputs[0])
+    return arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def find(spark: SparkSession, output: str, query: Query) -> DataFrame:
     """The archive's messages that query finds, by the index that its runs kept."""
     state = State(spark, output)

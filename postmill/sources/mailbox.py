@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postmill.functions.text import sanitize_segment
 from postmill.model import MESSAGE
 from postmill.sources import mime
-from postmill.sources.mbox import NOT_MAILBOXES, MboxSource
+from postmill.sources.mbox import NOT_MAILBOXES, MboxSource, located
 
 
 class UnsupportedMailbox(ValueError):
@@ -197,6 +197,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MboxSource)
 
 
+def _boxed(rows: DataFrame, base: str, layout: str, store: str) -> DataFrame:
+    """Rows of the mbox source as _parsed() takes them, for files below base."""
+    rel = F.substring("path", len(base) + 2, 1 << 20)
+    return rows.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), "data", rel.alias("file"), "offset")
+
+
+def stream_mailboxes(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """A stream of the messages of a tree of mboxes: those of files that grow or are new, all of one that is written anew.
+
+    Folders are those that read_mailbox() knows: the tree itself and its .sbd folders.
+    """
+    root = located(_root(spark, path))[2].rstrip("/")
+    register(spark)
+    range_bytes = range_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    rows = spark.readStream.format("mbox").option("rangeBytes", range_bytes).load(root)
+    own = _boxed(rows, root, "mbox-tree", root.rpartition("/")[2])
+    return _parsed(own.where(F.col("file").rlike(r"^([^/]*\.sbd/)*[^/]+$")))
+
+
 def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """The messages of one store. An mbox is split at its messages, so that one large file is read by many tasks.
 
@@ -215,8 +234,7 @@ def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, stor
         register(spark)
         range_bytes = range_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
         rows = spark.read.format("mbox").option("files", json.dumps(files)).option("rangeBytes", range_bytes).load()
-        rows = rows.withColumn("rel", F.substring("path", len(base) + 2, 1 << 20))
-        boxes.append(rows.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), "data", rel.alias("file"), "offset"))
+        boxes.append(_boxed(rows, base, layout, store))
     if layout not in ("mbox", "mbox-tree") or (layout == "mbox-tree" and _maildirs(spark, root)):
         folders = _plus_plus_folders(spark, path) if layout == "maildir++" else [f"{path}/{x}" for x in _maildirs(spark, root)] if layout == "mbox-tree" else [path]
         files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(folders).withColumn("rel", _relative(F.col("path"), root))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: The state store that keeps timers.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def active_runs(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -18,3 +26,67 @@ def stable(polls: DataFrame, store: str = "store", ts: str = "ts", size: str = "
     changed = polls.withColumn("__c", F.when(before.isNull() | (before != F.col(size)), F.col(ts)))
     last = F.max("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return changed.withColumn("is_stable", F.unix_timestamp(ts) - F.unix_timestamp(last) >= seconds).drop("__c")
+
+
+class Quiet(StatefulProcessor):
+    """The size of a store and when it last changed, with a timer for the time at which it will have been quiet."""
+
+    def __init__(self, seconds: int, forget: int):
+        self.wait, self.forget = seconds * 1000, forget * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # changed and seen are milliseconds; told: its quiet was reported.
+        self.state = handle.getValueState("store", "size long, changed long, seen long, told boolean")
+
+    def _set_timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        polls = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        now = self.state.get() if self.state.exists() else None
+        size, changed, seen, told = now or (None, None, None, False)
+        out = []
+        for at, n in zip((polls["ts"].astype("int64") // 1_000_000).tolist(), polls["size"].tolist()):
+            if size != n:
+                size, changed, told = n, at, False
+            elif not told and at >= changed + self.wait:
+                told = True
+                out.append((key[0], changed, size))
+            seen = max(at, seen or at)
+        self.state.update((size, changed, seen, told))
+        self._set_timer(seen + self.forget if told else changed + self.wait)
+        if out:
+            yield _rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        size, changed, seen, told = self.state.get()
+        if told:
+            self.state.clear()
+            return
+        self.state.update((size, changed, seen, True))
+        self.handle.registerTimer(max(seen + self.forget, expiredTimerInfo.getExpiryTimeInMs() + 1))
+        yield _rows([(key[0], changed, size)])
+
+    def close(self) -> None:
+        pass
+
+
+def _rows(found: list[tuple]) -> pd.DataFrame:
+    stores, changed, sizes = zip(*found)
+    return pd.DataFrame({"store": stores, "since": pd.to_datetime(pd.Series(changed), unit="ms"), "size": sizes})
+
+
+def settled(polls: DataFrame, seconds: int = 30, forget: int = 86_400, late: timedelta = timedelta(0)) -> DataFrame:
+    """(store, since, size) of each time that a store has been quiet for so many seconds, from a stream of polls (store, ts, size).
+
+    since is when the size last changed. Event time decides: a poll, of whatever store, that is so much later lets the
+    timer of a quiet one fire, also when nobody polls that one any more. A store without polls for forget seconds after
+    its quiet loses its state. Polls that are later than late are dropped.
+    """
+    polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own = polls.select(F.col("store").cast("string").alias("store"), F.col("ts").cast("timestamp").alias("ts"), F.col("size").cast("long").alias("size"))
+    timed = own.withWatermark("ts", f"{int(late.total_seconds() * 1000)} milliseconds")
+    return timed.groupBy("store").transformWithStateInPandas(statefulProcessor=Quiet(seconds, forget), outputStructType="store string, since timestamp, size long", outputMode="append", timeMode="eventTime")
