@@ -3,12 +3,18 @@
 A template is aligned with a stretch of a document: words that occur once in both are anchors, their longest
 increasing subsequence is kept, and the gaps between kept anchors are aligned the same way. Coverage is the share
 of the template's words that the alignment matches. Stretches are the places where a template's words stand close
-together; a stretch that cannot reach the threshold by its word counts is not aligned, and of neighbouring ones that
-share equally many words with the template the first and the last are.
+together: any word of the template begins one. All stretches count. Those that cannot reach the threshold, or beat the
+best one found, by the words they share or by the longest common subsequence with the template, which no alignment
+exceeds, are left out of the alignment.
+
+A name that tells a license apart (as "GNU General Public License" or "version 3") must stand unbroken in what is
+matched, and a template of few words must stand there whole, since one word more or less makes another license of it.
+Where licenses overlap the one that matches most words counts, and the others are sought in the rest of the text.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 
@@ -24,6 +30,10 @@ from postmill.llm.license_texts import TEMPLATES
 THRESHOLD = 0.8
 #: A stretch has at most so many times the template's words: what is spread wider is no copy of it.
 SPREAD = 4
+#: Templates of fewer words must be found whole and unbroken.
+WHOLE_BELOW = 20
+#: What of a template is a name: capitalised words that end in License, and version numbers.
+NAME = r"(?:[A-Z][\w-]*\s+){1,5}License\b|\b[Vv]ersion\s+\d+(?:\.\d+)*"
 FOUND = "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long"
 
 
@@ -67,14 +77,24 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _word_lists(texts: list[str]) -> list[list[int]]:
+    """The word hashes of each text."""
+    h, docs, _ = words_of(Texts(pa.compute.utf8_lower(pa.array(texts, pa.string()))))
+    return [h[docs == i].tolist() for i in range(len(texts))]
+
+
 class Templates:
     """The templates as word hashes; their number and size are fixed, so they go to every task."""
 
     def __init__(self, templates: dict[str, str]):
-        texts = Texts(pa.compute.utf8_lower(pa.array(list(templates.values()), pa.string())))
-        h, docs, _ = words_of(texts)
         self.names = list(templates)
-        self.words = [h[docs == i].tolist() for i in range(len(self.names))]
+        self.words = _word_lists(list(templates.values()))
+        h, docs = np.array([x for own in self.words for x in own], dtype=np.uint64), np.repeat(np.arange(len(self.names)), [len(x) for x in self.words])
+        #: For each template its names, as the places of each one's occurrences.
+        self.titles = []
+        for own, text in zip(self.words, templates.values()):
+            titles = {tuple(x) for x in _word_lists(sorted(set(re.findall(NAME, text))))}
+            self.titles.append([[range(i, i + len(x)) for i in range(len(own) - len(x) + 1) if tuple(own[i : i + len(x)]) == x] for x in sorted(titles)])
         distinct = [np.unique(h[docs == i], return_counts=True) for i in range(len(self.names))]
         self.sets, self.times = [d[0] for d in distinct], [d[1] for d in distinct]
         self.vocabulary = np.unique(h)
@@ -114,10 +134,86 @@ def _shared_words(words: np.ndarray, at: np.ndarray, docs: np.ndarray, own: np.n
     return np.cumsum(change[:-1])
 
 
-def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, spread: int = SPREAD) -> list[tuple[int, int, int, int, int]]:
-    """(text, template, matched words, first word, last word) of the best stretch of each template found in a text."""
+def common_lengths(text: list[int], template: list[int]) -> list[int]:
+    """For each word of text the length of the longest common subsequence of the template and text from that word on.
+
+    Bits of one integer hold where the length rises along the template, taken from its end; each word updates all of
+    them at once.
+    """
+    spots: dict[int, int] = {}
+    for i, w in enumerate(reversed(template)):
+        spots[w] = spots.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    rises, out = full, [0] * len(text)
+    for i in range(len(text) - 1, -1, -1):
+        if own := spots.get(text[i]):
+            met = rises & own
+            rises = (rises + met | rises - met) & full
+        out[i] = len(template) - rises.bit_count()
+    return out
+
+
+def _titled(pairs: list[tuple[int, int]], titles: list[list[range]]) -> bool:
+    """Whether each of the template's names stands unbroken in the matched words."""
+    at = {j: i for i, j in pairs}
+    return all(any(all(j in at and at[j] - at[own[0]] == j - own[0] for j in own) for own in places) for places in titles)
+
+
+def best_stretch(words: np.ndarray, templates: Templates, t: int, threshold: float, spread: int, whole_below: int) -> tuple[int, int, int] | None:
+    """(matched words, first word, last word) of a text's best stretch for a template, the first of equally good ones."""
+    own = templates.words[t]
+    size, width = len(own), spread * len(own)
+    if size < whole_below:
+        at = np.flatnonzero(words[: len(words) - size + 1] == np.uint64(own[0])) if len(words) >= size else np.zeros(0, np.int64)
+        for k in range(1, size):
+            at = at[words[at + k] == np.uint64(own[k])]
+        return (size, int(at[0]), int(at[0]) + size - 1) if len(at) else None
+    need = threshold * size - 1e-9
+    hits = np.flatnonzero(_within(words, templates.sets[t])) if len(words) else np.zeros(0, np.int64)
+    shared = _shared_words(words[hits], hits, np.zeros(len(hits), np.int64), templates.sets[t], templates.times[t], width)
+    starts = hits[shared >= need]
+    # Runs of starts share one pass for their bounds, to the end of the last one's stretch.
+    run, bound = max(1, width // 4), {}
+    for _, mine in _grouped(starts, run):
+        lo, hi = int(mine[0]), int(mine[-1]) + width
+        lengths = common_lengths(words[lo:hi].tolist(), own)
+        bound.update((int(i), lengths[int(i) - lo]) for i in mine)
+    best = None
+    for i in sorted((i for i, n in bound.items() if n >= need), key=lambda i: (-bound[i], i)):
+        worse = lambda n: n < need or (best and (n < best[0] or (n == best[0] and i > best[3])))  # noqa: B023, E731
+        if best and bound[i] < best[0]:
+            break
+        text = words[i : i + width].tolist()
+        if worse(bound[i]) or worse(common_lengths(text, own)[0]):
+            continue
+        pairs = align(text, own)
+        if pairs and not worse(len(pairs)) and _titled(pairs, templates.titles[t]):
+            best = (len(pairs), i + pairs[0][0], i + pairs[-1][0], i)
+    return best[:3] if best else None
+
+
+def _grouped(starts: np.ndarray, run: int):
+    part = starts // run
+    for k in np.unique(part).tolist():
+        yield k, starts[part == k]
+
+
+def licenses_of(words: np.ndarray, among: list[int], templates: Templates, threshold: float, spread: int, whole_below: int) -> dict[int, tuple[int, int, int]]:
+    """The best stretch of each template among those given that a text has, none of them overlapping another."""
+    seek = lambda t: best_stretch(words, templates, t, threshold, spread, whole_below)
+    words, left, out = words.copy(), {t: seek(t) for t in among}, {}
+    while left := {t: v for t, v in left.items() if v}:
+        t = min(left, key=lambda t: (-left[t][0], -left[t][0] / len(templates.words[t]), t))
+        n, a, b = out[t] = left.pop(t)
+        words[a : b + 1] = 0
+        left = {x: v if v[1] > b or v[2] < a else seek(x) for x, v in left.items()}
+    return out
+
+
+def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, spread: int = SPREAD, whole_below: int = WHOLE_BELOW) -> list[tuple[int, int, int, int, int]]:
+    """(text, template, matched words, first word, last word) of the licenses found in each text."""
     h, docs, begin = words_of(Texts(pa.compute.utf8_lower(column)))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    among: dict[int, list[int]] = {}
     known = np.flatnonzero(_within(h, templates.vocabulary)) if len(h) and len(templates.vocabulary) else []
     for t, own in enumerate(templates.sets):
         size = len(templates.words[t])
@@ -126,27 +222,17 @@ def scan(column: pa.Array, templates: Templates, threshold: float = THRESHOLD, s
             continue
         hits = known[_within(h[known], own)]
         shared = _shared_words(h[hits], hits, docs[hits], own, templates.times[t], spread * size)
-        good = np.flatnonzero(shared >= need)
-        # Neighbouring starts share most of their stretch: of those with equally many shared words the first and the
-        # last are tried, the most first, until no stretch can match more than what was found.
-        for run in np.split(good, np.flatnonzero((np.diff(good) > 1) | np.diff(docs[hits[good]]).astype(bool)) + 1) if len(good) else ():
-            for level in np.unique(shared[run])[::-1].tolist():
-                same = run[shared[run] == level]
-                d = int(docs[hits[same[0]]])
-                if level <= best.get((d, t), (0,))[0]:
-                    break
-                for i in sorted({int(same[0]), int(same[-1])}):
-                    a = int(hits[i])
-                    pairs = align(h[a : min(a + spread * size, int(begin[d + 1]))].tolist(), templates.words[t])
-                    if len(pairs) >= need and len(pairs) > best.get((d, t), (0,))[0]:
-                        best[d, t] = (len(pairs), a + pairs[0][0] - int(begin[d]), a + pairs[-1][0] - int(begin[d]))
-    return sorted((d, t, *v) for (d, t), v in best.items())
-
-
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, spread: int = SPREAD) -> DataFrame:
+        for d in np.unique(docs[hits[shared >= need]]).tolist():
+            among.setdefault(d, []).append(t)
+    found = {d: licenses_of(h[begin[d] : begin[d + 1]], own, templates, threshold, spread, whole_below) for d, own in among.items()}
+    return sorted((d, t, *v) for d, own in found.items() for t, v in own.items())
+
+
+def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, spread: int = SPREAD, whole_below: int = WHOLE_BELOW) -> DataFrame:
     """One row per document (doc_id, text) and license whose coverage is the threshold or more.
 
-    coverage is that of the best stretch, first_word and last_word count the document's words (letters and digits)
+    coverage is that of the best stretch in which the template's names stand unbroken; a template of fewer words than
+    whole_below must stand there whole. Licenses of a document don't overlap. first_word and last_word count the document's words (letters and digits)
     from 0. Words are compared in lower case. A stretch starts at one of the template's words and has at most spread
     times as many; of equally good ones the first counts. A null or empty text has no row, rows that repeat have their
     rows again, further columns are not read, an empty table gives none, and texts of any length are scanned whole.
@@ -157,7 +243,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, thresh
     def run(batches):
         own = sent.value
         for batch in slices(batches, "text"):
-            found = scan(batch.column(1), own, threshold, spread)
+            found = scan(batch.column(1), own, threshold, spread, whole_below)
             d, t, n, a, b = zip(*found) if found else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(d, pa.int64())), pa.array([own.names[x] for x in t], pa.string()), pa.array([x / len(own.words[y]) for x, y in zip(n, t)], pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
