@@ -9,7 +9,7 @@ them; they go back to the blocks that asked.
 A filter of up to Sizes.broadcast bytes is broadcast to the workers. As it grows with the texts, a larger one stays where
 it is, and the blocks' n-grams go to its segments, whose levels come back: the same probes, with the same result.
 
-N-grams of two and more words count from MIN_COUNT occurrences on: what occurs once says little beside its words.
+N-grams of two and more words count from min_count occurrences on, MIN_COUNT unless given.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
-def _gather(bucket: int, table: pa.Table, bits_per_entry: int) -> pa.Table:
+def _gather(bucket: int, table: pa.Table, bits_per_entry: int, min_count: int = MIN_COUNT) -> pa.Table:
     """The bucket's segment, and for each block the exact counts of the words that it sent."""
     rows, all_keys, all_counts = [], [], []
     orders = np.asarray(table.column("n"))
@@ -228,7 +228,7 @@ def _gather(bucket: int, table: pa.Table, bits_per_entry: int) -> pa.Table:
             continue
         names, total = _summed(np.concatenate(keys), np.concatenate(counts))
         if order > 1:
-            kept = total >= MIN_COUNT
+            kept = total >= min_count
             all_keys.append(_of_order(names[kept], order))
             all_counts.append(total[kept])
             continue
@@ -276,9 +276,11 @@ def scores_of(grams: Grams, words: np.ndarray, levels: list[np.ndarray], n_train
     return pa.table({"doc_id": grams.ids, "held_out": pa.array(grams.held), "n_tokens": pa.array(tokens.n_tokens.astype(np.int64)), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(begin), n_train, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
 
-def language_scores(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+def language_scores(df: DataFrame, sizes: Sizes = Sizes(), min_count: int = MIN_COUNT) -> DataFrame:
     """SCORES of every row of df (doc_id, text), by a model of those that are not held out.
 
+    min_count: how often an n-gram of two or more words must stand in what is trained on to count as more than its end.
+
     A null or empty text is its end alone; a null doc_id is not held out. With nothing to train on all counts are 0.
     Texts that repeat count as often as they occur, rows that repeat have a row each, further columns are not read and
     an empty table gives no rows. Texts of any length are scored whole.
@@ -290,7 +292,7 @@ def language_scores(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     blocks = table_of_blocks(docs, size, "lm-blocks", sizes.block, sizes.table)
     released(spark)
     count = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), True)
-    gather = lambda key, table: _gather(key[0].as_py(), table, sizes.bits)
+    gather = lambda key, table: _gather(key[0].as_py(), table, sizes.bits, min_count)
     notes = stored(blocks.groupBy("block").applyInArrow(count, SENT).groupBy("bucket").applyInArrow(gather, NOTES), "lm-notes")
     released(spark)
     whole = lambda c: F.sum(F.conv(F.hex(c), 16, 10).cast("long"))

@@ -494,7 +494,7 @@ def test_unfinished_document(spark, tmp_path):
 # 7
 
 
-def brute_model(rows, scored):
+def brute_model(rows, scored, min_count=lm.MIN_COUNT):
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base, score) of each row by plain counts, quantised."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: ["<s>", *WORD.findall(low(t)), "</s>"]
@@ -508,7 +508,7 @@ def brute_model(rows, scored):
 
     def seen(gram):
         c = grams[len(gram) - 1][gram]
-        if len(gram) == 1 or c < lm.MIN_COUNT:
+        if len(gram) == 1 or c < min_count:
             return c if len(gram) == 1 else 0
         j = next(j for j in range(200) if lm.LOG_BASE ** (j + 1) > c + 1e-6) + 1
         return max(1.0, (lm.LOG_BASE ** (j - 1) + lm.LOG_BASE**j - 1) / 2)
@@ -537,6 +537,11 @@ def test_language_scores(docs, rows, empty, more):
     assert lm.language_scores(empty, sizes).count() == 0
 
 
+def test_language_scores_with_all_counts(docs, rows):
+    pairs = [x[:2] for x in rows]
+    assert rounded(lm.language_scores(docs, lm.Sizes(bits=80), min_count=1)) == Counter(brute_model(pairs, pairs, 1))
+
+
 def test_language_scores_with_nothing_to_train_on(docs):
     nothing = lm.language_scores(docs.where("doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing.collect())
