@@ -51,6 +51,11 @@ def display_subject(subject: Column | str) -> Column:
     return F.coalesce(F.nullif(trim_all(subject), F.lit("")), F.lit("(no subject)"))
 
 
+def attachment_names(attachments: Column | str) -> Column:
+    """The attachments' names in order, those without one left out."""
+    return F.array_join(F.filter(F.transform(attachments, lambda a: a["filename"]), lambda x: x != ""), ", ")
+
+
 def joined(*parts: Column | str) -> Column:
     """The parts that aren't blank, trimmed, with ", " between."""
     return F.array_join(F.filter(F.array(*(trim_all(p) for p in parts)), lambda x: x != ""), ", ")

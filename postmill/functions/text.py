@@ -59,8 +59,9 @@ def sanitize_filename(c: Column | str, index: Column | int) -> Column:
 def slug(c: Column | str, size: int = 60) -> Column:
     """c as a compact name of letters, digits, dots, underscores and single dashes."""
     text = F.regexp_replace(F.regexp_replace(present(c), r"[^A-Za-z0-9._-]+", "-"), r"-{2,}", "-")
-    text = F.btrim(text, F.lit("-._ "))
-    return F.when(text == "", F.lit("untitled")).otherwise(F.btrim(F.left(text, F.lit(size)), F.lit("-._ ")))
+    # The element of an array, so that the patterns run once a row.
+    named = lambda t: F.when(t == "", F.lit("untitled")).otherwise(F.btrim(F.left(t, F.lit(size)), F.lit("-._ ")))
+    return F.transform(F.array(F.btrim(text, F.lit("-._ "))), named)[0]
 
 
 def short_hash(c: Column | str) -> Column:
@@ -102,7 +103,7 @@ def html_escape(c: Column | str) -> Column:
 def _marked() -> tuple[str, str]:
     """Letters that decompose to one base character and marks, with those bases, and then all marks."""
     letters, bases, marks = [], [], []
-    for i in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
+    for i in range(0x80, sys.maxunicode + 1):
         c = chr(i)
         if 0xD800 <= i < 0xE000:
             continue
@@ -116,9 +117,9 @@ def _marked() -> tuple[str, str]:
 
 def token_text(c: Column | str) -> Column:
     """The tokens of c with a space before each and one at the end."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(F.lower(present(c)), *_marked()), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(F.lower(present(c)), *_marked()), r"[^\p{L}\p{N}\p{Co}]+", " ")), F.lit(" "))
 
 
 def tokens(c: Column | str) -> Column:
-    """Lower-case runs of letters and digits, without diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(present(c)), *_marked()), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-case runs of letters, digits and private characters, without diacritics."""
+    return F.regexp_extract_all(F.translate(F.lower(present(c)), *_marked()), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))

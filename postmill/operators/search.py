@@ -7,10 +7,10 @@ must hold every phrase. Rank is BM25 with corpus-wide statistics.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def phrases(text: str) -> list[list[str]]:
     """The tokens of each field of text; fields of punctuation alone are left out."""
     src, dst = _marked()
     table = {ord(c): dst[i] if i < len(dst) else None for i, c in enumerate(src)}
-    found = [re.findall(r"[^\W_]+", field.lower().translate(table)) for field in text.split()]
+    found = [regex.findall(r"[\p{L}\p{N}\p{Co}]+", field.lower().translate(table)) for field in text.split()]
     return [p for p in found if p]
 
 

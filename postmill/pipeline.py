@@ -59,7 +59,7 @@ def documents(rows: DataFrame) -> DataFrame:
     docs = rows.select(
         "key", "store", "folder", "sender_name", "sender_email", M.joined("to", "cc").alias("recipients"), "subject",
         F.coalesce(F.unix_timestamp("date"), F.lit(0)).alias("date"), "path", (F.size("attachments") > 0).alias("has_attach"),
-        F.array_join(F.filter(F.transform("attachments", lambda a: a["filename"]), lambda x: x != ""), ", ").alias("attach_names"),
+        M.attachment_names("attachments").alias("attach_names"),
         M.sender("sender_name", "sender_email").alias("sender"), normalize_ws(body).alias("body"),
     )
     return docs.withColumn("snippet", snippet("body")).select(*(c.split()[0] for c in DOCS.split(", ")))

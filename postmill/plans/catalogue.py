@@ -203,7 +203,8 @@ def facet_years(spark, sf_dir):
 
 @_query("SELECT count(*) AS n FROM documents")
 def doc_count(spark, sf_dir):
-    return doc_mail(spark, sf_dir).agg(F.count("*").alias("n"))
+    docs = doc_mail(spark, sf_dir)
+    return postings.index_of(docs, ["folder", "body"]).total(docs, Query()).withColumnRenamed("total", "n")
 
 
 def _events(spark, sf_dir):
@@ -337,7 +338,7 @@ def display_sender(spark, sf_dir):
 def attach_names(spark, sf_dir):
     li, p = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _read(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat("p_name", F.lit(".bin")).alias("name")))).alias("a"))
-    return rows.select(F.col("l_orderkey").alias("doc_id"), F.array_join("a.name", ", ").alias("attach_names"))
+    return rows.select(F.col("l_orderkey").alias("doc_id"), M.attachment_names(F.transform("a", lambda x: F.struct(x["name"].alias("filename")))).alias("attach_names"))
 
 
 @_query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE role END AS body FROM conversations")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import sanitize_segment
 from postmill.model import MESSAGE
+from postmill.operators.accounts import LOCAL
 from postmill.sources import mime
 from postmill.sources.mbox import NOT_MAILBOXES, MboxSource, located
 
@@ -203,6 +204,26 @@ def _boxed(rows: DataFrame, base: str, layout: str, store: str) -> DataFrame:
     return rows.select(F.lit(store).alias("store"), folder_path(rel, layout).alias("folder_path"), "data", rel.alias("file"), "offset")
 
 
+def store_label(spark: SparkSession, path: str, layout: str, sources: str | None = None) -> str:
+    """What a store is called: its folder or file, but for a mail client's own stores.
+
+    A cache is called by its account: the DisplayName in <uid>.source under sources, else "Evolution <uid>".
+    """
+    name = _root(spark, path).rpartition("/")[2]
+    if layout == "mbox":
+        return name.rsplit(".", 1)[0] if "." in name.lstrip(".") else name
+    if layout == "maildir++" and name == "local":
+        return LOCAL
+    if layout != "imap-cache":
+        return name
+    file = f"{sources.rstrip('/')}/{name}.source" if sources else ""
+    if file and (found := _fs(spark, file))[0].exists(found[1]):
+        lines = spark.read.text(file).select(F.btrim(F.regexp_extract("value", "^DisplayName=(.*)", 1)).alias("v")).where("v != ''").take(1)
+        if lines:
+            return lines[0].v
+    return f"Evolution {name}"
+
+
 def stream_mailboxes(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """A stream of the messages of a tree of mboxes: those of files that grow or are new, all of one that is written anew.
 
@@ -216,16 +237,17 @@ def stream_mailboxes(spark: SparkSession, path: str, range_bytes: int | None = N
     return _parsed(own.where(F.col("file").rlike(r"^([^/]*\.sbd/)*[^/]+$")))
 
 
-def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None, range_bytes: int | None = None) -> DataFrame:
+def read_mailbox(spark: SparkSession, path: str, layout: str | None = None, store: str | None = None, range_bytes: int | None = None, sources: str | None = None) -> DataFrame:
     """The messages of one store. An mbox is split at its messages, so that one large file is read by many tasks.
 
     Of a tree the mboxes and maildirs in it and in its .sbd folders are read, and no others; of each mbox what it held
-    when it was listed. range_bytes: what one task reads of mboxes, as much as of other files unless given.
+    when it was listed. range_bytes: what one task reads of mboxes, as much as of other files unless given. sources: the
+    folder with the mail client's accounts, by which caches are called.
     """
     layout = layout or detect(spark, path)
     root = _root(spark, path)
     name = root.rpartition("/")[2]
-    store = store or (name.rsplit(".", 1)[0] if layout == "mbox" and "." in name.lstrip(".") else name)
+    store = store or store_label(spark, path, layout, sources)
     rel = F.col("rel")
     boxes = []
     if layout in ("mbox", "mbox-tree"):

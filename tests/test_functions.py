@@ -3,6 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.operators.search import phrases
 from postmill.functions import html as H
 from postmill.functions import messages as M
 from postmill.functions import text as T
@@ -106,3 +107,10 @@ def test_highlight_escapes(spark):
 def test_path_escape_and_bytes(spark):
     assert one(spark, T.path_escape(F.lit("a b/ü+"))) == "a%20b/%C3%BC%2B"
     assert one(spark, M.human_bytes(F.lit(1536).cast("long"))) == "1.5 KB"
+
+
+def test_tokens_of_all_planes(spark):
+    text = "a\ue000b cafe\u0301 x\U0001d165y \U0001e8d0z n\u0303\U00010a01o \U0001f600 q"
+    assert one(spark, T.tokens(F.lit(text))) == ["a\ue000b", "cafe", "x", "y", "z", "no", "q"]
+    assert one(spark, T.token_text(F.lit(text))) == " a\ue000b cafe x y z no q "
+    assert phrases("a\ue000b n\u0303\U00010a01o") == [["a\ue000b"], ["no"]]

@@ -102,6 +102,19 @@ def test_imap_cache(spark, tmp_path):
     assert sorted(r.folder_path for r in read_mailbox(spark, str(root)).collect()) == [["Kept"], ["Kept", "Old"], ["Post"], ["Post"], ["Post"], ["Web", "Any"]]
 
 
+def test_stores_of_a_mail_client_are_called_by_their_account(spark, tmp_path):
+    for uid in ("a1b2", "c3", "d4"):
+        put(tmp_path / uid / "folders/In/cur/1", raw("x"))
+    put(tmp_path / "sources/a1b2.source", b"[Data Source]\nDisplayName= Ann's post \nEnabled=true\n")
+    put(tmp_path / "sources/c3.source", b"[Data Source]\nDisplayName=\n")
+    put(tmp_path / "local/cur/1", raw("y"))
+    put(tmp_path / "local/.Sub/cur/1", raw("z"))
+    put(tmp_path / "local/..maildir++", b"")
+    stores = {x: {r.store for r in read_mailbox(spark, str(tmp_path / x), sources=str(tmp_path / "sources")).collect()} for x in ("a1b2", "c3", "d4", "local")}
+    assert stores == {"a1b2": {"Ann's post"}, "c3": {"Evolution c3"}, "d4": {"Evolution d4"}, "local": {"On This Computer"}}
+    assert read_mailbox(spark, str(tmp_path / "a1b2")).first().store == "Evolution a1b2"
+
+
 def test_unknown_files_are_refused(spark, tmp_path):
     put(tmp_path / "x.pst", b"!BDN")
     put(tmp_path / "x.txt", b"hello")
