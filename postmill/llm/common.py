@@ -121,6 +121,14 @@ class Texts:
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def equal_runs(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a rising array, each once, and where its run starts and ends; the work is that of the array alone."""
+    if not len(rising):
+        return rising, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, rising[1:] != rising[:-1]))
+    return rising[start], start, np.append(start[1:], len(rising))
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], eight bytes at a step."""
     padded = np.zeros(len(data) + 8, dtype=np.uint8)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.blocks import BLOCK_BYTES, NOTES, TABLE_BYTES, BlockTexts, noted, notes_of, per_block, table_of_blocks
-from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, hash_runs, mix, released, stored
+from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, equal_runs, hash_runs, mix, released, stored
 
 ORDER, LAMBDA, LOG_BASE, MIN_COUNT = 3, 0.6, 1.5, 2
 PROBES = 5
@@ -192,11 +192,10 @@ class Grams:
             names, counts = self.names[order - 1], self.counts[order - 1]
             if train and order > 1:
                 names, counts = names[counts > 0], counts[counts > 0]
-            cut = np.searchsorted(names >> U64(64 - self.bits if order == 1 else NAME_BITS), np.arange((1 << self.bits) + 1, dtype=U64))
-            for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                own = names[cut[k] : cut[k + 1]]
+            for k, a, b in zip(*(x.tolist() for x in equal_runs(names >> U64(64 - self.bits if order == 1 else NAME_BITS)))):
+                own = names[a:b]
                 keys = own.tobytes() if order == 1 else _steps(own & U64((1 << NAME_BITS) - 1))
-                rows.append((k, block, order, keys, len(own).to_bytes(4, "little") + (_packed(counts[cut[k] : cut[k + 1]]) if train else b"")))
+                rows.append((k, block, order, keys, len(own).to_bytes(4, "little") + (_packed(counts[a:b]) if train else b"")))
         columns = zip(*rows) if rows else ((),) * 5
         kinds = {"bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})

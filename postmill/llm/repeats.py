@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.blocks import BLOCK_BYTES, NOTES, TABLE_BYTES, BlockTexts, noted, notes_of, per_block, table_of_blocks
-from postmill.llm.common import U64, hash_runs, mix, released, stored
+from postmill.llm.common import U64, equal_runs, hash_runs, mix, released, stored
 from postmill.llm.suffixes import spread, suffix_arrays
 
 LENGTH, GRAM = 50, 24
@@ -201,11 +201,9 @@ class Contexts:
         self.data, self.at, self.left, self.right = block.data, a[kept], p[kept] - a[kept], b[kept] + LENGTH - p[kept] - GRAM
 
     def dealt(self, block: int, bits: int) -> pa.Table:
-        cut = np.searchsorted(self.key >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-        full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        full, first, last = (x.tolist() for x in equal_runs(self.key >> U64(64 - bits)))
         codec, sizes, rest = pa.Codec("zstd", compression_level=1), [], []
-        for k in full:
-            own = slice(cut[k], cut[k + 1])
+        for own in map(slice, first, last):
             at, left, right = self.at[own], self.left[own], self.right[own]
             base = np.cumsum(left + right) - left - right
             text = np.empty(int((left + right).sum()), dtype=np.uint8)
@@ -214,7 +212,7 @@ class Contexts:
             raw = b"".join((self.least[own].tobytes(), left.astype(np.uint8).tobytes(), right.astype(np.uint8).tobytes(), self.more[own].tobytes(), text.tobytes()))
             sizes.append(len(raw))
             rest.append(codec.compress(raw, asbytes=True))
-        keys = [self.key[cut[k] : cut[k + 1]].tobytes() for k in full]
+        keys = [self.key[a:b].tobytes() for a, b in zip(first, last)]
         return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "keys": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int64()), "rest": pa.array(rest, pa.binary())})
 
 
@@ -359,10 +357,9 @@ def remove_repeats(df: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
 
     def keys(key, table):
         found = np.unique(Block(table, sizes.cut).keys(key_bits))
-        cut = np.searchsorted(found >> U64(32), np.arange((1 << key_bits) + 1, dtype=U64))
-        full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        full, first, last = (x.tolist() for x in equal_runs(found >> U64(32)))
         low = found.astype(np.uint32)
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()), "keys": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()), "keys": pa.array([low[a:b].tobytes() for a, b in zip(first, last)], pa.binary())})
 
     def send(key, own, notes):
         return Contexts(Block(own, sizes.cut), notes, key_bits).dealt(key[0].as_py(), bits)
