@@ -466,6 +466,13 @@ def quiescence_gaps(spark, sf_dir):
     return runs.select("user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
 
 
+@_query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS next, max(epoch_us(ts) // 1000) OVER () AS last FROM events)
+SELECT CAST(user_id AS VARCHAR) AS store, ms AS since_ms, event_id AS size FROM e WHERE CASE WHEN next IS NULL THEN last - ms >= 21600000 ELSE next - ms > 21600000 END""")
+def quiet_times(spark, sf_dir):
+    polls = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("store"), F.timestamp_millis(F.unix_millis("ts")).alias("ts"), F.col("event_id").alias("size"))
+    return quiescence.replay(polls, 3, 6 * 3600).select("store", F.unix_millis("since").alias("since_ms"), "size")
+
+
 @_query(f"WITH {EVENTS} SELECT key, min(event_id) AS event_id FROM ev GROUP BY key")
 def stream_incremental(spark, sf_dir):
     return incremental.replay(_events(spark, sf_dir).select("key", "event_id", "seq"), chunks=3)

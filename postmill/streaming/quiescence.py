@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from postmill.session import shared_dir
+
 #: The state store that keeps timers.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,16 +48,18 @@ class Quiet(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        polls = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        polls = pd.concat(list(rows)).sort_values(["ts", "size"], kind="stable")
         now = self.state.get() if self.state.exists() else None
         size, changed, seen, told = now or (None, None, None, False)
         out = []
         for at, n in zip((polls["ts"].astype("int64") // 1_000_000).tolist(), polls["size"].tolist()):
-            if size != n:
-                size, changed, told = n, at, False
-            elif not told and at >= changed + self.wait:
+            same = size == n
+            # A change after a longer gap without polls ends a quiet time, too.
+            if size is not None and not told and at - changed >= self.wait + (not same):
                 told = True
                 out.append((key[0], changed, size))
+            if not same:
+                size, changed, told = n, at, False
             seen = max(at, seen or at)
         self.state.update((size, changed, seen, told))
         self._set_timer(seen + self.forget if told else changed + self.wait)
@@ -79,6 +84,18 @@ def _rows(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"store": stores, "since": pd.to_datetime(pd.Series(changed), unit="ms"), "size": sizes})
 
 
+def replay(polls: DataFrame, chunks: int, seconds: int) -> DataFrame:
+    """settled() after polls (store, ts, size) arrived as a stream in so many parts, by time."""
+    spark, home = polls.sparkSession, f"{shared_dir(polls.sparkSession)}/polls-{uuid.uuid4().hex}"
+    bounds = polls.select(F.unix_millis("ts").alias("t")).stat.approxQuantile("t", [i / chunks for i in range(1, chunks)], 0.001)
+    part = sum(((F.unix_millis("ts") > b).cast("int") for b in bounds), F.lit(0))
+    for k in range(chunks):
+        polls.where(part == k).write.mode("append").parquet(f"{home}/in")
+        arrivals = spark.readStream.schema(polls.schema).parquet(f"{home}/in")
+        settled(arrivals, seconds).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    return spark.read.schema("store string, since timestamp, size long").parquet(f"{home}/out")
+
+
 def settled(polls: DataFrame, seconds: int = 30, forget: int = 86_400, late: timedelta = timedelta(0)) -> DataFrame:
     """(store, since, size) of each time that a store has been quiet for so many seconds, from a stream of polls (store, ts, size).
 
