@@ -64,7 +64,7 @@ def test_a_store_that_nobody_polls_any_more(spark, tmp_path):
     rows = [("y", BEGIN + timedelta(seconds=t), t) for t in range(0, 40, 10)]
     late = [("w", BEGIN + timedelta(seconds=4000), 1)]
     found, left = replayed(spark, tmp_path, [gone + rows, late, [("z", BEGIN + timedelta(seconds=9000), 1)], [("z", BEGIN + timedelta(seconds=20_000), 2)]], seconds=30, forget=600)
-    assert ("x", BEGIN, 5) in found and ("y", BEGIN + timedelta(seconds=30), 30) in found and {f[0] for f in found} == set("xyw")
+    assert ("x", BEGIN, 5) in found and ("y", BEGIN + timedelta(seconds=30), 30) in found and {f[0] for f in found} == set("xyzw")
     # Of all stores only the last has state: its rows and one timer (by key and by time).
     assert left <= 3
 
