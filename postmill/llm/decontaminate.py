@@ -129,6 +129,8 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
     Items with the same shingles count as one, under the smallest item_id. Items and texts of fewer than five
     words, and nulls, have no shingle and match nothing. Each block of items is one pass over df; no item, no row.
+    Rows that repeat have their rows again, further columns are not read, an empty table gives no rows, and texts of
+    any length are searched whole.
     """
     spark = df.sparkSession
     schema = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
@@ -152,7 +154,11 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 
 def without_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df whose text holds no item to the threshold or more, with all their columns."""
+    """The rows of df whose text holds no item to the threshold or more, with all their columns, whatever their names.
+
+    Null and empty texts, and those of fewer than five words, hold none and stay; rows that repeat stay or go together;
+    without rows or items df stays as it is; texts of any length are searched whole.
+    """
     for block in item_blocks(items):
         sent = df.sparkSession.sparkContext.broadcast(block)
 

@@ -200,7 +200,9 @@ def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7) -> tuple[D
 def mixed(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The rows of df, each as often as the mix draws the document, with all their columns, as shuffled() has them.
 
-    Rows are told apart by a number, so those that share a doc_id are drawn apart.
+    Rows are told apart by a number, so those that share a doc_id, or are equal, are drawn apart; ties in the draw are
+    broken by hashes of id and text. Null and empty texts have no words and are not drawn; null is a source of its own;
+    an empty table gives no rows; further columns may have any name.
     """
     rows = stored(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
     named = rows.select("row_id", "row.doc_id", "row.text", "row.source")

@@ -189,7 +189,9 @@ SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def quality(df: DataFrame, order: list[int] | None = None) -> DataFrame:
     """One row per document (doc_id, text): the measures, base_failed and the cascade's verdict.
 
-    A null text has no words, so it fails; null ids stay null; further columns of df are not read.
+    A null or empty text has no words, so it fails; null ids stay null; rows that repeat have a row each and share
+    their verdict; an empty table gives no rows; texts of any length are measured whole, and further columns of df are
+    not read.
     """
     order = rule_order(df) if order is None else order
     rest = [k for k in order if k > 1]

@@ -161,7 +161,8 @@ def near_copies(df: DataFrame) -> DataFrame:
 
     Fingerprints at RADIUS bits or fewer are linked, component_id is the smallest doc_id reachable. Texts without
     words (null too) share fingerprint 0. A null doc_id gets its component like any other, and a component whose
-    ids are all null has a null one. Copies meet in their fingerprint, before any link is sought.
+    ids are all null has a null one. Copies meet in their fingerprint, before any link is sought. Rows that repeat have
+    a row each, an empty table gives no rows, texts of any length count whole, and further columns are not read.
     """
     docs = stored(fingerprints(df), "fingerprints")
     distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
