@@ -28,8 +28,8 @@ from postmill.operators.search import Query, filtered, filters, paged, phrases
 from postmill.operators.snapshots import Log
 from postmill.session import shared_dir
 
-#: Tokens that a task inverts at once, and bytes of blocks that one task sorts.
-TOKENS, SORT_BYTES = 2_000_000, 64 << 20
+#: Tokens that a task inverts at once, bytes of blocks that one task sorts, and those of a zone that one task renumbers.
+TOKENS, SORT_BYTES, SLICE_BYTES = 2_000_000, 64 << 20, 8 << 20
 #: Pages beyond this rank are taken from the full ranking, and so many more rows than a page tell whether ties end there.
 MOST_TOP, MORE = 10_000, 1000
 
@@ -129,13 +129,10 @@ class TextIndex:
         tag = uuid.uuid4().hex
         raw, own, docs = (f"{kind}-{tag}" for kind in ("staged-blocks", "blocks", "documents"))
         blocks.write.parquet(f"{self.path}/{raw}")
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{raw}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        n_tasks = max(1, math.ceil(fs.getContentSummary(folder).getLength() / SORT_BYTES))
+        n_tasks = max(1, math.ceil(self._size(raw) / SORT_BYTES))
         sorted_blocks(self.spark.read.schema(FIELDS).parquet(f"{self.path}/{raw}"), n_tasks).write.parquet(f"{self.path}/{own}")
         documents.write.parquet(f"{self.path}/{docs}")
-        fs.delete(folder, True)
+        self._drop(f"{self.path}/{raw}")
         n, length = self.spark.read.schema("length long").parquet(f"{self.path}/{docs}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         return {"part": part, "blocks": own, "documents": docs, "gone": None, "n": n, "tokens": length}
 
@@ -183,8 +180,10 @@ class TextIndex:
             begin[part, zone] = offsets[part] + at.get(part, 0)
             at[part] = at.get(part, 0) + n
         starts = self.spark.createDataFrame([(*k, v) for k, v in begin.items()], "part int, zone long, begin long")
+        # A zone's terms are dealt to slices, so that no task decodes a whole zone.
+        n_slices = max(1, math.ceil(sum(self._size(p["blocks"]) for p in parts) / max(1, len(rows)) / SLICE_BYTES))
         placed = zones.join(starts, ["part", "zone"]).select("part", "zone", "kept", "begin")
-        blocks = self._table(parts, "blocks", FIELDS).withColumn("zone", F.shiftright("first", ZONE_BITS))
+        blocks = self._table(parts, "blocks", FIELDS).withColumn("zone", F.shiftright("first", ZONE_BITS)).withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(n_slices)).cast("int"))
 
         def renumber(table: pa.Table, kept: pa.Table) -> pa.Table:
             if not kept.num_rows or not table.num_rows:
@@ -196,10 +195,16 @@ class TextIndex:
             e.doc = first + np.searchsorted(live, e.doc)
             return pa.Table.from_batches([e.blocks()])
 
-        new = blocks.groupBy("part", "zone").cogroup(placed.groupBy("part", "zone")).applyInArrow(renumber, FIELDS)
+        every = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+        new = blocks.groupBy("part", "zone", "slice").cogroup(every.groupBy("part", "zone", "slice")).applyInArrow(renumber, FIELDS)
         documents = placed.select("part", "zone", "begin", F.posexplode("kept").alias("i", "doc")).select("part", "doc", (F.col("begin") + F.col("i")).alias("new")).join(self.live(parts), ["part", "doc"]).select(F.col("new").alias("doc"), self.key, "length")
         return [self._written(new, documents, max(offsets) + 1)]
 
+    def _size(self, name: str) -> int:
+        """The bytes of a folder."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
     def _drop(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -149,7 +149,9 @@ def test_ties_at_the_end_of_a_page(spark, tmp_path):
         postings.MORE = more
 
 
-def test_many_parts_are_folded(spark, tmp_path):
+@pytest.mark.parametrize("slice_bytes", [postings.SLICE_BYTES, 2000])
+def test_many_parts_are_folded(spark, tmp_path, monkeypatch, slice_bytes):
+    monkeypatch.setattr(postings, "SLICE_BYTES", slice_bytes)
     rows = texts(60, seed=9)
     index = postings.TextIndex(spark, str(tmp_path / "ix"), COLUMNS)
     index.MOST_PARTS = 2
