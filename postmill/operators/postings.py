@@ -28,8 +28,9 @@ from postmill.operators.search import Query, filtered, filters, paged, phrases
 from postmill.operators.snapshots import Log
 from postmill.session import shared_dir
 
-#: Tokens that a task inverts at once, bytes of blocks that one task sorts, and those of a zone that one task renumbers.
-TOKENS, SORT_BYTES, SLICE_BYTES = 2_000_000, 64 << 20, 8 << 20
+#: Tokens that a task inverts at once, bytes of blocks that one task sorts at most and at least, and those of a zone that
+#: one task renumbers.
+TOKENS, SORT_BYTES, LEAST_BYTES, SLICE_BYTES = 2_000_000, 64 << 20, 2 << 20, 8 << 20
 #: Pages beyond this rank are taken from the full ranking, and so many more rows than a page tell whether ties end there.
 MOST_TOP, MORE = 10_000, 1000
 
@@ -129,7 +130,9 @@ class TextIndex:
         tag = uuid.uuid4().hex
         raw, own, docs = (f"{kind}-{tag}" for kind in ("staged-blocks", "blocks", "documents"))
         blocks.write.parquet(f"{self.path}/{raw}")
-        n_tasks = max(1, math.ceil(self._size(raw) / SORT_BYTES))
+        # As many tasks as the bytes ask for; of few bytes as many as the cluster has cores, unless they are tiny.
+        size = self._size(raw)
+        n_tasks = max(1, math.ceil(size / SORT_BYTES), min(self.spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
         sorted_blocks(self.spark.read.schema(FIELDS).parquet(f"{self.path}/{raw}"), n_tasks).write.parquet(f"{self.path}/{own}")
         documents.write.parquet(f"{self.path}/{docs}")
         self._drop(f"{self.path}/{raw}")
