@@ -13,12 +13,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import ASCII_LOWER, SPACE, U64, Texts, as_long, mix, slices, stored
 from postmill.llm.components import connected_components
+from postmill.llm.xxh import xxh64_runs
 
 RADIUS = 4
 #: Variants of one fingerprint: those within RADIUS // 2 bits.
@@ -27,7 +27,7 @@ BALL = 1 + 64 + 64 * 63 // 2
 LANE_VARIANTS, CHUNK_VARIANTS = 16 << 20, 1 << 20
 
 
-def normal_words(texts: Texts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def normal_words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of all texts, lower-cased (A-Z) and each followed by one space: bytes, starts, ends, text of each."""
     inside = ~SPACE[texts.bytes]
     starts, ends = texts.runs(inside)
@@ -36,7 +36,26 @@ def normal_words(texts: Texts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
     out = np.full(int(sizes.sum()) + len(sizes), 32, dtype=np.uint8)
     kept = np.flatnonzero(inside)
     out[kept + np.repeat(out_starts - starts, sizes)] = ASCII_LOWER[texts.bytes[kept]]
-    return out.tobytes(), out_starts, out_starts + sizes, docs
+    return out, out_starts, out_starts + sizes, docs
+
+
+def majority_bits(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of each run of h, from one begin to the next, the bits that are set in over half its values.
+
+    A value counts as eight bytes of one bit each, which add up in one sum of at most 255 values; those sums are then
+    added up bit by bit.
+    """
+    sizes = np.diff(np.append(begin, len(h)))
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(begin, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    out = np.zeros(len(begin), dtype=U64)
+    for low in range(8):
+        sums = np.add.reduceat((h >> U64(low)) & U64(0x0101010101010101), at)
+        for byte in range(8):
+            ones = np.add.reduceat(((sums >> U64(8 * byte)) & U64(0xFF)).astype(np.int64), first)
+            out |= np.where(2 * ones > sizes, U64(1) << U64(8 * byte + low), U64(0))
+    return out
 
 
 def fingerprints_of(texts: Texts, size: int = 4, seed: int = 42) -> np.ndarray:
@@ -52,15 +71,11 @@ def fingerprints_of(texts: Texts, size: int = 4, seed: int = 42) -> np.ndarray:
     lo = np.concatenate([starts[at], starts[first[short]]])
     hi = np.concatenate([ends[at + size - 1], ends[first[short] + counts[short] - 1]])
     owner = np.concatenate([docs[at], short])
-    view, digest = memoryview(data), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(view[a:b], seed) for a, b in zip(lo.tolist(), hi.tolist())), dtype=U64, count=len(lo))
+    h = xxh64_runs(data, lo, hi, seed)
     order = np.argsort(owner, kind="stable") if len(short) else slice(None)
     h, owner = h[order], owner[order]
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
-    total = np.diff(np.append(begin, len(h)))
-    for bit in range(64):
-        ones = np.add.reduceat((h >> U64(bit)) & U64(1), begin)
-        out[owner[begin]] |= np.where(2 * ones.astype(np.int64) > total, U64(1) << U64(bit), U64(0))
+    out[owner[begin]] = majority_bits(h, begin)
     return out
 
 
