@@ -21,8 +21,8 @@ from postmill.llm.common import stored
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 #: Documents of a source that stand in one step of its order, on average at most.
 STEP_ROWS = 20_000
-#: Blocks that a shard gets, on average.
-BLOCKS_A_SHARD = 256
+#: Blocks that a shard gets, on average, and words of a block at most: a larger mix has more blocks, not larger ones.
+BLOCKS_A_SHARD, BLOCK_WORDS = 256, 1 << 20
 #: Sources at most: their sizes and targets are one small table.
 MOST_SOURCES = 100_000
 #: Words of a shard that one task writes, on average at most.
@@ -84,44 +84,61 @@ def ordered(df: DataFrame, seed: int = 7) -> DataFrame:
     return both.withColumn("before", F.col("step_before") + F.col("own_before")).withColumn("quota", F.floor("target")).drop("step_before", "own_before", "perm")
 
 
-def _block_words(docs: DataFrame, shards: int) -> tuple[list, int]:
-    """The sources of ordered() rows with their quotas, by code point and null last, and the words of a block."""
-    sources = docs.groupBy("source").agg(F.max("quota").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()
-    return sources, max(16, math.ceil(sum(r.quota for r in sources) / (shards * BLOCKS_A_SHARD)))
+def _quotas(docs: DataFrame) -> DataFrame:
+    """(source, quota) of ordered() rows."""
+    return docs.groupBy("source").agg(F.max("quota").alias("quota"))
 
 
-def _dealt(pieces: DataFrame, blocks: list[tuple[str | None, list[int]]], shards: int, seed: int) -> DataFrame:
-    """pieces (source, block) with shard and draw_key: the tree splits each source's blocks among shards."""
-    tree = np.cumsum(splitting_tree(np.array([len(own) for _, own in blocks], dtype=np.int64), shards, seed), axis=0)
-    rows = []
-    for i, (source, own) in enumerate(blocks):
-        rank = np.random.default_rng([seed, i]).permutation(len(own))
-        rows += [(source, b, int(s)) for b, s in zip(own, np.searchsorted(tree[:, i], rank, side="right")) if s < shards]
-    dealt = pieces.sparkSession.createDataFrame(rows, "s string, b long, shard int")
-    drawn = pieces.join(F.broadcast(dealt), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+def _block_words(quotas: DataFrame, shards: int, most: int) -> tuple[int, int]:
+    """The words that a mix of these quotas draws, and those of a block."""
+    words = quotas.agg(F.sum("quota")).first()[0] or 0
+    return words, max(16, min(most, math.ceil(words / (shards * BLOCKS_A_SHARD))))
+
+
+def _dealt(pieces: DataFrame, blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """pieces (source, block) with shard and draw_key: the tree splits the blocks (source, block; each once) among shards.
+
+    The driver has the tree alone, a row a source. The blocks of a source are permuted by a window over its blocks, and
+    a shard gets the run of them that the tree's counts give it.
+    """
+    blocks = stored(blocks, "mix-blocks")
+    counts = blocks.groupBy("source").count().orderBy(F.col("source").asc_nulls_last()).collect()
+    tree = np.cumsum(splitting_tree(np.array([r["count"] for r in counts], dtype=np.int64), shards, seed), axis=0)
+    ends = pieces.sparkSession.createDataFrame([(r.source, tree[:, i].tolist()) for i, r in enumerate(counts)], "s string, ends array<long>")
+    permuted = Window.partitionBy("source").orderBy(F.xxhash64("block", "source", F.lit(~seed)), "block")
+    ranked = blocks.withColumn("rank", F.row_number().over(permuted) - 1)
+    # A block that lies behind the last shard's end has no shard.
+    shard = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
+    dealt = ranked.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("block").alias("b"), shard.alias("shard")).where(F.col("shard") < shards)
+    # Documents that are not drawn have no block: their places spread them over the tasks of the join.
+    own = F.coalesce("block", -F.col("place").cast("long"))
+    drawn = pieces.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (own == F.col("b")), "left").drop("s", "b")
     return drawn.withColumn("draw_key", F.xxhash64("source", "block", F.lit(seed)))
 
 
-def mix(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, shards: int = 16, seed: int = 7, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The drawn pieces of df (doc_id, source, size, tag), one row each; a document that is not drawn has one with nulls.
 
     Adds to ordered(): epoch, block, from_word, n_words, shard and draw_key, by which a shard's blocks are shuffled.
-    Documents of size 0 and null are never drawn; null is a source of its own; rows that repeat are drawn apart.
+    Documents of size 0 and null are never drawn; null is a source of its own; rows that repeat are drawn apart. A block
+    has at most block_words words.
     """
-    return _mix(df, shards, seed)[0]
+    return _mix(df, shards, seed, block_words)[0]
 
 
-def _mix(df: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
+def _mix(df: DataFrame, shards: int, seed: int, most: int) -> tuple[DataFrame, int]:
     """mix(), and the words that it draws."""
     docs = stored(ordered(df, seed), "mix-order")
-    sources, block_words = _block_words(docs, shards)
+    quotas = _quotas(docs)
+    words, block_words = _block_words(quotas, shards, most)
     start = F.col("epoch") * F.col("source_size") + F.col("before")
     epochs = docs.withColumn("epoch", F.explode_outer(F.when((F.col("size") > 0) & (F.col("quota") > F.col("before")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - F.col("before") - 1) / F.col("source_size"))))))
     taken = epochs.withColumn("lo", start).withColumn("hi", F.least(start + F.col("size"), F.col("quota")))
     pieces = taken.withColumn("block", F.explode_outer(F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))))
     at = F.greatest("lo", F.col("block") * block_words)
     pieces = pieces.withColumn("from_word", at - F.col("lo")).withColumn("n_words", F.least("hi", (F.col("block") + 1) * block_words) - at).drop("lo", "hi")
-    return _dealt(pieces, [(r.source, list(range(math.ceil(r.quota / block_words)))) for r in sources], shards, seed), sum(r.quota for r in sources)
+    blocks = quotas.where("quota > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / block_words))).alias("block"))
+    return _dealt(pieces, blocks, shards, seed), words
 
 
 def slices_of(words: int, shards: int) -> int:
@@ -146,7 +163,7 @@ def placed(pieces: DataFrame) -> DataFrame:
     starts = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), upto.alias("block_at"))
     within = Window.partitionBy("source", "block").orderBy("epoch", "before")
     own = drawn.withColumn("own_at", F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words"))
-    both = own.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    both = own.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     return both.withColumn("at_word", F.col("block_at") + F.col("own_at")).drop("s", "b", "block_at", "own_at")
 
 
@@ -159,9 +176,9 @@ def sized(df: DataFrame, *more) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", found.alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), *more)
 
 
-def mixture_places(df: DataFrame, shards: int = 16) -> DataFrame:
+def mixture_places(df: DataFrame, shards: int = 16, block_words: int = BLOCK_WORDS) -> DataFrame:
     """mixture() with places: the pieces of the document in the written mix as (shard, at_word, n_words), in order."""
-    pieces, words = _mix(sized(df), shards, 7)
+    pieces, words = _mix(sized(df), shards, 7, block_words)
     written = stored(shuffled(placed(pieces), shards, slices_of(words, shards)), "mix-written")
     rows = written.unionByName(pieces.where("block is null"), allowMissingColumns=True)
     place = F.when(F.col("shard").isNotNull(), F.struct("shard", "at_word", "n_words"))
@@ -181,20 +198,18 @@ def mixture(df: DataFrame) -> DataFrame:
     return mixture_places(df).drop("places")
 
 
-def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, int]:
+def drawn_documents(rows: DataFrame, shards: int = 16, seed: int = 7, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
     """The drawn copies of rows (row_id, doc_id, source, size, tag), one row each, with shard and draw_key; all quotas.
 
     Documents stay whole: the one that a source's quota cuts is drawn if half of it or more is inside. A copy is in
     the block that its first word is in; the tree splits the blocks that hold a copy.
     """
     docs = stored(ordered(rows, seed), "mix-order")
-    sources, block_words = _block_words(docs, shards)
+    words, block_words = _block_words(_quotas(docs), shards, block_words)
     copies = docs.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("quota") / F.col("source_size")))))
     copies = copies.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("before"))
     copies = copies.where(F.least(F.col("size"), F.col("quota") - F.col("lo")) * 2 >= F.col("size")).withColumn("block", F.floor(F.col("lo") / block_words)).drop("lo")
-    held = copies.groupBy("source").agg(F.sort_array(F.collect_set("block")).alias("blocks")).collect()
-    blocks = sorted(((r.source, r.blocks) for r in held), key=lambda x: (x[0] is None, x[0] or ""))
-    return _dealt(copies, blocks, shards, seed), sum(r.quota for r in sources)
+    return _dealt(copies, copies.select("source", "block").distinct(), shards, seed), words
 
 
 def mixed(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:

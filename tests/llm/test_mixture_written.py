@@ -51,3 +51,26 @@ def test_blocks_that_the_tree_loses_are_not_taken(df, monkeypatch):
     real = mixing.splitting_tree
     monkeypatch.setattr(mixing, "splitting_tree", lambda counts, shards, seed=7: np.vstack([real(counts, shards, seed)[:-1], np.zeros((1, len(counts)), np.int64)]))
     assert 0 < sum(r.taken for r in mixing.mixture(df).collect()) < whole
+
+
+def test_a_larger_mix_has_more_blocks_not_larger_ones(df, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS_A_SHARD", 2)
+    wide = mixing.mixture_places(df, shards=3, block_words=17).collect()
+    plain = mixing.mixture_places(df, shards=3).collect()
+    key = lambda rows: sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in rows)
+    assert key(wide) == key(plain)
+    pieces = mixing.mix(mixing.sized(df), shards=3, block_words=17).where("shard is not null").collect()
+    words = Counter()
+    for p in pieces:
+        words[p.source, p.block] += p.n_words
+    assert max(words.values()) == 17 and sum(words.values()) == sum(r.taken for r in plain)
+
+
+def test_blocks_of_a_source_are_permuted(df):
+    pieces = mixing.mix(mixing.sized(df), shards=2, block_words=16).where("shard is not null").collect()
+    of = defaultdict(dict)
+    for p in pieces:
+        of[p.source][p.block] = p.shard
+    for own in of.values():
+        order = [own[b] for b in sorted(own)]
+        assert order != sorted(order) and abs(sum(order) / len(order) - 0.5) < 0.2
