@@ -1,8 +1,7 @@
 """A text index as tables: posting blocks by term, the documents by number, and the corpus' figures in the log.
 
-Documents that are added at once are a part. Tasks invert runs of documents, so that what is shuffled and sorted by term
-are coded blocks and not tokens; the number of sorting tasks follows the blocks' bytes and a frequent term is split by
-document number. A document that is added again, or deleted, leaves a tombstone in the parts that had it; the numbers of
+Documents that are added at once are a part. Each task inverts its documents run by run and writes its blocks sorted by
+term, so that nothing is shuffled and a search skips the pages of other terms in each file. A document that is added again, or deleted, leaves a tombstone in the parts that had it; the numbers of
 documents and tokens that still count are kept with each part. Folding makes one part of all from their blocks alone.
 
 A search reads the blocks of its terms, by zones of document numbers: a zone's blocks meet in one task, which finds
@@ -28,9 +27,8 @@ from postmill.operators.search import Query, filtered, filters, paged, phrases
 from postmill.operators.snapshots import Log
 from postmill.session import shared_dir
 
-#: Tokens that a task inverts at once, bytes of blocks that one task sorts at most and at least, and those of a zone that
-#: one task renumbers.
-TOKENS, SORT_BYTES, LEAST_BYTES, SLICE_BYTES = 2_000_000, 64 << 20, 2 << 20, 8 << 20
+#: Tokens that a task inverts at once, and bytes of a zone's blocks that one task renumbers.
+TOKENS, SLICE_BYTES = 2_000_000, 8 << 20
 #: Pages beyond this rank are taken from the full ranking, and so many more rows than a page tell whether ties end there.
 MOST_TOP, MORE = 10_000, 1000
 
@@ -41,29 +39,31 @@ def _cut(counts: np.ndarray, limit: int) -> Iterable[tuple[int, int]]:
     return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
-def inverted(staged: DataFrame, columns: list[str], limit: int = TOKENS) -> DataFrame:
-    """The posting blocks of staged (doc: its number, and a list of tokens for each of columns), each run of documents by itself."""
+def inverted(numbered: DataFrame, columns: list[str], key: str, limit: int = TOKENS) -> DataFrame:
+    """The posting blocks of numbered (doc: its number, key, and a list of tokens for each of columns), each run of documents by itself, and a row (doc, key, length) of each document.
+
+    Both come from one pass, so that their numbers agree even where the documents would come in another order next time.
+    """
+    kind = numbered.schema[key].dataType.simpleString()
+    fields = f"kind string, {FIELDS}, doc long, `{key}` {kind}, length long"
 
     def run(batches):
+        plain = Entries.inverted(np.zeros(0, np.int64), [pa.array([], pa.list_(pa.string()))]).blocks().schema
+        own = pa.schema([("doc", pa.int64()), (key, pa.null()), ("length", pa.int64())])
+
+        def rows(kind: str, found: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
+            types = pa.schema([*plain, *own.set(1, pa.field(key, id_type))])
+            columns = [found[f.name] if f.name in found.schema.names else pa.nulls(len(found), f.type) for f in types]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), *columns], names=["kind", *types.names])
+
         for batch in batches:
             lists = [batch[c] for c in columns]
             n = sum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(c), 0)).astype(np.int64) for c in lists)
+            yield rows("documents", pa.RecordBatch.from_arrays([batch["doc"], batch[key], pa.array(n, pa.int64())], names=own.names), batch[key].type)
             for a, b in _cut(n, limit):
-                yield Entries.inverted(np.asarray(batch["doc"].slice(a, b - a)).astype(np.int64), [c.slice(a, b - a) for c in lists]).blocks()
+                yield rows("blocks", Entries.inverted(np.asarray(batch["doc"].slice(a, b - a)).astype(np.int64), [c.slice(a, b - a) for c in lists]).blocks(), batch[key].type)
 
-    return staged.select("doc", *columns).mapInArrow(run, FIELDS)
-
-
-def sorted_blocks(blocks: DataFrame, n_tasks: int, limit: int = TOKENS) -> DataFrame:
-    """blocks by term and document, neighbouring ones of a term in a zone made one."""
-
-    def run(batches):
-        for batch in batches:
-            # A coded document has four bytes at least, so this bounds what is decoded at once.
-            for a, b in _cut(np.asarray(pa.compute.binary_length(batch["places"])).astype(np.int64), limit):
-                yield Entries.of(batch.slice(a, b - a)).ordered().blocks()
-
-    return blocks.repartitionByRange(n_tasks, "term", "first").sortWithinPartitions("term", "first").mapInArrow(run, FIELDS)
+    return numbered.select("doc", key, *columns).mapInArrow(run, fields)
 
 
 class TextIndex:
@@ -119,34 +119,26 @@ class TextIndex:
 
     # Building.
 
-    def _staged(self, docs: DataFrame) -> tuple[str, DataFrame]:
-        """Tokens of docs by number, stored so that blocks and documents are numbered alike."""
-        at = f"{self.path}/staged-{uuid.uuid4().hex}"
+    def _counted(self, part: int, blocks: str, documents: str) -> dict:
+        n, length = self.spark.read.schema("length long").parquet(f"{self.path}/{documents}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return {"part": part, "blocks": blocks, "documents": documents, "gone": None, "n": n, "tokens": length}
+
+    def _inverted(self, docs: DataFrame, part: int) -> dict:
+        """A part of docs: blocks and documents are written at once by the tasks that read docs."""
         names = [f"c{i}" for i in range(len(self.columns))]
-        docs.select(F.col(self.key), *(tokens(c).alias(n) for c, n in zip(self.columns, names))).withColumn("doc", F.monotonically_increasing_id()).write.parquet(at)
-        return at, self.spark.read.parquet(at)
-
-    def _written(self, blocks: DataFrame, documents: DataFrame, part: int) -> dict:
-        tag = uuid.uuid4().hex
-        raw, own, docs = (f"{kind}-{tag}" for kind in ("staged-blocks", "blocks", "documents"))
-        blocks.write.parquet(f"{self.path}/{raw}")
-        # As many tasks as the bytes ask for; of few bytes as many as the cluster has cores, unless they are tiny.
-        size = self._size(raw)
-        n_tasks = max(1, math.ceil(size / SORT_BYTES), min(self.spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
-        sorted_blocks(self.spark.read.schema(FIELDS).parquet(f"{self.path}/{raw}"), n_tasks).write.parquet(f"{self.path}/{own}")
-        documents.write.parquet(f"{self.path}/{docs}")
-        self._drop(f"{self.path}/{raw}")
-        n, length = self.spark.read.schema("length long").parquet(f"{self.path}/{docs}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        return {"part": part, "blocks": own, "documents": docs, "gone": None, "n": n, "tokens": length}
+        numbered = docs.select(F.col(self.key), *(tokens(c).alias(n) for c, n in zip(self.columns, names))).withColumn("doc", F.monotonically_increasing_id())
+        own = f"blocks-{uuid.uuid4().hex}"
+        inverted(numbered, names, self.key).sortWithinPartitions("kind", "term", "first").write.partitionBy("kind").parquet(f"{self.path}/{own}")
+        folders = [f"{own}/kind={kind}" for kind in ("blocks", "documents")]
+        for folder in folders:  # one without rows was not written
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+        return self._counted(part, *folders)
 
     def added(self, docs: DataFrame, state: list[dict] | None = None) -> list[dict]:
         """The next state with docs; of a key that is there already the new document counts."""
         state = self.state() if state is None else state
-        at, staged = self._staged(docs)
-        names = [f"c{i}" for i in range(len(self.columns))]
-        length = sum((F.size(c) for c in names), F.lit(0)).cast("long")
-        new = self._written(inverted(staged, names), staged.select("doc", self.key, length.alias("length")), max((p["part"] for p in state), default=0) + 1)
-        self._drop(at)
+        new = self._inverted(docs, max((p["part"] for p in state), default=0) + 1)
         out = [*self.deleted(self._documents([new]), state), new] if state else [new]
         return self.folded(out) if len(out) > self.MOST_PARTS else out
 
@@ -201,17 +193,16 @@ class TextIndex:
         every = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
         new = blocks.groupBy("part", "zone", "slice").cogroup(every.groupBy("part", "zone", "slice")).applyInArrow(renumber, FIELDS)
         documents = placed.select("part", "zone", "begin", F.posexplode("kept").alias("i", "doc")).select("part", "doc", (F.col("begin") + F.col("i")).alias("new")).join(self.live(parts), ["part", "doc"]).select(F.col("new").alias("doc"), self.key, "length")
-        return [self._written(new, documents, max(offsets) + 1)]
+        own, docs = (f"{kind}-{uuid.uuid4().hex}" for kind in ("blocks", "documents"))
+        new.sortWithinPartitions("term", "first").write.parquet(f"{self.path}/{own}")
+        documents.write.parquet(f"{self.path}/{docs}")
+        return [self._counted(max(offsets) + 1, own, docs)]
 
     def _size(self, name: str) -> int:
         """The bytes of a folder."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
-    def _drop(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def add(self, docs: DataFrame) -> int:
         base, state = self.log.current()
         return self.log.commit(base, {self.name: self.added(docs, state.get(self.name, []))})
@@ -226,7 +217,7 @@ class TextIndex:
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes what the latest versions, so many, don't need. For times without other writers."""
-        used = lambda state: {p[k] for p in state.get(self.name, []) for k in ("blocks", "documents", "gone") if p[k]}
+        used = lambda state: {p[k].split("/")[0] for p in state.get(self.name, []) for k in ("blocks", "documents", "gone") if p[k]}
         return self.log.vacuum(keep, used, self.path, "{blocks,documents,gone,staged}-*")
 
     # Searching.

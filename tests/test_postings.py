@@ -207,3 +207,31 @@ def test_added_rows_need_no_shuffle_of_the_others(spark, tmp_path):
     for i in range(3):
         t.add(spark.createDataFrame([(f"k{i}", i)], "key string, n int"))
     assert "Exchange" not in t.read()._jdf.queryExecution().executedPlan().toString() and t.read().count() == 3
+
+
+def test_adding_shuffles_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "b a"), (2, None, "")], "doc_id long, subject string, body string").withColumn("doc", F.monotonically_increasing_id())
+    lists = rows.select("doc", "doc_id", F.split("subject", " ").alias("c0"), F.split("body", " ").alias("c1"))
+    found = postings.inverted(lists, ["c0", "c1"], "doc_id").sortWithinPartitions("kind", "term", "first")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.length) for r in found.where("kind = 'documents'").collect()) == [(1, 3), (2, 1)]
+    # Texts are read once, and nothing is staged: two folders of one write.
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    docs = table(spark, texts(50)).mapInArrow(counted, table(spark, texts(1)).schema)
+    index = postings.TextIndex(spark, str(tmp_path / "ix"), COLUMNS)
+    index.add(docs)
+    assert reads.value == 50
+    same(index, table(spark, texts(50)), Query(text="w1-w0 w2"))
+    index.add(docs.where("false"))
+    same(index, table(spark, texts(50)), Query(text="w0"))
+    index.vacuum(1)
+    same(index, table(spark, texts(50)), Query(text="w0"))
+    empty = postings.TextIndex(spark, str(tmp_path / "empty"), COLUMNS)
+    empty.add(docs.where("false"))
+    assert empty.state()[0]["n"] == 0 and empty.ranked("w0").count() == 0
