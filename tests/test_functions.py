@@ -114,3 +114,13 @@ def test_tokens_of_all_planes(spark):
     assert one(spark, T.tokens(F.lit(text))) == ["a\ue000b", "cafe", "x", "y", "z", "no", "q"]
     assert one(spark, T.token_text(F.lit(text))) == " a\ue000b cafe x y z no q "
     assert phrases("a\ue000b n\u0303\U00010a01o") == [["a\ue000b"], ["no"]]
+
+
+def test_tokens_of_ascii_and_other_texts(spark):
+    texts = ["Don't stop_me\t42x", "", None, "caf\u00e9 Na\u00efve e\u0301 x", "\u00c4b a-B", "\x00A\x7fb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in df.select(T.tokens("t")).collect()]
+    assert found == [["don", "t", "stop", "me", "42x"], [], [], ["cafe", "naive", "e", "x"], ["ab", "a", "b"], ["a", "b"]]
+    # A letter outside ASCII takes nothing from what the plainer pattern finds.
+    more = [r[0] for r in df.select(T.tokens(F.concat(F.coalesce("t", F.lit("")), F.lit(" \u4e2d")))).collect()]
+    assert more == [f + ["\u4e2d"] for f in found]
