@@ -15,6 +15,8 @@ from postmill.session import shared_dir
 
 #: The state store that keeps timers.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of stores that have their state together; a checkpoint holds for one number of them.
+BUCKETS = 1024
 
 
 def active_runs(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -32,48 +34,62 @@ def stable(polls: DataFrame, store: str = "store", ts: str = "ts", size: str = "
 
 
 class Quiet(StatefulProcessor):
-    """The size of a store and when it last changed, with a timer for the time at which it will have been quiet."""
+    """The sizes of a bucket's stores and when they last changed, with a timer for the first time at which one will have been quiet.
+
+    A call costs as much for a bucket as for a store, so stores share calls and one value of state.
+    """
 
     def __init__(self, seconds: int, forget: int):
         self.wait, self.forget = seconds * 1000, forget * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # changed and seen are milliseconds; told: its quiet was reported.
-        self.state = handle.getValueState("store", "size long, changed long, seen long, told boolean")
+        # changed and seen are milliseconds; told: its quiet was reported; due: when its timer fires.
+        self.state = handle.getValueState("stores", "store array<string>, size array<long>, changed array<long>, seen array<long>, told array<boolean>, due array<long>")
+
+    def _stores(self) -> dict[str | None, tuple]:
+        store, *rest = self.state.get() or ((), (), (), (), (), ())
+        return dict(zip(store, zip(*rest)))
 
-    def _set_timer(self, at: int) -> None:
+    def _keep(self, stores: dict[str | None, tuple]) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+        if not stores:
+            self.state.clear()
+            return
+        self.state.update((list(stores), *map(list, zip(*stores.values()))))
+        self.handle.registerTimer(min(due for *_, due in stores.values()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        polls = pd.concat(list(rows)).sort_values(["ts", "size"], kind="stable")
-        now = self.state.get() if self.state.exists() else None
-        size, changed, seen, told = now or (None, None, None, False)
-        out = []
-        for at, n in zip((polls["ts"].astype("int64") // 1_000_000).tolist(), polls["size"].tolist()):
-            same = size == n
+        polls = pd.concat(list(rows)).sort_values(["ts", "unknown", "size"], kind="stable")
+        stores, out = self._stores(), []
+        for store, at, n, unknown in zip(polls["store"].tolist(), (polls["ts"].astype("int64") // 1_000_000).tolist(), polls["size"].tolist(), polls["unknown"].tolist()):
+            n = None if unknown else n
+            size, changed, seen, told, _ = stores.get(store) or (None, None, None, False, None)
+            same = n is not None and size == n
             # A change after a longer gap without polls ends a quiet time, too.
             if size is not None and not told and at - changed >= self.wait + (not same):
                 told = True
-                out.append((key[0], changed, size))
+                out.append((store, changed, size))
             if not same:
                 size, changed, told = n, at, False
             seen = max(at, seen or at)
-        self.state.update((size, changed, seen, told))
-        self._set_timer(seen + self.forget if told else changed + self.wait)
+            stores[store] = size, changed, seen, told, seen + self.forget if told else changed + self.wait
+        self._keep(stores)
         if out:
             yield _rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        size, changed, seen, told = self.state.get()
-        if told:
-            self.state.clear()
-            return
-        self.state.update((size, changed, seen, True))
-        self.handle.registerTimer(max(seen + self.forget, expiredTimerInfo.getExpiryTimeInMs() + 1))
-        yield _rows([(key[0], changed, size)])
+        now, stores, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for store, (size, changed, seen, told, due) in self._stores().items():
+            if due > now:
+                stores[store] = size, changed, seen, told, due
+            elif not told:
+                out.append((store, changed, size))
+                stores[store] = size, changed, seen, True, max(seen + self.forget, due + 1)
+        self._keep(stores)
+        if out:
+            yield _rows(out)
 
     def close(self) -> None:
         pass
@@ -89,10 +105,18 @@ def replay(polls: DataFrame, chunks: int, seconds: int) -> DataFrame:
     spark, home = polls.sparkSession, f"{shared_dir(polls.sparkSession)}/polls-{uuid.uuid4().hex}"
     bounds = polls.select(F.unix_millis("ts").alias("t")).stat.approxQuantile("t", [i / chunks for i in range(1, chunks)], 0.001)
     part = sum(((F.unix_millis("ts") > b).cast("int") for b in bounds), F.lit(0))
+    # Each task of each batch starts Python anew, so that two for a core are enough; a stream takes the number as it starts.
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
     for k in range(chunks):
         polls.where(part == k).write.mode("append").parquet(f"{home}/in")
         arrivals = spark.readStream.schema(polls.schema).parquet(f"{home}/in")
-        settled(arrivals, seconds).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+        spark.conf.set(name, str(min(int(usual), 2 * spark.sparkContext.defaultParallelism)))
+        try:
+            query = settled(arrivals, seconds).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out")
+        finally:
+            spark.conf.set(name, usual)
+        query.awaitTermination()
     return spark.read.schema("store string, since timestamp, size long").parquet(f"{home}/out")
 
 
@@ -101,9 +125,12 @@ def settled(polls: DataFrame, seconds: int = 30, forget: int = 86_400, late: tim
 
     since is when the size last changed. Event time decides: a poll, of whatever store, that is so much later lets the
     timer of a quiet one fire, also when nobody polls that one any more. A store without polls for forget seconds after
-    its quiet loses its state. Polls that are later than late are dropped.
+    its quiet loses its state. Polls that are later than late are dropped. Stores are dealt to buckets by their hash;
+    what a store costs is then its polls, not its calls of the state store.
     """
     polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     own = polls.select(F.col("store").cast("string").alias("store"), F.col("ts").cast("timestamp").alias("ts"), F.col("size").cast("long").alias("size"))
+    # Null sizes stand apart: pandas would make all sizes of a batch with one floats.
+    own = own.withColumn("unknown", F.col("size").isNull()).fillna(0, ["size"])
     timed = own.withWatermark("ts", f"{int(late.total_seconds() * 1000)} milliseconds")
-    return timed.groupBy("store").transformWithStateInPandas(statefulProcessor=Quiet(seconds, forget), outputStructType="store string, since timestamp, size long", outputMode="append", timeMode="eventTime")
+    return timed.withColumn("bucket", F.pmod(F.xxhash64("store"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Quiet(seconds, forget), outputStructType="store string, since timestamp, size long", outputMode="append", timeMode="eventTime")

@@ -69,6 +69,17 @@ def test_a_store_that_nobody_polls_any_more(spark, tmp_path):
     assert left <= 3
 
 
+def test_stores_share_state_and_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quiescence, "BUCKETS", 2)
+    big = (1 << 53) + 1
+    rows = [(f"s{i}", BEGIN + timedelta(seconds=i % 7), big + i) for i in range(200)]
+    found, left = replayed(spark, tmp_path, [rows, [("s3", BEGIN + timedelta(seconds=20), 1), ("none", BEGIN + timedelta(seconds=36), None)]], seconds=30)
+    # All but s3, whose size changed, were quiet for 30 seconds at 36.
+    assert found == sorted(r for r in rows if r[0] != "s3")
+    # Two buckets with a value and a timer (by key and by time) each.
+    assert left <= 6
+
+
 def message(k, body="text"):
     return f"From a@x\nFrom: a@x.org\nSubject: s{k}\nMessage-ID: <{k}@x>\n\n{body} {k}\n\n".encode()
 
