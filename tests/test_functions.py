@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,17 @@ def test_tokens_of_ascii_and_other_texts(spark):
     # A letter outside ASCII takes nothing from what the plainer pattern finds.
     more = [r[0] for r in df.select(T.tokens(F.concat(F.coalesce("t", F.lit("")), F.lit(" \u4e2d")))).collect()]
     assert more == [f + ["\u4e2d"] for f in found]
+
+
+def test_pages_are_not_held_as_strings_all_at_once():
+    import tracemalloc
+
+    pages = pa.array(["<p>a</p>" + "<!-- \U0001f600" + "x" * 200_000 + " -->b", None] * 40)
+    tracemalloc.start()
+    try:
+        found = H.texts_of(pages).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # A page is 0.8 MB as a string, all of them are 32 MB.
+    assert found == ["a b", ""] * 40 and peak < 16 << 20
