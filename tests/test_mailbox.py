@@ -186,3 +186,20 @@ def test_discovery(spark, tmp_path):
     assert found == ["/in", "/stores"] or found == ["/in", "/stores/one", "/stores/two"]
     with pytest.raises(UnsupportedMailbox):
         discover(spark, [str(tmp_path / "text")])
+
+
+def test_headers_are_parsed_once():
+    import email
+    import email.policy
+
+    from postmill.sources import mime
+
+    mime._kept.cache_clear()
+    data = b"From: =?utf-8?q?J=C3=B6?= <a@x.org>\nTo: b@x, c <d@x>\nSubject: =?utf-8?b?w7Y=?=\nContent-Type: text/plain; charset=latin-1\n\n\xf6\n"
+    rows = [mime.parse(data.replace(b"a@x", b"%d@x" % i)) for i in range(3)]
+    assert [r["sender_email"] for r in rows] == ["0@x.org", "1@x.org", "2@x.org"] and {(r["sender_name"], r["subject"], r["plain_body"], r["to"]) for r in rows} == {("J\u00f6", "\u00f6", "\u00f6\n", "b@x, c <d@x>")}
+    # Three senders, and one each of the other headers.
+    assert mime._kept.cache_info().misses <= 6 < mime._kept.cache_info().hits
+    long = "s" * (mime.KEPT_CHARS + 1)
+    before = mime._kept.cache_info().currsize
+    assert str(mime._header("Subject", long)) == str(email.policy.default.header_factory("Subject", long)) and mime._kept.cache_info().currsize == before
