@@ -6,8 +6,10 @@ inserted once for each level 1 to 1 + log_b(c). A probe asks for levels 1, 2, ..
 found gives the count back within a factor of b. Counts of single words stay exact, as the add-one base score asks for
 them; they go back to the blocks that asked.
 
-A filter of up to Sizes.broadcast bytes is broadcast to the workers. As it grows with the texts, a larger one stays where
-it is, and the blocks' n-grams go to its segments, whose levels come back: the same probes, with the same result.
+Where a filter can't have more than Sizes.broadcast bytes it is broadcast to the workers. As it grows with the texts, a
+larger one stays where it is built: the blocks then send the n-grams of held-out texts too, with a count of 0, and each
+bucket probes its segment once for every n-gram that it was sent and gives the levels back. The probes are the same, with
+the same result.
 
 N-grams of two and more words count from min_count occurrences on, MIN_COUNT unless given.
 """
@@ -31,6 +33,8 @@ PROBES = 5
 START, END = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 #: Bits below those that name a bucket by which n-grams of two words and more are told apart there.
 NAME_BITS = 40
+#: N-grams that are probed at once, and the compression of what is sent.
+PROBED, ZSTD = 1 << 18, pa.Codec("zstd", 1)
 SENT = "bucket int, block long, n int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -43,7 +47,7 @@ class Sizes:
     table: int = TABLE_BYTES
     #: Text whose n-grams share a bucket, on average.
     bucket: int = 16 << 20
-    #: Bytes of a filter that is broadcast, at most, and buckets that are broadcast as one object.
+    #: Most bytes that a filter may come to if it is to be broadcast, and buckets that are broadcast as one object.
     broadcast: int = 192 << 20
     piece: int = 4
     bits: int = 8
@@ -143,18 +147,31 @@ def _of_order(names: np.ndarray, order: int) -> np.ndarray:
     return names * U64(4) + U64(order)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Values in the least width that has them all."""
-    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0)).tobytes()
+def _coded(values: np.ndarray) -> bytes:
+    """Values of 0 or more as their bytes in the least width that has them all, first bytes first, compressed."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return (len(values) << 4 | width).to_bytes(5, "little") + ZSTD.compress(planes.ravel(), asbytes=True)
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{len(data) // n if n else 1}")
+def _decoded(data: bytes) -> np.ndarray:
+    n, width = divmod(int.from_bytes(data[:5], "little"), 16)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(ZSTD.decompress(data[5:], n * width), dtype=np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
-def _steps(keys: np.ndarray) -> bytes:
-    """Rising keys as the steps between them."""
-    return _packed(np.diff(keys, prepend=U64(0)))
+def _shift(order: int, bits: int) -> int:
+    """The bits of a name below those that name its bucket."""
+    return 64 - bits if order == 1 else NAME_BITS
+
+
+def most_bytes(size: int, rows: int, bits: int) -> float:
+    """What the filter of so many rows with so many bytes of text can come to.
+
+    A text of n bytes has at most (n + 1) / 2 words and its end, and no n-gram has more levels than occurrences.
+    """
+    return (ORDER - 1) * bits / 8 * (size + 3 * rows) / 2
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -183,76 +200,71 @@ class Grams:
             self.counts.append(np.bincount(at[places & trained], minlength=len(names)))
 
     def buckets(self, order: int) -> np.ndarray:
-        return self.names[order - 1] >> U64(64 - self.bits if order == 1 else NAME_BITS)
+        return self.names[order - 1] >> U64(_shift(order, self.bits))
 
-    def dealt(self, block: int, train: bool) -> pa.Table:
-        """SENT: the counts of all words and of all trained n-grams; without train all n-grams, without counts."""
+    def dealt(self, block: int, trained: bool) -> pa.Table:
+        """SENT: names as the steps between them, with their counts in what is trained on; of n-grams all or those trained on."""
         rows = []
-        for order in range(1 if train else 2, ORDER + 1):
-            names, counts = self.names[order - 1], self.counts[order - 1]
-            if train and order > 1:
+        for order in range(1, ORDER + 1):
+            names, counts, shift = self.names[order - 1], self.counts[order - 1], _shift(order, self.bits)
+            if trained and order > 1:
                 names, counts = names[counts > 0], counts[counts > 0]
-            for k, a, b in zip(*(x.tolist() for x in equal_runs(names >> U64(64 - self.bits if order == 1 else NAME_BITS)))):
-                own = names[a:b]
-                keys = own.tobytes() if order == 1 else _steps(own & U64((1 << NAME_BITS) - 1))
-                rows.append((k, block, order, keys, len(own).to_bytes(4, "little") + (_packed(counts[a:b]) if train else b"")))
+            buckets, start, end = equal_runs(names >> U64(shift))
+            low = names & U64((1 << shift) - 1)
+            steps = np.diff(low, prepend=U64(0))
+            steps[start] = low[start]
+            rows += [(k, block, order, _coded(steps[a:b]), _coded(counts[a:b])) for k, a, b in zip(buckets.tolist(), start.tolist(), end.tolist())]
         columns = zip(*rows) if rows else ((),) * 5
         kinds = {"bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
 
 
-def _names(data: bytes, n: int, bucket: int) -> np.ndarray:
-    return np.cumsum(_unpacked(data, n), dtype=U64) | U64(bucket << NAME_BITS)
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, rising, the sum of each one's counts, and the place among them of every key."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+    keys = keys[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    back, start = np.empty(len(keys), dtype=np.int32), np.flatnonzero(first)
+    back[order] = np.cumsum(first) - 1
+    return keys[start], np.add.reduceat(counts[order], start), back
+
 
+def _gather(bucket: int, table: pa.Table, bits: int, bits_per_entry: int, min_count: int, probed: bool) -> pa.Table:
+    """For each block the exact counts of the words that it sent, and the bucket's segment or, if probed, its levels.
 
-def _gather(bucket: int, table: pa.Table, bits_per_entry: int, min_count: int = MIN_COUNT) -> pa.Table:
-    """The bucket's segment, and for each block the exact counts of the words that it sent."""
-    rows, all_keys, all_counts = [], [], []
+    An n-gram is probed once, however many blocks sent it, and the n-grams of all blocks are probed together.
+    """
+    rows, grams = [], []
     orders = np.asarray(table.column("n"))
     for order in range(1, ORDER + 1):
         part = table.filter(pa.array(orders == order))
-        sent, keys, counts = part.column("keys").to_pylist(), [], []
-        for data, own in zip(sent, part.column("counts").to_pylist()):
-            n = len(data) // 8 if order == 1 else int.from_bytes(own[:4], "little")
-            keys.append(np.frombuffer(data, dtype=U64) if order == 1 else _names(data, n, bucket))
-            counts.append(_unpacked(own[4:], n).astype(np.int64))
-        if not keys:
+        if not part.num_rows:
             continue
-        names, total = _summed(np.concatenate(keys), np.concatenate(counts))
+        keys = [np.cumsum(_decoded(x), dtype=U64) for x in part.column("keys").to_pylist()]
+        sent = list(per_block(part, map(len, keys)))
+        counts = np.concatenate([_decoded(x) for x in part.column("counts").to_pylist()]).astype(np.int64)
+        names, total, back = _summed(np.concatenate(keys) | U64(bucket << _shift(order, bits)), counts)
         if order > 1:
-            kept = total >= min_count
-            all_keys.append(_of_order(names[kept], order))
-            all_counts.append(total[kept])
+            grams.append((order, names, total, back, sent))
             continue
         start = names == mix(np.array([START]) ^ U64(1))[0]
         n_tokens, n_words = int(total[~start].sum()), int((total[~start] > 0).sum())
-        back = total[np.searchsorted(names, np.concatenate(keys))]
-        rows += [(block, "words", bucket, _packed(back[a:b]), None) for block, a, b in per_block(part, map(len, keys))]
+        found = total[back]
+        rows += [(block, "words", bucket, _coded(found[a:b]), None) for block, a, b in sent]
         rows.append((None, "total", bucket, n_tokens.to_bytes(8, "big"), n_words.to_bytes(8, "big")))
-    if sum(map(len, all_keys)):
-        segment, n_bits = build_segment(np.concatenate(all_keys), np.concatenate(all_counts), bits_per_entry)
-        rows.append((None, "segment", bucket, segment, n_bits.to_bytes(8, "little")))
+    kept = [(_of_order(names[total >= min_count], order), total[total >= min_count]) for order, names, total, _, _ in grams]
+    if not sum(len(x) for x, _ in kept):
+        return notes_of(rows)
+    segment, n_bits = build_segment(*map(np.concatenate, zip(*kept)), bits_per_entry)
+    if not probed:
+        return notes_of([*rows, (None, "segment", bucket, segment, n_bits.to_bytes(8, "little"))])
+    model = Model([(bucket, segment, n_bits)])
+    for order, names, _, back, sent in grams:
+        found = np.concatenate([model.levels(names[a : a + PROBED], order) for a in range(0, len(names), PROBED)])[back]
+        rows += [(block, f"levels{order}", bucket, _coded(found[a:b]), None) for block, a, b in sent]
     return notes_of(rows)
 
 
-def _probe(bucket: int, table: pa.Table, segment: pa.Table) -> pa.Table:
-    """For each block the levels of the n-grams that it sent to the segment."""
-    if not segment.num_rows:
-        return notes_of([])
-    model = Model([(bucket, segment.column("one")[0].as_py(), int.from_bytes(segment.column("two")[0].as_py(), "little"))])
-    found: dict[int, list] = {}
-    for block, order, data, n in zip(*(table.column(c).to_pylist() for c in ("block", "n", "keys", "counts"))):
-        found.setdefault(block, [None] * (ORDER - 1))[order - 2] = model.levels(_names(data, int.from_bytes(n, "little"), bucket), order).tobytes()
-    return notes_of([(block, f"levels{k}", bucket, x, None) for block, own in found.items() for k, x in enumerate(own, 2) if x is not None])
-
-
 def scores_of(grams: Grams, words: np.ndarray, levels: list[np.ndarray], n_train: int, vocabulary: int) -> pa.Table:
     """SCORES of a block; words are its words' counts, levels those of its n-grams of each order from 2 on.
 
@@ -286,42 +298,35 @@ def language_scores(df: DataFrame, sizes: Sizes = Sizes(), min_count: int = MIN_
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     bits = min(64 - NAME_BITS, max(2, math.ceil(math.log2(max(1, size / sizes.bucket)))))
+    probed = most_bytes(size, rows, sizes.bits) > sizes.broadcast
     blocks = table_of_blocks(docs, size, "lm-blocks", sizes.block, sizes.table)
     released(spark)
-    count = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), True)
-    gather = lambda key, table: _gather(key[0].as_py(), table, sizes.bits, min_count)
+    count = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), not probed)
+    gather = lambda key, table: _gather(key[0].as_py(), table, bits, sizes.bits, min_count, probed)
     notes = stored(blocks.groupBy("block").applyInArrow(count, SENT).groupBy("bucket").applyInArrow(gather, NOTES), "lm-notes")
     released(spark)
     whole = lambda c: F.sum(F.conv(F.hex(c), 16, 10).cast("long"))
     n_train, vocabulary = (x or 0 for x in notes.where("kind = 'total'").agg(whole("one"), whole("two")).first())
-    segments, back = notes.where("kind = 'segment'"), notes.where("block is not null")
-    held = segments.agg(F.sum(F.octet_length("one"))).first()[0] or 0
-    pieces = _broadcast(segments, bits, sizes.piece) if held <= sizes.broadcast else None
-    if pieces is None:
-        ask = lambda key, table: Grams(table, bits).dealt(key[0].as_py(), False)
-        probe = lambda key, table, segment: _probe(key[0].as_py(), table, segment)
-        asked = blocks.groupBy("block").applyInArrow(ask, SENT)
-        back = back.unionAll(stored(asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(probe, NOTES), "lm-levels"))
-        released(spark)
+    pieces = [] if probed else _broadcast(notes.where("kind = 'segment'"), bits, sizes.piece)
 
     def score(key, own, notes):
         grams = Grams(own, bits)
         words, levels = np.zeros(len(grams.names[0]), dtype=np.int64), []
         for at, one, _ in noted(notes, "words", grams.buckets(1)):
-            words[at] = _unpacked(one, at.stop - at.start)
+            words[at] = _decoded(one)
         for order in range(2, ORDER + 1):
             names, found = grams.names[order - 1], np.zeros(len(grams.names[order - 1]), dtype=np.uint8)
-            for piece in pieces or []:
+            for piece in pieces:
                 at = slice(*np.searchsorted(grams.buckets(order), np.array([piece.value.first, piece.value.last + 1], dtype=U64)).tolist())
                 found[at] = piece.value.levels(names[at], order)
             for at, one, _ in noted(notes, f"levels{order}", grams.buckets(order)):
-                found[at] = np.frombuffer(one, dtype=np.uint8)
+                found[at] = _decoded(one)
             levels.append(found)
         return scores_of(grams, words, levels, n_train, vocabulary)
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.groupBy("block").cogroup(notes.where("block is not null").groupBy("block")).applyInArrow(score, SCORES)
 
 
 def _broadcast(segments: DataFrame, bits: int, size: int) -> list:
